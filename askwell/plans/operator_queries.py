@@ -1,4 +1,281 @@
-"""Queries for the library operators (text, vectors, memory, feedback, scoring)
-over the driver tables.  Filled in as operators land."""
+"""Queries for the library operators over the driver tables, with the DuckDB
+oracle text wherever SQL can express the same result.
+
+Table roles (all derived from the driver tables, so work grows with them):
+  * documents / conversations  -> SQL-ish texts for the text functions
+  * embeddings                 -> the vector memory (arrival order = vec_id)
+  * benchmark x documents      -> questions x example store for retrieval,
+                                  token budget and prompt assembly
+  * events                     -> traces ('view') and scores ('purchase')
+  * documents + labels         -> feedback candidates with human scores
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from askwell.functions import text as X
+from askwell.functions.vectors import sql_cosine
+from askwell.operators import similarity as V
+from askwell.operators import text_similarity as TS
+from askwell.plans.catalog import register
+from askwell.sources.tables import Tables
+
+_TOK = X.TOKEN_PATTERN
+_TERM = X.TERM_PATTERN
+_WS = r"^\s+|\s+$"
+
+
+def _t(spark: SparkSession, sf_dir: str) -> Tables:
+    return Tables(spark, sf_dir)
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+# --- text functions ----------------------------------------------------------------
+
+
+def x_count_tokens(spark, sf_dir) -> DataFrame:
+    d = _t(spark, sf_dir).documents
+    return d.select("doc_id", X.count_tokens("text").alias("n_tokens"))
+
+
+register(
+    "x_count_tokens",
+    x_count_tokens,
+    f"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), {_sql_str(_TOK)})) AS INTEGER) AS n_tokens "
+    "FROM documents",
+)
+
+
+def _conversation_pairs(t: Tables) -> DataFrame:
+    """A user turn and the assistant turn right after it, as (question, answer)."""
+    c = t.conversations
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    a = c.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
+    )
+    return u.join(a, ["conv_id", "turn"])
+
+
+_PAIRS_SQL = """(SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer
+   FROM conversations u JOIN conversations a
+     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant')"""
+
+
+def x_example_cost(spark, sf_dir) -> DataFrame:
+    p = _conversation_pairs(_t(spark, sf_dir))
+    return p.select("conv_id", "turn", X.example_cost(F.col("question"), F.col("answer")).alias("cost"))
+
+
+register(
+    "x_example_cost",
+    x_example_cost,
+    f"""SELECT conv_id, turn,
+  CAST(len(regexp_extract_all('Question: ' || coalesce(question, '') || chr(10) || 'SQL: ' || coalesce(answer, ''),
+       {_sql_str(_TOK)})) + 10 AS INTEGER) AS cost
+FROM {_PAIRS_SQL} p""",
+)
+
+
+def x_clean_sql(spark, sf_dir) -> DataFrame:
+    c = _t(spark, sf_dir).conversations.filter(F.col("role") == "assistant")
+    return c.select("conv_id", "turn", X.clean_sql("text").alias("sql"))
+
+
+register(
+    "x_clean_sql",
+    x_clean_sql,
+    f"""SELECT conv_id, turn,
+  CASE WHEN regexp_matches(text, {_sql_str(X.FENCE_PATTERN)})
+       THEN regexp_extract(text, {_sql_str(X.FENCE_PATTERN)}, 1)
+       ELSE regexp_replace(text, {_sql_str(_WS)}, '', 'g') END AS sql
+FROM conversations WHERE role = 'assistant'""",
+)
+
+
+def x_normalize_sql(spark, sf_dir) -> DataFrame:
+    c = _t(spark, sf_dir).conversations
+    return c.select("conv_id", "turn", X.normalize_sql("text").alias("normalized"))
+
+
+register(
+    "x_normalize_sql",
+    x_normalize_sql,
+    f"""SELECT conv_id, turn,
+  regexp_replace(regexp_replace(regexp_replace(
+    lower(regexp_replace(regexp_replace(coalesce(text, ''), {_sql_str(_WS)}, '', 'g'), ';+$', '')),
+    '\\s+', ' ', 'g'), '\\(\\s+', '(', 'g'), '\\s+\\)', ')', 'g') AS normalized
+FROM conversations""",
+)
+
+
+def x_write_guard(spark, sf_dir) -> DataFrame:
+    d = _t(spark, sf_dir).documents
+    return d.select("doc_id", X.has_write_keyword("text").alias("has_write"), X.is_blank("text").alias("is_blank"))
+
+
+register(
+    "x_write_guard",
+    x_write_guard,
+    f"""SELECT doc_id, regexp_matches(coalesce(text, ''), {_sql_str(X.WRITE_PATTERN)}) AS has_write,
+  length(regexp_replace(coalesce(text, ''), {_sql_str(_WS)}, '', 'g')) = 0 AS is_blank
+FROM documents""",
+)
+
+
+def _known_tables(spark: SparkSession) -> DataFrame:
+    from askwell.sources.tables import TABLES
+
+    names = list(TABLES) + ["customers", "products", "order_items", "reviews"]
+    return spark.createDataFrame([(n,) for n in names], "table_name string")
+
+
+def x_tables_referenced(spark, sf_dir) -> DataFrame:
+    d = _t(spark, sf_dir).documents
+    return X.tables_referenced(d, "text", "doc_id", _known_tables(spark))
+
+
+def _known_tables_sql() -> str:
+    from askwell.sources.tables import TABLES
+
+    names = list(TABLES) + ["customers", "products", "order_items", "reviews"]
+    return "(VALUES " + ", ".join(f"('{n}')" for n in names) + ") AS k(table_name)"
+
+
+register(
+    "x_tables_referenced",
+    x_tables_referenced,
+    f"""WITH c AS (
+  SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), {_sql_str(X.REF_PATTERN)}, 1)) AS name
+  FROM documents),
+hits AS (SELECT c.doc_id, list_sort(list(DISTINCT c.name)) AS tables_used
+  FROM c JOIN {_known_tables_sql()} ON k.table_name = c.name GROUP BY c.doc_id)
+SELECT d.doc_id, coalesce(h.tables_used, CAST([] AS VARCHAR[])) AS tables_used
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN hits h ON h.doc_id = d.doc_id""",
+)
+
+
+# --- vector memory on embeddings -------------------------------------------------
+
+_EMB_PAIRS = f"""(SELECT q.vec_id AS q_id, s.vec_id AS s_id,
+    ROUND({sql_cosine('q.embedding', 's.embedding')}, 6) AS similarity
+  FROM embeddings q, embeddings s WHERE q.vec_id <> s.vec_id)"""
+
+
+def v_topk_embeddings(spark, sf_dir) -> DataFrame:
+    e = _t(spark, sf_dir).embeddings
+    return V.topk_neighbors(e, e, 3, q_id="vec_id", s_id="vec_id", exclude_self=True)
+
+
+register(
+    "v_topk_embeddings",
+    v_topk_embeddings,
+    f"""SELECT q_id, rank, s_id, similarity FROM (
+  SELECT q_id, s_id, similarity,
+         CAST(row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, s_id) AS BIGINT) AS rank
+  FROM {_EMB_PAIRS} p) r WHERE rank <= 3""",
+)
+
+
+def v_max_similarity(spark, sf_dir) -> DataFrame:
+    e = _t(spark, sf_dir).embeddings
+    return V.max_similarity(e, e, q_id="vec_id", s_id="vec_id", only_earlier=True)
+
+
+_EARLIER_BEST = f"""(SELECT q_id, s_id, similarity FROM (
+    SELECT q_id, s_id, similarity,
+           row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, s_id) AS rn
+    FROM {_EMB_PAIRS} p WHERE s_id < q_id) r WHERE rn = 1)"""
+
+register(
+    "v_max_similarity",
+    v_max_similarity,
+    f"""SELECT e.vec_id AS q_id, b.s_id AS nearest_id, coalesce(b.similarity, 0.0) AS max_similarity
+FROM embeddings e LEFT JOIN {_EARLIER_BEST} b ON b.q_id = e.vec_id""",
+)
+
+DEDUP_T_EMB = 0.40
+
+
+def v_dedup_gate(spark, sf_dir) -> DataFrame:
+    e = _t(spark, sf_dir).embeddings
+    return V.dedup_gate(e, e, DEDUP_T_EMB, q_id="vec_id", s_id="vec_id", only_earlier=True)
+
+
+register(
+    "v_dedup_gate",
+    v_dedup_gate,
+    f"""SELECT e.vec_id AS q_id, b.s_id AS nearest_id, coalesce(b.similarity, 0.0) AS max_similarity,
+       coalesce(b.similarity, 0.0) >= {DEDUP_T_EMB} AS is_duplicate
+FROM embeddings e LEFT JOIN {_EARLIER_BEST} b ON b.q_id = e.vec_id""",
+)
+
+
+def v_similarity_edges(spark, sf_dir) -> DataFrame:
+    e = _t(spark, sf_dir).embeddings
+    return V.similarity_edges(e, DEDUP_T_EMB, id_col="vec_id")
+
+
+register(
+    "v_similarity_edges",
+    v_similarity_edges,
+    f"SELECT s_id AS src, q_id AS dst, similarity FROM {_EMB_PAIRS} p "
+    f"WHERE s_id < q_id AND similarity >= {DEDUP_T_EMB}",
+)
+
+
+def v_lsh_pairs(spark, sf_dir) -> DataFrame:
+    e = _t(spark, sf_dir).embeddings
+    return V.lsh_pairs(e, DEDUP_T_EMB, id_col="vec_id")
+
+
+register("v_lsh_pairs", v_lsh_pairs)  # approximate: rows-only check
+
+
+# --- text similarity on documents / benchmark ---------------------------------------
+
+DEDUP_T_TEXT = 0.95
+
+_TERM_W_SQL = """(SELECT id, term, tf / sqrt(SUM(tf * tf) OVER (PARTITION BY id)) AS w FROM (
+   SELECT id, term, COUNT(*) AS tf FROM (
+     SELECT {id} AS id, unnest(regexp_extract_all(lower(coalesce({text}, '')), {pat})) AS term FROM {table}
+   ) x GROUP BY id, term) y)"""
+
+
+def _term_w_sql(table: str, id_col: str, text_col: str = "text") -> str:
+    return _TERM_W_SQL.format(id=id_col, text=text_col, pat=_sql_str(_TERM), table=table)
+
+
+def t_near_duplicates(spark, sf_dir) -> DataFrame:
+    d = _t(spark, sf_dir).documents
+    return TS.near_duplicates(d, DEDUP_T_TEXT)
+
+
+register(
+    "t_near_duplicates",
+    t_near_duplicates,
+    f"""WITH w AS {_term_w_sql('documents', 'doc_id')},
+pairs AS (SELECT a.id AS a, b.id AS b, ROUND(SUM(a.w * b.w), 6) AS sim
+  FROM w a JOIN w b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id)
+SELECT b AS doc_id, MAX(sim) AS max_similarity FROM pairs WHERE sim >= {DEDUP_T_TEXT} GROUP BY b""",
+)
+
+
+def t_topk_documents(spark, sf_dir) -> DataFrame:
+    t = _t(spark, sf_dir)
+    return TS.text_topk(t.benchmark, t.documents, 6, q_id="item_id", q_text="text", s_id="doc_id", s_text="text")
+
+
+_TOPK_DOCS_SQL = f"""(SELECT q_id, rank, s_id, similarity FROM (
+  SELECT q_id, s_id, similarity,
+         CAST(row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, s_id) AS BIGINT) AS rank
+  FROM (SELECT q.id AS q_id, s.id AS s_id, ROUND(SUM(q.w * s.w), 6) AS similarity
+        FROM {_term_w_sql('benchmark', 'item_id')} q JOIN {_term_w_sql('documents', 'doc_id')} s
+          ON q.term = s.term GROUP BY q.id, s.id) p) r WHERE rank <= 6)"""
+
+register("t_topk_documents", t_topk_documents, f"SELECT * FROM {_TOPK_DOCS_SQL} t")
