@@ -69,58 +69,104 @@ def text_topk(
     )
 
 
-def near_duplicates(
-    docs: DataFrame,
-    threshold: float = 0.95,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """Texts whose best term cosine to an *earlier* text (smaller id) is
-    >= threshold.  Returns (id_col, max_similarity); one row per duplicate."""
+def _prefix_rows(tw: DataFrame, dfreq: DataFrame, threshold: float) -> DataFrame:
+    """(id, term) rows in each text's prefix under the global (df, term) order:
+    a term is in the prefix while the mass from it onwards is >= t^2."""
     t2 = threshold * threshold
-    # a text without terms has a zero vector: cosine 0 with everything
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(
-        F.size(terms("text")) > 0
-    )
-    # 1) exact copies: one representative (smallest id) per text
-    keyed = base.withColumn("h", F.sha2(F.coalesce("text", F.lit("")), 256))
-    reps = keyed.groupBy("h").agg(F.min("id").alias("rep"))
-    copies = (
-        keyed.join(reps, "h")
-        .filter(F.col("id") != F.col("rep"))
-        .select("id", F.lit(1.0).alias("max_similarity"))
-    )
-    rep_docs = keyed.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
-
-    # 2) term weights of representatives, global term order by document frequency
-    tw = term_weights(rep_docs, "id", "text")
-    dfreq = tw.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    ordered = tw.join(dfreq, "term")
     w_doc = Window.partitionBy("id").orderBy(F.col("df").asc(), F.col("term").asc())
     mass_before = F.coalesce(
         F.sum(F.col("w") * F.col("w")).over(w_doc.rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0.0),
     )
-    # term is in the prefix while the mass from it onwards is still >= t^2
-    prefix = ordered.withColumn("suffix_mass", F.lit(1.0) - mass_before).filter(
-        F.col("suffix_mass") >= F.lit(t2 - 1e-9)
-    ).select("id", "term")
+    return (
+        tw.join(dfreq, "term")
+        .withColumn("suffix_mass", F.lit(1.0) - mass_before)
+        .filter(F.col("suffix_mass") >= F.lit(t2 - 1e-9))
+        .select("id", "term")
+    )
+
+
+def _with_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    # a text without terms has a zero vector: cosine 0 with everything
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(
+        F.size(terms("text")) > 0
+    )
 
-    # 3) candidates: share a prefix term, earlier -> later
-    a = prefix.select(F.col("id").alias("a"), "term")
-    b = prefix.select(F.col("id").alias("b"), "term")
-    cands = a.join(b, "term").filter(F.col("a") < F.col("b")).select("a", "b").distinct()
 
-    # 4) exact verification over all shared terms
-    wa = tw.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"))
-    wb = tw.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
-    verified = (
+def _verify(cands: DataFrame, tw_a: DataFrame, tw_b: DataFrame, threshold: float) -> DataFrame:
+    wa = tw_a.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"))
+    wb = tw_b.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
+    return (
         cands.join(wa, "a")
         .join(wb, ["b", "term"])
         .groupBy("a", "b")
-        .agg(F.round(F.sum(F.col("wa") * F.col("wb")), SIM_DIGITS).alias("sim"))
-        .filter(F.col("sim") >= F.lit(threshold))
+        .agg(F.round(F.sum(F.col("wa") * F.col("wb")), SIM_DIGITS).alias("similarity"))
+        .filter(F.col("similarity") >= F.lit(threshold))
     )
-    best = verified.groupBy(F.col("b").alias("id")).agg(F.max("sim").alias("max_similarity"))
-    return best.unionByName(copies).select(F.col("id").alias(id_col), "max_similarity")
+
+
+def threshold_pairs(
+    left: DataFrame,
+    right: DataFrame,
+    threshold: float,
+    *,
+    left_id: str,
+    left_text: str,
+    right_id: str,
+    right_text: str,
+) -> DataFrame:
+    """(a, b, similarity) for left text a and right text b with term cosine
+    >= threshold (R-S join with prefix filtering; one global term order)."""
+    tl = term_weights(_with_terms(left, left_id, left_text), "id", "text")
+    tr = term_weights(_with_terms(right, right_id, right_text), "id", "text")
+    dfreq = tl.select("term").unionAll(tr.select("term")).groupBy("term").agg(
+        F.count(F.lit(1)).alias("df")
+    )
+    pa = _prefix_rows(tl, dfreq, threshold).select(F.col("id").alias("a"), "term")
+    pb = _prefix_rows(tr, dfreq, threshold).select(F.col("id").alias("b"), "term")
+    cands = pa.join(pb, "term").select("a", "b").distinct()
+    return _verify(cands, tl, tr, threshold)
+
+
+def self_pairs(
+    docs: DataFrame,
+    threshold: float,
+    *,
+    id_col: str,
+    text_col: str,
+) -> tuple[DataFrame, DataFrame]:
+    """Within one set ordered by id: returns (edges, copies).
+
+    ``copies`` (id, rep): texts identical to an earlier text; ``rep`` is the
+    earliest copy.  ``edges`` (a, b, similarity), a < b, among representatives
+    only — copies never need pairing (a later copy always has similarity 1 to
+    its representative)."""
+    base = _with_terms(docs, id_col, text_col)
+    keyed = base.withColumn("h", F.sha2(F.col("text"), 256))
+    reps = keyed.groupBy("h").agg(F.min("id").alias("rep"))
+    copies = keyed.join(reps, "h").filter(F.col("id") != F.col("rep")).select("id", "rep")
+    rep_docs = keyed.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
+    tw = term_weights(rep_docs, "id", "text")
+    dfreq = tw.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    prefix = _prefix_rows(tw, dfreq, threshold)
+    a = prefix.select(F.col("id").alias("a"), "term")
+    b = prefix.select(F.col("id").alias("b"), "term")
+    cands = a.join(b, "term").filter(F.col("a") < F.col("b")).select("a", "b").distinct()
+    return _verify(cands, tw, tw, threshold), copies
+
+
+def near_duplicates(
+    docs: DataFrame,
+    threshold: float = 0.95,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Texts whose best term cosine to an *earlier* text (smaller id) is
+    >= threshold.  Returns (id_col, max_similarity); one row per duplicate.
+    For a representative the best earlier text is another representative (an
+    earlier copy's own representative is earlier still, with equal cosine)."""
+    edges, copies = self_pairs(docs, threshold, id_col=id_col, text_col=text_col)
+    best = edges.groupBy(F.col("b").alias("id")).agg(F.max("similarity").alias("max_similarity"))
+    dup_copies = copies.select("id", F.lit(1.0).alias("max_similarity"))
+    return best.unionByName(dup_copies).select(F.col("id").alias(id_col), "max_similarity")

@@ -279,3 +279,104 @@ _TOPK_DOCS_SQL = f"""(SELECT q_id, rank, s_id, similarity FROM (
           ON q.term = s.term GROUP BY q.id, s.id) p) r WHERE rank <= 6)"""
 
 register("t_topk_documents", t_topk_documents, f"SELECT * FROM {_TOPK_DOCS_SQL} t")
+
+
+# --- greedy dedup (V6) on embeddings ------------------------------------------------
+
+
+def v_greedy_dedup(spark, sf_dir) -> DataFrame:
+    from askwell.operators.dedup import greedy_dedup
+
+    e = _t(spark, sf_dir).embeddings
+    edges = V.similarity_edges(e, DEDUP_T_EMB, id_col="vec_id")
+    return greedy_dedup(e.select("vec_id"), edges, id_col="vec_id").select("vec_id", "kept")
+
+
+register("v_greedy_dedup", v_greedy_dedup)  # order-dependent rounds: rows-only check
+
+
+# --- feedback over events: traces = 'view', scores = later 'purchase' ---------------
+SCORE_HORIZON_S = 7 * 24 * 3600
+
+
+def fb_first_score_events(spark, sf_dir) -> DataFrame:
+    """J6 on events: for each view (trace), the first purchase of the same
+    user within 7 days at or after it whose value passes F3 (>= 1.0)."""
+    from askwell.operators.asof import first_at_or_after
+    from askwell.operators.feedback import POSITIVE_THRESHOLD
+
+    ev = _t(spark, sf_dir).events
+    views = ev.filter(F.col("event_type") == "view")
+    buys = ev.filter((F.col("event_type") == "purchase") & F.col("value").isNotNull()
+                     & (F.col("value") >= POSITIVE_THRESHOLD))
+    j = first_at_or_after(
+        views, buys, key="user_id", left_id="event_id", left_ts="ts",
+        right_id="event_id", right_ts="ts", right_value="value",
+        horizon_seconds=SCORE_HORIZON_S, bucket_seconds=6 * 3600,
+    )
+    # first_at_or_after names the right columns after the inputs; rename
+    return j.toDF("trace_id", "user_id", "trace_ts", "score_id", "score_ts", "score_value")
+
+
+register(
+    "fb_first_score_events",
+    fb_first_score_events,
+    """SELECT trace_id, user_id, trace_ts, score_id, score_ts, score_value FROM (
+  SELECT v.event_id AS trace_id, v.user_id, v.ts AS trace_ts, p.event_id AS score_id, p.ts AS score_ts,
+         p.value AS score_value,
+         row_number() OVER (PARTITION BY v.event_id ORDER BY p.ts, p.event_id) AS rn
+  FROM events v JOIN events p
+    ON p.user_id = v.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 7 DAY
+  WHERE v.event_type = 'view' AND p.event_type = 'purchase'
+    AND p.value IS NOT NULL AND p.value >= 1.0) r
+WHERE rn = 1""",
+)
+
+# --- feedback gates over documents (traces) + labels (human quality scores) --------
+
+
+def _doc_traces(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """documents -> traces (question = SQL = the text), labels -> scores."""
+    d = t.documents
+    traces = d.select(
+        F.col("doc_id").cast("string").alias("trace_id"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(secs=F.col("doc_id"))).alias("ts"),
+        F.array(F.lit("semantic-sql")).alias("tags"),
+        F.col("text").alias("input"),
+        F.struct(F.col("text").alias("question"), F.col("text").alias("generated_sql")).alias("metadata"),
+    )
+    scores = t.labels.select(
+        F.col("doc_id").cast("string").alias("trace_id"),
+        (F.lit("2024-02-01 00:00:00").cast("timestamp") + F.make_interval(secs=F.col("doc_id"))).alias("ts"),
+        F.lit("quality").alias("name"),
+        F.col("quality").cast("double").alias("value"),
+        F.when(F.col("toxic") == 1, F.lit("toxic")).otherwise(F.lit("")).alias("comment"),
+    )
+    return traces, scores
+
+
+def fb_feedback_documents(spark, sf_dir) -> DataFrame:
+    """ST1: positive labels -> completeness -> write guard -> dedup against
+    the benchmark passages (the store) and among earlier accepted documents."""
+    from askwell.operators.feedback import process_feedback
+
+    t = _t(spark, sf_dir)
+    traces, scores = _doc_traces(t)
+    store = t.benchmark.select(F.col("text").alias("question"))
+    out = process_feedback(traces, scores, store, threshold=DEDUP_T_TEXT)
+    return out.select("trace_id", "seq", "status")
+
+
+register("fb_feedback_documents", fb_feedback_documents)  # greedy order: rows-only
+
+
+def fb_gate_stats(spark, sf_dir) -> DataFrame:
+    from askwell.operators.feedback import gate_stats, process_feedback
+
+    t = _t(spark, sf_dir)
+    traces, scores = _doc_traces(t)
+    store = t.benchmark.select(F.col("text").alias("question"))
+    return gate_stats(process_feedback(traces, scores, store, threshold=DEDUP_T_TEXT))
+
+
+register("fb_gate_stats", fb_gate_stats)
