@@ -204,10 +204,22 @@ def schema_section(profiles_rows: list[tuple[str, int | None, str]]) -> str:
     return KNOWLEDGE_HEAD + "\n".join(blocks) + "\n"
 
 
+def schema_section_col(blocks: list[tuple[str, Column, str]]) -> Column:
+    """Knowledge section as a Column when row counts are computed by Spark:
+    ``blocks`` = (table_name, row_count column, ddl)."""
+    parts = []
+    for i, (name, n, ddl) in enumerate(blocks):
+        if i:
+            parts.append(F.lit("\n"))
+        parts += [F.lit(f"-- Table: {name}  ("), F.coalesce(n.cast("string"), F.lit("?")),
+                  F.lit(f" rows)\n{ddl}\n")]
+    return F.concat(F.lit(KNOWLEDGE_HEAD), *parts, F.lit("\n"))
+
+
 def build_prompts(
     questions: DataFrame,
     examples: DataFrame | None,
-    schema_text: str = "",
+    schema_text: str | Column = "",
     counter=count_tokens,
 ) -> DataFrame:
     """V9: (q_id, question) + (q_id, examples) -> (q_id, system, user, tokens, n_examples).
@@ -225,7 +237,10 @@ def build_prompts(
         ex, lambda e: F.concat(F.lit("Question: "), e["question"], F.lit("\nSQL:\n"), e["sql_query"], F.lit("\n"))
     )
     behavioral = F.when(F.size(ex) > 0, F.concat(F.lit(BEHAVIORAL_HEAD), F.array_join(blocks, "\n"), F.lit("\n")))
-    knowledge = F.lit(schema_text) if schema_text else F.lit(None).cast("string")
+    if isinstance(schema_text, Column):
+        knowledge = schema_text
+    else:
+        knowledge = F.lit(schema_text) if schema_text else F.lit(None).cast("string")
     executive = F.concat(F.lit(EXECUTIVE_HEAD), F.col("question"), F.lit(EXECUTIVE_TAIL))
     user = F.concat_ws("\n", behavioral, knowledge, executive)
     return q.select(

@@ -380,3 +380,205 @@ def fb_gate_stats(spark, sf_dir) -> DataFrame:
 
 
 register("fb_gate_stats", fb_gate_stats)
+
+
+# --- profiles (P1, P3, A14) on the driver tables -------------------------------------
+
+_KEY_CANDIDATES = {
+    "customer": ["c_custkey"], "orders": ["o_orderkey", "o_custkey"], "part": ["p_partkey"],
+    "supplier": ["s_suppkey"], "nation": ["n_nationkey"], "region": ["r_regionkey"],
+    "lineitem": ["l_orderkey"], "documents": ["doc_id"], "embeddings": ["vec_id"], "events": ["event_id"],
+}
+_FKS = [
+    ("orders", "o_custkey", "customer", "c_custkey"),
+    ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+    ("lineitem", "l_partkey", "part", "p_partkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ("customer", "c_nationkey", "nation", "n_nationkey"),
+    ("nation", "n_regionkey", "region", "r_regionkey"),
+    ("labels", "doc_id", "documents", "doc_id"),
+]
+
+
+def _all_tables(spark, sf_dir) -> dict[str, DataFrame]:
+    from askwell.sources.tables import TABLES
+
+    t = _t(spark, sf_dir)
+    return {n: getattr(t, n) for n in TABLES}
+
+
+def p_row_counts(spark, sf_dir) -> DataFrame:
+    from askwell.operators.profile import row_counts
+
+    return row_counts(_all_tables(spark, sf_dir))
+
+
+def _row_counts_sql() -> str:
+    from askwell.sources.tables import TABLES
+
+    return " UNION ALL ".join(f"SELECT '{n}' AS table_name, COUNT(*) AS row_count FROM {n}" for n in TABLES)
+
+
+register("p_row_counts", p_row_counts, _row_counts_sql())
+
+
+def p_key_profile(spark, sf_dir) -> DataFrame:
+    from askwell.operators.profile import key_profile
+
+    return key_profile(_all_tables(spark, sf_dir), _KEY_CANDIDATES)
+
+
+register(
+    "p_key_profile",
+    p_key_profile,
+    " UNION ALL ".join(
+        f"""SELECT '{tb}' AS table_name, '{c}' AS column_name, COUNT(*) AS row_count,
+  COUNT(*) FILTER (WHERE {c} IS NULL) AS null_count, COUNT(DISTINCT {c}) AS distinct_count,
+  (COUNT(*) FILTER (WHERE {c} IS NULL) = 0 AND COUNT(DISTINCT {c}) = COUNT(*)) AS is_key FROM {tb}"""
+        for tb, cols in _KEY_CANDIDATES.items() for c in cols
+    ),
+)
+
+
+def p_foreign_keys(spark, sf_dir) -> DataFrame:
+    from askwell.operators.profile import foreign_key_profile
+
+    return foreign_key_profile(_all_tables(spark, sf_dir), _FKS)
+
+
+register(
+    "p_foreign_keys",
+    p_foreign_keys,
+    " UNION ALL ".join(
+        f"""SELECT '{ch}' AS child, '{c}' AS column_name, '{pa}' AS parent, '{pc}' AS parent_column,
+  COUNT(*) AS orphans, COUNT(*) = 0 AS holds
+FROM {ch} x WHERE x.{c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {pa} y WHERE y.{pc} = x.{c})"""
+        for ch, c, pa, pc in _FKS
+    ),
+)
+
+
+def p_table_profiles(spark, sf_dir) -> DataFrame:
+    from askwell.operators.profile import table_profiles
+
+    return table_profiles(spark, _all_tables(spark, sf_dir)).select("table_name", "ddl", "row_count")
+
+
+register("p_table_profiles", p_table_profiles)  # sample rows are arbitrary: rows-only
+
+
+# --- memory chain: benchmark questions x documents as the example store --------------
+#   example question = document text, example SQL = document source, no explanation
+
+
+def _schema_blocks_spark(spark, sf_dir):
+    from askwell.operators.profile import ddl_text, schema_fields
+    from askwell.sources.views import VIEW_FIELDS, Views
+
+    v = Views(_t(spark, sf_dir))
+    out = []
+    for name in VIEW_FIELDS:
+        df = getattr(v, name)
+        out.append((name, df.select(F.count(F.lit(1))).scalar(), ddl_text(name, schema_fields(df.schema))))
+    return out
+
+
+def _schema_ddls_static():
+    from askwell.operators.profile import ddl_text
+    from askwell.sources.views import VIEW_FIELDS
+
+    return [(n, ddl_text(n, f)) for n, f in VIEW_FIELDS.items()]
+
+
+def _memory_frames(spark, sf_dir):
+    from askwell.operators.memory import OVERFETCH, FEW_SHOT_K, budget_select, candidate_costs
+
+    t = _t(spark, sf_dir)
+    questions = t.benchmark.select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
+    store = t.documents.select(
+        F.col("doc_id").alias("example_id"), F.col("text").alias("question"),
+        F.col("source").alias("sql_query"), F.lit("").alias("explanation"),
+    )
+    near = TS.text_topk(questions, store, FEW_SHOT_K * OVERFETCH, q_id="q_id", q_text="question",
+                        s_id="example_id", s_text="question")
+    cands = candidate_costs(near.select("q_id", "rank", "s_id"), store)
+    st = None
+    for _, ddl in _schema_ddls_static():
+        c = X.count_tokens(F.lit(ddl))
+        st = c if st is None else st + c
+    chosen = budget_select(cands, questions, schema_tokens_col=st)
+    return questions, store, chosen
+
+
+def mem_budget_select(spark, sf_dir) -> DataFrame:
+    _, _, chosen = _memory_frames(spark, sf_dir)
+    return chosen.select("q_id", "rank", "s_id", "cost", "running_cost", "remaining")
+
+
+def _tok_sql(expr: str) -> str:
+    return f"len(regexp_extract_all({expr}, {_sql_str(_TOK)}))"
+
+
+def _budget_sql() -> str:
+    schema_tok = " + ".join(_tok_sql(_sql_str(d)) for _, d in _schema_ddls_static())
+    return f"""topk AS {_TOPK_DOCS_SQL},
+cost AS (SELECT t.q_id, t.rank, t.s_id,
+    {_tok_sql("'Question: ' || coalesce(d.text, '') || chr(10) || 'SQL: ' || coalesce(d.source, '')")} + 10 AS cost
+  FROM topk t JOIN documents d ON d.doc_id = t.s_id),
+q AS (SELECT item_id AS q_id, text AS question,
+    3500 - 500 - ({schema_tok}) - {_tok_sql("coalesce(text, '')")} AS remaining FROM benchmark),
+run AS (SELECT c.q_id, c.rank, c.s_id, CAST(c.cost AS INTEGER) AS cost,
+    CAST(SUM(c.cost) OVER (PARTITION BY c.q_id ORDER BY c.rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_cost,
+    CAST(q.remaining AS INTEGER) AS remaining
+  FROM cost c JOIN q ON q.q_id = c.q_id),
+chosen AS (SELECT * FROM run WHERE remaining > 0 AND running_cost <= remaining AND rank <= 3)"""
+
+
+register(
+    "mem_budget_select",
+    mem_budget_select,
+    f"WITH {_budget_sql()}\nSELECT q_id, rank, s_id, cost, running_cost, remaining FROM chosen",
+)
+
+
+def mem_prompts(spark, sf_dir) -> DataFrame:
+    from askwell.operators.memory import attach_examples, build_prompts, schema_section_col
+
+    questions, store, chosen = _memory_frames(spark, sf_dir)
+    examples = attach_examples(chosen.select("q_id", "rank", "s_id"), store)
+    schema = schema_section_col(_schema_blocks_spark(spark, sf_dir))
+    return build_prompts(questions, examples, schema).select("q_id", "n_examples", "tokens", "user")
+
+
+def _prompts_sql() -> str:
+    from askwell.operators.memory import (
+        BEHAVIORAL_HEAD, EXECUTIVE_HEAD, EXECUTIVE_TAIL, KNOWLEDGE_HEAD, SYSTEM_PROMPT,
+    )
+    from askwell.sources.views import ORACLE_VIEWS
+
+    blocks = []
+    for i, (name, ddl) in enumerate(_schema_ddls_static()):
+        blocks.append(
+            (f"chr(10) || " if i else "")
+            + f"{_sql_str(f'-- Table: {name}  (')} || CAST((SELECT COUNT(*) FROM {name}) AS VARCHAR) || "
+            + _sql_str(f" rows)\n{ddl}\n")
+        )
+    knowledge = f"{_sql_str(KNOWLEDGE_HEAD)} || " + " || ".join(blocks) + " || chr(10)"
+    views = ORACLE_VIEWS.strip()[len("WITH"):]
+    return f"""WITH {views.strip()},
+{_budget_sql()},
+ex AS (SELECT c.q_id, COUNT(*) AS n,
+    string_agg('Question: ' || d.text || chr(10) || 'SQL:' || chr(10) || d.source || chr(10), chr(10) ORDER BY c.rank) AS body
+  FROM chosen c JOIN documents d ON d.doc_id = c.s_id GROUP BY c.q_id),
+u AS (SELECT q.q_id, coalesce(ex.n, 0) AS n,
+    concat_ws(chr(10),
+      CASE WHEN ex.n > 0 THEN {_sql_str(BEHAVIORAL_HEAD)} || ex.body || chr(10) END,
+      {knowledge},
+      {_sql_str(EXECUTIVE_HEAD)} || q.question || {_sql_str(EXECUTIVE_TAIL)}) AS "user"
+  FROM q LEFT JOIN ex ON ex.q_id = q.q_id)
+SELECT q_id, CAST(n AS INTEGER) AS n_examples,
+  CAST({_tok_sql(_sql_str(SYSTEM_PROMPT))} + {_tok_sql('"user"')} AS INTEGER) AS tokens, "user"
+FROM u"""
+
+
+register("mem_prompts", mem_prompts, _prompts_sql())

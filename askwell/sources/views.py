@@ -239,3 +239,19 @@ ORACLE_VIEWS = """WITH customers AS (
   FROM events WHERE event_type = 'view'
 )
 """
+
+
+# Column types of the five views (Spark simpleString), for DDL text that is
+# needed without a session (oracle SQL); a test checks them against the views.
+VIEW_FIELDS: dict[str, list[tuple[str, str]]] = {
+    "customers": [("customer_id", "bigint"), ("name", "string"), ("email", "string"),
+                  ("city", "string"), ("country", "string"), ("segment", "string")],
+    "products": [("product_id", "bigint"), ("name", "string"), ("category", "string"),
+                 ("subcategory", "string"), ("price", "decimal(10,2)"), ("cost", "decimal(10,2)")],
+    "orders": [("order_id", "bigint"), ("customer_id", "bigint"), ("order_date", "date"),
+               ("status", "string"), ("total_amount", "decimal(18,2)"), ("discount", "decimal(18,2)")],
+    "order_items": [("order_id", "bigint"), ("product_id", "bigint"), ("quantity", "bigint"),
+                    ("line_total", "decimal(18,2)")],
+    "reviews": [("review_id", "bigint"), ("product_id", "bigint"), ("customer_id", "bigint"),
+                ("rating", "int")],
+}
