@@ -46,3 +46,43 @@ def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """ORDER BY .. LIMIT n: Spark plans TakeOrderedAndProject, a per-partition
     top-n followed by a merge of n rows per partition."""
     return df.orderBy(*order).limit(n)
+
+
+def global_prefix_sums(
+    df: DataFrame,
+    group_cols: list[str],
+    order_cols: list[str],
+    value_cols: list[str],
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """Running position ``_i`` (1-based) and running sums ``{v}_cum`` within
+    each group in ``order_cols`` order, without putting a group in one task:
+    rows are range-partitioned on (group, order), summed locally, and shifted
+    by the totals of the same group in earlier partitions (one row per
+    partition and group).  ``order_cols`` should be unique within a group."""
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in group_cols + order_cols]
+    ranged = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
+    w_local = (
+        Window.partitionBy("_pid", *group_cols)
+        .orderBy(*order_cols)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    local = ranged.withColumn("_li", F.count(F.lit(1)).over(w_local))
+    for v in value_cols:
+        local = local.withColumn(f"_l_{v}", F.sum(v).over(w_local))
+    totals = ranged.groupBy("_pid", *group_cols).agg(
+        F.count(F.lit(1)).alias("_pn"), *[F.sum(v).alias(f"_pt_{v}") for v in value_cols]
+    )
+    w_off = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "_pid", *group_cols,
+        F.coalesce(F.sum("_pn").over(w_off), F.lit(0)).alias("_oi"),
+        *[F.coalesce(F.sum(f"_pt_{v}").over(w_off), F.lit(0)).alias(f"_o_{v}") for v in value_cols],
+    )
+    out = local.join(offsets, ["_pid", *group_cols]).withColumn("_i", F.col("_li") + F.col("_oi"))
+    for v in value_cols:
+        out = out.withColumn(f"{v}_cum", F.col(f"_l_{v}") + F.col(f"_o_{v}"))
+    drop = ["_pid", "_li", "_oi"] + [f"_l_{v}" for v in value_cols] + [f"_o_{v}" for v in value_cols]
+    return out.drop(*drop)

@@ -38,4 +38,4 @@ for _m in METRICS.values():
     register(_m.name, _metric_query(_m), _m.oracle)
 
 # operator queries register themselves on import
-from askwell.plans import operator_queries  # noqa: E402,F401
+from askwell.plans import operator_queries, scoring_queries  # noqa: E402,F401
