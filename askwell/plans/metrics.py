@@ -130,7 +130,7 @@ def m_review_count(v: Views) -> DataFrame:
     f"SELECT COUNT(*) AS product_count FROM products WHERE category = '{CATEGORY}'",
 )
 def m_category_product_count(v: Views) -> DataFrame:
-    return v.products.filter(F.col("category") == CATEGORY).agg(_cnt("product_count"))
+    return v.products.filter(F.col("category") == v.category).agg(_cnt("product_count"))
 
 
 @metric(
@@ -138,7 +138,7 @@ def m_category_product_count(v: Views) -> DataFrame:
     f"SELECT COUNT(*) AS cheap_products FROM products WHERE price < {PRICE_CUTOFF}",
 )
 def m_cheap_products(v: Views) -> DataFrame:
-    return v.products.filter(F.col("price") < PRICE_CUTOFF).agg(_cnt("cheap_products"))
+    return v.products.filter(F.col("price") < v.price_cutoff).agg(_cnt("cheap_products"))
 
 
 @metric(
@@ -176,7 +176,7 @@ def m_total_discount(v: Views) -> DataFrame:
 )
 def m_us_customers(v: Views) -> DataFrame:
     return (
-        v.customers.filter(F.col("country") == COUNTRY)
+        v.customers.filter(F.col("country") == v.country)
         .select("customer_id", "name", "email", "city", "segment")
         .orderBy("name", "customer_id")
     )
@@ -189,7 +189,7 @@ def m_us_customers(v: Views) -> DataFrame:
 )
 def m_us_customers_brief(v: Views) -> DataFrame:
     return (
-        v.customers.filter(F.col("country") == COUNTRY)
+        v.customers.filter(F.col("country") == v.country)
         .orderBy("name", "customer_id")
         .select("name", "email", "country")
     )
@@ -213,7 +213,7 @@ def m_cancelled_orders(v: Views) -> DataFrame:
 )
 def m_products_over_100(v: Views) -> DataFrame:
     return (
-        v.products.filter(F.col("price") > PRICE_CUTOFF)
+        v.products.filter(F.col("price") > v.price_cutoff)
         .select("product_id", "name", "category", "price")
         .orderBy(F.desc("price"), "product_id")
     )
@@ -488,7 +488,7 @@ FROM orders o WHERE {_VALID_SQL} AND {_YEAR_SQL}
 GROUP BY month ORDER BY month""",
 )
 def m_monthly_amount_2025(v: Views) -> DataFrame:
-    o = v.orders_where(exclude=INVALID_STATUSES, start=YEAR_START, end=YEAR_END)
+    o = v.orders_where(exclude=INVALID_STATUSES, start=v.year_start, end=v.year_end)
     return (
         o.groupBy(_month()).agg(money(F.sum("total_amount")).alias("revenue")).orderBy("month")
     )
@@ -502,7 +502,7 @@ FROM orders o WHERE {_VALID_SQL} AND {_YEAR_SQL}
 GROUP BY month ORDER BY month""",
 )
 def m_monthly_amount_orders(v: Views) -> DataFrame:
-    o = v.orders_where(exclude=INVALID_STATUSES, start=YEAR_START, end=YEAR_END)
+    o = v.orders_where(exclude=INVALID_STATUSES, start=v.year_start, end=v.year_end)
     return (
         o.groupBy(_month())
         .agg(
@@ -529,7 +529,7 @@ FROM orders o WHERE {_VALID_SQL} AND {_YEAR_SQL}
 GROUP BY month ORDER BY month""",
 )
 def m_monthly_valid_orders(v: Views) -> DataFrame:
-    o = v.orders_where(exclude=INVALID_STATUSES, start=YEAR_START, end=YEAR_END)
+    o = v.orders_where(exclude=INVALID_STATUSES, start=v.year_start, end=v.year_end)
     return o.groupBy(_month()).agg(_cnt("valid_orders")).orderBy("month")
 
 
@@ -541,7 +541,7 @@ WHERE o.status IN ('shipped', 'delivered') AND {_YEAR_SQL}
 GROUP BY month ORDER BY month""",
 )
 def m_monthly_revenue_completed(v: Views) -> DataFrame:
-    o = v.orders_where(COMPLETED_STATUSES, start=YEAR_START, end=YEAR_END).select(
+    o = v.orders_where(COMPLETED_STATUSES, start=v.year_start, end=v.year_end).select(
         "order_id", _month()
     )
     return (
@@ -703,7 +703,7 @@ FROM order_items oi JOIN orders o ON o.order_id = oi.order_id
 WHERE {_VALID_SQL} AND o.order_date >= DATE '{_Y0}' AND o.order_date < DATE '{_Q1}'""",
 )
 def m_total_revenue_q1(v: Views) -> DataFrame:
-    valid = v.orders_where(exclude=INVALID_STATUSES, start=YEAR_START, end=Q1_END)
+    valid = v.orders_where(exclude=INVALID_STATUSES, start=v.year_start, end=v.q1_end)
     return (
         v.order_items.join(valid.select("order_id"), "order_id", "left_semi")
         .agg(money(F.sum("line_total")).alias("revenue"))

@@ -76,6 +76,10 @@ def _status(status: Column, priority: Column) -> Column:
 class Views:
     """The five business views over one scale-factor folder."""
 
+    # literals the metric plans use (see "Fixed values" above)
+    year_start, year_end, q1_end = YEAR_START, YEAR_END, Q1_END
+    country, category, price_cutoff = COUNTRY, CATEGORY, PRICE_CUTOFF
+
     def __init__(self, tables: Tables):
         self.t = tables
 
@@ -255,3 +259,39 @@ VIEW_FIELDS: dict[str, list[tuple[str, str]]] = {
     "reviews": [("review_id", "bigint"), ("product_id", "bigint"), ("customer_id", "bigint"),
                 ("rating", "int")],
 }
+
+
+class FrameViews:
+    """The same interface over e-commerce tables given as DataFrames (for
+    example the reference's sample database), with the reference's own
+    literals.  ``order_items`` needs quantity and unit_price; line_total is
+    derived."""
+
+    year_start, year_end, q1_end = dt.date(2025, 1, 1), dt.date(2026, 1, 1), dt.date(2025, 4, 1)
+    country, category, price_cutoff = "US", "Electronics", 100
+
+    def __init__(self, customers: DataFrame, products: DataFrame, orders: DataFrame,
+                 order_items: DataFrame, reviews: DataFrame):
+        self.customers = customers
+        self.products = products
+        self._orders = orders
+        self.order_items = order_items.withColumn(
+            "line_total", (F.col("quantity") * F.col("unit_price")).cast("decimal(18,2)")
+        )
+        self.reviews = reviews
+
+    def orders_in(self, start=None, end=None, raw_filter=None) -> DataFrame:
+        o = self._orders
+        if start is not None:
+            o = o.filter(F.col("order_date") >= F.lit(start))
+        if end is not None:
+            o = o.filter(F.col("order_date") < F.lit(end))
+        return o
+
+    @property
+    def orders(self) -> DataFrame:
+        return self._orders
+
+    def orders_where(self, statuses=None, exclude=(), start=None, end=None) -> DataFrame:
+        wanted = [s for s in (statuses or ALL_STATUSES) if s not in exclude]
+        return self.orders_in(start, end).filter(F.col("status").isin(*wanted))
