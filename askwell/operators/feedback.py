@@ -249,17 +249,28 @@ def process_feedback(
 ) -> DataFrame:
     """ST1 feedback_once over a batch: returns one row per positive trace with
     (trace_id, seq, question, generated_sql, score_value, score_comment,
-    status, reason).
+    status, reason).  ``store``: (question) of the examples already kept."""
+    pos = first_positive(traces, scores, name=name, threshold=positive)
+    return process_positives(pos, store, threshold=threshold, analysable=analysable)
+
+
+def process_positives(
+    pos: DataFrame,
+    store: DataFrame,
+    *,
+    threshold: float = 0.95,
+    analysable: DataFrame | None = None,
+) -> DataFrame:
+    """Gates for positive records (trace_id, ts, question, generated_sql,
+    score_value, score_comment).
 
     Arrival order is (trace ts, trace_id) -> ``seq``.  Similarity is the term
     cosine of the question texts (V0t) against the store's questions and
     among the batch; duplicates of the store or of an earlier accepted
-    candidate are rejected (greedy, exact).  ``store``: (question) column.
-    """
+    candidate are rejected (greedy, exact)."""
     from askwell.operators.ranking import global_rank
     from askwell.operators.text_similarity import self_pairs, threshold_pairs
 
-    pos = first_positive(traces, scores, name=name, threshold=positive)
     pos = global_rank(pos, [F.col("ts").asc(), F.col("trace_id").asc()], "seq")
     gated = gate_candidates(pos, analysable=analysable).checkpoint()
     cand = gated.filter(F.col("status").isNull()).select("seq", "question")
