@@ -6,11 +6,12 @@ texts = sum over shared terms of w_a * w_b, computed by joining on ``term``
 
 Near-duplicate search at high thresholds uses *prefix filtering* (the
 "All-Pairs" idea): order each text's terms globally by (document frequency,
-term), rarest first, and index only the shortest leading run whose remaining
-mass satisfies ||suffix||^2 < t^2.  If cos(a, b) >= t then a and b share a
-term inside both prefixes (if the shorter prefix ends at position p, every
-shared term outside it lies in that text's suffix, bounding the dot product by
-||suffix|| < t).  So candidates come only from rare shared terms, and each
+term), rarest first, and index only the shortest leading run after which the
+rest of the text can no longer contribute t to a cosine: the bound is
+min(||suffix||, sum of w * max weight of the term).  If cos(a, b) >= t then a
+and b share a term inside both prefixes (if the shorter prefix ends at
+position p, every shared term outside it lies in that text's suffix, whose
+contribution is below t).  So candidates come only from rare shared terms, and each
 candidate is then verified exactly.  Exact copies are collapsed first (one
 representative per text hash), which removes the largest same-key groups
 before any pairing.
@@ -69,21 +70,34 @@ def text_topk(
     )
 
 
-def _prefix_rows(tw: DataFrame, dfreq: DataFrame, threshold: float) -> DataFrame:
-    """(id, term) rows in each text's prefix under the global (df, term) order:
-    a term is in the prefix while the mass from it onwards is >= t^2."""
-    t2 = threshold * threshold
-    w_doc = Window.partitionBy("id").orderBy(F.col("df").asc(), F.col("term").asc())
-    mass_before = F.coalesce(
-        F.sum(F.col("w") * F.col("w")).over(w_doc.rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0.0),
-    )
-    return (
-        tw.join(dfreq, "term")
-        .withColumn("suffix_mass", F.lit(1.0) - mass_before)
-        .filter(F.col("suffix_mass") >= F.lit(t2 - 1e-9))
-        .select("id", "term")
+def _prefix_rows(tw: DataFrame, dfreq: DataFrame, threshold: float, maxw: DataFrame) -> DataFrame:
+    """(id, term) rows in each text's prefix under the global (df, term) order.
+
+    The suffix of a text from term i on can add at most
+        min(||w_suffix||, sum over suffix terms of w * maxw(term))
+    to a cosine with any text of the other side (Cauchy-Schwarz, and each
+    weight of the other side is at most that term's largest weight there).
+    Term i belongs to the prefix while that bound is still >= t."""
+    w_suffix = (
+        Window.partitionBy("id")
+        .orderBy(F.col("df").asc(), F.col("term").asc())
+        .rowsBetween(Window.currentRow, Window.unboundedFollowing)
     )
+    ordered = tw.join(dfreq, "term").join(maxw, "term")
+    norm_bound = F.sqrt(F.sum(F.col("w") * F.col("w")).over(w_suffix))
+    max_bound = F.sum(F.col("w") * F.col("maxw")).over(w_suffix)
+    bounded = ordered.withColumn("_bound", F.least(norm_bound, max_bound))
+    return bounded.filter(F.col("_bound") >= F.lit(threshold - 1e-9)).select("id", "term")
+
+
+def _max_weights(tw: DataFrame) -> DataFrame:
+    return tw.groupBy("term").agg(F.max("w").alias("maxw"))
+
+
+def _sample_docs(tw: DataFrame, fraction: float = None, seed: int = 17) -> DataFrame:
+    """Term rows of a random sample of the texts (for plan estimates)."""
+    ids = tw.select("id").distinct().sample(fraction or ESTIMATE_SAMPLE, seed=seed)
+    return tw.join(ids, "id", "left_semi")
 
 
 def _with_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -105,6 +119,131 @@ def _verify(cands: DataFrame, tw_a: DataFrame, tw_b: DataFrame, threshold: float
     )
 
 
+def _hash_is_injective(*tws: DataFrame) -> bool:
+    """True when xxhash64 maps no two distinct terms to the same value (then
+    64-bit term ids are an exact encoding).  One aggregation over the
+    distinct terms."""
+    terms = tws[0].select("term")
+    for t in tws[1:]:
+        terms = terms.unionAll(t.select("term"))
+    clash = (
+        terms.distinct()
+        .groupBy(F.xxhash64("term").alias("h"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > 1)
+        .limit(1)
+        .count()
+    )
+    return clash == 0
+
+
+def _doc_arrays(tw: DataFrame, hashed: bool) -> DataFrame:
+    """One row per text: (id, terms array, weights array), aligned.  With
+    ``hashed`` the terms travel as 64-bit ids (checked injective)."""
+    key = F.xxhash64("term") if hashed else F.col("term")
+    v = tw.groupBy("id").agg(F.collect_list(F.struct(key.alias("k"), F.col("w"))).alias("v"))
+    return v.select("id", F.transform("v", lambda x: x["k"]).alias("terms"),
+                    F.transform("v", lambda x: x["w"]).alias("ws"))
+
+
+def _block_kernel(threshold: float, self_join: bool):
+    import numpy as np
+    import pandas as pd
+
+    def dense(side: pd.DataFrame, vocab: pd.Index) -> np.ndarray:
+        m = np.zeros((len(side), len(vocab)))
+        lens = side["terms"].map(len).to_numpy()
+        if lens.sum() == 0 or len(vocab) == 0:
+            return m
+        terms = np.concatenate(side["terms"].to_numpy())
+        ws = np.concatenate(side["ws"].to_numpy()).astype(np.float64)
+        rows = np.repeat(np.arange(len(side)), lens)
+        cols = vocab.get_indexer(terms)
+        keep = cols >= 0
+        m[rows[keep], cols[keep]] = ws[keep]
+        return m
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"),
+                            "similarity": pd.Series(dtype="float64")})
+        if len(left) == 0 or len(right) == 0:
+            return out
+        # only terms present on both sides can contribute to a dot product
+        vocab = pd.Index(np.intersect1d(np.concatenate(left["terms"].to_numpy()),
+                                        np.concatenate(right["terms"].to_numpy())))
+        sims = dense(left, vocab) @ dense(right, vocab).T
+        lid = left["id"].to_numpy(dtype=np.int64)
+        rid = right["id"].to_numpy(dtype=np.int64)
+        keep = np.round(sims, SIM_DIGITS) >= threshold - 1e-9
+        if self_join:
+            same_block = left["bi"].iloc[0] == left["bj"].iloc[0]
+            keep &= (lid[:, None] < rid[None, :]) if same_block else (lid[:, None] != rid[None, :])
+        i, j = np.nonzero(keep)
+        a, b = lid[i], rid[j]
+        if self_join:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        return pd.DataFrame({"a": a, "b": b, "similarity": sims[i, j]})
+
+    return run
+
+
+def blocked_pairs(
+    tw_left: DataFrame,
+    tw_right: DataFrame | None,
+    threshold: float,
+    *,
+    block_docs: int = 512,
+) -> DataFrame:
+    """Exact (a, b, similarity >= t) by block matrix products.
+
+    Texts travel as (terms, weights) arrays.  For a self join only the upper
+    triangle of the block grid is formed (each unordered pair is scored in
+    exactly one task); a task builds two dense blocks over the terms the two
+    blocks share and multiplies them, emitting only pairs at or above t.
+    Memory per task is bounded by ``block_docs`` x shared vocabulary."""
+    import math
+
+    self_join = tw_right is None
+    hashed = _hash_is_injective(tw_left, *([] if self_join else [tw_right]))
+    L = _doc_arrays(tw_left, hashed)
+    # the right side of a self join gets fresh attribute ids (re-aliased)
+    R = L.select(*[F.col(c).alias(c) for c in L.columns]) if self_join else _doc_arrays(tw_right, hashed)
+    nl = max(1, math.ceil(L.count() / block_docs))
+    nr = nl if self_join else max(1, math.ceil(R.count() / block_docs))
+    Lb = L.withColumn("bi", F.pmod(F.xxhash64("id"), F.lit(nl)).cast("int"))
+    Rb = R.withColumn("bj", F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int"))
+    if self_join:
+        left = Lb.withColumn("bj", F.explode(F.sequence(F.col("bi"), F.lit(nl - 1))))
+        right = Rb.withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("bj"))))
+    else:
+        left = Lb.withColumn("bj", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
+        right = Rb.withColumn("bi", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))))
+    kernel = _block_kernel(threshold, self_join)
+    pairs = (
+        left.groupBy("bi", "bj")
+        .cogroup(right.groupBy("bi", "bj"))
+        .applyInPandas(lambda l, r: kernel(l, r), "a long, b long, similarity double")
+    )
+    return pairs.select("a", "b", F.round("similarity", SIM_DIGITS).alias("similarity"))
+
+
+ESTIMATE_SAMPLE = 0.05
+
+
+def _prefix_is_selective(prefix: DataFrame, n_left: int, n_right: int, max_fraction: float) -> bool:
+    """Plan choice: estimated prefix-join rows (sum of posting-list products)
+    against all pairs.  Prefix filtering pays a shuffled row per shared term
+    of every candidate; a block product pays a few flops per pair, so the
+    candidate path only wins when it touches a small fraction of all pairs.
+    ``prefix`` may be the prefixes of a document sample; the ratio of pair
+    rows to all pairs is the same in expectation."""
+    est = prefix.groupBy("term").agg(
+        F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("l"),
+        F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("r"),
+    ).agg(F.sum(F.col("l").cast("double") * F.col("r"))).collect()[0][0] or 0.0
+    return est <= max_fraction * float(n_left) * float(n_right)
+
+
 def threshold_pairs(
     left: DataFrame,
     right: DataFrame,
@@ -114,16 +253,30 @@ def threshold_pairs(
     left_text: str,
     right_id: str,
     right_text: str,
+    method: str = "auto",
+    max_fraction: float = 0.03,
 ) -> DataFrame:
     """(a, b, similarity) for left text a and right text b with term cosine
-    >= threshold (R-S join with prefix filtering; one global term order)."""
-    tl = term_weights(_with_terms(left, left_id, left_text), "id", "text")
-    tr = term_weights(_with_terms(right, right_id, right_text), "id", "text")
+    >= threshold (R-S join; prefix filtering with one global term order, or
+    block products when the prefix join would touch most pairs)."""
+    tl = term_weights(_with_terms(left, left_id, left_text), "id", "text").checkpoint()
+    tr = term_weights(_with_terms(right, right_id, right_text), "id", "text").checkpoint()
+    if method == "blocked":
+        return blocked_pairs(tl, tr, threshold)
     dfreq = tl.select("term").unionAll(tr.select("term")).groupBy("term").agg(
         F.count(F.lit(1)).alias("df")
     )
-    pa = _prefix_rows(tl, dfreq, threshold).select(F.col("id").alias("a"), "term")
-    pb = _prefix_rows(tr, dfreq, threshold).select(F.col("id").alias("b"), "term")
+    # each side's prefix is bounded by the other side's largest weights
+    pa = _prefix_rows(tl, dfreq, threshold, _max_weights(tr)).select(F.col("id").alias("a"), "term")
+    pb = _prefix_rows(tr, dfreq, threshold, _max_weights(tl)).select(F.col("id").alias("b"), "term")
+    if method == "auto":
+        sl, sr = _sample_docs(tl), _sample_docs(tr)
+        sa = _prefix_rows(sl, dfreq, threshold, _max_weights(tr)).select("term", F.lit(0).alias("side"))
+        sb = _prefix_rows(sr, dfreq, threshold, _max_weights(tl)).select("term", F.lit(1).alias("side"))
+        n_l = sl.select("id").distinct().count()
+        n_r = sr.select("id").distinct().count()
+        if not _prefix_is_selective(sa.unionAll(sb), n_l, n_r, max_fraction):
+            return blocked_pairs(tl, tr, threshold)
     cands = pa.join(pb, "term").select("a", "b").distinct()
     return _verify(cands, tl, tr, threshold)
 
@@ -134,6 +287,8 @@ def self_pairs(
     *,
     id_col: str,
     text_col: str,
+    method: str = "auto",
+    max_fraction: float = 0.03,
 ) -> tuple[DataFrame, DataFrame]:
     """Within one set ordered by id: returns (edges, copies).
 
@@ -146,9 +301,18 @@ def self_pairs(
     reps = keyed.groupBy("h").agg(F.min("id").alias("rep"))
     copies = keyed.join(reps, "h").filter(F.col("id") != F.col("rep")).select("id", "rep")
     rep_docs = keyed.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
-    tw = term_weights(rep_docs, "id", "text")
+    tw = term_weights(rep_docs, "id", "text").checkpoint()
+    if method == "blocked":
+        return blocked_pairs(tw, None, threshold), copies
     dfreq = tw.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    prefix = _prefix_rows(tw, dfreq, threshold)
+    maxw = _max_weights(tw)
+    prefix = _prefix_rows(tw, dfreq, threshold, maxw)
+    if method == "auto":
+        sample = _prefix_rows(_sample_docs(tw), dfreq, threshold, maxw)
+        sides = sample.select("term", F.lit(0).alias("side")).unionAll(sample.select("term", F.lit(1).alias("side")))
+        n = sample.select("id").distinct().count()
+        if not _prefix_is_selective(sides, n, n, max_fraction):
+            return blocked_pairs(tw, None, threshold), copies
     a = prefix.select(F.col("id").alias("a"), "term")
     b = prefix.select(F.col("id").alias("b"), "term")
     cands = a.join(b, "term").filter(F.col("a") < F.col("b")).select("a", "b").distinct()
@@ -161,12 +325,13 @@ def near_duplicates(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
+    method: str = "auto",
 ) -> DataFrame:
     """Texts whose best term cosine to an *earlier* text (smaller id) is
     >= threshold.  Returns (id_col, max_similarity); one row per duplicate.
     For a representative the best earlier text is another representative (an
     earlier copy's own representative is earlier still, with equal cosine)."""
-    edges, copies = self_pairs(docs, threshold, id_col=id_col, text_col=text_col)
+    edges, copies = self_pairs(docs, threshold, id_col=id_col, text_col=text_col, method=method)
     best = edges.groupBy(F.col("b").alias("id")).agg(F.max("similarity").alias("max_similarity"))
     dup_copies = copies.select("id", F.lit(1.0).alias("max_similarity"))
     return best.unionByName(dup_copies).select(F.col("id").alias(id_col), "max_similarity")

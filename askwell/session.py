@@ -18,6 +18,10 @@ def build_session(
     On a cluster the master, shuffle partitions and checkpoint folder come from
     the submit configuration; the defaults here only apply to local runs.
     """
+    # numpy BLAS inside Python tasks: one thread per task (tasks already run
+    # in parallel; nested BLAS threads would oversubscribe the cores)
+    os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+    os.environ.setdefault("OMP_NUM_THREADS", "1")
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -29,6 +33,8 @@ def build_session(
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
+        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("ASKWELL_DRIVER_MEMORY", "16g"))

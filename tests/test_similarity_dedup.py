@@ -103,8 +103,8 @@ def test_near_duplicates_prefix_filter_is_exact(spark):
     docs.append((60, docs[5][1]))  # exact copy
     docs.append((61, ""))  # no terms
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for t in (0.9, 0.95):
-        got = {r["doc_id"]: r["max_similarity"] for r in TS.near_duplicates(df, t).collect()}
+    for t, method in ((0.9, "prefix"), (0.95, "prefix"), (0.9, "blocked"), (0.95, "auto")):
+        got = {r["doc_id"]: r["max_similarity"] for r in TS.near_duplicates(df, t, method=method).collect()}
         want = {}
         for j in range(len(docs)):
             best = max((round(_py_cos(docs[i][1], docs[j][1]), 6) for i in range(j)), default=0.0)
@@ -115,6 +115,18 @@ def test_near_duplicates_prefix_filter_is_exact(spark):
             assert abs(got[k] - want[k]) < 1e-6
 
 
+def test_threshold_pairs_methods_agree(spark):
+    rnd = random.Random(4)
+    vocab = [f"v{i}" for i in range(25)]
+    left = spark.createDataFrame([(i, " ".join(rnd.choice(vocab) for _ in range(12))) for i in range(40)], "id long, t string")
+    right = spark.createDataFrame([(100 + i, " ".join(rnd.choice(vocab) for _ in range(12))) for i in range(30)], "id long, t string")
+    res = {}
+    for m in ("prefix", "blocked"):
+        res[m] = {(r["a"], r["b"]): r["similarity"] for r in TS.threshold_pairs(
+            left, right, 0.5, left_id="id", left_text="t", right_id="id", right_text="t", method=m).collect()}
+    assert res["prefix"] == res["blocked"] and len(res["prefix"]) > 0
+
+
 def test_text_topk_brute_force(spark):
     qs = spark.createDataFrame([(1, "red apple pie"), (2, "blue sky")], "id long, text string")
     st = spark.createDataFrame(
