@@ -60,6 +60,9 @@ def scenario(spark: SparkSession, sf_dir: str):
             first[k] = side
             run.append((qid, side, s))
     rows, execs = S.run_queries(spark, run)
+    # every executed query's rows are read by several consumers: compute them
+    # once and keep them in the shared checkpoint folder
+    rows = rows.checkpoint()
     if alias:
         amap = spark.createDataFrame(alias, "question_id long, side string, src string")
         rows = rows.unionByName(
@@ -72,7 +75,7 @@ def scenario(spark: SparkSession, sf_dir: str):
         )
     pairs = predictions.select("question_id", "strategy")
     matches = S.results_match(rows, pairs)
-    scored = S.score_examples(questions, predictions, execs, matches)
+    scored = S.score_examples(questions, predictions, execs, matches).checkpoint()
     return questions, predictions, rows, execs, scored
 
 
