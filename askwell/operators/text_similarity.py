@@ -304,8 +304,8 @@ def self_pairs(
     tw = term_weights(rep_docs, "id", "text").checkpoint()
     if method == "blocked":
         return blocked_pairs(tw, None, threshold), copies
-    dfreq = tw.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    maxw = _max_weights(tw)
+    stats = tw.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("maxw"))
+    dfreq, maxw = stats.select("term", "df"), stats.select("term", "maxw")
     prefix = _prefix_rows(tw, dfreq, threshold, maxw)
     if method == "auto":
         sample = _prefix_rows(_sample_docs(tw), dfreq, threshold, maxw)
