@@ -290,3 +290,45 @@ def process_positives(
     return out.select(
         "trace_id", "seq", "question", "generated_sql", "score_value", "score_comment", "status", "reason"
     )
+
+
+def manual_add(
+    spark: SparkSession,
+    candidates: DataFrame,
+    store: DataFrame,
+    *,
+    validate: bool = True,
+    threshold: float = 0.95,
+) -> DataFrame:
+    """Add hand-written examples (question, sql_query[, explanation,
+    tables_used]) — optional validation (empty / write keyword / Spark
+    analysis), then the dedup gate against the store and among the batch in
+    row order.  Returns each candidate with ``added`` and the reference's
+    message."""
+    from askwell.operators.ranking import global_rank
+    from askwell.operators.text_similarity import self_pairs, threshold_pairs
+
+    c = candidates.withColumn("_order", F.monotonically_increasing_id())
+    c = global_rank(c, [F.col("_order").asc()], "seq").drop("_order")
+    if validate:
+        an = analysable_texts(spark, c.select(F.col("sql_query").alias("generated_sql")))
+        c = c.join(an.withColumnRenamed("generated_sql", "sql_query"), "sql_query", "left")
+        reason = validation_reason(F.col("sql_query"), F.coalesce(F.col("analysable"), F.lit(False)))
+        c = c.withColumn("reason", reason).drop("analysable")
+    else:
+        c = c.withColumn("reason", F.lit(None).cast("string"))
+    c = c.checkpoint()
+    cand = c.filter(F.col("reason").isNull()).select("seq", "question")
+    store_q = store.select(F.monotonically_increasing_id().alias("sid"), "question")
+    vs_store = threshold_pairs(cand, store_q, threshold, left_id="seq", left_text="question",
+                               right_id="sid", right_text="question").select(F.col("a").alias("seq"))
+    edges, copies = self_pairs(cand, threshold, id_col="seq", text_col="question")
+    gated = c.withColumn("status", F.when(F.col("reason").isNotNull(), F.lit(REJ_VALID)))
+    out = apply_dedup(gated, vs_store.unionByName(copies.select(F.col("id").alias("seq"))),
+                      edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), id_col="seq")
+    msg = (
+        F.when(F.col("status") == APPROVED, F.lit("Example added to behavioral memory."))
+        .when(F.col("status") == REJ_DUP, F.lit("Example too similar to existing entry (duplicate)."))
+        .otherwise(F.concat(F.lit("Validation failed: "), F.col("reason")))
+    )
+    return out.withColumn("added", F.col("status") == APPROVED).withColumn("message", msg).drop("status", "reason")

@@ -259,3 +259,49 @@ def candidate_costs(neighbors: DataFrame, store: DataFrame, s_id: str = "example
         example_cost(F.col("question"), F.col("sql_query"), F.col("explanation"), counter).alias("cost"),
     )
     return neighbors.join(costs, "s_id")
+
+
+def select_dynamic_feedback(
+    questions: DataFrame,
+    seed: DataFrame,
+    k: int = FEW_SHOT_K,
+    threshold: float = 0.95,
+    block_rows: int = 4096,
+) -> DataFrame:
+    """Dynamic selection over a store that grows while the benchmark runs.
+
+    ``questions``: (q_id, seq, question, gold_sql, correct, embedding) —
+    ``seq`` is the answering order and ``correct`` the outcome of the
+    dynamic strategy; ``seed``: (example_id, question, sql_query, embedding).
+    A correctly answered question joins the store (greedy dedup in answering
+    order against the seed and the earlier additions); question j sees the
+    seed plus additions with seq < j.  Returns (q_id, examples)."""
+    from askwell.operators.dedup import greedy_dedup
+    from askwell.operators.similarity import dedup_gate, similarity_edges, topk_neighbors
+
+    # seed entries get negative positions: always earlier than any question
+    # (the seed pool is small and fixed, so one ordered window ranks it)
+    seed_pos = seed.select(
+        (F.lit(-1) - F.dense_rank().over(Window.orderBy("example_id"))).cast("long").alias("pos"),
+        "question", "sql_query", "embedding",
+    )
+    correct = questions.filter(F.col("correct")).select("seq", "question", F.col("gold_sql").alias("sql_query"), "embedding")
+    dup_seed = dedup_gate(correct, seed_pos, threshold, q_id="seq", s_id="pos", block_rows=block_rows) \
+        .filter(F.col("is_duplicate")).select(F.col("q_id").alias("seq"))
+    rest = correct.join(dup_seed, "seq", "left_anti")
+    edges = similarity_edges(rest, threshold, id_col="seq", block_rows=block_rows)
+    kept = greedy_dedup(rest.select("seq"), edges, id_col="seq").filter(F.col("kept")).select("seq")
+    learned = rest.join(kept, "seq", "left_semi")
+    store = seed_pos.unionByName(learned.select(F.col("seq").cast("long").alias("pos"), "question", "sql_query", "embedding"))
+    q = questions.select(F.col("seq").cast("long").alias("pos"), "q_id", "embedding")
+    near = topk_neighbors(q, store, k, q_id="pos", s_id="pos", only_earlier=True, block_rows=block_rows)
+    ex = near.join(store.select(F.col("pos").alias("s_id"), "question", "sql_query"), "s_id").groupBy("q_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("rank", "question", "sql_query"))),
+            lambda e: F.struct(e["question"].alias("question"), e["sql_query"].alias("sql_query")),
+        ).alias("examples")
+    )
+    ids = q.select(F.col("pos").alias("q_id"), F.col("q_id").alias("qid"))
+    return ids.join(ex, "q_id", "left").select(
+        F.col("qid").alias("q_id"), F.coalesce("examples", F.array().cast(EXAMPLE_TYPE)).alias("examples")
+    )

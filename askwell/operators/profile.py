@@ -118,3 +118,16 @@ def foreign_key_profile(
             F.lit(pcol).alias("parent_column"), "orphans", (F.col("orphans") == 0).alias("holds"),
         ))
     return reduce(DataFrame.unionByName, parts)
+
+
+# Fixed value: tables of the vector store that are never business tables
+INTERNAL_TABLES = ("langchain_pg_collection", "langchain_pg_embedding")
+
+
+def table_allow_list(spark: SparkSession, allowed: list[str] | None = None,
+                     internal: tuple[str, ...] = INTERNAL_TABLES) -> DataFrame:
+    """catalogue tables minus internal ones, restricted to ``allowed``
+    when given (an empty list keeps nothing; None keeps all)."""
+    names = [t.name for t in spark.catalog.listTables()]
+    keep = [n for n in names if n not in internal and (allowed is None or n in allowed)]
+    return spark.createDataFrame([(n,) for n in sorted(keep)], "table_name string")
