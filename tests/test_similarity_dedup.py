@@ -133,10 +133,14 @@ def test_text_topk_brute_force(spark):
         [(10, "apple pie recipe"), (11, "red red apple"), (12, "sky is blue"), (13, "nothing here")],
         "id long, text string",
     )
-    got = TS.text_topk(qs, st, 2, q_id="id", q_text="text", s_id="id", s_text="text").collect()
-    have = {(r["q_id"], r["rank"]): r["s_id"] for r in got}
-    assert have[(1, 1)] in (10, 11) and have[(2, 1)] == 12
-    assert (2, 2) not in have  # zero-overlap texts are not neighbours
+    res = {}
+    for m in ("join", "blocked"):
+        got = TS.text_topk(qs, st, 2, q_id="id", q_text="text", s_id="id", s_text="text", method=m).collect()
+        have = {(r["q_id"], r["rank"]): (r["s_id"], r["similarity"]) for r in got}
+        assert have[(1, 1)][0] in (10, 11) and have[(2, 1)][0] == 12
+        assert (2, 2) not in have  # zero-overlap texts are not neighbours
+        res[m] = have
+    assert res["join"] == res["blocked"]
 
 
 def test_lsh_pairs_subset_of_exact(spark):
