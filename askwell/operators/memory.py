@@ -149,7 +149,7 @@ def select_random(
     k: int = FEW_SHOT_K,
     seed: int = RANDOM_SEED,
     id_col: str = "example_id",
-    max_pool: int = 10_000,
+    max_pool: int = 100,
 ) -> DataFrame:
     """K examples without replacement per question, ranked by
     md5(seed|question_id|example_id) — the same in any partitioning and in

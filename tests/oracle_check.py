@@ -17,6 +17,10 @@ import duckdb  # noqa: E402
 
 from askwell.sources.tables import TABLES  # noqa: E402
 
+import os  # noqa: E402
+
+STRICT = os.environ.get("ORACLE_STRICT") == "1"
+
 
 def duck(sf_dir: str):
     con = duckdb.connect()
@@ -27,9 +31,9 @@ def duck(sf_dir: str):
 
 def _norm(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6)
+        return None if math.isnan(v) else (v if STRICT else round(v, 6))
     if isinstance(v, decimal.Decimal):
-        return decimal.Decimal(v).normalize()
+        return str(v) if STRICT else decimal.Decimal(v).normalize()
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None)
     if isinstance(v, (list, tuple)):
