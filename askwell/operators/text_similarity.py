@@ -377,10 +377,13 @@ def self_pairs(
     dfreq, maxw = stats.select("term", "df"), stats.select("term", "maxw")
     prefix = _prefix_rows(tw, dfreq, threshold, maxw)
     if method == "auto":
-        sample = _prefix_rows(_sample_docs(tw), dfreq, threshold, maxw)
+        # the sample's prefixes feed two small actions: keep them in memory
+        sample = _prefix_rows(_sample_docs(tw), dfreq, threshold, maxw).cache()
         sides = sample.select("term", F.lit(0).alias("side")).unionAll(sample.select("term", F.lit(1).alias("side")))
         n = sample.select("id").distinct().count()
-        if not _prefix_is_selective(sides, n, n, max_fraction):
+        selective = _prefix_is_selective(sides, n, n, max_fraction)
+        sample.unpersist()
+        if not selective:
             return blocked_pairs(tw, None, threshold), copies
     a = prefix.select(F.col("id").alias("a"), "term")
     b = prefix.select(F.col("id").alias("b"), "term")
