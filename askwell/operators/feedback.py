@@ -15,6 +15,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from askwell.session import ensure_checkpoint_dir
 from askwell.functions.text import (
     REASON_EMPTY,
     REASON_WRITE,
@@ -272,6 +273,7 @@ def process_positives(
     from askwell.operators.text_similarity import self_pairs, threshold_pairs
 
     pos = global_rank(pos, [F.col("ts").asc(), F.col("trace_id").asc()], "seq")
+    ensure_checkpoint_dir(pos.sparkSession)
     gated = gate_candidates(pos, analysable=analysable).checkpoint()
     cand = gated.filter(F.col("status").isNull()).select("seq", "question")
     store_q = store.select(F.monotonically_increasing_id().alias("sid"), "question")
@@ -317,6 +319,7 @@ def manual_add(
         c = c.withColumn("reason", reason).drop("analysable")
     else:
         c = c.withColumn("reason", F.lit(None).cast("string"))
+    ensure_checkpoint_dir(spark)
     c = c.checkpoint()
     cand = c.filter(F.col("reason").isNull()).select("seq", "question")
     store_q = store.select(F.monotonically_increasing_id().alias("sid"), "question")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from askwell.functions.text import terms
+from askwell.session import ensure_checkpoint_dir
 
 SIM_DIGITS = 6
 
@@ -72,6 +73,7 @@ def text_topk(
         nq, ns = qw.select("id").distinct().count(), sw.select("id").distinct().count()
         method = "join" if est <= max_fraction * nq * ns else "blocked"
     if method == "blocked":
+        ensure_checkpoint_dir(queries.sparkSession)
         sims = _blocked_topk(qw.checkpoint(), sw.checkpoint(), k)
     else:
         qj = qw.withColumnRenamed("id", "q_id").withColumnRenamed("w", "wq")
@@ -328,6 +330,7 @@ def threshold_pairs(
     """(a, b, similarity) for left text a and right text b with term cosine
     >= threshold (R-S join; prefix filtering with one global term order, or
     block products when the prefix join would touch most pairs)."""
+    ensure_checkpoint_dir(left.sparkSession)
     tl = term_weights(_with_terms(left, left_id, left_text), "id", "text").checkpoint()
     tr = term_weights(_with_terms(right, right_id, right_text), "id", "text").checkpoint()
     if method == "blocked":
@@ -370,6 +373,7 @@ def self_pairs(
     reps = keyed.groupBy("h").agg(F.min("id").alias("rep"))
     copies = keyed.join(reps, "h").filter(F.col("id") != F.col("rep")).select("id", "rep")
     rep_docs = keyed.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
+    ensure_checkpoint_dir(docs.sparkSession)
     tw = term_weights(rep_docs, "id", "text").checkpoint()
     if method == "blocked":
         return blocked_pairs(tw, None, threshold), copies

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askwell.operators import feedback as FB
-from askwell.session import scratch_path
+from askwell.session import ensure_checkpoint_dir, scratch_path
 from askwell.sources import io as IO
 
 HORIZON = "7 days"
@@ -89,6 +89,7 @@ def make_batch_handler(
     """foreachBatch body: gates + dedup + idempotent append (ST2)."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        ensure_checkpoint_dir(spark)
         store = IO.read_store(spark, store_path, before_batch=batch_id)
         pos = first_per_trace(batch, store)
         out = FB.process_positives(pos, store.select("question"), threshold=threshold).checkpoint()
