@@ -38,18 +38,24 @@ def _blocks(n_rows: int, block_rows: int) -> int:
     return max(1, math.ceil(n_rows / block_rows))
 
 
-def _matrix(series: pd.Series) -> np.ndarray:
-    if len(series) == 0:
-        return np.zeros((0, 0))
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in series])
-    norms = np.linalg.norm(m, axis=1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        unit = np.where(norms > 0, m / np.where(norms > 0, norms, 1.0), 0.0)
-    return unit
+def _pair_kernel(k: int | None, threshold: float | None, exclude_self: bool, only_earlier: bool):
+    """Build the per-block-pair function for cogroup.applyInPandas.
 
+    Everything the kernel calls is defined inside it, so it is shipped to the
+    Python workers by value and needs only numpy and pandas there."""
+    import numpy as np
+    import pandas as pd
 
-def _pair_kernel(k: int | None, threshold: float | None, exclude_self: bool, only_earlier: bool):
-    """Build the per-block-pair function for cogroup.applyInPandas."""
+    digits = SIM_DIGITS
+
+    def _matrix(series: pd.Series) -> np.ndarray:
+        if len(series) == 0:
+            return np.zeros((0, 0))
+        m = np.stack([np.asarray(v, dtype=np.float64) for v in series])
+        norms = np.linalg.norm(m, axis=1, keepdims=True)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            unit = np.where(norms > 0, m / np.where(norms > 0, norms, 1.0), 0.0)
+        return unit
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"q_id": pd.Series(dtype="int64"), "s_id": pd.Series(dtype="int64"),
@@ -68,7 +74,7 @@ def _pair_kernel(k: int | None, threshold: float | None, exclude_self: bool, onl
             valid &= sid[None, :] < qid[:, None]
         out_q, out_s, out_v = [], [], []
         if threshold is not None:
-            keep = valid & (np.round(sims, SIM_DIGITS) >= threshold - 1e-9)
+            keep = valid & (np.round(sims, digits) >= threshold - 1e-9)
             qi, si = np.nonzero(keep)
             out_q.append(qid[qi]); out_s.append(sid[si]); out_v.append(sims[qi, si])
         else:

@@ -89,9 +89,25 @@ def text_topk(
 
 
 def _topk_kernel(k: int):
+    # self-contained (helpers nested): shipped to the workers by value
     import numpy as np
     import pandas as pd
 
+    def _dense(side, vocab):
+        """Rows of ``side`` (terms, ws arrays) as a dense matrix over ``vocab``."""
+        m = np.zeros((len(side), len(vocab)))
+        lens = side["terms"].map(len).to_numpy()
+        if lens.sum() == 0 or len(vocab) == 0:
+            return m
+        terms = np.concatenate(side["terms"].to_numpy())
+        ws = np.concatenate(side["ws"].to_numpy()).astype(np.float64)
+        rows = np.repeat(np.arange(len(side)), lens)
+        cols = vocab.get_indexer(terms)
+        keep = cols >= 0
+        m[rows[keep], cols[keep]] = ws[keep]
+        return m
+
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"q_id": pd.Series(dtype="int64"), "s_id": pd.Series(dtype="int64"),
                               "sim": pd.Series(dtype="float64")})
@@ -211,27 +227,27 @@ def _doc_arrays(tw: DataFrame, hashed: bool) -> DataFrame:
                     F.transform("v", lambda x: x["w"]).alias("ws"))
 
 
-def _dense(side, vocab):
-    """Rows of ``side`` (terms, ws arrays) as a dense matrix over ``vocab``."""
-    import numpy as np
-
-    m = np.zeros((len(side), len(vocab)))
-    lens = side["terms"].map(len).to_numpy()
-    if lens.sum() == 0 or len(vocab) == 0:
-        return m
-    terms = np.concatenate(side["terms"].to_numpy())
-    ws = np.concatenate(side["ws"].to_numpy()).astype(np.float64)
-    rows = np.repeat(np.arange(len(side)), lens)
-    cols = vocab.get_indexer(terms)
-    keep = cols >= 0
-    m[rows[keep], cols[keep]] = ws[keep]
-    return m
-
-
 def _block_kernel(threshold: float, self_join: bool):
+    # self-contained (helpers nested): shipped to the workers by value
     import numpy as np
     import pandas as pd
 
+    digits = SIM_DIGITS
+
+    def _dense(side, vocab):
+        """Rows of ``side`` (terms, ws arrays) as a dense matrix over ``vocab``."""
+        m = np.zeros((len(side), len(vocab)))
+        lens = side["terms"].map(len).to_numpy()
+        if lens.sum() == 0 or len(vocab) == 0:
+            return m
+        terms = np.concatenate(side["terms"].to_numpy())
+        ws = np.concatenate(side["ws"].to_numpy()).astype(np.float64)
+        rows = np.repeat(np.arange(len(side)), lens)
+        cols = vocab.get_indexer(terms)
+        keep = cols >= 0
+        m[rows[keep], cols[keep]] = ws[keep]
+        return m
+
     dense = _dense
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -245,7 +261,7 @@ def _block_kernel(threshold: float, self_join: bool):
         sims = dense(left, vocab) @ dense(right, vocab).T
         lid = left["id"].to_numpy(dtype=np.int64)
         rid = right["id"].to_numpy(dtype=np.int64)
-        keep = np.round(sims, SIM_DIGITS) >= threshold - 1e-9
+        keep = np.round(sims, digits) >= threshold - 1e-9
         if self_join:
             same_block = left["bi"].iloc[0] == left["bj"].iloc[0]
             keep &= (lid[:, None] < rid[None, :]) if same_block else (lid[:, None] != rid[None, :])
