@@ -254,15 +254,13 @@ def build_prompts(
 
 def candidate_costs(neighbors: DataFrame, store: DataFrame, s_id: str = "example_id", counter=count_tokens) -> DataFrame:
     """(q_id, rank, s_id) + store -> adds the example's token cost.
-    The store is joined first, so only the 2k candidates of each question are
-    tokenized, not every stored example."""
-    j = neighbors.join(
-        store.select(F.col(s_id).alias("s_id"), "question", "sql_query", "explanation"), "s_id"
-    )
-    return j.select(
-        *neighbors.columns,
+    Costs are computed where the stored texts are read (map side), so only
+    (id, cost) pairs take part in the join — never the texts themselves."""
+    costs = store.select(
+        F.col(s_id).alias("s_id"),
         example_cost(F.col("question"), F.col("sql_query"), F.col("explanation"), counter).alias("cost"),
     )
+    return neighbors.join(costs, "s_id")
 
 
 def select_dynamic_feedback(
