@@ -80,12 +80,12 @@ class DocumentTokens:
         for t in texts:
             if self._simple(t):
                 first, *rest = t.split(" ")
-                parts.append(["^" + first, *rest])
+                parts.append(["\x1c" + first, *rest])
             else:
                 parts.append(None)
         missing = [c for c in {c for p in parts if p for c in p} if c not in self.chunks]
-        # "^" marks the first chunk of a text, the only one without a space before it
-        for c, ids in zip(missing, self._encode([c[1:] if c[0] == "^" else " " + c for c in missing]), strict=True):
+        # 1C marks the first chunk of a text, the only one without a space before it
+        for c, ids in zip(missing, self._encode([c[1:] if c[0] == "\x1c" else " " + c for c in missing]), strict=True):
             self.chunks[c] = ids
         whole = iter(self._encode([t for t, p in zip(texts, parts, strict=True) if p is None]))
         return [next(whole) if p is None else b"".join(map(self.chunks.__getitem__, p)) for p in parts]
