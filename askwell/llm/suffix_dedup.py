@@ -14,8 +14,10 @@ id, or same document and earlier start) is removed.
   are sorted locally and neighbours compared; what a bucket can't see across
   its borders is settled from two rows per bucket.
 * Runs with the same bytes: all but the first are removed.  Where an anchor has
-  several different runs, their windows are compared one by one in the same
-  way: again range-partitioned, sorted and compared with their neighbours.
+  several different runs, their bytes (under 200 each) meet by anchor and their
+  windows are compared there.  An anchor with more than MOST_RUNS of them, or
+  one that goes on beyond its bucket, has its windows dealt out one by one:
+  again range-partitioned, sorted and compared with their neighbours.
 
 Bytes are compared by two independent 64-bit hashes (the anchor's and the run's
 or window's), 128 bits in all.
@@ -39,6 +41,7 @@ from pyspark.sql import functions as F
 from askwell.llm.common import materialize, order_id, ship_package, shuffle_partitions, text_or_empty
 
 SLICE = 1 << 18  # bytes hashed at once
+MOST_RUNS = 2_000  # different runs of one anchor that are compared in one task
 SAMPLE_DOCS = 2_000  # documents that the splitters are chosen from, at most
 _U = np.uint64
 _TABLE = np.random.default_rng(20240229).integers(0, 2**63, 256, dtype=np.int64).astype(_U) * _U(0x9E3779B97F4A7C15)
@@ -186,34 +189,85 @@ def _run_rows(docs: DataFrame, length: int, split) -> DataFrame:
     return docs.mapInArrow(run, ROW)
 
 
-def _window_rows(docs: DataFrame, length: int, split) -> DataFrame:
-    """Single windows of the runs listed in ``runs``; ``at`` holds window * 128 + 1."""
+RUN_BYTES = "g long, doc long, at long, wide boolean, raw binary"
+
+
+def _run_bytes(length: int):
+    """(doc, text, runs) -> the bytes of each listed run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                doc = batch.column(0)[k].as_py()
-                raw = np.frombuffer(batch.column(1)[k].as_py().encode("utf-8", "surrogatepass"), np.uint8)
+                text = batch.column(1)[k].as_py().encode("utf-8", "surrogatepass")
                 listed = batch.column(2)[k].values
-                at, anchor = listed.field(0).to_numpy(), listed.field(1).to_numpy()
-                count, first = at & 127, at >> 7
-                by = np.argsort(first, kind="stable")
-                for part in np.array_split(by, max(1, len(raw) // SLICE)):
-                    if not len(part):
-                        continue
-                    low = int(first[part[0]])
-                    here = raw[low : int((first[part] + count[part]).max()) + length]
-                    h64 = _power_hashes(here)[64]
-                    many = count[part]
-                    inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                    w = np.repeat(first[part], many) + inside
-                    g = _span_hash(h64, w - low, np.full(len(w), length)).view(np.int64)
-                    h = np.repeat(anchor[part], many)
-                    d = np.full(len(w), doc, np.int64)
-                    bucket = split.value.bucket(g, h, d, w * 128 + 1) if split else np.zeros(len(w), np.int32)
-                    yield _batch([bucket, g, h, d, w * 128 + 1], _ROW_NAMES)
+                at, g, wide = listed.field(0), listed.field(1), listed.field(2)
+                raw = [text[a >> 7 : (a >> 7) + (a & 127) - 1 + length] for a in at.to_pylist()]
+                doc = pa.array(np.full(len(at), batch.column(0)[k].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([g, doc, at, wide, pa.array(raw, pa.binary())], [c.split()[0] for c in RUN_BYTES.split(", ")])
 
-    return docs.mapInArrow(run, ROW)
+    return run
+
+
+def _windows(g: np.ndarray, doc: np.ndarray, at: np.ndarray, raw: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """Of each run every window: its hash, the anchor, the document, its start."""
+    many = at & 127
+    size = many + length - 1
+    h64 = _power_hashes(np.frombuffer(b"".join(raw), np.uint8))[64]
+    inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    place = np.repeat(np.cumsum(size) - size, many) + inside
+    w = _span_hash(h64, place, np.full(len(place), length)).view(np.int64)
+    return w, np.repeat(g, many), np.repeat(doc, many), np.repeat(at >> 7, many) + inside
+
+
+def _parts(batch: pa.RecordBatch, most: int = 4096) -> Iterator[tuple]:
+    for a in range(0, batch.num_rows, most):
+        part = batch.slice(a, most)
+        yield *(part.column(k).to_numpy() for k in range(3)), part.column(3).to_pylist()
+
+
+def _met(runs: DataFrame, length: int) -> DataFrame:
+    """(doc, at) of single windows that equal an earlier one of the same anchor."""
+
+    def settle(g, doc, at, raw) -> pa.RecordBatch:
+        w, anchor, d, start = _windows(g, doc, at, raw, length)
+        by = np.lexsort((start, d, w, anchor))
+        w, anchor, d, start = w[by], anchor[by], d[by], start[by]
+        new = np.ones(len(w), bool)
+        new[1:] = (w[1:] != w[:-1]) | (anchor[1:] != anchor[:-1])
+        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+        later = (d != d[lead]) | (start != start[lead])
+        return _batch([d[later], start[later] * 128 + 1], ["doc", "at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # runs whose anchor may go on in the next part
+        for batch in batches:
+            for g, doc, at, raw in _parts(batch):
+                if held is not None:
+                    g, doc, at = (np.concatenate([x, y]) for x, y in zip(held[:3], (g, doc, at), strict=True))
+                    raw = held[3] + raw
+                cut = int(np.searchsorted(g, g[-1]))
+                if cut:
+                    yield settle(g[:cut], doc[:cut], at[:cut], raw[:cut])
+                held = (g[cut:], doc[cut:], at[cut:], raw[cut:])
+        if held is not None:
+            yield settle(*held)
+
+    n = shuffle_partitions(runs.sparkSession)
+    return runs.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "doc long, at long")
+
+
+def _window_rows(runs: DataFrame, length: int, split) -> DataFrame:
+    """Single windows of ``runs`` (g, doc, at, raw); ``at`` holds window * 128 + 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch):
+                w, anchor, doc, start = _windows(*part, length)
+                at = start * 128 + 1
+                bucket = split.value.bucket(w, anchor, doc, at) if split else np.zeros(len(w), np.int32)
+                yield _batch([bucket, w, anchor, doc, at], _ROW_NAMES)
+
+    return runs.mapInArrow(run, ROW)
 
 
 def _compare(rows: DataFrame, contest: bool) -> DataFrame:
@@ -221,8 +275,8 @@ def _compare(rows: DataFrame, contest: bool) -> DataFrame:
 
     ``kind`` 0: a row that equals an earlier one (same g and h, larger (doc,
     start)).  1 (if ``contest``): the first of its class where its anchor has
-    more classes, or may have beyond the bucket's border (``edge`` 1: it is the
-    bucket's first anchor, 2: the last).  2 and 3: the bucket's first row, and
+    more classes, or may have beyond the bucket's border (``edge``, a sum: 1 it is
+    the bucket's first anchor, 2 the last, 4 it has very many classes, 8 several).  2 and 3: the bucket's first row, and
     the first row of its last class.  4: the bucket's first row once more, to be
     removed if its class began before the bucket.
     """
@@ -246,12 +300,12 @@ def _compare(rows: DataFrame, contest: bool) -> DataFrame:
         which = [later]
         edges = [np.zeros(len(later), np.int8)]
         if contest:
-            edge = (anchor[first] == 0) * 1 + (anchor[first] == anchor[-1]) * 2
-            take = (classes[anchor[first]] > 1) | (edge > 0)
+            many = classes[anchor[first]]
+            edge = (anchor[first] == 0) * 1 + (anchor[first] == anchor[-1]) * 2 + (many > MOST_RUNS) * 4 + (many > 1) * 8
+            take = edge > 0
             which.append(first[take])
             kinds.append(np.ones(int(take.sum()), np.int8))
-            # several classes here: contested whatever lies beyond the border
-            edges.append(np.where(classes[anchor[first]] > 1, 0, edge)[take].astype(np.int8))
+            edges.append(edge[take].astype(np.int8))
         which.append(np.array([0, first[-1], *np.flatnonzero(same_place & (of == 0))]))
         kinds.append(np.array([2, 3, *[4] * int((same_place & (of == 0)).sum())], np.int8))
         edges.append(np.zeros(len(which[-1]), np.int8))
@@ -325,9 +379,8 @@ def _sampled(docs: DataFrame) -> DataFrame:
 
 
 def _splitters(rows: DataFrame, buckets: int) -> Splitters:
-    """Splitters from the rows of the sampled documents (some thousand runs a document at most are taken)."""
-    frac = rows.select("g", "h", "doc", "at").orderBy(F.xxhash64("g", "doc", "at")).limit(200_000)
-    got = frac.toPandas()
+    """Splitters from the rows of the sampled documents, 50,000 of them at most."""
+    got = rows.select("g", "h", "doc", "at").orderBy(F.xxhash64("g", "doc", "at")).limit(50_000).toPandas()
     return Splitters(list(zip(*(got[c].tolist() for c in ("g", "h", "doc", "at")), strict=True)), buckets)
 
 
@@ -344,22 +397,20 @@ def repeated_windows(docs: DataFrame, length: int = 100) -> DataFrame:
     split = sc.broadcast(_splitters(_run_rows(sample, length, None), buckets))
     settled = _settled(_compare(_run_rows(docs, length, split), True))
     whole = _repeats(settled)
-    contested = settled.filter(
-        (F.col("kind") == 1)
-        & (
-            (F.col("edge") == 0)
-            | (F.col("edge").bitwiseAND(1).cast("boolean") & F.col("before"))
-            | (F.col("edge").bitwiseAND(2).cast("boolean") & F.col("after"))
-        )
-    )
-    by_doc = contested.groupBy("doc").agg(F.collect_set(F.struct("at", F.col("g").alias("anchor"))).alias("runs"))
-
-    def listed(d: DataFrame) -> DataFrame:
-        return d.join(by_doc, "doc").select("doc", "text", "runs")
+    def flag(bit: int):
+        return F.col("edge").bitwiseAND(F.lit(bit).cast("byte")) != 0
 
-    fine = sc.broadcast(_splitters(_window_rows(listed(sample), length, None), buckets))
-    single = _repeats(_settled(_compare(_window_rows(listed(docs), length, fine), False)))
-    return whole.unionByName(single)
+    beyond = (flag(1) & F.col("before")) | (flag(2) & F.col("after"))
+    contested = settled.filter((F.col("kind") == 1) & (beyond | flag(8))).select(
+        "doc", F.struct("at", F.col("g").alias("anchor"), (beyond | flag(4)).alias("wide")).alias("run")
+    )
+    by_doc = contested.groupBy("doc").agg(F.collect_set("run").alias("runs"))
+    contested = materialize(docs.join(by_doc, "doc").select("doc", "text", "runs").mapInArrow(_run_bytes(length), RUN_BYTES), "suffix-runs")
+    narrow = _met(contested.filter("not wide").select("g", "doc", "at", "raw"), length)
+    wide = contested.filter("wide").select("g", "doc", "at", "raw")
+    fine = sc.broadcast(_splitters(_window_rows(wide.join(sample.select("doc"), "doc", "left_semi"), length, None), buckets))
+    single = _repeats(_settled(_compare(_window_rows(wide, length, fine), False)))
+    return whole.unionByName(narrow).unionByName(single)
 
 
 def _spans(at: np.ndarray, length: int) -> list[tuple[int, int]]:
