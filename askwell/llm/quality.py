@@ -4,9 +4,10 @@ Base rules count words, symbols, repeated lines and repeated word triples.  The
 method's verdict compares two multinomials over hashed n-grams of word shapes
 (a word's first two and last two characters): one of trusted documents
 (labelled quality 1), one of the whole raw corpus.  A document's score is its
-mean log ratio per n-gram.  It passes at or above a threshold, which is the
-score that all but ``loss`` of the trusted documents reach; every document is
-held against that one number.
+mean log ratio per n-gram.  It passes at or above a threshold; every document is
+held against that one number.  One half of the trusted documents makes their
+multinomial, and the threshold is the score that all but ``loss`` of the other
+half reach, as documents score higher against counts that they are part of.
 
 Documents stay in their partitions: n-grams are looked up in an array of
 ``buckets`` weights.  Only bucket counts are shuffled, after partial sums.
@@ -23,6 +24,7 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,16 +42,26 @@ def _shape(word: Column) -> Column:
     return F.concat(F.substring(word, 1, 2), F.substring(word, -2, 2))
 
 
-def with_grams(docs: DataFrame, n: int, buckets: int) -> DataFrame:
-    """``docs`` (with ``words``) and ``grams``, the bucket of each n-gram of word
-    shapes with one end mark on either side."""
-    full = F.concat(F.array(F.lit("\n")), F.transform("words", _shape), F.array(F.lit("\n")))
-    last = F.size("_full") - n
-    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return (
-        docs.withColumn("_full", full)
-        .withColumn("grams", F.transform(at, lambda i: F.pmod(F.xxhash64(*[F.get("_full", i + k) for k in range(n)]), F.lit(buckets)).cast("int")))
-        .drop("_full")
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often it is used:
+    a column that is used inside a higher-order function may be put in its place
+    by the optimizer, and would then be computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _steps(n: Column, kind: str = "int") -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast(f"array<{kind}>"))
+
+
+def _grams(words: Column, n: int, buckets: int) -> Column:
+    """Bucket of each n-gram of word shapes, with one end mark on either side."""
+    mark = F.array(F.lit("\n"))
+    return let(
+        F.concat(mark, F.transform(words, _shape), mark),
+        lambda full: F.transform(
+            _steps(F.size(full) - (n - 1)),
+            lambda i: F.pmod(F.xxhash64(*[F.get(full, i + k) for k in range(n)]), F.lit(buckets)).cast("int"),
+        ),
     )
 
 
@@ -63,12 +75,13 @@ def trusted_ids(labels: DataFrame, most: int) -> DataFrame:
     return good.orderBy(F.xxhash64("_id"), "_id").limit(most)
 
 
-def weights(docs: DataFrame, trusted: DataFrame, n: int = 2, buckets: int = 8192) -> DataFrame:
+def weights(docs: DataFrame, trusted: DataFrame, n: int = 2, buckets: int = 2048) -> DataFrame:
     """One row, one column: the log ratio of each bucket, add-one smoothed."""
     ids = F.broadcast(trusted.withColumn("_t", F.lit(1)))  # bounded by trusted_docs
-    marked = with_grams(docs.withColumn("words", _words(F.col("text"))).join(ids, F.col("doc_id") == F.col("_id"), "left"), n, buckets)
+    marked = docs.join(ids, F.col("doc_id") == F.col("_id"), "left")
+    grams = let(_words(F.col("text")), lambda w: _grams(w, n, buckets))
     counted = (
-        marked.select(F.explode("grams").alias("g"), F.coalesce("_t", F.lit(0)).alias("t"))
+        marked.select(F.explode(grams).alias("g"), F.coalesce("_t", F.lit(0)).alias("t"))
         .groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("good"))
     )
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"))
@@ -87,64 +100,49 @@ def weights(docs: DataFrame, trusted: DataFrame, n: int = 2, buckets: int = 8192
     )
 
 
-def _score(docs: DataFrame, table: DataFrame, n: int, buckets: int) -> DataFrame:
-    """``docs`` (with ``words``) and ``llr``, the mean log ratio per n-gram."""
-    got = with_grams(docs, n, buckets).withColumn("_w", table.scalar())
-    total = F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.get("_w", g))
-    return got.withColumn(
-        "llr", F.when(F.size("words") == 0, F.lit(0.0)).otherwise(F.round(total / F.size("grams"), 9))
-    ).drop("grams", "_w")
-
-
-def base_rules(docs: DataFrame) -> DataFrame:
-    """``docs`` (with ``text``, ``words``) and the counts of the base rules."""
-    text, words = F.col("text"), F.col("words")
-    triple = F.when(
-        F.size(words) >= 3,
-        F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(3)])),
-    ).otherwise(F.array().cast("array<long>"))
-    lines = F.transform(
-        F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != ""), lambda x: F.xxhash64(x)
-    )
-    step1 = (
-        docs.withColumn("n_words", F.size(words).cast("long"))
-        .withColumn("word_chars", F.length(F.array_join(words, "")).cast("long"))
-        .withColumn("n_symbols", (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).cast("long"))
-        .withColumn("_lines", lines)
-        .withColumn("_triples", triple)
+def _score(words: Column, table: Column, n: int, buckets: int) -> Column:
+    """Mean log ratio per n-gram, by the array of weights ``table``."""
+    total = let(
+        _grams(words, n, buckets),
+        lambda g: F.aggregate(g, F.lit(0.0), lambda a, x: a + F.get(table, x)) / F.size(g),
     )
-    # places of triples, sorted by triple; only where one is found twice
-    pairs = F.sort_array(F.transform("_triples", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    none = F.array().cast("array<struct<h:bigint,i:int>>")
-    step2 = (
-        step1.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("_sorted", F.when(F.size(F.array_distinct("_triples")) < F.size("_triples"), pairs).otherwise(none))
-    )
-    repeated = F.filter(
-        F.transform(
-            "_sorted",
-            lambda x, k: F.when(
-                F.coalesce(F.get("_sorted", k - 1)["h"] == x["h"], F.lit(False))
-                | F.coalesce(F.get("_sorted", k + 1)["h"] == x["h"], F.lit(False)),
-                x["i"],
-            ),
-        ),
-        lambda p: p.isNotNull(),
-    )
-    step3 = step2.withColumn("_places", F.sort_array(repeated))
-    # each repeated triple covers three words, less those the next one covers
-    covered = F.aggregate(
-        F.transform("_places", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("_places", k + 1) - p, F.lit(3)))),
-        F.lit(0), lambda a, x: a + x,
-    )
-    return step3.withColumn("n_repeat_words", covered.cast("long")).drop("_lines", "_triples", "_sorted", "_places")
+    return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(F.round(total, 9))
+
+
+def _dup_lines(text: Column) -> Column:
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
+    return let(F.transform(lines, lambda x: F.xxhash64(x)), lambda h: F.size(h) - F.size(F.array_distinct(h)))
+
+
+def _repeat_words(words: Column) -> Column:
+    """Words in triples that are found twice or more."""
+
+    def places(s: Column) -> Column:
+        def twice(x: Column, k: Column) -> Column:
+            same = [F.coalesce(F.get(s, k + d)["h"] == x["h"], F.lit(False)) for d in (-1, 1)]
+            return F.when(same[0] | same[1], x["i"])
+
+        return F.sort_array(F.filter(F.transform(s, twice), lambda p: p.isNotNull()))
+
+    def covered(p: Column) -> Column:
+        # each triple covers three words, less those that the next one covers
+        own = F.transform(p, lambda a, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - a, F.lit(3))))
+        return F.aggregate(own, F.lit(0), lambda a, x: a + x)
+
+    def count(h: Column) -> Column:
+        by_triple = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        found = let(by_triple, lambda s: let(places(s), covered))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(found)
+
+    triples = F.transform(_steps(F.size(words) - 2), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(3)]))
+    return let(triples, count)
 
 
 def judge(
     docs: DataFrame,
     labels: DataFrame,
     n: int = 2,
-    buckets: int = 8192,
+    buckets: int = 2048,
     trusted_docs: int = 10_000,
     loss: float = 0.005,
     text_col: str = "text",
@@ -153,15 +151,34 @@ def judge(
     base_failed, kept, llr`` for every row of ``docs``."""
     slim = _slim(docs, text_col)
     trusted = trusted_ids(labels, trusted_docs)
-    table = weights(slim, trusted, n, buckets)
-    split = slim.withColumn("words", _words(F.col("text")))
-    among = split.join(F.broadcast(trusted), F.col("doc_id") == F.col("_id"), "left_semi").filter(F.size("words") >= 50)
-    threshold = _score(among, table, n, buckets).agg(F.percentile("llr", loss).alias("t"))
-    got = _score(base_rules(split), table, n, buckets).withColumn("_t", threshold.scalar())
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return got.withColumn("base_failed", failed).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.coalesce(F.col("llr") >= F.col("_t"), F.lit(True))).alias("kept"), "llr",
+    half = F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2))
+    # ``buckets`` numbers, whatever the corpus; a literal of the plan from here on
+    table = F.lit(np.array(weights(slim, trusted.filter(half == 0), n, buckets).first()["w"], np.float64))
+    text = F.col("text")
+    among = slim.join(F.broadcast(trusted.filter(half == 1)), F.col("doc_id") == F.col("_id"), "left_semi").select(
+        let(_words(text), lambda w: F.when(F.size(w) >= 50, _score(w, table, n, buckets))).alias("llr")
+    )
+    threshold = among.agg(F.percentile("llr", loss).alias("t"))
+    by_words = let(
+        _words(text),
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            _repeat_words(w).cast("long").alias("n_repeat_words"),
+            _score(w, table, n, buckets).alias("llr"),
+        ),
+    )
+    got = slim.select(
+        "doc_id", by_words.alias("by"),
+        (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+        _dup_lines(text).cast("long").alias("n_dup_lines"),
+    )
+    failed = (F.col("by.n_words") < 50) | (100 * F.col("by.n_repeat_words") > 50 * F.col("by.n_words"))
+    return got.select(
+        "doc_id", "by.n_words", "by.word_chars", "n_symbols", "n_dup_lines", "by.n_repeat_words",
+        failed.alias("base_failed"),
+        (~failed & F.coalesce(F.col("by.llr") >= threshold.scalar(), F.lit(True))).alias("kept"),
+        F.col("by.llr").alias("llr"),
     )
 
 

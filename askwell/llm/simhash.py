@@ -323,11 +323,10 @@ def keep_first(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFram
     rows with that id all stay."""
     found = near_duplicates(docs, shingle, max_bits)
     keep = found.filter(order_id("component_id") == order_id()).select(order_id().alias("_keep")).distinct()
-    return docs.join(keep, order_id() == F.col("_keep"), "left_semi")
+    own = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID))
+    return docs.join(keep, own == keep["_keep"], "left_semi")
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
-
-__all__ = ["NULL_ID", "components", "fingerprint", "fingerprints", "keep_first", "links", "near_duplicates"]

@@ -469,8 +469,8 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     A character of which only some bytes are removed goes as a whole.  ``n_chars``
     is counted anew where it is there.  A null text stays null.
     """
-    names = docs.columns
-    slim = docs.withColumn("doc", order_id()).withColumn("text", text_or_empty()).withColumn("_null", docs["text"].isNull())
+    # the whole row travels as one field, so no name of its columns can clash
+    slim = docs.select(order_id().alias("doc"), text_or_empty().alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
     @F.pandas_udf("string")
     def cut(texts, marks):
@@ -488,10 +488,15 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "ignore"))
         return pd.Series(out)
 
-    got = _marked(slim, length).withColumn("text", F.when(~F.col("_null"), cut("text", "marks")))
-    if "n_chars" in names:
-        got = got.withColumn("n_chars", F.when(F.col("marks").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return got.select(*names)
+    row = F.col("row")
+    changed = F.col("marks").isNotNull() & row["text"].isNotNull()
+    got = _marked(slim, length).select("row", changed.alias("changed"), F.when(changed, cut("text", "marks")).alias("cut"))
+    new = {"text": F.col("cut")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("cut").cast(docs.schema["n_chars"].dataType)
+    return got.select(*[
+        (F.when(F.col("changed"), new[c]).otherwise(row[c]) if c in new else row[c]).alias(c) for c in docs.columns
+    ])
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,7 +131,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
                         if out is not None:
                             out.close()
                         name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{number}.warc.gz"
-                        out, at, number = files.open_output_stream(f"{base}/{name}"), 0, number + 1
+                        out, at, number = files.open_output_stream(f"{base}/{name}", compression=None), 0, number + 1
                     payload = html.encode("utf-8", "surrogatepass")
                     digest = digest_of(payload)
                     raw = packed(record(page, url, payload, first, revisit, date, digest), level)
