@@ -98,27 +98,13 @@ def terms(text: Column | str) -> Column:
 
 
 def tables_referenced(df: DataFrame, text_col: str, key_col: str, table_names: DataFrame) -> DataFrame:
-    """for each text, the sorted set of known table names that follow a
-    FROM or JOIN keyword.
+    """for each row, the sorted set of known table names that follow a FROM or
+    JOIN keyword.
 
-    Candidates are pulled out of the text with one regex and exploded; they
-    meet the list of known names through an equi-join (a catalogue listing
-    is small and fixed per database, so it is broadcast), never a cross join.
+    One projection: the names pulled out by a regex are kept if they are in the
+    catalogue's listing, which is a literal of the plan (one name per table).
     """
-    names = F.broadcast(table_names.select(F.lower("table_name").alias("_name")).distinct())
-    cands = df.select(
-        key_col,
-        F.explode(
-            F.regexp_extract_all(
-                F.lower(F.coalesce(F.col(text_col), F.lit(""))),
-                F.lit(REF_PATTERN),
-                1,
-            )
-        ).alias("_name"),
-    )
-    hits = cands.join(names, "_name").groupBy(key_col).agg(
-        F.array_sort(F.collect_set("_name")).alias("tables_used")
-    )
-    return df.select(key_col).distinct().join(hits, key_col, "left").select(
-        key_col, F.coalesce("tables_used", F.array().cast("array<string>")).alias("tables_used")
-    )
+    known = [r[0] for r in table_names.select(F.lower("table_name")).distinct().collect()]
+    found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(REF_PATTERN), 1)
+    names = F.array(*[F.lit(n) for n in sorted(known)]).cast("array<string>")
+    return df.select(key_col, F.array_sort(F.array_intersect(found, names)).alias("tables_used"))

@@ -25,13 +25,12 @@ from askwell.functions.text import (
 
 # ---------------------------------------------------------------------------
 # Fixed values (defaults of the reference):
-#   score name "quality", positive threshold 1.0, default tag "semantic-sql",
-#   traces per poll 100, look-back 7 days, poll interval 60 s
+#   score name "quality", positive threshold 1.0, 
+#   look-back 7 days, poll interval 60 s
 # ---------------------------------------------------------------------------
 SCORE_NAME = "quality"
 POSITIVE_THRESHOLD = 1.0
-TRACE_TAG = "semantic-sql"
-TRACE_LIMIT = 100
+TRACE_TAG = "question-answering"  # a neutral default; callers name their own
 LOOKBACK = dt.timedelta(days=7)
 POLL_SECONDS = 60
 
@@ -53,10 +52,10 @@ def read_traces(
     *,
     tag: str = TRACE_TAG,
     since: dt.datetime | None = None,
-    limit: int | None = TRACE_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Traces with ``tag``, at or after ``since`` (applied, D6), newest
-    first, at most ``limit`` (the per-poll cap is the feature)."""
+    first; all of them unless the caller sets ``limit`` (a per-poll cap)."""
     t = traces.filter(F.array_contains("tags", tag))
     if since is not None:
         t = t.filter(F.col("ts") >= F.lit(since))

@@ -87,19 +87,19 @@ def key_profile(tables: dict[str, DataFrame], candidates: dict[str, list[str]])
     distinct_count, is_key) for each candidate column."""
     parts = []
     for name, cols in candidates.items():
-        df = tables[name]
-        for c in cols:
-            parts.append(
-                df.agg(
-                    F.count(F.lit(1)).alias("row_count"),
-                    F.count(F.when(F.col(c).isNull(), 1)).alias("null_count"),
-                    F.countDistinct(c).alias("distinct_count"),
-                ).select(
-                    F.lit(name).alias("table_name"), F.lit(c).alias("column_name"),
-                    "row_count", "null_count", "distinct_count",
-                    ((F.col("null_count") == 0) & (F.col("distinct_count") == F.col("row_count"))).alias("is_key"),
-                )
-            )
+        counted = tables[name].agg(
+            F.count(F.lit(1)).alias("row_count"),
+            *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"null_{k}") for k, c in enumerate(cols)],
+            *[F.countDistinct(c).alias(f"distinct_{k}") for k, c in enumerate(cols)],
+        )
+        each = F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.col(f"null_{k}").alias("null_count"), F.col(f"distinct_{k}").alias("distinct_count"))
+            for k, c in enumerate(cols)
+        ])
+        parts.append(counted.select("row_count", F.explode(each).alias("c")).select(
+            F.lit(name).alias("table_name"), "c.column_name", "row_count", "c.null_count", "c.distinct_count",
+            ((F.col("c.null_count") == 0) & (F.col("c.distinct_count") == F.col("row_count"))).alias("is_key"),
+        ))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -5,6 +5,10 @@ row into one task.  Here the rows are range-partitioned on the sort key (equal
 keys always land in the same range), ranked locally, and shifted by the number
 of rows in all earlier ranges.  Only one row per partition is gathered, so the
 work stays spread over the cluster whatever the row count.
+
+A range split samples its borders anew each time it is evaluated, so the locally
+ranked rows are written once and both the rows and the ranges' sizes are read
+from that one table.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from askwell.session import materialize
+
 
 def global_rank(
     df: DataFrame,
@@ -23,8 +29,10 @@ def global_rank(
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).withColumn("_rpid", F.spark_partition_id())
-    local = ranged.withColumn("_rlocal", F.rank().over(Window.partitionBy("_rpid").orderBy(*order)))
-    sizes = ranged.groupBy("_rpid").agg(F.count(F.lit(1)).alias("_rn"))
+    local = materialize(
+        ranged.withColumn("_rlocal", F.rank().over(Window.partitionBy("_rpid").orderBy(*order))), "rank"
+    )
+    sizes = local.groupBy("_rpid").agg(F.count(F.lit(1)).alias("_rn"))
     # one row per partition: the running count is over at most n rows
     offsets = sizes.select(
         "_rpid",
@@ -72,7 +80,8 @@ def global_prefix_sums(
     local = ranged.withColumn("_li", F.count(F.lit(1)).over(w_local))
     for v in value_cols:
         local = local.withColumn(f"_l_{v}", F.sum(v).over(w_local))
-    totals = ranged.groupBy("_pid", *group_cols).agg(
+    local = materialize(local, "prefix-sums")
+    totals = local.groupBy("_pid", *group_cols).agg(
         F.count(F.lit(1)).alias("_pn"), *[F.sum(v).alias(f"_pt_{v}") for v in value_cols]
     )
     w_off = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -378,7 +378,7 @@ WHERE o.order_id IS NULL ORDER BY c.name, c.customer_id""",
 )
 def m_customers_no_orders(v: Views) -> DataFrame:
     return (
-        v.customers.join(v.orders.select("customer_id"), "customer_id", "left_anti")
+        v.customers.join(v.orders.select("customer_id").distinct(), "customer_id", "left_anti")
         .select("customer_id", "name", "email")
         .orderBy("name", "customer_id")
     )
@@ -392,7 +392,7 @@ WHERE o.order_id IS NULL ORDER BY c.name, c.customer_id""",
 )
 def m_customers_no_orders_detail(v: Views) -> DataFrame:
     return (
-        v.customers.join(v.orders.select("customer_id"), "customer_id", "left_anti")
+        v.customers.join(v.orders.select("customer_id").distinct(), "customer_id", "left_anti")
         .select("customer_id", "name", "email", "city", "segment")
         .orderBy("name", "customer_id")
     )
@@ -421,7 +421,7 @@ WHERE oi.order_id IS NULL ORDER BY p.name, p.product_id""",
 )
 def m_products_never_ordered_id(v: Views) -> DataFrame:
     return (
-        v.products.join(v.order_items.select("product_id"), "product_id", "left_anti")
+        v.products.join(v.order_items.select("product_id").distinct(), "product_id", "left_anti")
         .select("product_id", "name", "category")
         .orderBy("name", "product_id")
     )
@@ -435,7 +435,7 @@ WHERE oi.order_id IS NULL ORDER BY p.name, p.product_id""",
 )
 def m_products_never_ordered(v: Views) -> DataFrame:
     return (
-        v.products.join(v.order_items.select("product_id"), "product_id", "left_anti")
+        v.products.join(v.order_items.select("product_id").distinct(), "product_id", "left_anti")
         .orderBy("name", "product_id")
         .select("name", "category", "price")
     )
@@ -464,7 +464,7 @@ WHERE oi.order_id IS NULL ORDER BY o.order_id""",
 )
 def m_orders_without_items(v: Views) -> DataFrame:
     return (
-        v.orders.join(v.order_items.select("order_id"), "order_id", "left_anti")
+        v.orders.join(v.order_items.select("order_id").distinct(), "order_id", "left_anti")
         .select("order_id", "customer_id", "status")
         .orderBy("order_id")
     )
@@ -743,7 +743,7 @@ def m_active_customers(v: Views) -> DataFrame:
     valid = v.orders_where(exclude=INVALID_STATUSES).select("customer_id")
     return (
         v.customers.select("customer_id")
-        .join(valid, "customer_id", "left_semi")
+        .join(valid.select("customer_id").distinct(), "customer_id", "left_semi")
         .agg(F.countDistinct("customer_id").alias("active_customers"))
     )
 
@@ -759,7 +759,7 @@ def m_active_by_segment(v: Views) -> DataFrame:
     valid = v.orders_where(exclude=INVALID_STATUSES).select("customer_id")
     return (
         v.customers.select("customer_id", "segment")
-        .join(valid, "customer_id", "left_semi")
+        .join(valid.select("customer_id").distinct(), "customer_id", "left_semi")
         .groupBy("segment")
         .agg(F.countDistinct("customer_id").alias("active_customers"))
         .orderBy(F.desc("active_customers"), "segment")

@@ -341,7 +341,7 @@ def _doc_traces(t: Tables) -> tuple[DataFrame, DataFrame]:
     traces = d.select(
         F.col("doc_id").cast("string").alias("trace_id"),
         (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(secs=F.col("doc_id"))).alias("ts"),
-        F.array(F.lit("semantic-sql")).alias("tags"),
+        F.array(F.lit("question-answering")).alias("tags"),
         F.col("text").alias("input"),
         F.struct(F.col("text").alias("question"), F.col("text").alias("generated_sql")).alias("metadata"),
     )

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(
@@ -25,10 +26,13 @@ def build_session(
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or int(os.environ.get("ASKWELL_SHUFFLE_PARTITIONS", "8"))
+    if shuffle_partitions or (master or "").startswith("local"):
+        parts = shuffle_partitions or int(os.environ.get("ASKWELL_SHUFFLE_PARTITIONS", "8"))
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
+    if (master or "").startswith("local"):
+        builder = builder.config("spark.driver.memory", os.environ.get("ASKWELL_DRIVER_MEMORY", "16g"))
     builder = (
-        builder.config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -37,7 +41,6 @@ def build_session(
         .config("spark.executorEnv.OMP_NUM_THREADS", "1")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("ASKWELL_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -49,17 +52,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (HDFS/object-store) folder there and it is used
-    as is.  Only when the setting is unset — local tests — a scratch folder
-    is created.
+    as is.  Only when the setting is unset and the master is local — tests — a
+    scratch folder is created; elsewhere that is an error.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None
     )
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="askwell-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 
@@ -67,3 +73,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediates."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into a new sub-folder of the shared checkpoint
+    folder and read it back: what follows reads one result, however often."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

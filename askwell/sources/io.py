@@ -3,6 +3,7 @@ reports (S12) and bulk table ingestion (S13)."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,7 +82,12 @@ def append_examples(examples: DataFrame, path: str, batch_id: int) -> int:
     cols = [c.split(" ", 1) for c in EXAMPLE_SCHEMA.split(", ")]
     out = out.select(*[(F.col(c) if c in out.columns else F.lit(None)).cast(t).alias(c) for c, t in cols])
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
-    return out.count()
+    return spark_count(out.sparkSession, path, batch_id)
+
+
+def spark_count(spark: SparkSession, path: str, batch_id: int) -> int:
+    """Rows of one written batch: the plan that made them isn't run again."""
+    return read_store(spark, path).filter(F.col("batch_id") == batch_id).count()
 
 
 def read_store(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame:
@@ -90,7 +96,10 @@ def read_store(spark: SparkSession, path: str, before_batch: int | None = None)
     keeps that a metadata-only filter."""
     try:
         df = spark.read.parquet(path)
-    except Exception:  # no batch written yet
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        # no batch written yet
         return spark.createDataFrame([], EXAMPLE_SCHEMA)
     if before_batch is not None:
         df = df.filter(F.col("batch_id") < before_batch)

@@ -85,12 +85,12 @@ def _ts(m):
 def test_first_positive_cases(spark):
     traces = spark.createDataFrame(
         [
-            ("t1", _ts(0), ["semantic-sql"], "in1", ("Q1", "SELECT 1")),
-            ("t2", _ts(1), ["semantic-sql"], "in2", ("Q2", "SELECT 2")),
-            ("t3", _ts(2), ["semantic-sql"], "in3", ("Q3", "SELECT 3")),
-            ("t4", _ts(3), ["semantic-sql"], "in4", ("Q4", "SELECT 4")),
-            ("t5", _ts(4), ["semantic-sql"], "fallback question", (None, "SELECT 5")),
-            ("t6", _ts(5), ["semantic-sql"], "in6", ("Q6", "SELECT 6")),
+            ("t1", _ts(0), ["question-answering"], "in1", ("Q1", "SELECT 1")),
+            ("t2", _ts(1), ["question-answering"], "in2", ("Q2", "SELECT 2")),
+            ("t3", _ts(2), ["question-answering"], "in3", ("Q3", "SELECT 3")),
+            ("t4", _ts(3), ["question-answering"], "in4", ("Q4", "SELECT 4")),
+            ("t5", _ts(4), ["question-answering"], "fallback question", (None, "SELECT 5")),
+            ("t6", _ts(5), ["question-answering"], "in6", ("Q6", "SELECT 6")),
         ],
         "trace_id string, ts timestamp, tags array<string>, input string, metadata struct<question:string, generated_sql:string>",
     )
@@ -124,7 +124,7 @@ def test_process_feedback_gates(spark):
         ("i", 8, "beta gamma delta epsilon zeta eta theta", "SELECT 5"),  # C ~ B, C !~ A
     ]
     traces = spark.createDataFrame(
-        [(t, _ts(m), ["semantic-sql"], q, (q, s)) for t, m, q, s in rows],
+        [(t, _ts(m), ["question-answering"], q, (q, s)) for t, m, q, s in rows],
         "trace_id string, ts timestamp, tags array<string>, input string, metadata struct<question:string, generated_sql:string>",
     ).withColumn("input", F.lit(None).cast("string"))
     scores = spark.createDataFrame([(t, _ts(100), "quality", 1.0, "") for t, *_ in rows],
@@ -144,7 +144,7 @@ def test_process_feedback_gates(spark):
 
 def test_read_traces_since_and_limit(spark):
     traces = spark.createDataFrame(
-        [(f"t{i}", _ts(i), ["semantic-sql"] if i % 2 == 0 else ["other"]) for i in range(10)],
+        [(f"t{i}", _ts(i), ["question-answering"] if i % 2 == 0 else ["other"]) for i in range(10)],
         "trace_id string, ts timestamp, tags array<string>",
     )
     got = [r["trace_id"] for r in FB.read_traces(traces, since=_ts(3), limit=2).collect()]

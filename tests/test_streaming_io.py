@@ -37,7 +37,7 @@ def _batches():
     for i, q in enumerate(QUESTIONS):
         sql = "DROP TABLE t" if q.startswith("Drop") else f"SELECT {i}"
         ts = base + dt.timedelta(minutes=10 * i)
-        tr.append((f"t{i}", ts, ["semantic-sql"], q, (q, sql)))
+        tr.append((f"t{i}", ts, ["question-answering"], q, (q, sql)))
         sc.append((f"t{i}", ts + dt.timedelta(minutes=1), "quality", 1.0, ""))
         if i == 3:
             sc.append((f"t{i}", ts + dt.timedelta(minutes=2), "quality", 5.0, "later"))
