@@ -77,3 +77,16 @@ def text_or_empty(col: str = "text") -> Column:
 def order_id(col: str = "doc_id") -> Column:
     """The id as it is ordered and joined: null below every other."""
     return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))
+
+
+def bounded_sample(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of ``key``: the same
+    rows however ``df`` is partitioned.  Rows that can't be among them are left
+    out by a threshold first, so that about ``most`` rows in all move."""
+    h = F.xxhash64(key, F.lit(seed))
+    n = df.count()
+    if n > 2 * most:
+        share = 2.0 * most / n
+        df = df.filter(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)))
+    order = [F.pmod(h, F.lit(1 << 30)), F.col(key)]
+    return df.orderBy(*order).limit(most)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askwell.llm.common import materialize, ship_package, shuffle_partitions
+from askwell.llm.common import bounded_sample, materialize, ship_package, shuffle_partitions
 
 SAMPLE = 20_000  # vectors that the tree is fitted on, at most
 CALIBRATION = 200  # sample vectors that serve as calibration queries
@@ -168,7 +168,7 @@ def nearest(
     if not head:
         return spark.createDataFrame([], schema)
     clean = clean.filter(F.size("vector") == head[0]["n"])
-    drawn = clean.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(SAMPLE).select("vector").toPandas()
+    drawn = bounded_sample(clean, "vec_id", SAMPLE, 5).select("vector").toPandas()
     sample = np.stack(drawn["vector"].to_numpy())
     tree = KMeansTree(sample, branching, leaf)
     share = calibrate(tree, sample, k, target)

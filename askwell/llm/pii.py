@@ -5,8 +5,8 @@ always stay.  The field then labels candidate tokens (those with a digit or an
 @) as one of the kinds or as none.  Its potentials: token features (shape, what
 the base patterns say, neighbouring words), a chain potential between
 neighbouring candidates, and a skip potential between each candidate and the
-next one that has the same letters and digits, however distant.  Loopy max-free
-(sum-product) message passing over chain and skip edges makes a document's
+next one that has the same letters and digits, however distant.  Loopy
+sum-product message passing over chain and skip edges makes a document's
 labels agree; a token that is labelled as a kind without a base span is added.
 
 Skip edges join an occurrence to the next one only, so edges grow with the
@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askwell.llm.common import ship_package
+from askwell.llm.common import bounded_sample, ship_package
 
 #: The kinds in the order in which they are listed.
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS = 3_000  # documents that the field is trained on, at most
+TRAIN_DOCS = 10_000  # documents that the field is trained on, at most
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -93,7 +93,7 @@ def written(spans: dict[str, list[tuple[int, int]]]) -> str:
 # -- the field ----------------------------------------------------------
 
 #: candidates: runs without white space that hold a digit or an @, without the punctuation round them
-_CANDIDATE = re.compile(r"[^\s]*[0-9@][^\s]*")
+_CANDIDATE = re.compile(r"(?<!\S)\S*[0-9@]\S*")
 _EDGE = ".,;:!?\"'()[]{}<>"
 _LABELS = len(KINDS) + 1  # 0: none
 _CUES = {
@@ -221,8 +221,10 @@ class Field:
 def train(docs: DataFrame) -> Field:
     """Pseudo-likelihood on the base spans of a bounded sample of documents that
     hold candidates."""
-    drawn = docs.filter(F.col("text").rlike("[0-9@]")).select("doc_id", "text", F.xxhash64("doc_id", F.lit(9)).alias("_o"))
-    rows = drawn.orderBy("_o", "doc_id").limit(TRAIN_DOCS).mapInArrow(_training_rows, "x array<double>, y int, chain array<double>, skip array<double>").toPandas()
+    # ids first: texts of the drawn documents stay where they are
+    ids = bounded_sample(docs.select("doc_id").distinct(), "doc_id", TRAIN_DOCS, 9)
+    drawn = docs.join(F.broadcast(ids), "doc_id", "left_semi").filter(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
+    rows = drawn.mapInArrow(_training_rows, "x array<double>, y int, chain array<double>, skip array<double>").toPandas()
     if rows.empty:
         return Field(np.zeros((_FEATURES, _LABELS)), np.zeros((2, _LABELS, _LABELS)))
     x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy()

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askwell.llm.common import text_or_empty
+from askwell.llm.common import bounded_sample, text_or_empty
 
 SPACE = " \t\n\x0b\f\r"
 
@@ -72,7 +72,7 @@ def _slim(docs: DataFrame, text_col: str) -> DataFrame:
 def trusted_ids(labels: DataFrame, most: int) -> DataFrame:
     """At most ``most`` ids of trusted documents, the same ones every time."""
     good = labels.filter("quality = 1 and doc_id is not null").select(labels["doc_id"].cast("long").alias("_id")).distinct()
-    return good.orderBy(F.xxhash64("_id"), "_id").limit(most)
+    return bounded_sample(good, "_id", most, 42)
 
 
 def weights(docs: DataFrame, trusted: DataFrame, n: int = 2, buckets: int = 2048) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askwell.llm.common import NULL_ID, materialize, order_id, ship_package, shuffle_partitions
+from askwell.llm.common import NULL_ID, bounded_sample, materialize, order_id, ship_package, shuffle_partitions
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 SAMPLE = 20_000  # fingerprints that the trees are fitted on, at most
@@ -186,7 +186,7 @@ def links(nodes: DataFrame, max_bits: int = 4, blocks: int = 5, leaf_sample: int
     share = max_bits // blocks
     n = shuffle_partitions(spark)
     sample = np.array(
-        [r[0] for r in nodes.orderBy(F.xxhash64("fp", F.lit(7)), "fp").limit(SAMPLE).collect()], np.int64
+        [r[0] for r in bounded_sample(nodes.select("fp"), "fp", SAMPLE, 7).collect()], np.int64
     ).view(np.uint64)
     trees = [VantageTree(sample, m, leaf_sample, k) for k, m in enumerate(block_masks(blocks))]
     held = spark.sparkContext.broadcast(trees)  # at most SAMPLE vertices a tree

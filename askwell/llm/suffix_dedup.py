@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askwell.llm.common import materialize, order_id, ship_package, shuffle_partitions, text_or_empty
+from askwell.llm.common import bounded_sample, materialize, order_id, ship_package, shuffle_partitions, text_or_empty
 
 SLICE = 1 << 18  # bytes hashed at once
 MOST_RUNS = 2_000  # different runs of one anchor that are compared in one task
@@ -374,7 +374,7 @@ def _repeats(settled: DataFrame) -> DataFrame:
 
 def _sampled(docs: DataFrame) -> DataFrame:
     """At most SAMPLE_DOCS whole rows of ``docs``, the same ones every time."""
-    low = docs.select("doc").distinct().orderBy(F.xxhash64("doc", F.lit(11)), "doc").limit(SAMPLE_DOCS)
+    low = bounded_sample(docs.select("doc").distinct(), "doc", SAMPLE_DOCS, 11)
     return docs.join(F.broadcast(low), "doc", "left_semi")
 
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askwell.llm.common import ship_package
+from askwell.llm.common import bounded_sample, ship_package
 
 CACHE_ENTRIES = 500_000  # words remembered by a Python worker at most
 MIN_STEM, MAX_STEM = 3, 12
@@ -253,7 +253,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     fit = labels.select(labels["doc_id"].cast("long").alias("_id"), labels["toxic"].cast("int").alias("toxic")).filter(
         F.col("_id").isNotNull() & F.col("toxic").isNotNull() & (F.crc32(F.col("_id").cast("string")) % 5 != 0)
     )
-    fit = fit.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id", F.lit(3)), "_id").limit(most)
+    fit = bounded_sample(fit.groupBy("_id").agg(F.max("toxic").alias("toxic")), "_id", most, 3)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(fit), F.col("doc_id") == F.col("_id")).select("text", "toxic")  # bounded by ``most``
     sketched = rows.mapInArrow(_sketched, "text string, toxic int, sketch long")
