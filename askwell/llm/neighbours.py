@@ -151,7 +151,7 @@ def nearest(
     k: int = 10,
     target: float = 0.99,
     branching: int = 16,
-    leaf: int = 64,
+    leaf: int = 256,
     leaf_rows: int = 20_000,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
@@ -227,7 +227,19 @@ def nearest(
     dealt = asked.unionByName(stored).repartition(n, "leaf", "chunk").sortWithinPartitions("leaf", "chunk", "kind", "id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each query's k nearest among each part of a leaf's vectors."""
+        """Each query's k nearest among all leaves that this task holds."""
+        best_of: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held_rows = 0
+
+        def compact() -> None:
+            """Keep k rows a query, ties to the smaller id."""
+            who, own_id, d = (np.concatenate(c) for c in zip(*best_of, strict=True))
+            by = np.lexsort((own_id, d, who))
+            who, own_id, d = who[by], own_id[by], d[by]
+            start = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+            place = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who))))
+            best_of[:] = [(who[place < k], own_id[place < k], d[place < k])]
+
         here: tuple[int, int] | None = None
         ids, rows = np.zeros(0, np.int64), None
         for batch in batches:
@@ -256,13 +268,17 @@ def nearest(
                     score = np.take_along_axis(d, best, 1).ravel()
                     who = np.repeat(ids[q : q + step], take)
                     fine = np.isfinite(score)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(who[fine]), pa.array(own[a:b][best.ravel()][fine]), pa.array(score[fine])],
-                        ["query_id", "vec_id", "score"],
-                    )
+                    best_of.append((who[fine], own[a:b][best.ravel()][fine], score[fine]))
+                    held_rows += int(fine.sum())
+                    if held_rows > 500_000:
+                        compact()
+                        held_rows = 0
+        if best_of:
+            compact()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best_of[0]], ["query_id", "vec_id", "score"])
 
     found = dealt.mapInArrow(measure, "query_id long, vec_id long, score double")
-    # a query's rows: k for each of its leaves' parts, and Spark keeps k per key before it shuffles
+    # a query's rows: k for each task that holds some of its leaves
     from pyspark.sql import Window
 
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -144,8 +144,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
             if out is not None:
                 out.close()
 
-    n = shuffle_partitions(pages.sparkSession)
-    dealt = _with_roles(pages, min_bytes).repartition(n, "_order").sortWithinPartitions("_order").drop("_order")
+    # the html stays in the partitions of the join, or of the input where that is a broadcast
+    dealt = _with_roles(pages, min_bytes).sortWithinPartitions("_order").drop("_order")
     return materialize(dealt.select("page_id", "url", "revisit", "refers_to", "html").mapInArrow(run, INDEX), "warc-index")
 
 
