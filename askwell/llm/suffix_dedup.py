@@ -23,8 +23,9 @@ Bytes are compared by two independent 64-bit hashes (the anchor's and the run's
 or window's), 128 bits in all.
 
 Defined cases: null text counts as empty; null ids come before all others; rows
-that share an id count as one document in the order, so neither of two such
-rows with the same start is earlier; an empty table gives an empty result;
+that share an id count as one document, so neither of two such rows with the same
+start is earlier, and what is removed from one goes from the others, too, at the
+same place; an empty table gives an empty result;
 other columns are not read.  Very long texts are hashed in slices that overlap.
 """
 
@@ -200,6 +201,9 @@ def _run_bytes(length: int):
             for k in range(batch.num_rows):
                 text = batch.column(1)[k].as_py().encode("utf-8", "surrogatepass")
                 listed = batch.column(2)[k].values
+                # of rows that share an id, a shorter one doesn't hold all runs
+                fits = (listed.field(0).to_numpy() >> 7) + (listed.field(0).to_numpy() & 127) - 1 + length <= len(text)
+                listed = listed.filter(pa.array(fits))
                 at, g, wide = listed.field(0), listed.field(1), listed.field(2)
                 raw = [text[a >> 7 : (a >> 7) + (a & 127) - 1 + length] for a in at.to_pylist()]
                 doc = pa.array(np.full(len(at), batch.column(0)[k].as_py(), np.int64))
