@@ -24,8 +24,8 @@ or window's), 128 bits in all.
 
 Defined cases: null text counts as empty; null ids come before all others; rows
 that share an id count as one document, so neither of two such rows with the same
-start is earlier, and what is removed from one goes from the others, too, at the
-same place; an empty table gives an empty result;
+start is earlier, and each loses only bytes that it has itself (a mark carries
+their hash); an empty table gives an empty result;
 other columns are not read.  Very long texts are hashed in slices that overlap.
 """
 
@@ -230,7 +230,7 @@ def _parts(batch: pa.RecordBatch, most: int = 4096) -> Iterator[tuple]:
 
 
 def _met(runs: DataFrame, length: int) -> DataFrame:
-    """(doc, at) of single windows that equal an earlier one of the same anchor."""
+    """(doc, at, h) of single windows that equal an earlier one of the same anchor."""
 
     def settle(g, doc, at, raw) -> pa.RecordBatch:
         w, anchor, d, start = _windows(g, doc, at, raw, length)
@@ -240,7 +240,7 @@ def _met(runs: DataFrame, length: int) -> DataFrame:
         new[1:] = (w[1:] != w[:-1]) | (anchor[1:] != anchor[:-1])
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = (d != d[lead]) | (start != start[lead])
-        return _batch([d[later], start[later] * 128 + 1], ["doc", "at"])
+        return _batch([d[later], start[later] * 128 + 1, w[later]], ["doc", "at", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # runs whose anchor may go on in the next part
@@ -257,7 +257,7 @@ def _met(runs: DataFrame, length: int) -> DataFrame:
             yield settle(*held)
 
     n = shuffle_partitions(runs.sparkSession)
-    return runs.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "doc long, at long")
+    return runs.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "doc long, at long, h long")
 
 
 def _window_rows(runs: DataFrame, length: int, split) -> DataFrame:
@@ -368,12 +368,13 @@ def _settled(compared: DataFrame) -> DataFrame:
     return compared.join(F.broadcast(_borders(compared)), F.col("bucket") == F.col("_bucket"))
 
 
-def _repeats(settled: DataFrame) -> DataFrame:
-    """(doc, at) of rows that equal an earlier one, also across buckets."""
+def _repeats(settled: DataFrame, bytes_hash: str) -> DataFrame:
+    """(doc, at, h) of rows that equal an earlier one, also across buckets;
+    ``bytes_hash``: the column with the hash of all bytes of the row."""
     elsewhere = (F.col("kind") == 4) & F.col("class_at").isNotNull() & (
         (F.col("doc") != F.col("class_doc")) | (F.col("at") != F.col("class_at"))
     )
-    return settled.filter((F.col("kind") == 0) | elsewhere).select("doc", "at")
+    return settled.filter((F.col("kind") == 0) | elsewhere).select("doc", "at", F.col(bytes_hash).alias("h"))
 
 
 def _sampled(docs: DataFrame) -> DataFrame:
@@ -389,8 +390,9 @@ def _splitters(rows: DataFrame, buckets: int) -> Splitters:
 
 
 def repeated_windows(docs: DataFrame, length: int = 100) -> DataFrame:
-    """``doc, at``: windows ``at >> 7`` to ``(at >> 7) + (at & 127) - 1`` of each
-    document that also start earlier somewhere.  ``docs``: ``doc`` (not null), ``text``."""
+    """``doc, at, h``: windows ``at >> 7`` to ``(at >> 7) + (at & 127) - 1`` of each
+    document that also start earlier somewhere, and the hash of the bytes they
+    cover.  ``docs``: ``doc`` (not null), ``text``."""
     if not 96 <= length <= 127:
         raise ValueError("length must be 96 to 127 bytes")
     spark = docs.sparkSession
@@ -400,7 +402,7 @@ def repeated_windows(docs: DataFrame, length: int = 100) -> DataFrame:
     sample = materialize(_sampled(docs), "suffix-sample")
     split = sc.broadcast(_splitters(_run_rows(sample, length, None), buckets))
     settled = _settled(_compare(_run_rows(docs, length, split), True))
-    whole = _repeats(settled)
+    whole = _repeats(settled, "h")
     def flag(bit: int):
         return F.col("edge").bitwiseAND(F.lit(bit).cast("byte")) != 0
 
@@ -413,12 +415,14 @@ def repeated_windows(docs: DataFrame, length: int = 100) -> DataFrame:
     narrow = _met(contested.filter("not wide").select("g", "doc", "at", "raw"), length)
     wide = contested.filter("wide").select("g", "doc", "at", "raw")
     fine = sc.broadcast(_splitters(_window_rows(wide.join(sample.select("doc"), "doc", "left_semi"), length, None), buckets))
-    single = _repeats(_settled(_compare(_window_rows(wide, length, fine), False)))
+    single = _repeats(_settled(_compare(_window_rows(wide, length, fine), False)), "g")
     return whole.unionByName(narrow).unionByName(single)
 
 
 def _spans(at: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Maximal byte ranges covered by the windows in ``at``."""
+    if not len(at):
+        return []
     first = at >> 7
     by = np.argsort(first, kind="stable")
     lo, hi = first[by], (first + (at & 127) - 1 + length)[by]
@@ -428,10 +432,26 @@ def _spans(at: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(lo[heads].tolist(), top[np.append(heads[1:] - 1, len(lo) - 1)].tolist(), strict=True))
 
 
+def _held(raw: bytes, at: np.ndarray, h: np.ndarray, length: int) -> np.ndarray:
+    """Those of the marks ``at`` at whose place ``raw`` has the bytes hashed to
+    ``h``; the others belong to another row of the same id."""
+    first, size = at >> 7, (at & 127) - 1 + length
+    ok = first + size <= len(raw)
+    by = np.flatnonzero(ok)
+    by = by[np.argsort(first[by], kind="stable")]
+    cuts = np.searchsorted(first[by], np.arange(0, len(raw) + SLICE, SLICE))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        part, base = by[cuts[k] : cuts[k + 1]], k * SLICE
+        h64 = _power_hashes(np.frombuffer(raw[base : base + SLICE + 2 * length], np.uint8))[64]
+        ok[part] = _span_hash(h64, first[part] - base, size[part]).view(np.int64) == h[part]
+    return at[ok]
+
+
 def _marked(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` (doc, text and others) with the array ``marks`` (null: none)."""
+    """``docs`` (doc, text and others) with the array ``marks`` (null: none) of
+    (at, h) of all rows of the id."""
     marks = repeated_windows(docs.select("doc", "text"), length)
-    by_doc = marks.groupBy("doc").agg(F.collect_set("at").alias("marks"))
+    by_doc = marks.groupBy("doc").agg(F.collect_set(F.struct("at", "h")).alias("marks"))
     return docs.join(by_doc, "doc", "left")
 
 
@@ -445,9 +465,10 @@ def removed_spans(docs: DataFrame, length: int = 100, text_col: str = "text") ->
             out: list[tuple] = []
             for text, marks in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                # rows with one id share their marks; those past a row's end are the other row's
-                spans = _spans(marks.values.to_numpy(), length) if marks.is_valid else []
-                spans = [(a, min(b, len(raw))) for a, b in spans if a < len(raw)]
+                spans = []
+                if marks.is_valid:
+                    at, h = (marks.values.field(k).to_numpy() for k in range(2))
+                    spans = _spans(_held(raw, at, h, length), length)
                 kept = hashlib.sha256()
                 at = 0
                 for a, b in spans:
@@ -477,16 +498,16 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     slim = docs.select(order_id().alias("doc"), text_or_empty().alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
     @F.pandas_udf("string")
-    def cut(texts, marks):
+    def cut(texts, places, hashes):
         import pandas as pd
 
         out = []
-        for text, m in zip(texts, marks, strict=True):
+        for text, m, h in zip(texts, places, hashes, strict=True):
             if m is None:
                 out.append(text)
                 continue
             raw, at, kept = text.encode("utf-8", "surrogatepass"), 0, []
-            for a, b in _spans(np.asarray(m, np.int64), length):
+            for a, b in _spans(_held(raw, np.asarray(m, np.int64), np.asarray(h, np.int64), length), length):
                 kept.append(raw[at:a])
                 at = max(at, b)
             out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "ignore"))
@@ -494,7 +515,7 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
     row = F.col("row")
     changed = F.col("marks").isNotNull() & row["text"].isNotNull()
-    got = _marked(slim, length).select("row", changed.alias("changed"), F.when(changed, cut("text", "marks")).alias("cut"))
+    got = _marked(slim, length).select("row", changed.alias("changed"), F.when(changed, cut("text", "marks.at", "marks.h")).alias("cut"))
     new = {"text": F.col("cut")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("cut").cast(docs.schema["n_chars"].dataType)
