@@ -13,6 +13,8 @@ only recomputes the current round.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,6 @@ def greedy_dedup(
     edges: DataFrame,
     *,
     id_col: str = "id",
-    max_rounds: int = 1000,
 ) -> DataFrame:
     """``nodes``: (id_col); ``edges``: (src, dst) with src before dst in the
     arrival order.  Returns (id_col, kept boolean, round)."""
@@ -44,7 +45,7 @@ def greedy_dedup(
         )
         .checkpoint()
     )
-    for rnd in range(1, max_rounds + 1):
+    for rnd in itertools.count(1):  # each round decides at least one node
         undecided = state.filter(F.col("status") == UNDECIDED).select("id")
         if undecided.limit(1).count() == 0:
             break
@@ -81,8 +82,6 @@ def greedy_dedup(
             )
             .checkpoint()
         )
-    else:
-        raise RuntimeError(f"greedy_dedup did not finish in {max_rounds} rounds")
     return state.select(
         F.col("id").alias(id_col), (F.col("status") == KEPT).alias("kept"), F.col("round").cast("int")
     )

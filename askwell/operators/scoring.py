@@ -19,7 +19,6 @@ from askwell.functions.numeric import round_ratio
 from askwell.functions.text import is_blank, normalize_sql
 
 GOLD = "gold"
-NULL_CELL = "\\N"
 # Evaluation outcomes and messages of the reference
 CORRECT, INCORRECT = "correct", "incorrect"
 ERR_EMPTY = "Empty prediction"
@@ -35,17 +34,17 @@ def canonical_cells(df: DataFrame, digits: int = 4, columns: list[str] | None =
     """One result row as array<string>.  Every numeric is rounded to
     ``digits`` and printed as DECIMAL(38, digits), so 15, 15.0 and 15.00004
     compare equal the way Python's int/float/Decimal equality does after the
-    reference's rounding; NULL becomes a marker so rows with NULLs group."""
+    reference's rounding.  NaN, the infinities and values beyond that type keep
+    their own text; a NULL is a null cell, which equals no text."""
     cols = columns or df.columns
     cells = []
     for name in cols:
-        f = df.schema[name]
         c = F.col(name)
-        if isinstance(f.dataType, (DecimalType, DoubleType, FloatType, IntegralType)):
-            c = F.round(c, digits).cast(f"decimal(38,{digits})").cast("string")
-        else:
-            c = c.cast("string")
-        cells.append(F.coalesce(c, F.lit(NULL_CELL)))
+        text = c.cast("string")
+        if isinstance(df.schema[name].dataType, (DecimalType, DoubleType, FloatType, IntegralType)):
+            exact = F.round(c, digits).try_cast(f"decimal(38,{digits})").cast("string")
+            text = F.coalesce(exact, text)
+        cells.append(text)
     return F.array(*cells) if cells else F.array().cast("array<string>")
 
 
@@ -187,12 +186,13 @@ def running_accuracy(scored: DataFrame, every: int = 10, order_col: str = "quest
 def preview_rows(rows: DataFrame, n: int = 25) -> DataFrame:
     """The first n rows per (question_id, side) by canonical text, and how
     many more there are ("... and N more rows")."""
-    w = Window.partitionBy("question_id", "side").orderBy(F.array_join("row", "\u0001"))
-    numbered = rows.withColumn("_rn", F.row_number().over(w))
-    return numbered.groupBy("question_id", "side").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_rn") <= n, F.struct("_rn", "row")))).alias("_shown"),
-        F.greatest(F.count(F.lit(1)) - F.lit(n), F.lit(0)).alias("n_more"),
-    ).select("question_id", "side", F.transform("_shown", lambda s: s["row"]).alias("shown"), "n_more")
+    key = ["question_id", "side"]
+    w = Window.partitionBy(*key).orderBy("row")
+    # the rank filter drops rows beyond n before the shuffle
+    first = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+    shown = first.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_rn", "row"))).alias("_shown"))
+    more = rows.groupBy(*key).agg(F.greatest(F.count(F.lit(1)) - F.lit(n), F.lit(0)).alias("n_more"))
+    return more.join(shown, key).select(*key, F.transform("_shown", lambda s: s["row"]).alias("shown"), "n_more")
 
 
 # --- E3 / E4 -----------------------------------------------------------------------------------
@@ -320,23 +320,25 @@ def run_queries(
 
     ``texts``: (question_id, side, sql).  Each text passes the write guard
     first (commands would execute eagerly in ``spark.sql``), then is analysed;
-    failures become ``success = false`` with the error text.  Results stay
-    lazy and are scored together in one job, unless ``materialize_to`` (a
-    folder under the shared checkpoint location) is given: then every query
+    failures become ``success = false`` with the error text.  Every query
     runs as its own job group, cancelled after ``timeout_s`` seconds, and its
-    rows are written there (lineage is cut and a lost executor only reruns
-    that query)."""
+    rows are written to ``materialize_to`` (default: a new folder under the
+    shared checkpoint location), so a run-time failure or a timeout is one
+    recorded outcome and a lost executor only reruns that query."""
     import logging
     import re
     import threading
+    import uuid
 
     # analysis failures are expected outcomes here, not errors to log
     logging.getLogger("SQLQueryContextLogger").setLevel(logging.CRITICAL)
 
     from askwell.functions.text import WRITE_PATTERN
+    from askwell.session import scratch_path
 
     guard = re.compile(WRITE_PATTERN.replace("(?i)", ""), re.I)
     sc = spark.sparkContext
+    folder = (materialize_to or scratch_path(spark, f"queries-{uuid.uuid4().hex}")).rstrip("/")
     parts, status = [], []
     for qid, side, sql in texts:
         if not sql or not sql.strip():
@@ -351,24 +353,23 @@ def run_queries(
             status.append((qid, side, False, str(exc).splitlines()[0][:500]))
             continue
         rows = result_rows(df, qid, side, digits)
-        if materialize_to:
-            group = f"askwell-q{qid}-{side}"
-            sc.setJobGroup(group, f"query {qid} {side}", interruptOnCancel=True)
-            timer = None
-            if timeout_s:
-                timer = threading.Timer(timeout_s, lambda g=group: sc.cancelJobGroup(g))
-                timer.start()
-            path = f"{materialize_to.rstrip('/')}/q={qid}/side={side}"
-            try:
-                rows.write.mode("overwrite").parquet(path)
-                rows = spark.read.parquet(path)
-            except Exception as exc:
-                status.append((qid, side, False, f"execution failed: {str(exc).splitlines()[0][:300]}"))
-                continue
-            finally:
-                if timer:
-                    timer.cancel()
-                sc.setLocalProperty("spark.jobGroup.id", None)
+        group = f"askwell-q{qid}-{side}"
+        sc.setJobGroup(group, f"query {qid} {side}", interruptOnCancel=True)
+        timer = None
+        if timeout_s:
+            timer = threading.Timer(timeout_s, lambda g=group: sc.cancelJobGroup(g))
+            timer.start()
+        path = f"{folder}/q={qid}/side={side}"
+        try:
+            rows.write.mode("overwrite").parquet(path)
+            rows = spark.read.schema(rows.schema).parquet(path)
+        except Exception as exc:  # failed or cancelled while running
+            status.append((qid, side, False, f"execution failed: {str(exc).splitlines()[0][:300]}"))
+            continue
+        finally:
+            if timer:
+                timer.cancel()
+            sc.setLocalProperty("spark.jobGroup.id", None)
         parts.append(rows)
         status.append((qid, side, True, None))
     schema = "question_id long, side string, row array<string>"

@@ -1,137 +1,227 @@
-"""Scoring scenario over the driver tables.
-
-Gold: the 30 evaluation questions rewritten onto the adapter views.
-Predictions (rule-derived from the gold texts, so every strategy's result
-rows come from executing SQL against the whole tables):
-  * dynamic_few_shot - the gold text re-spaced (same result; exact match
-    after normalisation)
-  * zero_shot        - the gold text with the business conventions missed:
-    "valid" and "completed" both read as status != 'cancelled'
-  * static_few_shot  - the first seed example's SQL for every question
+"""Scoring of predicted against gold results: one question per customer.
+
+The question is what the customer ordered month by month; the gold rows leave
+out pending orders.  Three strategies answer it, each by its own definition over
+the whole ``orders`` table:
+  * dynamic_few_shot - the gold definition (its text only spaced otherwise), but
+    closed orders alone for every tenth customer
+  * zero_shot        - pending orders are not left out
+  * static_few_shot  - one total, so its rows have another width
+Some gold and predicted queries failed and some predictions are blank, by the
+question's number.  A month without urgent orders has a NULL cell.
 Phases for E6-E8/A13: baseline = zero_shot, with_learning = dynamic_few_shot;
 the judge verdict is EQUIVALENT iff the result sets match.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from askwell.functions.numeric import sql_round_ratio
 from askwell.operators import scoring as S
 from askwell.plans.catalog import register
-from askwell.session import ensure_checkpoint_dir
-from askwell.sources import fixtures as FX
-
-STRATEGIES = ("zero_shot", "static_few_shot", "dynamic_few_shot")
-
-
-def _zero_shot(sql: str) -> str:
-    sql = re.sub(r"status NOT IN \('cancelled', 'returned'\)", "status != 'cancelled'", sql)
-    return re.sub(r"status IN \('shipped', 'delivered'\)", "status != 'cancelled'", sql)
-
-
-def _respace(sql: str) -> str:
-    body = re.sub(r"\s+", "  ", sql.strip().rstrip(";").strip()).replace("(", "( ")
-    return "  " + body + ";"
-
-
-def scenario(spark: SparkSession, sf_dir: str):
-    FX.register_views(spark, sf_dir)
-    questions = FX.builtin_questions(spark, "evaluation")
-    gold = [(i, s) for i, (_, _, s) in enumerate(FX.EVALUATION)]
-    preds = []
-    for i, s in gold:
-        preds.append(("dynamic_few_shot", i, _respace(s)))
-        preds.append(("zero_shot", i, _zero_shot(s)))
-        preds.append(("static_few_shot", i, FX.SEED_EXAMPLES[0][1]))
-    predictions = spark.createDataFrame(preds, "strategy string, question_id long, generated_sql string")
-    # execute each distinct view text once; every side that uses it shares the rows
-    texts = [(i, S.GOLD, FX.to_view_sql(s)) for i, s in gold]
-    texts += [(i, st, FX.to_view_sql(s)) for st, i, s in preds]
-    key = lambda s: re.sub(r"\s+", " ", s.strip().rstrip(";").strip())
-    first: dict[tuple[int, str], str] = {}
-    run, alias = [], []
-    for qid, side, s in texts:
-        k = (qid, key(s))
-        if k in first:
-            alias.append((qid, side, first[k]))
-        else:
-            first[k] = side
-            run.append((qid, side, s))
-    rows, execs = S.run_queries(spark, run)
-    ensure_checkpoint_dir(spark)
-    # every executed query's rows are read by several consumers: compute them
-    # once and keep them in the shared checkpoint folder
-    rows = rows.checkpoint()
-    if alias:
-        amap = spark.createDataFrame(alias, "question_id long, side string, src string")
-        rows = rows.unionByName(
-            rows.join(amap.withColumnRenamed("side", "alias").withColumnRenamed("src", "side"),
-                      ["question_id", "side"]).select("question_id", F.col("alias").alias("side"), "row")
-        )
-        execs = execs.unionByName(
-            execs.join(amap.withColumnRenamed("side", "alias").withColumnRenamed("src", "side"),
-                       ["question_id", "side"]).select("question_id", F.col("alias").alias("side"), "success", "error")
-        )
-    pairs = predictions.select("question_id", "strategy")
-    matches = S.results_match(rows, pairs)
-    scored = S.score_examples(questions, predictions, execs, matches).checkpoint()
-    return questions, predictions, rows, execs, scored
-
-
-def _phases(scored: DataFrame) -> DataFrame:
-    ph = scored.filter(F.col("strategy").isin("zero_shot", "dynamic_few_shot")).select(
-        F.when(F.col("strategy") == "zero_shot", "baseline").otherwise("with_learning").alias("phase"),
-        "question_id", "difficulty", "valid_sql",
-        S.phase_verdict(F.col("valid_sql") | F.col("error").isNull(), F.col("error").isNull() | (F.col("error") != S.ERR_GOLD),
-                        F.when(F.col("execution_match"), "EQUIVALENT: same rows").otherwise("DIFFERENT: rows differ")).alias("verdict"),
-    )
-    return ph
+from askwell.sources.tables import Tables
 
+ZERO, STATIC, DYNAMIC = "zero_shot", "static_few_shot", "dynamic_few_shot"
+STRATEGIES = (ZERO, STATIC, DYNAMIC)
+_SELECT = "SELECT month, SUM(amount), MAX(urgent) FROM orders WHERE customer = "
 
-def s_scored(spark, sf_dir):
-    return scenario(spark, sf_dir)[4]
 
+def _gold_ok(q: Column) -> Column:
+    return q % 97 != 5
 
-def s_strategy_summary(spark, sf_dir):
-    return S.strategy_summary(scenario(spark, sf_dir)[4])
 
+def _pred_ok(q: Column, strategy: Column) -> Column:
+    return F.when(strategy == DYNAMIC, q % 50 != 11).when(strategy == STATIC, q % 20 != 3).otherwise(F.lit(True))
 
-def s_accuracy_by_difficulty(spark, sf_dir):
-    return S.accuracy_by_difficulty(scenario(spark, sf_dir)[4])
 
+def _blank(q: Column) -> Column:
+    return q % 25 == 7
 
-def s_leaderboard(spark, sf_dir):
-    return S.strategy_leaderboard(S.strategy_summary(scenario(spark, sf_dir)[4]))
 
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("c_custkey")
+    level = F.when(q % 4 == 0, "simple").when(q % 4 == 1, "moderate").when(q % 4 == 2, "challenging")
+    gold = F.concat(F.lit(_SELECT), q.cast("string"), F.lit(" AND status NOT IN ('P') GROUP BY month"))
+    return Tables(spark, sf_dir).customer.select(q.alias("question_id"), level.alias("difficulty"), gold.alias("gold_sql"))
 
-def s_running_accuracy(spark, sf_dir):
-    return S.running_accuracy(scenario(spark, sf_dir)[4])
 
+def predictions(asked: DataFrame) -> DataFrame:
+    q = F.col("question_id")
+    who = q.cast("string")
+    closed = F.concat(F.lit(_SELECT), who, F.lit(" AND status IN ('F') GROUP BY month"))
+    spaced = F.concat(F.lit("  " + _SELECT.replace(" FROM", "\n  from")), who, F.lit(" AND status NOT IN ( 'P' )  GROUP BY month;"))
+    texts = {
+        ZERO: F.when(_blank(q), F.lit("  ")).otherwise(F.concat(F.lit(_SELECT), who, F.lit(" GROUP BY month"))),
+        STATIC: F.lit("SELECT SUM(amount) FROM orders"),
+        DYNAMIC: F.when(q % 10 == 9, closed).otherwise(spaced),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), t.alias("generated_sql")) for s, t in texts.items()]))
+    return asked.select("question_id", each.alias("p")).select("p.strategy", "question_id", "p.generated_sql")
 
-def s_preview(spark, sf_dir):
-    rows = scenario(spark, sf_dir)[2]
-    return S.preview_rows(rows.filter(F.col("side") == S.GOLD), 25).select("question_id", "n_more", F.size("shown").alias("n_shown"))
 
+def executions(preds: DataFrame) -> DataFrame:
+    q, s = F.col("question_id"), F.col("strategy")
+    return preds.select(q, s.alias("side"), _pred_ok(q, s).alias("success")).unionByName(
+        preds.filter(s == ZERO).select(q, F.lit(S.GOLD).alias("side"), _gold_ok(q).alias("success"))
+    )
 
-def s_phase_accuracy(spark, sf_dir):
-    return S.phase_accuracy(_phases(scenario(spark, sf_dir)[4]))
+
+def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows of all sides from one pass: orders are summed per customer,
+    month and status first, and only those sums are dealt to the sides."""
+    by = Tables(spark, sf_dir).orders.groupBy(
+        F.col("o_custkey").alias("question_id"),
+        F.date_format("o_orderdate", "yyyy-MM").alias("month"),
+        F.col("o_orderstatus").alias("status"),
+    ).agg(
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("amount"),
+        F.max(F.when(F.col("o_orderpriority") == "1-URGENT", F.date_format("o_orderdate", "yyyy-MM-dd"))).alias("urgent"),
+    )
+    q, st, side = F.col("question_id"), F.col("status"), F.col("side")
+    sides = F.array_compact(F.array(
+        F.when((st != "P") & _gold_ok(q), S.GOLD),
+        F.when((st != "P") & ~((q % 10 == 9) & (st == "O")) & _pred_ok(q, F.lit(DYNAMIC)), DYNAMIC),
+        F.when(~_blank(q), ZERO),
+        F.when((st != "P") & _pred_ok(q, F.lit(STATIC)), STATIC),
+    ))
+    total = F.sum("amount").cast("decimal(38,4)").cast("string")
+    return (
+        by.select("question_id", F.explode(sides).alias("side"), "month", "amount", "urgent")
+        .withColumn("month", F.when(side != STATIC, F.col("month")))
+        .groupBy("question_id", "side", "month")
+        .agg(total.alias("total"), F.max("urgent").alias("urgent"))
+        .select("question_id", "side", F.when(side == STATIC, F.array("total")).otherwise(F.array("month", "total", "urgent")).alias("row"))
+    )
 
 
-def s_flips(spark, sf_dir):
-    return S.flips(_phases(scenario(spark, sf_dir)[4]))
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = questions(spark, sf_dir)
+    preds = predictions(asked)
+    matches = S.results_match(rows(spark, sf_dir), preds.select("question_id", "strategy"))
+    return S.score_examples(asked, preds, executions(preds), matches)
 
 
-def s_phase_comparison(spark, sf_dir):
-    return S.phase_comparison(_phases(scenario(spark, sf_dir)[4]))
+def _phases(df: DataFrame) -> DataFrame:
+    gold_ok = F.col("error").isNull() | (F.col("error") != S.ERR_GOLD)
+    judge = F.when(F.col("execution_match"), "EQUIVALENT: same rows").otherwise("DIFFERENT: rows differ")
+    return df.filter(F.col("strategy").isin(ZERO, DYNAMIC)).select(
+        F.when(F.col("strategy") == ZERO, "baseline").otherwise("with_learning").alias("phase"),
+        "question_id", "difficulty", "valid_sql",
+        S.phase_verdict(F.col("error").isNull(), gold_ok, judge).alias("verdict"),
+    )
 
 
-for _name, _fn in [
-    ("s_scored", s_scored), ("s_strategy_summary", s_strategy_summary),
-    ("s_accuracy_by_difficulty", s_accuracy_by_difficulty), ("s_leaderboard", s_leaderboard),
-    ("s_running_accuracy", s_running_accuracy), ("s_preview", s_preview),
-    ("s_phase_accuracy", s_phase_accuracy), ("s_flips", s_flips), ("s_phase_comparison", s_phase_comparison),
-]:
-    register(_name, _fn)  # outcomes of executed SQL texts: rows-only checks
+def s_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five rows of each side, as one text, and how many more."""
+    shown = F.array_join(F.transform("shown", lambda r: F.array_join(r, ",", "-")), ";")
+    return S.preview_rows(rows(spark, sf_dir), 5).select("question_id", "side", shown.alias("shown"), "n_more")
+
+
+# ---- the same as DuckDB SQL ---------------------------------------------------
+
+
+def _norm(text: str) -> str:
+    s = f"lower(regexp_replace(regexp_replace({text}, '^\\s+|\\s+$', '', 'g'), ';+$', ''))"
+    for pattern, new in ((r"\s+", " "), (r"\(\s+", "("), (r"\s+\)", ")")):
+        s = f"regexp_replace({s}, '{pattern}', '{new}', 'g')"
+    return s
+
+
+_Q = _SELECT.replace("'", "''")
+_ROWS = """o AS (
+  SELECT o_custkey AS q, strftime(o_orderdate, '%Y-%m') AS m, o_orderstatus AS st, CAST(o_totalprice AS DECIMAL(18,2)) AS amt,
+    CASE WHEN o_orderpriority = '1-URGENT' THEN strftime(o_orderdate, '%Y-%m-%d') END AS urgent
+  FROM orders),
+dealt AS (
+  SELECT q, 'gold' AS side, m, amt, urgent FROM o WHERE st <> 'P' AND q % 97 <> 5
+  UNION ALL SELECT q, 'dynamic_few_shot', m, amt, urgent FROM o WHERE st <> 'P' AND NOT (q % 10 = 9 AND st = 'O') AND q % 50 <> 11
+  UNION ALL SELECT q, 'zero_shot', m, amt, urgent FROM o WHERE q % 25 <> 7
+  UNION ALL SELECT q, 'static_few_shot', '', amt, '' FROM o WHERE st <> 'P' AND q % 20 <> 3),
+res AS (
+  SELECT q, side, CASE WHEN side = 'static_few_shot' THEN t ELSE m || ',' || t || ',' || coalesce(urgent, '-') END AS r
+  FROM (SELECT q, side, m, CAST(CAST(SUM(amt) AS DECIMAL(38,4)) AS VARCHAR) AS t, MAX(urgent) AS urgent FROM dealt GROUP BY q, side, m))"""
+_SCORED = f"""{_ROWS},
+lists AS (SELECT q, side, string_agg(r, ';' ORDER BY r) AS r FROM res GROUP BY q, side),
+asked AS (
+  SELECT c_custkey AS q, CASE c_custkey % 4 WHEN 0 THEN 'simple' WHEN 1 THEN 'moderate' WHEN 2 THEN 'challenging' ELSE 'unknown' END AS difficulty,
+    '{_Q}' || c_custkey || ' AND status NOT IN (''P'') GROUP BY month' AS gold
+  FROM customer),
+pred AS (
+  SELECT q, 'zero_shot' AS strategy, CASE WHEN q % 25 = 7 THEN '  ' ELSE '{_Q}' || q || ' GROUP BY month' END AS p, true AS ok FROM asked
+  UNION ALL SELECT q, 'static_few_shot', 'SELECT SUM(amount) FROM orders', q % 20 <> 3 FROM asked
+  UNION ALL SELECT q, 'dynamic_few_shot', CASE WHEN q % 10 = 9 THEN '{_Q}' || q || ' AND status IN (''F'') GROUP BY month'
+    ELSE '   ' || '{_Q}' || q || '  AND status NOT IN ( ''P'' ) GROUP BY month;' END, q % 50 <> 11 FROM asked),
+judged AS (
+  SELECT strategy, a.q, difficulty, gold, p, trim(p) = '' AS empty, a.q % 97 = 5 AS gold_bad, NOT ok AS pred_bad,
+    g.r IS NOT DISTINCT FROM l.r AS same
+  FROM pred JOIN asked a ON pred.q = a.q
+  LEFT JOIN lists g ON g.q = a.q AND g.side = 'gold' LEFT JOIN lists l ON l.q = a.q AND l.side = strategy),
+scored AS (
+  SELECT strategy, q AS question_id, difficulty, NOT (empty OR gold_bad OR pred_bad) AND same AS execution_match,
+    NOT (empty OR gold_bad OR pred_bad) AS valid_sql, NOT empty AND {_norm('gold')} = {_norm('p')} AS exact_match,
+    CASE WHEN empty THEN '{S.ERR_EMPTY}' WHEN gold_bad THEN '{S.ERR_GOLD}' WHEN pred_bad THEN '{S.ERR_PRED}' END AS error
+  FROM judged)"""
+
+
+def _hits(flag: str) -> str:
+    return sql_round_ratio(f"COUNT(*) FILTER (WHERE {flag})", "COUNT(*)", 4)
+
+
+def _points(num: str, den: str) -> str:
+    return f"CASE WHEN {num} >= 0 THEN {sql_round_ratio(f'({num}) * 100', den, 1)} ELSE -{sql_round_ratio(f'-({num}) * 100', den, 1)} END"
+
+
+_SUMMARY = f"""SELECT strategy, COUNT(*) AS total, {_hits('execution_match')} AS execution_accuracy,
+  {_hits('valid_sql')} AS valid_sql_rate, {_hits('exact_match')} AS exact_match_rate FROM scored GROUP BY strategy"""
+_PHASES = f"""{_SCORED},
+ph AS (SELECT question_id, difficulty, valid_sql, execution_match AS good,
+  CASE strategy WHEN 'zero_shot' THEN 'baseline' ELSE 'with_learning' END AS phase
+  FROM scored WHERE strategy <> 'static_few_shot')"""
+
+register("s_scored", scored, f"WITH {_SCORED} SELECT * FROM scored")
+register("s_strategy_summary", lambda s, d: S.strategy_summary(scored(s, d)), f"WITH {_SCORED} {_SUMMARY}")
+register(
+    "s_accuracy_by_difficulty", lambda s, d: S.accuracy_by_difficulty(scored(s, d)),
+    f"WITH {_SCORED} SELECT strategy, difficulty, COUNT(*) AS count, {_hits('execution_match')} AS execution_accuracy FROM scored GROUP BY ALL",
+)
+register(
+    "s_leaderboard", lambda s, d: S.strategy_leaderboard(S.strategy_summary(scored(s, d))),
+    f"WITH {_SCORED}, y AS ({_SUMMARY}) SELECT *, execution_accuracy = (SELECT MAX(execution_accuracy) FROM y) AS is_best FROM y ORDER BY execution_accuracy DESC, strategy",
+)
+register(
+    "s_running_accuracy", lambda s, d: S.running_accuracy(scored(s, d)),
+    f"""WITH {_SCORED}, n AS (
+  SELECT strategy, ROW_NUMBER() OVER w AS i, SUM(CAST(execution_match AS INT)) OVER w AS hits, COUNT(*) OVER (PARTITION BY strategy) AS total
+  FROM scored WINDOW w AS (PARTITION BY strategy ORDER BY question_id ROWS UNBOUNDED PRECEDING))
+SELECT strategy, i, {sql_round_ratio('hits', 'i', 4)} AS running_accuracy FROM n WHERE i % 10 = 0 OR i = total""",
+)
+register(
+    "s_preview", s_preview,
+    f"""WITH {_ROWS}, n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY q, side ORDER BY r) AS i FROM res)
+SELECT q AS question_id, side, string_agg(r, ';' ORDER BY r) FILTER (WHERE i <= 5) AS shown, GREATEST(COUNT(*) - 5, 0) AS n_more FROM n GROUP BY q, side""",
+)
+register(
+    "s_phase_accuracy", lambda s, d: S.phase_accuracy(_phases(scored(s, d))),
+    f"""WITH {_PHASES}, t AS (
+  SELECT phase, COUNT(*) AS total, COUNT(*) FILTER (WHERE good) AS correct, {_hits('good')} AS accuracy, {_hits('valid_sql')} AS valid_sql_rate
+  FROM ph GROUP BY phase)
+SELECT t.*, {_points('l.correct * b.total - b.correct * l.total', 'b.total * l.total')} AS improvement_pp
+FROM t, (SELECT * FROM t WHERE phase = 'baseline') b, (SELECT * FROM t WHERE phase = 'with_learning') l""",
+)
+register(
+    "s_flips", lambda s, d: S.flips(_phases(scored(s, d))),
+    f"""WITH {_PHASES} SELECT l.question_id, l.difficulty, CASE WHEN l.good THEN 'fixed' ELSE 'regressed' END AS flip
+FROM ph l JOIN ph b ON b.question_id = l.question_id AND b.phase = 'baseline' AND l.phase = 'with_learning' WHERE l.good <> b.good""",
+)
+register(
+    "s_phase_comparison", lambda s, d: S.phase_comparison(_phases(scored(s, d))),
+    f"""WITH {_PHASES}, c AS (
+  SELECT difficulty, COUNT(*) FILTER (WHERE phase = 'baseline') AS nb, COUNT(*) FILTER (WHERE phase = 'baseline' AND good) AS cb,
+    COUNT(*) FILTER (WHERE phase = 'with_learning') AS nl, COUNT(*) FILTER (WHERE phase = 'with_learning' AND good) AS cl
+  FROM ph GROUP BY difficulty)
+SELECT difficulty, nb AS count, {sql_round_ratio('cb', 'nb', 4)} AS baseline_accuracy, {sql_round_ratio('cl', 'nl', 4)} AS learned_accuracy,
+  {_points('cl * nb - cb * nl', 'nb * nl')} AS delta_pp
+FROM c WHERE difficulty IN ('simple', 'moderate', 'challenging')""",
+)

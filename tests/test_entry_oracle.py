@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from tests.oracle_check import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SLOW = {n for n in E.queries() if n.startswith("s_") or n.startswith("fb_feedback") or n == "fb_gate_stats"}
+SLOW = {n for n in E.queries() if n.startswith("fb_feedback") or n == "fb_gate_stats"}
 
 
 def test_entry_smoke(spark):

@@ -150,3 +150,20 @@ def test_profiles(spark):
     assert kp == {"id": True, "p": False}
     fk = foreign_key_profile({"t": t, "u": u}, [("t", "p", "u", "x")]).collect()[0]
     assert fk["holds"] and fk["orphans"] == 0
+
+
+def test_special_numbers_and_nulls_are_different_cells(spark):
+    df = spark.sql("SELECT double('NaN') a UNION ALL SELECT double('Infinity') UNION ALL SELECT double('-Infinity') UNION ALL SELECT 1e40D UNION ALL SELECT NULL UNION ALL SELECT 15.00004D")
+    got = [r["row"][0] for r in S.result_rows(df, 1, S.GOLD).collect()]
+    assert got == ["NaN", "Infinity", "-Infinity", "1.0E40", None, "15.0000"]
+    rows = S.result_rows(spark.sql("SELECT string(NULL) x"), 1, S.GOLD).unionByName(S.result_rows(spark.sql("SELECT '\\\\N' x"), 1, "a"))
+    rows = rows.unionByName(S.result_rows(spark.sql("SELECT string(NULL) x"), 1, "b"))
+    pairs = _rows(spark, [(1, "a"), (1, "b")], "question_id long, strategy string")
+    assert {r["strategy"]: r["execution_match"] for r in S.results_match(rows, pairs).collect()} == {"a": False, "b": True}
+
+
+def test_run_time_failure_is_a_recorded_outcome(spark):
+    texts = [(1, S.GOLD, "SELECT id FROM range(3)"), (1, "a", "SELECT raise_error('no') AS id FROM range(3)"), (2, "a", "SELECT nothing FROM nowhere")]
+    rows, execs = S.run_queries(spark, texts)
+    assert rows.count() == 3
+    assert {(r["question_id"], r["side"]): r["success"] for r in execs.collect()} == {(1, S.GOLD): True, (1, "a"): False, (2, "a"): False}
