@@ -11,11 +11,12 @@ the order-dependent dedup is the exact greedy rounds of ``dedup.greedy_dedup``.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askwell.session import ensure_checkpoint_dir
+from askwell.session import ensure_checkpoint_dir, materialize, scratch_path
 from askwell.functions.text import (
     REASON_EMPTY,
     REASON_WRITE,
@@ -145,16 +146,19 @@ def validation_reason(sql: Column, analysable: Column | None = None) -> Column:
     return r
 
 
-def analysable_texts(spark: SparkSession, texts: DataFrame, col: str = "generated_sql", max_texts: int = 10_000) -> DataFrame:
+def analysable_texts(spark: SparkSession, texts: DataFrame, col: str = "generated_sql", chunk: int = 5_000) -> DataFrame:
     """Which distinct SQL texts Spark can analyse (``spark.sql(q).schema``
-    raises on unknown tables/columns).  Analysis is a driver operation, so
-    this runs over the *distinct* texts that passed the cheap checks; the
-    count is checked first and the work is done in chunks."""
-    distinct = texts.select(col).distinct().filter(~is_blank(F.col(col)) & ~has_write_keyword(F.col(col)))
-    n = distinct.count()
-    if n > max_texts:
-        raise ValueError(f"{n} distinct SQL texts to analyse; raise max_texts deliberately")
-    out = []
+    raises on unknown tables/columns).  Analysis is the driver's own work, so
+    only the *distinct* texts that passed the cheap checks reach it, one
+    partition at a time, and outcomes are written away every ``chunk`` texts:
+    the driver holds no more than that, however many there are."""
+    distinct = materialize(
+        texts.select(col).distinct().filter(~is_blank(F.col(col)) & ~has_write_keyword(F.col(col))), "sql-texts"
+    )
+    path = scratch_path(spark, f"analysed-{uuid.uuid4().hex}")
+    schema = f"{col} string, analysable boolean"
+    out: list[tuple[str, bool]] = []
+    spark.createDataFrame([], schema).write.parquet(path)
     for row in distinct.toLocalIterator():
         q = row[col]
         try:
@@ -163,7 +167,12 @@ def analysable_texts(spark: SparkSession, texts: DataFrame, col: str = "generate
         except Exception:
             ok = False
         out.append((q, ok))
-    return spark.createDataFrame(out, f"{col} string, analysable boolean")
+        if len(out) == chunk:
+            spark.createDataFrame(out, schema).write.mode("append").parquet(path)
+            out = []
+    if out:
+        spark.createDataFrame(out, schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 # --- ST1 -----------------------------------------------------------------------------------

@@ -122,25 +122,14 @@ def select_zero(questions: DataFrame) -> DataFrame:
     return questions.select("q_id", F.array().cast(EXAMPLE_TYPE).alias("examples"))
 
 
-def _pool_literal(pool: DataFrame, id_col: str, max_pool: int) -> Column:
-    rows = pool.orderBy(id_col).select("question", "sql_query", id_col).limit(max_pool + 1).collect()
-    if len(rows) > max_pool:
-        raise ValueError(f"example pool larger than {max_pool}; use select_dynamic")
-    return F.array(*[
-        F.struct(F.lit(r[id_col]).cast("bigint").alias("id"), F.lit(r["question"]).alias("question"),
-                 F.lit(r["sql_query"]).alias("sql_query"))
-        for r in rows
-    ])
-
-
 def select_static(questions: DataFrame, pool: DataFrame, k: int = FEW_SHOT_K, id_col: str = "example_id") -> DataFrame:
     """The first k pool examples (by id) for every question.  The k rows
     are a bounded literal, so no join is needed."""
-    first = pool.orderBy(id_col).limit(k)
-    lit = _pool_literal(first, id_col, k)
-    return questions.select(
-        "q_id", F.transform(lit, lambda e: F.struct(e["question"].alias("question"), e["sql_query"].alias("sql_query"))).alias("examples")
-    )
+    first = pool.orderBy(id_col).select("question", "sql_query").limit(k).collect()
+    examples = F.array(*[
+        F.struct(F.lit(r["question"]).alias("question"), F.lit(r["sql_query"]).alias("sql_query")) for r in first
+    ]).cast(EXAMPLE_TYPE)
+    return questions.select("q_id", examples.alias("examples"))
 
 
 def select_random(
@@ -149,27 +138,40 @@ def select_random(
     k: int = FEW_SHOT_K,
     seed: int = RANDOM_SEED,
     id_col: str = "example_id",
-    max_pool: int = 100,
 ) -> DataFrame:
-    """K examples without replacement per question, ranked by
-    md5(seed|question_id|example_id) — the same in any partitioning and in
-    SQL.  The reference draws from a pool of at most 10 examples; the pool is
-    checked against ``max_pool`` before it is attached as a literal."""
-    lit = _pool_literal(pool, id_col, max_pool)
-    keyed = F.transform(
-        lit,
-        lambda e: F.struct(
-            F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("q_id").cast("string"), e["id"].cast("string"))).alias("h"),
-            e["id"].alias("id"),
-            e["question"].alias("question"),
-            e["sql_query"].alias("sql_query"),
-        ),
+    """K examples without replacement per question, from a pool of any size.
+
+    Floyd's draw picks k different positions out of n, every set equally likely:
+    draw i takes a position up to n - k + i, or n - k + i itself if that one is
+    taken.  Its numbers are md5(seed|question_id|i), the same in any
+    partitioning and in SQL.  The positions then join the pool in id order, so k
+    rows per question move and the pool stays distributed.  A pool of fewer
+    than k examples is taken whole; ids are expected to be distinct."""
+    from askwell.operators.ranking import global_rank
+
+    placed = global_rank(pool.select(id_col, "question", "sql_query"), [F.col(id_col).asc()], "_place")
+    n = placed.count()
+    take = min(k, n)
+    if take == 0:
+        return select_zero(questions)
+
+    def draw(taken: Column, i: Column) -> Column:
+        text = F.concat_ws("|", F.lit(str(seed)), F.col("q_id").cast("string"), i.cast("string"))
+        last = i + F.lit(n - take)
+        at = F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint"), last + 1)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, at), last).otherwise(at)))
+
+    turns = F.sequence(F.lit(0).cast("bigint"), F.lit(take - 1).cast("bigint"))
+    drawn = questions.select("q_id").distinct().select(
+        "q_id", F.posexplode(F.aggregate(turns, F.array().cast("array<bigint>"), draw)).alias("_turn", "_at")
     )
-    picked = F.slice(F.array_sort(keyed), 1, k)
-    return questions.select(
-        "q_id",
-        F.transform(picked, lambda e: F.struct(e["question"].alias("question"), e["sql_query"].alias("sql_query"))).alias("examples"),
+    picked = drawn.join(placed, F.col("_at") + 1 == F.col("_place")).groupBy("q_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("_turn", "question", "sql_query"))),
+            lambda e: F.struct(e["question"].alias("question"), e["sql_query"].alias("sql_query")),
+        ).alias("examples")
     )
+    return questions.select("q_id").join(picked, "q_id", "left")
 
 
 def attach_examples(selected: DataFrame, store: DataFrame, s_id: str = "example_id") -> DataFrame:

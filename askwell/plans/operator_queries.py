@@ -19,6 +19,7 @@ from askwell.functions import text as X
 from askwell.functions.vectors import sql_cosine
 from askwell.operators import similarity as V
 from askwell.operators import text_similarity as TS
+from askwell.operators.memory import FEW_SHOT_K, RANDOM_SEED
 from askwell.plans.catalog import register
 from askwell.sources.tables import Tables
 
@@ -237,6 +238,28 @@ def v_lsh_pairs(spark, sf_dir) -> DataFrame:
 register("v_lsh_pairs", v_lsh_pairs)  # approximate: rows-only check
 
 
+def v_lsh_recall(spark, sf_dir) -> DataFrame:
+    """V3 against the exact edges: their number, whether V3 gave no other pair,
+    and whether it found nine in ten of them."""
+    e = _t(spark, sf_dir).embeddings
+    found = V.lsh_pairs(e, DEDUP_T_EMB, id_col="vec_id").select("src", "dst").withColumn("f", F.lit(1))
+    exact = V.similarity_edges(e, DEDUP_T_EMB, id_col="vec_id").select("src", "dst").withColumn("x", F.lit(1))
+    both = exact.join(found, ["src", "dst"], "full")
+    return both.agg(
+        F.count("x").alias("exact_pairs"),
+        (F.count("f") == F.count(F.when(F.col("x").isNotNull(), F.col("f")))).alias("only_exact_pairs"),
+        (F.count(F.when(F.col("x").isNotNull(), F.col("f"))) >= F.count("x") * 0.9).alias("recall_reached"),
+    )
+
+
+register(
+    "v_lsh_recall",
+    v_lsh_recall,
+    f"""SELECT COUNT(*) AS exact_pairs, TRUE AS only_exact_pairs, TRUE AS recall_reached
+FROM {_EMB_PAIRS} p WHERE s_id < q_id AND similarity >= {DEDUP_T_EMB}""",
+)
+
+
 # --- text similarity on documents / benchmark ---------------------------------------
 
 DEDUP_T_TEXT = 0.95
@@ -292,7 +315,22 @@ def v_greedy_dedup(spark, sf_dir) -> DataFrame:
     return greedy_dedup(e.select("vec_id"), edges, id_col="vec_id").select("vec_id", "kept")
 
 
-register("v_greedy_dedup", v_greedy_dedup)  # order-dependent rounds: rows-only check
+# the sequential rule, one vector a step in arrival order, with the kept ids so far
+_GREEDY_SQL = f"""WITH RECURSIVE near AS MATERIALIZED (
+  SELECT q_id AS id, list(s_id) AS earlier FROM {_EMB_PAIRS} p
+  WHERE s_id < q_id AND similarity >= {DEDUP_T_EMB} GROUP BY q_id),
+steps AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i, coalesce(earlier, []) AS earlier
+  FROM embeddings LEFT JOIN near ON near.id = vec_id),
+walk(i, ids) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT s.i, CASE WHEN list_has_any(w.ids, s.earlier) THEN w.ids ELSE list_append(w.ids, s.vec_id) END
+  FROM walk w JOIN steps s ON s.i = w.i + 1),
+last AS (SELECT ids FROM walk ORDER BY i DESC LIMIT 1)
+SELECT vec_id, list_contains(ids, vec_id) AS kept FROM steps, last"""
+
+register("v_greedy_dedup", v_greedy_dedup, _GREEDY_SQL)
 
 
 # --- feedback over events: traces = 'view', scores = later 'purchase' ---------------
@@ -355,6 +393,27 @@ def _doc_traces(t: Tables) -> tuple[DataFrame, DataFrame]:
     return traces, scores
 
 
+def fb_first_positive(spark, sf_dir) -> DataFrame:
+    """J6 on the trace id: the documents with a positive label, their texts as digests."""
+    from askwell.operators.feedback import first_positive
+
+    traces, scores = _doc_traces(_t(spark, sf_dir))
+    return first_positive(traces, scores).select(
+        "trace_id", F.md5("question").alias("question_md5"), F.md5("generated_sql").alias("sql_md5"),
+        "score_value", "score_comment",
+    )
+
+
+register(
+    "fb_first_positive",
+    fb_first_positive,
+    """SELECT CAST(d.doc_id AS VARCHAR) AS trace_id, md5(coalesce(d.text, '')) AS question_md5,
+  md5(coalesce(d.text, '')) AS sql_md5, CAST(l.quality AS DOUBLE) AS score_value,
+  CASE WHEN l.toxic = 1 THEN 'toxic' ELSE '' END AS score_comment
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality >= 1""",
+)
+
+
 def fb_feedback_documents(spark, sf_dir) -> DataFrame:
     """ST1: positive labels -> completeness -> write guard -> dedup against
     the benchmark passages (the store) and among earlier accepted documents."""
@@ -367,7 +426,42 @@ def fb_feedback_documents(spark, sf_dir) -> DataFrame:
     return out.select("trace_id", "seq", "status")
 
 
-register("fb_feedback_documents", fb_feedback_documents)  # greedy order: rows-only
+# the sequential loop: gates first, then one candidate a step in arrival order, a
+# duplicate if it is near the store or near a candidate approved before it
+_FEEDBACK_SQL = f"""WITH RECURSIVE gated AS MATERIALIZED (
+  SELECT CAST(d.doc_id AS VARCHAR) AS trace_id, row_number() OVER (ORDER BY d.doc_id) AS seq,
+    coalesce(d.text, '') AS text,
+    CASE WHEN coalesce(d.text, '') = '' THEN 'skipped'
+      WHEN length(regexp_replace(d.text, {_sql_str(_WS)}, '', 'g')) = 0
+        OR regexp_matches(d.text, {_sql_str(X.WRITE_PATTERN)}) THEN 'rejected_validation' END AS gate
+  FROM documents d JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality >= 1) l ON l.doc_id = d.doc_id),
+cand AS MATERIALIZED (SELECT seq, text FROM gated WHERE gate IS NULL),
+q AS MATERIALIZED (SELECT * FROM {_term_w_sql('cand', 'seq')} w),
+s AS MATERIALIZED (SELECT * FROM {_term_w_sql('benchmark', 'item_id')} w),
+stored AS MATERIALIZED (SELECT DISTINCT id FROM (
+  SELECT q.id, s.id AS sid FROM q JOIN s ON q.term = s.term GROUP BY q.id, s.id
+  HAVING ROUND(SUM(q.w * s.w), 6) >= {DEDUP_T_TEXT}) x),
+pairs AS (
+  SELECT a.id AS src, b.id AS dst FROM q a JOIN q b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id
+  HAVING ROUND(SUM(a.w * b.w), 6) >= {DEDUP_T_TEXT}
+  UNION SELECT a.seq, b.seq FROM cand a JOIN cand b ON a.text = b.text AND a.seq < b.seq),
+near AS MATERIALIZED (SELECT dst, list(src) AS earlier FROM pairs GROUP BY dst),
+steps AS MATERIALIZED (
+  SELECT c.seq, row_number() OVER (ORDER BY c.seq) AS i, stored.id IS NOT NULL AS in_store,
+    coalesce(earlier, []) AS earlier
+  FROM cand c LEFT JOIN near ON near.dst = c.seq LEFT JOIN stored ON stored.id = c.seq),
+walk(i, ids) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT t.i, CASE WHEN t.in_store OR list_has_any(w.ids, t.earlier) THEN w.ids
+    ELSE list_append(w.ids, t.seq) END
+  FROM walk w JOIN steps t ON t.i = w.i + 1),
+last AS (SELECT ids FROM walk ORDER BY i DESC LIMIT 1),
+decided AS (SELECT trace_id, seq, coalesce(gate, CASE WHEN list_contains(ids, seq) THEN 'approved'
+  ELSE 'rejected_duplicate' END) AS status FROM gated, last)
+"""
+
+register("fb_feedback_documents", fb_feedback_documents, _FEEDBACK_SQL + "SELECT trace_id, seq, status FROM decided")
 
 
 def fb_gate_stats(spark, sf_dir) -> DataFrame:
@@ -379,7 +473,71 @@ def fb_gate_stats(spark, sf_dir) -> DataFrame:
     return gate_stats(process_feedback(traces, scores, store, threshold=DEDUP_T_TEXT))
 
 
-register("fb_gate_stats", fb_gate_stats)
+register(
+    "fb_gate_stats",
+    fb_gate_stats,
+    _FEEDBACK_SQL + "SELECT " + ", ".join(
+        f"COUNT(*) FILTER (WHERE status = '{s}') AS {s}"
+        for s in ("approved", "rejected_validation", "rejected_duplicate", "skipped")
+    ) + " FROM decided",
+)
+
+
+# --- selection strategies: benchmark passages = questions, documents = pool --------
+
+
+def _pool(t: Tables) -> tuple[DataFrame, DataFrame]:
+    questions = t.benchmark.select(F.col("item_id").alias("q_id"))
+    pool = t.documents.select(
+        F.col("doc_id").alias("example_id"), F.md5(F.coalesce("text", F.lit(""))).alias("question"),
+        F.concat_ws(":", "lang", "source").alias("sql_query"),
+    )
+    return questions, pool
+
+
+def _listed(selected: DataFrame) -> DataFrame:
+    return selected.select("q_id", F.posexplode("examples").alias("at", "e")).select(
+        "q_id", (F.col("at") + 1).cast("bigint").alias("rank"), "e.question", "e.sql_query"
+    )
+
+
+def sel_static(spark, sf_dir) -> DataFrame:
+    """The first documents for every passage."""
+    from askwell.operators.memory import select_static
+
+    return _listed(select_static(*_pool(_t(spark, sf_dir))))
+
+
+def sel_random(spark, sf_dir) -> DataFrame:
+    """Documents drawn for each passage, by position in id order."""
+    from askwell.operators.memory import select_random
+
+    return _listed(select_random(*_pool(_t(spark, sf_dir))))
+
+
+_POOL_SQL = """pool AS (SELECT row_number() OVER (ORDER BY doc_id) AS place, md5(coalesce(text, '')) AS question,
+  concat_ws(':', lang, source) AS sql_query FROM documents)"""
+
+register(
+    "sel_static",
+    sel_static,
+    f"""WITH {_POOL_SQL}
+SELECT item_id AS q_id, place AS rank, question, sql_query FROM benchmark, pool WHERE place <= {FEW_SHOT_K}""",
+)
+# three draws, written out one after the other
+register(
+    "sel_random",
+    sel_random,
+    f"""WITH {_POOL_SQL}, size AS (SELECT COUNT(*) AS n FROM documents),
+h AS (SELECT item_id AS q_id, n, {', '.join(
+        f"CAST('0x' || substr(md5('{RANDOM_SEED}|' || item_id || '|{i}'), 1, 15) AS BIGINT) % (n - {2 - i}) AS t{i}"
+        for i in range(3))} FROM benchmark, size),
+one AS (SELECT q_id, n, t0 AS p0, CASE WHEN t1 = t0 THEN n - 2 ELSE t1 END AS p1, t2 FROM h),
+two AS (SELECT q_id, p0, p1, CASE WHEN t2 IN (p0, p1) THEN n - 1 ELSE t2 END AS p2 FROM one),
+drawn AS (SELECT q_id, CAST(1 AS BIGINT) AS rank, p0 AS p FROM two UNION ALL SELECT q_id, 2, p1 FROM two
+  UNION ALL SELECT q_id, 3, p2 FROM two)
+SELECT q_id, rank, question, sql_query FROM drawn JOIN pool ON place = p + 1""",
+)
 
 
 # --- profiles (P1, P3, A14) on the driver tables -------------------------------------

@@ -9,7 +9,6 @@ import __spark_entry__ as E
 from tests.oracle_check import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SLOW = {n for n in E.queries() if n.startswith("fb_feedback") or n == "fb_gate_stats"}
 
 
 def test_entry_smoke(spark):
@@ -29,7 +28,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in E.queries() if n not in SLOW))
+@pytest.mark.parametrize("name", sorted(E.queries()))
 def test_query_against_oracle(spark, con, name):
     info = compare(spark, con, name, E.queries()[name], E.oracle_sql().get(name), SF)
     assert info["ok"] is not False, info

@@ -78,6 +78,29 @@ def test_select_strategies(spark):
     assert all(len(r["examples"]) == 2 for r in M.select_random(qs, small, 3).collect())
 
 
+def test_random_draws_from_a_large_pool_evenly(spark):
+    pool = spark.range(1_001).select(
+        F.col("id").alias("example_id"), F.col("id").cast("string").alias("question"),
+        F.col("id").cast("string").alias("sql_query"),
+    )
+    qs = spark.range(3_000).select(F.col("id").alias("q_id"))
+    rows = M.select_random(qs, pool, 5).collect()
+    drawn = [int(e["question"]) for r in rows for e in r["examples"]]
+    assert len(rows) == 3_000 and all(len({e["question"] for e in r["examples"]}) == 5 for r in rows)
+    by_tenth = [sum(d * 10 // 1_001 == t for d in drawn) for t in range(10)]
+    assert all(1_300 < n < 1_700 for n in by_tenth)  # 1,500 expected
+    assert all(r["examples"] == [] for r in M.select_random(qs, pool.limit(0), 5).collect())
+
+
+def test_analysis_writes_chunks_and_has_no_cap(spark):
+    texts = spark.createDataFrame(
+        [(f"SELECT {i}",) for i in range(7)] + [("SELECT x FROM no_such_table",), ("DROP TABLE a",), ("  ",), ("SELECT 1",)],
+        "generated_sql string",
+    )
+    got = {r[0]: r[1] for r in FB.analysable_texts(spark, texts, chunk=3).collect()}
+    assert got == {**{f"SELECT {i}": True for i in range(7)}, "SELECT x FROM no_such_table": False}
+
+
 def _ts(m):
     return dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
 
