@@ -21,25 +21,28 @@ SAMPLE_ROWS = 3
 
 def ddl_text(
     table_name: str,
-    fields: list[tuple[str, str]],
+    fields: list[tuple[str, ...]],
     primary_key: list[str] | None = None,
     foreign_keys: list[tuple[str, str, str]] | None = None,
 ) -> str:
-    """``CREATE TABLE`` text: one line per column (name TYPE), then PRIMARY
-    KEY and FOREIGN KEY lines when known; the last line has no comma."""
-    lines = [f"CREATE TABLE {table_name} ("]
-    lines += [f"  {name} {typ.upper()}," for name, typ in fields]
-    if primary_key:
-        lines.append(f"  PRIMARY KEY ({', '.join(primary_key)}),")
-    for col, ref_table, ref_col in foreign_keys or []:
-        lines.append(f"  FOREIGN KEY ({col}) REFERENCES {ref_table}({ref_col}),")
-    lines[-1] = lines[-1].rstrip(",")
-    lines.append(");")
-    return "\n".join(lines)
-
-
-def schema_fields(schema: StructType) -> list[tuple[str, str]]:
-    return [(f.name, f.dataType.simpleString()) for f in schema.fields]
+    """``CREATE TABLE`` text, one clause per line: the columns (name, type and
+    any constraints), then the keys that are known."""
+    columns = (" ".join([name, typ.upper(), *constraints]) for name, typ, *constraints in fields)
+    own_key = [f"PRIMARY KEY ({', '.join(primary_key)})"] if primary_key else []
+    others = (f"FOREIGN KEY ({c}) REFERENCES {t}({r})" for c, t, r in foreign_keys or ())
+    clauses = ",\n  ".join([*columns, *own_key, *others])
+    return f"CREATE TABLE {table_name} (\n  {clauses}\n);"
+
+
+def schema_fields(schema: StructType) -> list[tuple[str, ...]]:
+    """Name and type of each column, then NOT NULL and the DEFAULT that the schema
+    states (Spark keeps a column's default in its metadata)."""
+    return [
+        (f.name, f.dataType.simpleString())
+        + (() if f.nullable else ("NOT NULL",))
+        + tuple(f"DEFAULT {v}" for k, v in f.metadata.items() if k == "CURRENT_DEFAULT")
+        for f in schema.fields
+    ]
 
 
 def table_profiles(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from askwell.operators import scoring as S
 from askwell.operators.asof import first_at_or_after
-from askwell.operators.profile import ddl_text, foreign_key_profile, key_profile
+from askwell.operators.profile import ddl_text, foreign_key_profile, key_profile, schema_fields
 from askwell.operators.ranking import global_prefix_sums, global_rank
 
 
@@ -167,3 +167,12 @@ def test_run_time_failure_is_a_recorded_outcome(spark):
     rows, execs = S.run_queries(spark, texts)
     assert rows.count() == 3
     assert {(r["question_id"], r["side"]): r["success"] for r in execs.collect()} == {(1, S.GOLD): True, (1, "a"): False, (2, "a"): False}
+
+
+def test_ddl_states_constraints_of_the_schema():
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    schema = StructType([
+        StructField("a", LongType(), False), StructField("b", StringType(), True, {"CURRENT_DEFAULT": "'x'"}),
+    ])
+    assert ddl_text("t", schema_fields(schema)) == "CREATE TABLE t (\n  a BIGINT NOT NULL,\n  b STRING DEFAULT 'x'\n);"
