@@ -10,11 +10,14 @@ multinomial, and the threshold is the score that all but ``loss`` of the other
 half reach, as documents score higher against counts that they are part of.
 
 Documents stay in their partitions: n-grams are looked up in an array of
-``buckets`` weights.  Only bucket counts are shuffled, after partial sums.
+``buckets`` weights.  To tell trusted documents, ids and bucket numbers (not
+texts) are joined with the labels' ids; bucket counts are shuffled after partial
+sums.  All but the verdict is stored, and the threshold is taken from there.
 
-Bounded, as a classifier's training rows: at most ``trusted_docs`` trusted
-documents.  The raw counts and all rules cover every document.  Triples, lines
-and n-grams are compared by 64-bit hashes within a document.
+Nothing is sampled: the trusted counts and the threshold cover every trusted
+document, the raw counts and all rules every document.  The threshold is a
+quantile sketch's, off by a rank of one in ``RANKS`` at most.  Triples, lines and
+n-grams are compared by 64-bit hashes within a document.
 
 Defined cases: null or empty text has no words, fails and has score 0; without
 any trusted document both multinomials are even and the threshold is null, so
@@ -28,9 +31,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askwell.llm.common import bounded_sample, text_or_empty
+from askwell.llm.common import materialize, text_or_empty
 
 SPACE = " \t\n\x0b\f\r"
+RANKS = 100_000  # the threshold's rank is off by one in so many at most
 
 
 def _words(text: Column) -> Column:
@@ -69,19 +73,21 @@ def _slim(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
 
-def trusted_ids(labels: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` ids of trusted documents, the same ones every time."""
-    good = labels.filter("quality = 1 and doc_id is not null").select(labels["doc_id"].cast("long").alias("_id")).distinct()
-    return bounded_sample(good, "_id", most, 42)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids of all trusted documents."""
+    return labels.filter("quality = 1 and doc_id is not null").select(labels["doc_id"].cast("long").alias("_id")).distinct()
 
 
-def weights(docs: DataFrame, trusted: DataFrame, n: int = 2, buckets: int = 2048) -> DataFrame:
+def weights(docs: DataFrame, trusted: DataFrame, n: int = 2, buckets: int = 8192) -> DataFrame:
     """One row, one column: the log ratio of each bucket, add-one smoothed."""
-    ids = F.broadcast(trusted.withColumn("_t", F.lit(1)))  # bounded by trusted_docs
-    marked = docs.join(ids, F.col("doc_id") == F.col("_id"), "left")
-    grams = let(_words(F.col("text")), lambda w: _grams(w, n, buckets))
+    # two bytes a bucket where that holds them
+    grams = let(_words(F.col("text")), lambda w: _grams(w, n, buckets).cast("array<smallint>" if buckets <= 1 << 15 else "array<int>"))
+    # null ids match nothing; their rows are dealt by text, so that they aren't one task
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("_at"), grams.alias("g"))
+    ids = trusted.withColumn("_t", F.lit(1)).hint("shuffle_hash")  # rows of buckets needn't be sorted
+    marked = rows.join(ids, (F.col("_at") == F.col("_id")) & F.col("doc_id").isNotNull(), "left")
     counted = (
-        marked.select(F.explode(grams).alias("g"), F.coalesce("_t", F.lit(0)).alias("t"))
+        marked.select(F.explode(F.col("g").cast("array<int>")).alias("g"), F.coalesce("_t", F.lit(0)).alias("t"))
         .groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("good"))
     )
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"))
@@ -142,23 +148,18 @@ def judge(
     docs: DataFrame,
     labels: DataFrame,
     n: int = 2,
-    buckets: int = 2048,
-    trusted_docs: int = 10_000,
+    buckets: int = 8192,
     loss: float = 0.005,
     text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, llr`` for every row of ``docs``."""
     slim = _slim(docs, text_col)
-    trusted = trusted_ids(labels, trusted_docs)
+    trusted = trusted_ids(labels)
     half = F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2))
     # ``buckets`` numbers, whatever the corpus; a literal of the plan from here on
     table = F.lit(np.array(weights(slim, trusted.filter(half == 0), n, buckets).first()["w"], np.float64))
     text = F.col("text")
-    among = slim.join(F.broadcast(trusted.filter(half == 1)), F.col("doc_id") == F.col("_id"), "left_semi").select(
-        let(_words(text), lambda w: F.when(F.size(w) >= 50, _score(w, table, n, buckets))).alias("llr")
-    )
-    threshold = among.agg(F.percentile("llr", loss).alias("t"))
     by_words = let(
         _words(text),
         lambda w: F.struct(
@@ -174,12 +175,17 @@ def judge(
         _dup_lines(text).cast("long").alias("n_dup_lines"),
     )
     failed = (F.col("by.n_words") < 50) | (100 * F.col("by.n_repeat_words") > 50 * F.col("by.n_words"))
-    return got.select(
-        "doc_id", "by.n_words", "by.word_chars", "n_symbols", "n_dup_lines", "by.n_repeat_words",
-        failed.alias("base_failed"),
-        (~failed & F.coalesce(F.col("by.llr") >= threshold.scalar(), F.lit(True))).alias("kept"),
-        F.col("by.llr").alias("llr"),
+    found = materialize(
+        got.select(
+            "doc_id", "by.n_words", "by.word_chars", "n_symbols", "n_dup_lines", "by.n_repeat_words",
+            failed.alias("base_failed"), F.col("by.llr").alias("llr"),
+        ),
+        "quality-scores",
     )
+    among = found.filter("n_words >= 50").join(trusted.filter(half == 1), F.col("doc_id") == F.col("_id"), "left_semi")
+    threshold = among.agg(F.percentile_approx("llr", loss, RANKS).alias("t"))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold.scalar(), F.lit(True))
+    return found.select(*found.columns[:-1], kept.alias("kept"), "llr")
 
 
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:

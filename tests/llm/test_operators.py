@@ -306,6 +306,23 @@ def test_quality_weights_equal_counts(spark):
     assert np.allclose(got, np.log((good + 1) / (good.sum() + 8)) - np.log((raw + 1) / (raw.sum() + 8)))
 
 
+def test_quality_threshold_covers_all_trusted(spark):
+    """More trusted documents than any bound that was there: all of them count."""
+    word = F.transform(F.sequence(F.lit(0), F.lit(51)), lambda i: F.substring(F.md5(F.concat_ws("-", "id", i)), 1, 2))
+    df = spark.range(21_000).select(F.col("id").alias("doc_id"), F.array_join(word, " ").alias("text"))
+    labels = df.select("doc_id", (F.col("doc_id") < 20_900).cast("int").alias("quality"))
+    half = labels.filter("quality = 1").select(F.col("doc_id").alias("_id"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("half"))
+    sides = {r["_id"]: r.half for r in half.collect()}
+    table = F.lit(np.array(quality.weights(df, half.filter("half = 0").select("_id"), 2, 64).first()["w"]))
+    want = df.select("doc_id", quality._score(F.split("text", " "), table, 2, 64).alias("llr")).collect()
+    rows = {r.doc_id: r for r in quality.judge(df, labels, 2, 64, loss=0.01).collect()}
+    assert all(abs(rows[r.doc_id].llr - r.llr) < 1e-8 for r in want)
+    held = sorted(rows[k].llr for k, h in sides.items() if h == 1)
+    assert len(held) > 10_000
+    at = held[-(-len(held) // 100) - 1]
+    assert all(r.kept == (r.llr >= at) for r in rows.values() if not r.base_failed)
+
+
 # -- WARC ----------------------------------------------------------------
 
 
