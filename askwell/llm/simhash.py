@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askwell.llm.common import NULL_ID, bounded_sample, materialize, order_id, ship_package, shuffle_partitions
+from askwell.llm.common import bounded_sample, materialize, ship_package, shuffle_partitions
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 SAMPLE = 20_000  # fingerprints that the trees are fitted on, at most
@@ -66,19 +66,27 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, text_col: str = "text") -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long, one row per row."""
+def fingerprints(docs: DataFrame, shingle: int = 4, text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``doc_id, fp``: the fingerprint as a signed long, one row per row.  With
+    ``row_col``, a long, also ``row`` and ``tie``, a hash of the text."""
     ship_package(docs.sparkSession)
+    more = [] if row_col is None else ["row", "tie"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 fp = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(fp.view(np.int64)), *(part.column(2 + k) for k in range(len(more)))],
+                    ["doc_id", "fp", *more],
+                )
 
-    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    text = docs[text_col].cast("string")
+    slim = [docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")]
+    if row_col is not None:
+        slim += [docs[row_col].alias("row"), F.xxhash64(text).alias("tie")]
+    return docs.select(*slim).mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "fp", *more]))
 
 
 class VantageTree:
@@ -306,11 +314,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, blocks
     """
     fps = materialize(fingerprints(docs, shingle, text_col), "simhash-fp")
     by_fp = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
-    comp = components(links(by_fp.select("fp"), max_bits, blocks), "simhash-edges")
+    rooted = _rooted(by_fp, max_bits, blocks)
     # the smallest id of each component: over one row per fingerprint
-    rooted = by_fp.join(comp, by_fp["fp"] == comp["node"], "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "low"
-    )
     named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     of_fp = rooted.join(named, "root").select(F.col("fp").alias("_fp"), "component_id")
     return fps.join(of_fp, F.col("fp") == F.col("_fp")).select(
@@ -318,13 +323,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, blocks
     )
 
 
+def _rooted(by_fp: DataFrame, max_bits: int, blocks: int = 5) -> DataFrame:
+    """``fp, root, low``: the fingerprint that names each one's component."""
+    comp = components(links(by_fp.select("fp"), max_bits, blocks), "simhash-edges")
+    return by_fp.join(comp, by_fp["fp"] == comp["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+
+
 def keep_first(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest; of repeated
-    rows with that id all stay."""
-    found = near_duplicates(docs, shingle, max_bits)
-    keep = found.filter(order_id("component_id") == order_id()).select(order_id().alias("_keep")).distinct()
-    own = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID))
-    return docs.join(keep, own == keep["_keep"], "left_semi")
+    """One row of ``docs`` for each component: the one with its smallest id, a
+    null id only where no row of the component has another.  Of rows that share
+    that id the one whose text has the smallest hash stays, of equal texts the
+    first as stored."""
+    names, row = docs.columns, "_row"
+    while row in names:
+        row = "_" + row
+    # stored with a key of its own for each row: ids may be null or repeated
+    stored = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    fps = fingerprints(stored, shingle, row_col=row)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "row")).alias("low")
+    by_fp = materialize(fps.groupBy("fp").agg(first), "simhash-nodes")
+    keep = _rooted(by_fp, max_bits).groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias("_keep"))
+    return stored.join(keep, stored[row] == keep["_keep"], "left_semi").drop(row)
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:

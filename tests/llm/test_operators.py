@@ -451,6 +451,18 @@ def test_simhash_edges(edge, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_keep_first_keeps_one_row_a_component(spark):
+    """Ids that are null or repeated: still one row of each component."""
+    rnd = random.Random(8)
+    a, b, c, d, e, f = (" ".join(rnd.choice("red blue green pale dark soft".split()) + str(rnd.randrange(999)) for _ in range(80)) for _ in range(6))
+    rows = [(None, a)] * 3 + [(None, b), (5, b), (None, b)] + [(9, c)] * 4 + [(3, d), (7, d), (7, e), (8, e)] + [(None, f)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({x: F.lit(1) for x in ("_row", "_keep", "row", "tie", "low")})
+    kept = simhash.keep_first(df.repartition(3))
+    assert kept.columns == df.columns
+    want = Counter([(None, a), (5, b), (9, c), (3, d), (7, e), (None, f)])
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
+
+
 # -- pipeline ------------------------------------------------------------
 
 
