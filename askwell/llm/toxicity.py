@@ -5,9 +5,12 @@
    term is either a whole word or a stem, and weighs the more the purer it is.
    Near copies among the training documents count once.
 2. Matching: each distinct word runs through a Levenshtein automaton that is
-   intersected with the trie of the lexicon.  Stems match as beginnings, whole
-   words also at ``distance`` 1 if they are long enough and the word isn't
-   common in clean training documents.
+   intersected with the trie of the lexicon.  Stems match as beginnings.  Stems
+   and whole words match misspelled, too: terms of at least ``FUZZY_LENGTH``
+   letters with one edit, of at least ``FAR_LENGTH`` with two (a swap of two
+   neighbours is one).  Forms that clean training texts hold too often to tell
+   anything don't match, and a term loses a number of edits with which rare
+   forms (under three uses) alone match in more than ``NOISE`` of the clean texts.
 3. Context: a match within a quotation, or shortly after a word that reports
    speech, counts as quoted, any other as abuse.
 4. Score: logistic regression on counts of exact, misspelled and quoted matches
@@ -41,7 +44,10 @@ from askwell.llm.common import bounded_sample, ship_package
 
 CACHE_ENTRIES = 500_000  # words remembered by a Python worker at most
 MIN_STEM, MAX_STEM = 3, 12
-FUZZY_LENGTH = 5  # whole words at least this long match misspelled
+FUZZY_LENGTH = 4  # terms at least this long match with one edit
+FAR_LENGTH = 8  # terms at least this long match with two, if learned
+NOISE = 0.001  # share of clean texts that a term may match in with so many edits
+NEAR_RATIO = 4.0  # near forms less often toxic than that, for the words read, don't match
 WINDOW = 6  # words before a match that may mark it as reported
 #: Word forms that report somebody else's words.
 REPORTING = frozenset("said says say called calls wrote writes quote quoted quoting word words term dit dice sagte sagt schrieb".split())
@@ -53,7 +59,9 @@ _QUOTES = "\"'“”„«»‘’"
 class Lexicon:
     stems: dict[str, float] = field(default_factory=dict)  # weights from 0 to 1
     words: dict[str, float] = field(default_factory=dict)
-    clean: frozenset[str] = frozenset()  # forms near a whole word that clean documents hold
+    clean: frozenset[str] = frozenset()  # forms near a term that clean documents hold too often
+    far: int | None = None  # length from which two edits match; None: one at most
+    fewer: dict[str, int] = field(default_factory=dict)  # edits of terms that have less than their length allows
 
     def __post_init__(self):
         # trie: vertex -> {letter: vertex}; what ends there
@@ -68,10 +76,16 @@ class Lexicon:
                         self.step[at][c] = len(self.step) - 1
                     at = self.step[at][c]
                 self.ends[at] = (kind, weight)
-        long = [t for t in self.words if len(t) >= FUZZY_LENGTH]
-        # one edit leaves the first two or the last two letters as they are
-        self.heads = frozenset(t[:2] for t in long)
-        self.tails = frozenset(t[-2:] for t in long)
+        # edits that the terms below each vertex allow at most
+        self.most = [0] * len(self.step)
+        self.term: dict[int, str] = {}
+        for t in [*self.stems, *self.words]:
+            at = 0
+            for c in ["", *t]:
+                at = self.step[at][c] if c else 0
+                self.most[at] = max(self.most[at], self.edits(t))
+            self.term[at] = t
+        self.begun: dict[str, tuple] = {}  # states after beginnings of words
         self.firsts = frozenset(t[0] for t in [*self.stems, *self.words])
 
     def exact(self, word: str) -> float:
@@ -87,30 +101,82 @@ class Lexicon:
                     return weight
         return 0.0
 
-    def near(self, word: str, distance: int = 1) -> float:
-        """Weight of a whole word within ``distance`` edits.
+    def edits(self, term: str) -> int:
+        """Edits that a term matches with at most."""
+        by_length = 2 if self.far and len(term) >= self.far else 1 if len(term) >= FUZZY_LENGTH else 0
+        return min(by_length, self.fewer.get(term, by_length))
 
-        The automaton's state is the edit distances of the trie's path to all
-        beginnings of ``word``; a branch ends when all exceed ``distance``.
-        """
-        todo, best = [(0, tuple(range(len(word) + 1)), 0)], 0.0
+    def _state(self, live: dict[int, int], swaps: frozenset) -> tuple[dict[int, int], frozenset, dict[int, int]]:
+        """Adds what letters missing in the word lead to; and the stems reached."""
+        todo = list(live.items())
         while todo:
-            at, row, deep = todo.pop()
-            if row[-1] <= distance and deep >= FUZZY_LENGTH and at in self.ends and self.ends[at][0] == "word":
-                best = max(best, self.ends[at][1])
-            for c, to in self.step[at].items():
-                new = [row[0] + 1]
-                for j in range(len(word)):
-                    new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (word[j] != c)))
-                if min(new) <= distance:
-                    todo.append((to, tuple(new), deep + 1))
-        return best
+            v, e = todo.pop()
+            for u in self.step[v].values():
+                if e < self.most[u] and e + 1 < live.get(u, 9):
+                    live[u] = e + 1
+                    todo.append((u, e + 1))
+        return live, swaps, self._ended(live, "stem")
+
+    def _ended(self, live: dict[int, int], kind: str) -> dict[int, int]:
+        return {v: e for v, e in live.items() if v in self.ends and self.ends[v][0] == kind and e <= self.edits(self.term[v])}
+
+    def _read(self, live: dict[int, int], swaps: frozenset, c: str) -> tuple[dict[int, int], frozenset, dict[int, int]]:
+        """The state after one more letter of the word."""
+        new: dict[int, int] = {}
+
+        def put(v: int, e: int) -> None:
+            if e <= self.most[v] and e < new.get(v, 9):
+                new[v] = e
+
+        held = set()
+        for v, e in live.items():
+            put(v, e + 1)  # a letter too many
+            for x, u in self.step[v].items():
+                put(u, e + (x != c))
+                # x and c change places: c is read now, x must be next
+                to = self.step[u].get(c, -1)
+                if x != c and to >= 0 and e < self.most[to]:
+                    held.add((to, e + 1, x))
+        for v, e, x in swaps:
+            if x == c:
+                put(v, e)
+        return self._state(new, frozenset(held))
+
+    def hits(self, word: str) -> dict[int, int]:
+        """Ends of the whole words near ``word``, and of the stems near a beginning
+        of it, with the fewest edits.
+
+        The automaton's state is the trie's vertices with the fewest edits that
+        lead to them, and swaps of which one letter is read.
+        """
+        if "" not in self.begun:
+            self.begun[""] = self._state({0: 0}, frozenset())
+        live, swaps, _ = self.begun[""]
+        out: dict[int, int] = {}
+        for k, c in enumerate(word):
+            begin = word[: k + 1]
+            if k < 4 and begin in self.begun:
+                live, swaps, found = self.begun[begin]
+            else:
+                live, swaps, found = self._read(live, swaps, c)
+                if k < 4:
+                    if len(self.begun) > CACHE_ENTRIES // 10:
+                        self.begun = {"": self.begun[""]}
+                    self.begun[begin] = live, swaps, found
+            for v, e in found.items():
+                out[v] = min(e, out.get(v, 9))
+            if not live and not swaps:
+                return out
+        return out | self._ended(live, "word")
+
+    def near(self, word: str) -> float:
+        return max((self.ends[v][1] for v in self.hits(word)), default=0.0)
 
     def match(self, word: str) -> tuple[float, float]:
         """Weights of an exact and of a misspelled match."""
         if word[0] in self.firsts and (w := self.exact(word)):
             return w, 0.0
-        if len(word) >= FUZZY_LENGTH - 1 and (word[:2] in self.heads or word[-2:] in self.tails):
+        if len(word) >= FUZZY_LENGTH - 1:
             return 0.0, 0.0 if word in self.clean else self.near(word)
         return 0.0, 0.0
 
@@ -235,7 +301,7 @@ def learn_lexicon(rows: DataFrame, n_toxic: int, ratio: float = 8.0) -> Lexicon:
     for t in uses:
         if t[0] == "=" and not any(t[1 : 1 + m] in uses for m in range(MIN_STEM, len(t))):
             words[t[1:]] = weight[t]
-    return Lexicon(stems, words)
+    return Lexicon(stems, words, far=FAR_LENGTH)
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,13 +342,57 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = 8_000) -> tuple[
     def near_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = Matcher(lexicon)
-            forms = {w for t in batch.column(0).to_pylist() for w in _WORD.findall(t.lower())}
-            out = sorted(w for w in forms if m.lexicon.match(w)[1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["form"])
+            uses: dict[str, list[int]] = {}
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for w, many in Counter(_WORD.findall(text.lower())).items():
+                    uses.setdefault(w, [0, 0, 0])[1 if toxic else 2] += many
+            for w, u in uses.items():
+                u[0] = int(m.lexicon.match(w)[1] > 0)
+            uses[""] = [1, sum(u[1] for u in uses.values()), sum(u[2] for u in uses.values())]
+            out = sorted(w for w, u in uses.items() if u[0])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out, pa.string()), *(pa.array([uses[w][k] for w in out], pa.int64()) for k in (1, 2))],
+                ["form", "toxic", "clean"],
+            )
+
+    # forms near a term, of a bounded sample; the empty one stands for all words
+    forms = rows.mapInArrow(near_forms, "form string, toxic long, clean long").groupBy("form").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
+    )
+    total = forms.filter("form = ''").first()
+    odds = ((F.col("toxic") + 0.5) / max(total["toxic"], 1)) / ((F.col("clean") + 0.5) / max(total["clean"], 1))
+    common = forms.filter((F.col("form") != "") & (odds < NEAR_RATIO)).select("form").collect()
+    lexicon = Lexicon(lexicon.stems, lexicon.words, frozenset(r["form"] for r in common), lexicon.far)
+
+    # rare forms tell how many others to expect in texts that weren't read
+    often = frozenset(r["form"] for r in forms.filter("form != '' and clean >= 3").select("form").collect())
+
+    def near_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs: Counter[tuple[str, int]] = Counter()
+            for text in batch.column(0).to_pylist():
+                words = {w for w in _WORD.findall(text.lower()) if w not in often and not lexicon.exact(w)}
+                best: dict[str, int] = {}
+                for w in words:
+                    for v, e in lexicon.hits(w).items():
+                        best[lexicon.term[v]] = min(e, best.get(lexicon.term[v], 9))
+                docs.update(best.items())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([t for t, _ in docs], pa.string()), pa.array([e for _, e in docs], pa.int32()), pa.array(list(docs.values()), pa.int64())],
+                ["term", "edits", "docs"],
+            )
 
-    # forms one edit away from a term: few, as the lexicon is small
-    clean = rows.filter("toxic = 0").select("text").mapInArrow(near_forms, "form string").distinct().limit(100_000).collect()
-    lexicon = Lexicon(lexicon.stems, lexicon.words, frozenset(r["form"] for r in clean))
+    # clean texts by term and edits: a row or two a term
+    noise = rows.filter("toxic = 0").select("text").mapInArrow(near_terms, "term string, edits int, docs long").groupBy("term", "edits").agg(F.sum("docs").alias("docs"))
+    seen_near = {(r["term"], r["edits"]): r["docs"] for r in noise.collect()}
+    most = max(1, NOISE * n_clean)
+    fewer = {}
+    for t in [*lexicon.stems, *lexicon.words]:
+        e = lexicon.edits(t)
+        while e and sum(seen_near.get((t, k), 0) for k in range(1, e + 1)) > most:
+            e -= 1
+        fewer[t] = e
+    lexicon = Lexicon(lexicon.stems, lexicon.words, lexicon.clean, lexicon.far, fewer)
     got = rows.select("text", "toxic").mapInArrow(_feature_rows(lexicon), FEATURES).toPandas()
     x = got[["exact", "near", "quoted", "words"]].to_numpy(float)
     y = got["label"].to_numpy(float)

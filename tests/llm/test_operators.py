@@ -382,6 +382,20 @@ def test_levenshtein_trie_equals_edit_distance():
             assert (sum(lex.match(w)) > 0) == (near <= 1), w
 
 
+def test_stems_and_short_terms_match_misspelled():
+    lex = toxicity.Lexicon({"stupid": 0.5}, {"scum": 1.0, "bum": 1.0})
+    for w in ("skum", "scm", "sccum", "sucm", "scmu"):
+        assert lex.match(w) == (0.0, 1.0), w
+    for w in ("stpuidly", "stupdi", "stuppidest", "stpidity", "xstupid"):
+        assert lex.match(w) == (0.0, 0.5), w
+    for w in ("bun", "scumming", "spum!"[:2], "stapod", "plain"):
+        assert lex.match(w) == (0.0, 0.0), w
+    assert lex.match("stupidly") == (0.5, 0.0)
+    far = toxicity.Lexicon({}, {"worthless": 1.0, "moron": 1.0}, far=8)
+    assert far.match("wrothles")[1] == 1.0 and far.match("wrthles")[1] == 1.0 and far.match("mrn") == far.match("worthxyzs") == (0.0, 0.0)
+    assert toxicity.Lexicon({}, {"scum": 1.0}, fewer={"scum": 0}).match("skum") == (0.0, 0.0)
+
+
 def test_toxicity_held_out(spark, edge, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
