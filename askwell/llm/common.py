@@ -90,3 +90,17 @@ def bounded_sample(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
         df = df.filter(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)))
     order = [F.pmod(h, F.lit(1 << 30)), F.col(key)]
     return df.orderBy(*order).limit(most)
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Like ``materialize``; also the folder, for ``remove``."""
+    path = scratch_path(df.sparkSession, name)
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
