@@ -11,9 +11,13 @@ threshold there.  Refinement ends when no beginning is left to extend, after as
 many levels as the logarithm of the longest kept term.
 
 Documents lie whole in one task, so a task counts distinct documents by itself
-and hands on sums: one row for each beginning (by language) or complete term (by
-language and source) and not one for each document.  A task's tables are handed
-on and emptied when they hold ``FLUSH_KEYS`` keys, so memory is bounded.
+and hands on sums: one row for each beginning or complete term of a language and
+not one for each document.  A task's tables are handed on and emptied when they
+hold ``FLUSH_KEYS`` keys, so memory is bounded.
+
+**Uses.**  A second pass counts occurrences by language and source.  Tasks hand
+on only terms that pass a filter of the kept ones, a bit array of fixed size; a
+join takes out what passes it by chance, so a full filter costs time, not truth.
 
 **Divergence.**  Smoothed shares of all kept terms are compared for each pair of
 a language's sources in blocks of terms (numpy), which emit one partial sum for
@@ -30,6 +34,7 @@ Only the three columns are read, so other columns don't matter.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,15 +48,17 @@ from askwell.llm.common import materialize, ship_package
 #: bytes of the first level's beginnings
 FIRST_LEVEL = 4
 #: keys that a task's tables hold before they are handed on
-FLUSH_KEYS = 400_000
-#: share entries that one block of terms holds at most (terms x sources)
-BLOCK_ENTRIES = 1_000_000
+FLUSH_KEYS = 1_000_000
+#: terms of a block: at least so many, and share entries (terms x sources) at most
+BLOCK_TERMS, BLOCK_ENTRIES = 2_500, 8_000_000
+#: bits of the filter of kept terms that goes to all tasks (8 MB, whatever the corpus)
+FILTER_BITS = 1 << 26
 
 #: bytes by which terms are separated become spaces, A-Z become a-z
 _FOLD = bytes(
     32 if b < 0x41 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if b <= 0x5A else b for b in range(256)
 )
-_SUMMARY = "level int, whole boolean, lang string, source string, bytes binary, docs long, uses long"
+_SUMMARY = "level int, whole boolean, lang string, bytes binary, docs long"
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -59,49 +66,6 @@ def terms_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
-class _Tables:
-    """What one task counts between two hand-overs."""
-
-    def __init__(self):
-        self.docs: dict[tuple[str, str], Counter] = {}
-        self.uses: dict[tuple[str, str], Counter] = {}
-        self.beginnings: dict[tuple[str, int], Counter] = {}
-        self.keys = 0
-
-    def add(self, lang: str, source: str, terms: list[bytes]) -> None:
-        for table, key, items in self._counted(lang, source, terms):
-            counts = table.setdefault(key, Counter())
-            before = len(counts)
-            counts.update(items)
-            self.keys += len(counts) - before
-
-    def _counted(self, lang: str, source: str, terms: list[bytes]):
-        distinct = set(terms)
-        yield self.uses, (lang, source), terms
-        yield self.docs, (lang, source), distinct
-        size, longer = FIRST_LEVEL, distinct
-        while longer := [t for t in longer if len(t) > size]:
-            yield self.beginnings, (lang, size), {t[:size] for t in longer}
-            size *= 2
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        for (lang, source), docs in self.docs.items():
-            uses = self.uses[lang, source]
-            yield self._batch(None, True, lang, source, list(docs), list(docs.values()), [uses[t] for t in docs])
-        for (lang, size), docs in self.beginnings.items():
-            yield self._batch(size, False, lang, None, list(docs), list(docs.values()), [0] * len(docs))
-
-    def _batch(self, size, whole, lang, source, items, docs, uses) -> pa.RecordBatch:
-        level = [level_of(len(t)) for t in items] if whole else [level_of(size)] * len(items)
-        n = len(items)
-        columns = [
-            pa.array(level, pa.int32()), pa.array([whole] * n, pa.bool_()), pa.array([lang] * n, pa.string()),
-            pa.array([source] * n, pa.string()), pa.array(items, pa.binary()),
-            pa.array(docs, pa.int64()), pa.array(uses, pa.int64()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, ["level", "whole", "lang", "source", "bytes", "docs", "uses"])
-
-
 def level_of(size: int) -> int:
     """The first level whose beginnings have ``size`` bytes or more."""
     level, reach = 0, FIRST_LEVEL
@@ -110,24 +74,106 @@ def level_of(size: int) -> int:
     return level
 
 
+class _Tables:
+    """Counters by key, and how many entries they hold together."""
+
+    def __init__(self):
+        self.held: dict[tuple, Counter] = {}
+        self.keys = 0
+
+    def add(self, key: tuple, items) -> None:
+        counts = self.held.get(key)
+        if counts is None:
+            counts = self.held[key] = Counter()
+        before = len(counts)
+        counts.update(items)
+        self.keys += len(counts) - before
+
+    def empty(self) -> Iterator[tuple[tuple, Counter]]:
+        held, self.held, self.keys = self.held, {}, 0
+        yield from held.items()
+
+
 def _summaries(slim: DataFrame) -> DataFrame:
-    """Counts of complete terms and of beginnings, by task: rows of equal keys
-    stand for different documents."""
+    """Documents of complete terms and of beginnings, by language and task: rows
+    of equal keys stand for different documents."""
     ship_package(slim.sparkSession)
 
+    def rows(tables: _Tables) -> Iterator[pa.RecordBatch]:
+        for (lang, size), docs in tables.empty():
+            n = len(docs)
+            items, counts = pa.array(docs.keys(), pa.binary()), pa.array(docs.values(), pa.int64())
+            level = [level_of(len(t)) for t in docs] if size is None else [level_of(size)] * n
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(level, pa.int32()), pa.array([size is None] * n, pa.bool_()), pa.array([lang] * n, pa.string()), items, counts],
+                ["level", "whole", "lang", "bytes", "docs"],
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _Tables()
         for batch in batches:
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tables.add(lang, source, terms_of(text))
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                longer = set(terms_of(text))
+                tables.add((lang, None), longer)
+                size = FIRST_LEVEL
+                while longer := [t for t in longer if len(t) > size]:
+                    tables.add((lang, size), {t[:size] for t in longer})
+                    size *= 2
                 if tables.keys > FLUSH_KEYS:
-                    yield from tables.rows()
-                    tables = _Tables()
-        yield from tables.rows()
+                    yield from rows(tables)
+        yield from rows(tables)
 
     return slim.mapInArrow(run, _SUMMARY)
 
 
+def _filter_of(kept: DataFrame) -> bytes:
+    """One bit for each kept term, by hash: ``FILTER_BITS`` bits in all."""
+    at = F.pmod(F.crc32(F.concat(F.encode("lang", "UTF-8"), F.lit(b"\0"), F.col("bytes"))), F.lit(FILTER_BITS))
+    words = kept.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits")
+    )
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    for batch in words.toArrow().to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy().astype(np.uint32)
+    return out.tobytes()
+
+
+def _uses(slim: DataFrame, kept: DataFrame) -> DataFrame:
+    """(lang, source, bytes, uses) of the kept terms."""
+    spark = slim.sparkSession
+    passes = spark.sparkContext.broadcast(_filter_of(kept))
+    mask = FILTER_BITS - 1
+
+    def rows(tables: _Tables) -> Iterator[pa.RecordBatch]:
+        bits, crc = passes.value, zlib.crc32
+        for (lang, source), uses in tables.empty():
+            start = crc(lang.encode() + b"\0")
+            marks = [crc(t, start) & mask for t in uses]
+            some = {t: n for (t, n), m in zip(uses.items(), marks, strict=True) if bits[m >> 3] >> (m & 7) & 1}
+            n = len(some)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()),
+                    pa.array(some.keys(), pa.binary()), pa.array(some.values(), pa.int64()),
+                ],
+                ["lang", "source", "bytes", "uses"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _Tables()
+        for batch in batches:
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tables.add((lang, source), terms_of(text))
+                if tables.keys > FLUSH_KEYS:
+                    yield from rows(tables)
+        yield from rows(tables)
+
+    found = slim.mapInArrow(run, "lang string, source string, bytes binary, uses long")
+    summed = found.groupBy("lang", "source", "bytes").agg(F.sum("uses").alias("uses"))
+    # the filter lets some other terms pass by chance
+    return summed.join(kept, ["lang", "bytes"], "left_semi")
+
+
 def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(
         *[F.coalesce(docs[c].cast("string"), F.lit("")).alias(c) for c in ("lang", "source")],
@@ -203,13 +249,7 @@ def audit(docs: DataFrame, min_docs: int = 30, top: int = 50) -> DataFrame:
     slim = _slim(docs)
     summaries = materialize(_summaries(slim), "terms-counted")
     kept = materialize(kept_terms(summaries, min_docs), "terms-kept")
-    counts = materialize(
-        summaries.filter("whole")
-        .join(kept, ["lang", "bytes"], "left_semi")
-        .groupBy("lang", "source", "bytes")
-        .agg(F.sum("uses").alias("uses")),
-        "terms-uses",
-    )
+    counts = materialize(_uses(slim, kept), "terms-uses")
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
     groups = slim.select("lang", "source").distinct()
     totals = counts.groupBy("lang", "source").agg(F.sum("uses").alias("total"))
@@ -223,7 +263,8 @@ def audit(docs: DataFrame, min_docs: int = 30, top: int = 50) -> DataFrame:
     per_lang = groups.groupBy("lang").agg(
         F.count(F.lit(1)).alias("sources"), F.sum("total").alias("lang_total"), F.first("terms").alias("terms")
     )
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("sources") * F.col("terms") / F.lit(BLOCK_ENTRIES))).cast("int")
+    most = F.greatest(F.lit(1), F.least(F.greatest(F.lit(BLOCK_TERMS), F.col("sources") * 4), F.floor(F.lit(BLOCK_ENTRIES) / F.col("sources"))))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("terms") / most)).cast("int")
     per_lang = per_lang.withColumn("blocks", blocks)
 
     entries = (

@@ -239,6 +239,7 @@ def corpus(n=300, seed=1):
 
 @pytest.mark.parametrize(("min_docs", "blocks"), [(1, 10**6), (12, 40), (70, 10**6), (10_000, 10)])
 def test_audit_equals_brute_force(spark, monkeypatch, min_docs, blocks):
+    monkeypatch.setattr(divergence, "BLOCK_TERMS", 1)
     monkeypatch.setattr(divergence, "BLOCK_ENTRIES", blocks)
     rows = corpus()
     df = spark.createDataFrame(rows, "text string, lang string, source string")
@@ -252,6 +253,7 @@ def test_tables_are_handed_on_when_full(monkeypatch, spark):
     rows = corpus(80, seed=2)
     df = spark.createDataFrame(rows, "text string, lang string, source string").coalesce(1)
     monkeypatch.setattr(divergence, "FLUSH_KEYS", 3)
+    monkeypatch.setattr(divergence, "FILTER_BITS", 32)  # a filter that lets most terms pass
     assert sorted(map(tuple, divergence.audit(df, 5, 5).collect())) == sorted(audited(rows, 5, 5))
 
 
