@@ -18,22 +18,35 @@ once per row.  An empty table gives an empty result.  Columns besides
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from askwell.llm.bpe import _UNCOMMON as UNCOMMON
+from askwell.llm.bpe import byte_symbols
+from askwell.llm.chunks import Memo, gather, numbered, slices
 from askwell.llm.common import materialize, ship_package
 
-#: neighbouring white space, and characters that only Python counts as white space
-_RUNS = re.compile("\\s\\s|[\x1c-\x1f]")
-#: chunks remembered by a Python worker at most
-CACHE_ENTRIES = 400_000
+#: Fixed value: the splitting rule of byte-level files.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+#: White_Space of Unicode, as a class of Arrow's expressions
+_SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: characters that only Python counts as white space
+_PYTHON_SPACE = "[\x1c-\x1f]"
+#: white space, then what follows it
+_RUNS = re.compile(r"\s*\S+|\s+")
+#: bytes of chunks remembered by a Python worker at most
+MEMO_BYTES = 96 << 20
 PIECE_SCHEMA = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, bin_offset long, fill int"
 )
@@ -43,14 +56,19 @@ class DocumentTokens:
     """Token ids of texts by a byte-level file of the tokenizers library.
 
     The file's splitting rule never joins a character other than white space
-    with a space that follows it.  So a text whose white space comes one by one
-    may be cut before each space, and chunks met before need no second
-    encoding; any other text is encoded as a whole.
+    with white space that follows it, and looks no further back than the start
+    of a run of white space.  So texts are cut before each run, and each
+    distinct chunk is encoded once.
+
+    A chunk's key is what follows a single space, or "\\x1c" and the chunk
+    itself.  Chunks of common characters, whose classes no Unicode version
+    changes, are merged by tiktoken: where tokens are numbered in the order of
+    the rules that make them, merging by number and by rule is the same.  All
+    others are encoded by the tokenizers library, and so are whole texts with
+    added tokens.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -58,37 +76,96 @@ class DocumentTokens:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.chunks: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [
-            np.array(e.ids, "<u4").tobytes()
-            for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)
+        self.whole = "|".join([_PYTHON_SPACE, *(re.escape(a) for a in self.added)])
+        self.common = self._common_encoder(path)
+        if self.common:
+            values = self.common.token_byte_values()
+            self.n_bytes = np.zeros(self.common.max_token_value + 1, np.int64)
+            self.n_bytes[[self.common.encode_single_token(v) for v in values]] = list(map(len, values))
+        self.memo = Memo(MEMO_BYTES)
+
+    @staticmethod
+    def _common_encoder(path: str):
+        """Encoder of chunks of common characters; None where numbers don't
+        follow the rules or the file asks for anything else."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, split = spec["model"], spec["pre_tokenizer"]
+        plain = (
+            split == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+            and spec["normalizer"] is None
+            and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        )
+        made = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+        if not plain or made != list(range(256, 256 + len(made))):
+            return None
+        of = {c: b for b, c in enumerate(byte_symbols())}
+        added = {t["content"] for t in spec["added_tokens"]}
+        ranks = {bytes(of[c] for c in t): i for t, i in model["vocab"].items() if t not in added}
+        return tiktoken.Encoding("own", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def _by_library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _in_one_text(self, keys: list[str]) -> list[bytes]:
+        """Ids of chunks of common characters that end in no white space: one
+        text of all of them is encoded and cut where their bytes end."""
+        text = " " + " ".join(keys)
+        ids = self.common.encode_to_numpy(text)
+        ends = np.cumsum(np.fromiter((len(k.encode()) for k in keys), np.int64, len(keys)) + 1)
+        at = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, "left") + 1
+        raw, bounds = ids.astype("<u4").tobytes(), [0, *(4 * at).tolist()]
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def _known(self, keys: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each chunk."""
+        memo = self.memo
+        missing = [k for k in keys if k not in memo]
+        found: dict[str, bytes] = {}
+        joinable = [k for k in missing if k and k[0] != "\x1c" and not k[-1].isspace()] if self.common else []
+        if joinable and UNCOMMON.search("".join(joinable)):
+            joinable = [k for k in joinable if not UNCOMMON.search(k)]
+        for at in range(0, len(joinable), 50_000):
+            some = joinable[at : at + 50_000]
+            found.update(zip(some, self._in_one_text(some), strict=True))
+        single = [k for k in missing if k not in found]
+        found.update(zip(single, self._by_library([k[1:] if k[:1] == "\x1c" else " " + k for k in single]), strict=True))
+        out = [memo[k] if k in memo else found[k] for k in keys]
+        for k, ids in found.items():
+            memo.keep(k, ids, 40 + len(ids))
+        return out
+
+    def _own_keys(self, text: str) -> list[str]:
+        """Keys of a text (it has "\\x1c" before it) in which spaces meet other white space."""
+        out = []
+        for c in _RUNS.findall(text[1:]):
+            single = c[0] == " " and len(c) > 1 and not c[1].isspace()
+            out.append(c[1:] if single else "\x1c" + c)
+        return out
+
+    def of(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, ``end_id`` after each, and where each text ends."""
+        self.memo.make_room()
+        texts = pc.fill_null(texts, "")
+        # a key that holds a whole text may hold anything
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        texts = pc.binary_join_element_wise("\x1c", texts, "")
+        special = whole | pc.match_substring_regex(texts, f" {_SPACE}|{_SPACE} ").to_numpy(zero_copy_only=False)
+        wholes = set(texts.filter(pa.array(whole)).to_pylist())
+        offsets, codes, keys = numbered(texts, special, lambda t: ["\x1c" + t] if t in wholes else self._own_keys(t))
+        known = [
+            self._by_library([k[2:]])[0] if k[:2] == "\x1c\x1c" else None for k in keys
         ]
-
-    def _simple(self, text: str) -> bool:
-        """Whether the text's white space stands one by one between its words."""
-        if not text or text[0].isspace() or text[-1].isspace() or any(a in text for a in self.added):
-            return False
-        return _RUNS.search(text) is None
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.chunks) > CACHE_ENTRIES:
-            self.chunks.clear()
-        parts: list[list[str] | None] = []
-        for t in texts:
-            if self._simple(t):
-                first, *rest = t.split(" ")
-                parts.append(["\x1c" + first, *rest])
-            else:
-                parts.append(None)
-        missing = [c for c in {c for p in parts if p for c in p} if c not in self.chunks]
-        # 1C marks the first chunk of a text, the only one without a space before it
-        for c, ids in zip(missing, self._encode([c[1:] if c[0] == "\x1c" else " " + c for c in missing]), strict=True):
-            self.chunks[c] = ids
-        whole = iter(self._encode([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        return [next(whole) if p is None else b"".join(map(self.chunks.__getitem__, p)) for p in parts]
+        rest = iter(self._known([k for k, ids in zip(keys, known, strict=True) if ids is None]))
+        known = [next(rest) if ids is None else ids for ids in known]
+        known.append(np.array([end_id], "<u4").tobytes())
+        codes = np.insert(codes, offsets[1:], len(keys))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        counts = sizes[codes]
+        ids = np.frombuffer(b"".join(known), "<u4")[gather((np.cumsum(sizes) - sizes)[codes], counts)]
+        return ids, np.cumsum(counts)[offsets[1:] + np.arange(len(texts))]
 
 
 _LOADED: dict[str, DocumentTokens] = {}
@@ -131,34 +208,39 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, fills
 
 
+def cut(ids: np.ndarray, ends: np.ndarray, capacity: int) -> tuple[np.ndarray, ...]:
+    """Pieces of texts: text, piece, start, length and checksum of each.  Only
+    texts longer than ``capacity`` are cut; their first piece takes the rest."""
+    sizes = np.diff(ends, prepend=0)
+    n = np.maximum(1, -(-sizes // capacity))
+    text = np.repeat(np.arange(len(sizes)), n)
+    piece = gather(np.zeros(len(n), np.int64), n)
+    first = (sizes - (n - 1) * capacity)[text]
+    start = np.where(piece == 0, 0, first + (piece - 1) * capacity)
+    length = np.where(piece == 0, first, capacity)
+    at = (ends - sizes)[text] + start
+    raw = memoryview(ids.tobytes())
+    crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), length.tolist(), strict=True)]
+    return text, piece, start, length, np.array(crc, np.int64)
+
+
 def _pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens(path)
-        end = np.array([end_id], "<u4").tobytes()
-        ids: list[int | None] = []
-        piece, start, length, crc = [], [], [], []
+        doc, parts = [pa.array([], pa.int64())], [np.zeros((4, 0), np.int64)]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc, raw in zip(part.column(0).to_pylist(), encoder.of(texts), strict=True):
-                    raw += end
-                    n = len(raw) // 4
-                    cuts = [0, *range(n % capacity or capacity, n, capacity), n]
-                    for p in range(len(cuts) - 1):
-                        a, b = cuts[p], cuts[p + 1]
-                        ids.append(doc)
-                        piece.append(p)
-                        start.append(a)
-                        length.append(b - a)
-                        crc.append(zlib.crc32(raw[4 * a : 4 * b]))
-        bins, offsets, fills = best_fit(np.array(length, np.int64), capacity)
+            for at, size in slices(batch.column(1)):
+                part = batch.slice(at, size)
+                text, *numbers = cut(*encoder.of(part.column(1), end_id), capacity)
+                doc.append(part.column(0).take(pa.array(text)))
+                parts.append(np.stack(numbers))
+        piece, start, length, crc = np.concatenate(parts, axis=1)
+        bins, offsets, fills = best_fit(length, capacity)
         base = TaskContext.get().partitionId() << 40  # the same when a lost task runs again
         fill = np.array(fills, np.int32)[bins] if len(bins) else np.zeros(0, np.int32)
         cols = [
-            pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-            pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(bins + base),
-            pa.array(offsets), pa.array(fill),
+            pa.concat_arrays(doc), pa.array(piece.astype(np.int32)), pa.array(start),
+            pa.array(length), pa.array(crc), pa.array(bins + base), pa.array(offsets), pa.array(fill),
         ]
         names = [c.split()[0] for c in PIECE_SCHEMA.split(", ")]
         whole = pa.RecordBatch.from_arrays(cols, names)
@@ -232,7 +314,7 @@ def pack(
         )
         state = materialize(moved, f"pack-round{salt}")
         left = state.filter("open").agg(F.countDistinct("cur")).first()[0]
-        if tasks == 1 or left >= n_open * 0.99:
+        if tasks == 1 or left >= n_open:
             break
         n_open = left
     ends = state.filter((F.col("bin") != F.col("cur")) | (F.col("shift") != 0)).select(

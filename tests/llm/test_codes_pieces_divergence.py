@@ -269,3 +269,41 @@ def test_shares_are_exact_beyond_64_bits(spark):
     big = 9 * 10**18
     row = spark.range(1).select(divergence._share(F.lit(big - 7), F.lit(big), F.lit(10**9)).alias("p")).first()
     assert row.p == 1 + 10**9 * (big - 2) // (big + 5 * 10**9)
+
+
+# -- chunked encoding for packing -------------------------------------------
+
+
+def test_chunked_ids_match_library():
+    from tokenizers import Tokenizer
+
+    from askwell.llm.packing import DocumentTokens, cut
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, lib, rnd = DocumentTokens(path), Tokenizer.from_file(path), random.Random(2)
+    assert enc.common is not None
+    alpha = "abcdefghijABCÄöüßéñΣςİ 漢字かな\n\t.,'’!?-_#0123½\x85\x1c\xa0　 😀अंक   's 're\r\n\x00 e e t"
+    safe = "abcdefg hijAB  Cé\n\t.,'!?0123 's  \n\n"
+    cases = ["".join(rnd.choice(rnd.choice([alpha, safe])) for _ in range(rnd.randint(0, 60))) for _ in range(5000)]
+    cases += ["<|endoftext|>x <|endoftext|> y", "", None, "x" * 30_000, "a b " * 5000, " ", "  ", "\n", " a", "a ", "\x1c\x1cab"]
+    ids, ends = enc.of(pa.array(cases), 0)
+    want = [[*lib.encode(c or "", add_special_tokens=False).ids, 0] for c in cases]
+    assert [ids[b - len(w) : b].tolist() for b, w in zip(ends.tolist(), want, strict=True)] == want
+    text, piece, start, length, _ = cut(ids, ends, 100)
+    sizes = list(map(len, want))
+    for k, size in enumerate(sizes):
+        mine = [(int(s), int(n)) for t, s, n in zip(text, start, length, strict=True) if t == k]
+        assert mine[0][0] == 0 and sum(n for _, n in mine) == size and all(n <= 100 for _, n in mine)
+        assert len(mine) == max(1, -(-size // 100))
+
+
+def test_memo_is_bounded_in_bytes():
+    from askwell.llm.chunks import Memo
+
+    memo = Memo(10_000)
+    for k in range(1000):
+        memo.keep(str(k), b"", 50)
+        memo.make_room()
+        assert memo.held <= 10_000 + 250
+    memo.keep("x" * 500, b"", 0)
+    assert "x" * 500 not in memo
