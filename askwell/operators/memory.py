@@ -270,7 +270,7 @@ def select_dynamic_feedback(
     seed: DataFrame,
     k: int = FEW_SHOT_K,
     threshold: float = 0.95,
-    block_rows: int = 4096,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Dynamic selection over a store that grows while the benchmark runs.
 

@@ -1,21 +1,11 @@
 """Vector memory search: V0 embed, V1/V2 exact top-k, V3 LSH, V4 max
 similarity, V5 dedup gate, and the threshold edge list used by V6.
 
-Exact search (V1 = V2 here) is a *blocked* matrix product:
-
-  * queries are hashed into ``nq`` blocks and the store into ``ns`` blocks of
-    at most ``block_rows`` rows each (block ids are synthetic, so no key skew
-    can pile rows into one block);
-  * each query row is copied to the ``ns`` store blocks and each store row to
-    the ``nq`` query blocks; ``cogroup`` on (query block, store block) gives
-    one task per block pair holding two bounded matrices;
-  * the task multiplies them with numpy and emits only a partial top-k per
-    query (or only pairs >= threshold), never the full pair matrix;
-  * a final ``row_number`` per query over k * ns candidates picks the answer.
-
-When the store is small (one block) this is the "broadcast the store" plan:
-every query block meets the single store block.  Ranking ties are broken by
-(similarity rounded to 6 dp desc, store id asc) in both Spark and the oracle.
+Exact search is the block join of ``metric_join``: rows lie in blocks around
+reference points, and pairs of blocks that the triangle inequality rules out
+(against the threshold, or against a query's k-th best so far) are never formed.
+Ranking ties are broken by (similarity rounded to 6 dp desc, store id asc) in
+both Spark and the oracle.
 """
 
 from __future__ import annotations
@@ -27,99 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SIM_DIGITS = 6
-
-
-def _rows(df: DataFrame) -> int:
-    return df.count()
-
-
-def _blocks(n_rows: int, block_rows: int) -> int:
-    return max(1, math.ceil(n_rows / block_rows))
-
-
-def _pair_kernel(k: int | None, threshold: float | None, exclude_self: bool, only_earlier: bool):
-    """Build the per-block-pair function for cogroup.applyInPandas.
-
-    Everything the kernel calls is defined inside it, so it is shipped to the
-    Python workers by value and needs only numpy and pandas there."""
-    import numpy as np
-    import pandas as pd
-
-    digits = SIM_DIGITS
-
-    def _matrix(series: pd.Series) -> np.ndarray:
-        if len(series) == 0:
-            return np.zeros((0, 0))
-        m = np.stack([np.asarray(v, dtype=np.float64) for v in series])
-        norms = np.linalg.norm(m, axis=1, keepdims=True)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            unit = np.where(norms > 0, m / np.where(norms > 0, norms, 1.0), 0.0)
-        return unit
+from askwell.operators import metric_join
+from askwell.operators.metric_join import SIM_DIGITS
+from askwell.session import materialize
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q_id": pd.Series(dtype="int64"), "s_id": pd.Series(dtype="int64"),
-                              "sim": pd.Series(dtype="float64")})
-        if len(left) == 0 or len(right) == 0:
-            return empty
-        q = _matrix(left["vec"])
-        s = _matrix(right["vec"])
-        qid = left["id"].to_numpy(dtype=np.int64)
-        sid = right["id"].to_numpy(dtype=np.int64)
-        sims = q @ s.T
-        valid = np.ones(sims.shape, dtype=bool)
-        if exclude_self:
-            valid &= qid[:, None] != sid[None, :]
-        if only_earlier:
-            valid &= sid[None, :] < qid[:, None]
-        out_q, out_s, out_v = [], [], []
-        if threshold is not None:
-            keep = valid & (np.round(sims, digits) >= threshold - 1e-9)
-            qi, si = np.nonzero(keep)
-            out_q.append(qid[qi]); out_s.append(sid[si]); out_v.append(sims[qi, si])
-        else:
-            masked = np.where(valid, sims, -np.inf)
-            kk = min(k, masked.shape[1])
-            # k-th best per row, then keep everything within 1e-6 of it so that
-            # rounding ties are settled by the final Spark ranking
-            part = np.partition(-masked, kk - 1, axis=1)[:, kk - 1]
-            kth = -part
-            keep = valid & (masked >= (kth - 1e-6)[:, None])
-            qi, si = np.nonzero(keep)
-            out_q.append(qid[qi]); out_s.append(sid[si]); out_v.append(sims[qi, si])
-        return pd.DataFrame({"q_id": np.concatenate(out_q), "s_id": np.concatenate(out_s),
-                             "sim": np.concatenate(out_v).astype(np.float64)})
 
-    return run
-
-
-def _block_pairs(
-    queries: DataFrame,
-    store: DataFrame,
-    q_id: str,
-    q_vec: str,
-    s_id: str,
-    s_vec: str,
-    kernel,
-    block_rows: int,
-) -> DataFrame:
-    nq = _blocks(_rows(queries), block_rows)
-    ns = _blocks(_rows(store), block_rows)
-    q = queries.select(
-        F.col(q_id).cast("bigint").alias("id"),
-        F.col(q_vec).cast("array<double>").alias("vec"),
-        F.pmod(F.xxhash64(q_id), F.lit(nq)).alias("qb"),
-    ).withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(ns - 1))))
-    s = store.select(
-        F.col(s_id).cast("bigint").alias("id"),
-        F.col(s_vec).cast("array<double>").alias("vec"),
-        F.pmod(F.xxhash64(s_id), F.lit(ns)).alias("sb"),
-    ).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    return (
-        q.groupBy("qb", "sb")
-        .cogroup(s.groupBy("qb", "sb"))
-        .applyInPandas(lambda l, r: kernel(l, r), "q_id long, s_id long, sim double")
-    )
+def _signed(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    return materialize(metric_join.vector_signatures(df, id_col, vec_col), "vectors")
 
 
 def topk_neighbors(
@@ -133,23 +37,17 @@ def topk_neighbors(
     s_vec: str = "embedding",
     exclude_self: bool = False,
     only_earlier: bool = False,
-    block_rows: int = 4096,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """The k most similar store rows per query.
 
     Returns (q_id, rank, s_id, similarity) with similarity rounded to 6 dp.
+    ``block_rows`` is the aimed size of a block (default: by the size of the store).
     """
-    cands = _block_pairs(
-        queries, store, q_id, q_vec, s_id, s_vec,
-        _pair_kernel(k, None, exclude_self, only_earlier), block_rows,
-    )
-    sim6 = F.round("sim", SIM_DIGITS)
-    w = Window.partitionBy("q_id").orderBy(sim6.desc(), F.col("s_id").asc())
-    return (
-        cands.withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= k)
-        .select("q_id", F.col("rank").cast("bigint").alias("rank"), "s_id", sim6.alias("similarity"))
-    )
+    s = _signed(store, s_id, s_vec)
+    q = s if queries is store and (q_id, q_vec) == (s_id, s_vec) else _signed(queries, q_id, q_vec)
+    found = metric_join.topk_join(q, s, k, exclude_self=exclude_self, only_earlier=only_earlier, block_rows=block_rows)
+    return metric_join.ranked(found, k)
 
 
 def similarity_edges(
@@ -158,17 +56,11 @@ def similarity_edges(
     *,
     id_col: str = "id",
     vec_col: str = "embedding",
-    block_rows: int = 4096,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Pairs (src earlier, dst later) with rounded similarity >= threshold."""
-    edges = _block_pairs(
-        df, df, id_col, vec_col, id_col, vec_col,
-        _pair_kernel(None, threshold, False, True), block_rows,
-    )
-    return edges.select(
-        F.col("s_id").alias("src"), F.col("q_id").alias("dst"),
-        F.round("sim", SIM_DIGITS).alias("similarity"),
-    )
+    edges = metric_join.threshold_join(_signed(df, id_col, vec_col), None, threshold, block_rows=block_rows)
+    return edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "similarity")
 
 
 def max_similarity(
@@ -180,7 +72,7 @@ def max_similarity(
     s_id: str = "id",
     s_vec: str = "embedding",
     only_earlier: bool = False,
-    block_rows: int = 4096,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """V4: best similarity of each query to the store; 0.0 when the store (or
     the earlier part of it) is empty.  Returns (q_id, nearest_id, max_similarity)."""

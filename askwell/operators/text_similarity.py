@@ -1,43 +1,69 @@
 """V0t: engine-independent text cosine on term counts.
 
-A text becomes sparse rows (id, term, w) with w = tf / ||tf||.  Cosine of two
-texts = sum over shared terms of w_a * w_b, computed by joining on ``term``
-(an inverted index) — no vector ever crosses the driver.
-
-Near-duplicate search at high thresholds uses *prefix filtering* (the
-"All-Pairs" idea): order each text's terms globally by (document frequency,
-term), rarest first, and index only the shortest leading run after which the
-rest of the text can no longer contribute t to a cosine: the bound is
-min(||suffix||, sum of w * max weight of the term).  If cos(a, b) >= t then a
-and b share a term inside both prefixes (if the shorter prefix ends at
-position p, every shared term outside it lies in that text's suffix, whose
-contribution is below t).  So candidates come only from rare shared terms, and each
-candidate is then verified exactly.  Exact copies are collapsed first (one
-representative per text hash), which removes the largest same-key groups
-before any pairing.
+A text becomes term ids with w = tf / ||tf||; the cosine of two texts is the sum
+over shared terms of w_a * w_b.  Joins run in ``metric_join``: a text's signature
+has its weights of the ``HEAD_TERMS`` most frequent terms and the norm of the
+others, so a product of two signatures bounds the cosine from above, blocks of
+signatures are ruled out by angles, and only pairs that reach the bound have the
+rest of their terms compared.  Frequent terms are dimensions there and not keys,
+so no posting list is ever joined with itself.  Exact copies are collapsed first.
+
+Terms travel as 64-bit hashes.  The dictionary that counts documents shows
+whether two terms share a hash; if so, all hashes are taken anew with another
+salt, until none do.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askwell.functions.text import terms
-from askwell.session import ensure_checkpoint_dir
+from askwell.operators import metric_join
+from askwell.session import materialize
 
-SIM_DIGITS = 6
+#: terms that are dimensions of a signature
+HEAD_TERMS = 255
 
 
-def term_weights(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, w): unit-normalised term counts of each text."""
-    tf = (
-        df.select(F.col(id_col).alias("id"), F.explode(terms(text_col)).alias("term"))
-        .groupBy("id", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    # window per text: its size is the text's distinct-term count
-    norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy("id")))
-    return tf.select("id", "term", (F.col("tf") / norm).alias("w"))
+def _with_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    # a text without terms has a zero vector: cosine 0 with everything
+    slim = _spread(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")))
+    words = slim.select("id", terms("text").alias("words"))
+    return words.filter(F.size("words") > 0)
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """A scan of less partitions than there are cores (one small file) is dealt
+    out before its texts are taken apart; larger scans stay as they are."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _signed(*texts: DataFrame) -> list[DataFrame]:
+    """Stored signatures of tables of (id, words), over one dictionary."""
+    salt = 0
+    words = texts[0].select("words")
+    for t in texts[1:]:
+        words = words.unionAll(t.select("words"))
+    words = words.select(F.explode(F.array_distinct("words")).alias("word"))
+    while True:
+        # a second hash tells words of one id apart; numbers keep the aggregation in place
+        other = F.xxhash64(F.lit(-1 - salt), "word")
+        dictionary = words.groupBy(F.xxhash64("word", F.lit(salt)).alias("term")).agg(
+            F.count(F.lit(1)).alias("df"), (F.min(other) != F.max(other)).alias("clash")
+        )
+        dictionary = materialize(dictionary, "dictionary")
+        if dictionary.filter("clash").isEmpty():
+            break
+        salt += 1
+    top = dictionary.orderBy(F.col("df").desc(), "term").limit(HEAD_TERMS).select("term").collect()
+    head = np.sort(np.array([r["term"] for r in top], np.int64))
+    hashed = [t.select("id", F.transform("words", lambda w: F.xxhash64(w, F.lit(salt))).alias("terms")) for t in texts]
+    return [materialize(metric_join.text_signatures(h, head), "text-signatures") for h in hashed]
 
 
 def text_topk(
@@ -49,286 +75,15 @@ def text_topk(
     q_text: str,
     s_id: str,
     s_text: str,
-    method: str = "join",
-    max_fraction: float = 0.05,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """k most similar store texts per query text by term cosine.
 
     Returns (q_id, rank, s_id, similarity).  Pairs sharing no term have
     similarity 0 and are never ranked (the reference's store returns nearest
-    neighbours by vector; a zero-overlap text is not a neighbour here).
-
-    Two exact engines: an inverted-index join (rows = sum over terms of
-    query postings x store postings) or block products with a partial top-k
-    per block pair.  ``auto`` computes the join's row count from per-term
-    counts and takes the join only when it is a small fraction of all pairs.
-    The default is the join: with few queries (a benchmark question set) the
-    join's partial aggregation beats shipping the store through blocks.""" 
-    qw = term_weights(queries, q_id, q_text)
-    sw = term_weights(store, s_id, s_text)
-    if method == "auto":
-        cq = qw.groupBy("term").agg(F.count(F.lit(1)).alias("cq"))
-        cs = sw.groupBy("term").agg(F.count(F.lit(1)).alias("cs"))
-        est = cq.join(cs, "term").agg(F.sum(F.col("cq").cast("double") * F.col("cs"))).collect()[0][0] or 0.0
-        nq, ns = qw.select("id").distinct().count(), sw.select("id").distinct().count()
-        method = "join" if est <= max_fraction * nq * ns else "blocked"
-    if method == "blocked":
-        ensure_checkpoint_dir(queries.sparkSession)
-        sims = _blocked_topk(qw.checkpoint(), sw.checkpoint(), k)
-    else:
-        qj = qw.withColumnRenamed("id", "q_id").withColumnRenamed("w", "wq")
-        sj = sw.withColumnRenamed("id", "s_id").withColumnRenamed("w", "ws")
-        sims = qj.join(sj, "term").groupBy("q_id", "s_id").agg(F.sum(F.col("wq") * F.col("ws")).alias("sim"))
-    sim6 = F.round("sim", SIM_DIGITS)
-    w = Window.partitionBy("q_id").orderBy(sim6.desc(), F.col("s_id").asc())
-    return (
-        sims.withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= k)
-        .select("q_id", F.col("rank").cast("bigint").alias("rank"), "s_id", sim6.alias("similarity"))
-    )
-
-
-def _topk_kernel(k: int):
-    # self-contained (helpers nested): shipped to the workers by value
-    import numpy as np
-    import pandas as pd
-
-    def _dense(side, vocab):
-        """Rows of ``side`` (terms, ws arrays) as a dense matrix over ``vocab``."""
-        m = np.zeros((len(side), len(vocab)))
-        lens = side["terms"].map(len).to_numpy()
-        if lens.sum() == 0 or len(vocab) == 0:
-            return m
-        terms = np.concatenate(side["terms"].to_numpy())
-        ws = np.concatenate(side["ws"].to_numpy()).astype(np.float64)
-        rows = np.repeat(np.arange(len(side)), lens)
-        cols = vocab.get_indexer(terms)
-        keep = cols >= 0
-        m[rows[keep], cols[keep]] = ws[keep]
-        return m
-
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q_id": pd.Series(dtype="int64"), "s_id": pd.Series(dtype="int64"),
-                              "sim": pd.Series(dtype="float64")})
-        if len(left) == 0 or len(right) == 0:
-            return empty
-        vocab = pd.Index(np.intersect1d(np.concatenate(left["terms"].to_numpy()),
-                                        np.concatenate(right["terms"].to_numpy())))
-        if len(vocab) == 0:
-            return empty
-        sims = _dense(left, vocab) @ _dense(right, vocab).T
-        masked = np.where(sims > 0, sims, -np.inf)
-        kk = min(k, masked.shape[1])
-        kth = -np.partition(-masked, kk - 1, axis=1)[:, kk - 1]
-        # keep everything within 1e-6 of the k-th best: rounding ties are
-        # settled by the final ranking in Spark
-        keep = (sims > 0) & (masked >= (kth - 1e-6)[:, None])
-        i, j = np.nonzero(keep)
-        return pd.DataFrame({"q_id": left["id"].to_numpy(dtype=np.int64)[i],
-                             "s_id": right["id"].to_numpy(dtype=np.int64)[j], "sim": sims[i, j]})
-
-    return run
-
-
-def _blocked_topk(qw: DataFrame, sw: DataFrame, k: int, block_docs: int = 512) -> DataFrame:
-    """(q_id, s_id, sim) candidates: a partial top-k per query per block pair."""
-    import math
-
-    hashed = _hash_is_injective(qw, sw)
-    Q, S = _doc_arrays(qw, hashed), _doc_arrays(sw, hashed)
-    nq = max(1, math.ceil(Q.count() / block_docs))
-    ns = max(1, math.ceil(S.count() / block_docs))
-    left = Q.withColumn("bi", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")) \
-        .withColumn("bj", F.explode(F.sequence(F.lit(0), F.lit(ns - 1))))
-    right = S.withColumn("bj", F.pmod(F.xxhash64("id"), F.lit(ns)).cast("int")) \
-        .withColumn("bi", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    kernel = _topk_kernel(k)
-    return (
-        left.groupBy("bi", "bj")
-        .cogroup(right.groupBy("bi", "bj"))
-        .applyInPandas(lambda l, r: kernel(l, r), "q_id long, s_id long, sim double")
-    )
-
-
-def _prefix_rows(tw: DataFrame, dfreq: DataFrame, threshold: float, maxw: DataFrame) -> DataFrame:
-    """(id, term) rows in each text's prefix under the global (df, term) order.
-
-    The suffix of a text from term i on can add at most
-        min(||w_suffix||, sum over suffix terms of w * maxw(term))
-    to a cosine with any text of the other side (Cauchy-Schwarz, and each
-    weight of the other side is at most that term's largest weight there).
-    Term i belongs to the prefix while that bound is still >= t."""
-    w_suffix = (
-        Window.partitionBy("id")
-        .orderBy(F.col("df").asc(), F.col("term").asc())
-        .rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    )
-    ordered = tw.join(dfreq, "term").join(maxw, "term")
-    norm_bound = F.sqrt(F.sum(F.col("w") * F.col("w")).over(w_suffix))
-    max_bound = F.sum(F.col("w") * F.col("maxw")).over(w_suffix)
-    bounded = ordered.withColumn("_bound", F.least(norm_bound, max_bound))
-    return bounded.filter(F.col("_bound") >= F.lit(threshold - 1e-9)).select("id", "term")
-
-
-def _max_weights(tw: DataFrame) -> DataFrame:
-    return tw.groupBy("term").agg(F.max("w").alias("maxw"))
-
-
-def _sample_docs(tw: DataFrame, fraction: float = None, seed: int = 17) -> DataFrame:
-    """Term rows of a random sample of the texts (for plan estimates)."""
-    ids = tw.select("id").distinct().sample(fraction or ESTIMATE_SAMPLE, seed=seed)
-    return tw.join(ids, "id", "left_semi")
-
-
-def _with_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    # a text without terms has a zero vector: cosine 0 with everything
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(
-        F.size(terms("text")) > 0
-    )
-
-
-def _verify(cands: DataFrame, tw_a: DataFrame, tw_b: DataFrame, threshold: float) -> DataFrame:
-    wa = tw_a.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"))
-    wb = tw_b.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
-    return (
-        cands.join(wa, "a")
-        .join(wb, ["b", "term"])
-        .groupBy("a", "b")
-        .agg(F.round(F.sum(F.col("wa") * F.col("wb")), SIM_DIGITS).alias("similarity"))
-        .filter(F.col("similarity") >= F.lit(threshold))
-    )
-
-
-def _hash_is_injective(*tws: DataFrame) -> bool:
-    """True when xxhash64 maps no two distinct terms to the same value (then
-    64-bit term ids are an exact encoding).  One aggregation over the
-    distinct terms."""
-    terms = tws[0].select("term")
-    for t in tws[1:]:
-        terms = terms.unionAll(t.select("term"))
-    clash = (
-        terms.distinct()
-        .groupBy(F.xxhash64("term").alias("h"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > 1)
-        .limit(1)
-        .count()
-    )
-    return clash == 0
-
-
-def _doc_arrays(tw: DataFrame, hashed: bool) -> DataFrame:
-    """One row per text: (id, terms array, weights array), aligned.  With
-    ``hashed`` the terms travel as 64-bit ids (checked injective)."""
-    key = F.xxhash64("term") if hashed else F.col("term")
-    v = tw.groupBy("id").agg(F.collect_list(F.struct(key.alias("k"), F.col("w"))).alias("v"))
-    return v.select("id", F.transform("v", lambda x: x["k"]).alias("terms"),
-                    F.transform("v", lambda x: x["w"]).alias("ws"))
-
-
-def _block_kernel(threshold: float, self_join: bool):
-    # self-contained (helpers nested): shipped to the workers by value
-    import numpy as np
-    import pandas as pd
-
-    digits = SIM_DIGITS
-
-    def _dense(side, vocab):
-        """Rows of ``side`` (terms, ws arrays) as a dense matrix over ``vocab``."""
-        m = np.zeros((len(side), len(vocab)))
-        lens = side["terms"].map(len).to_numpy()
-        if lens.sum() == 0 or len(vocab) == 0:
-            return m
-        terms = np.concatenate(side["terms"].to_numpy())
-        ws = np.concatenate(side["ws"].to_numpy()).astype(np.float64)
-        rows = np.repeat(np.arange(len(side)), lens)
-        cols = vocab.get_indexer(terms)
-        keep = cols >= 0
-        m[rows[keep], cols[keep]] = ws[keep]
-        return m
-
-    dense = _dense
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"),
-                            "similarity": pd.Series(dtype="float64")})
-        if len(left) == 0 or len(right) == 0:
-            return out
-        # only terms present on both sides can contribute to a dot product
-        vocab = pd.Index(np.intersect1d(np.concatenate(left["terms"].to_numpy()),
-                                        np.concatenate(right["terms"].to_numpy())))
-        sims = dense(left, vocab) @ dense(right, vocab).T
-        lid = left["id"].to_numpy(dtype=np.int64)
-        rid = right["id"].to_numpy(dtype=np.int64)
-        keep = np.round(sims, digits) >= threshold - 1e-9
-        if self_join:
-            same_block = left["bi"].iloc[0] == left["bj"].iloc[0]
-            keep &= (lid[:, None] < rid[None, :]) if same_block else (lid[:, None] != rid[None, :])
-        i, j = np.nonzero(keep)
-        a, b = lid[i], rid[j]
-        if self_join:
-            a, b = np.minimum(a, b), np.maximum(a, b)
-        return pd.DataFrame({"a": a, "b": b, "similarity": sims[i, j]})
-
-    return run
-
-
-def blocked_pairs(
-    tw_left: DataFrame,
-    tw_right: DataFrame | None,
-    threshold: float,
-    *,
-    block_docs: int = 512,
-) -> DataFrame:
-    """Exact (a, b, similarity >= t) by block matrix products.
-
-    Texts travel as (terms, weights) arrays.  For a self join only the upper
-    triangle of the block grid is formed (each unordered pair is scored in
-    exactly one task); a task builds two dense blocks over the terms the two
-    blocks share and multiplies them, emitting only pairs at or above t.
-    Memory per task is bounded by ``block_docs`` x shared vocabulary."""
-    import math
-
-    self_join = tw_right is None
-    hashed = _hash_is_injective(tw_left, *([] if self_join else [tw_right]))
-    L = _doc_arrays(tw_left, hashed)
-    # the right side of a self join gets fresh attribute ids (re-aliased)
-    R = L.select(*[F.col(c).alias(c) for c in L.columns]) if self_join else _doc_arrays(tw_right, hashed)
-    nl = max(1, math.ceil(L.count() / block_docs))
-    nr = nl if self_join else max(1, math.ceil(R.count() / block_docs))
-    Lb = L.withColumn("bi", F.pmod(F.xxhash64("id"), F.lit(nl)).cast("int"))
-    Rb = R.withColumn("bj", F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int"))
-    if self_join:
-        left = Lb.withColumn("bj", F.explode(F.sequence(F.col("bi"), F.lit(nl - 1))))
-        right = Rb.withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("bj"))))
-    else:
-        left = Lb.withColumn("bj", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
-        right = Rb.withColumn("bi", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))))
-    kernel = _block_kernel(threshold, self_join)
-    pairs = (
-        left.groupBy("bi", "bj")
-        .cogroup(right.groupBy("bi", "bj"))
-        .applyInPandas(lambda l, r: kernel(l, r), "a long, b long, similarity double")
-    )
-    return pairs.select("a", "b", F.round("similarity", SIM_DIGITS).alias("similarity"))
-
-
-ESTIMATE_SAMPLE = 0.05
-
-
-def _prefix_is_selective(prefix: DataFrame, n_left: int, n_right: int, max_fraction: float) -> bool:
-    """Plan choice: estimated prefix-join rows (sum of posting-list products)
-    against all pairs.  Prefix filtering pays a shuffled row per shared term
-    of every candidate; a block product pays a few flops per pair, so the
-    candidate path only wins when it touches a small fraction of all pairs.
-    ``prefix`` may be the prefixes of a document sample; the ratio of pair
-    rows to all pairs is the same in expectation."""
-    est = prefix.groupBy("term").agg(
-        F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("l"),
-        F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("r"),
-    ).agg(F.sum(F.col("l").cast("double") * F.col("r"))).collect()[0][0] or 0.0
-    return est <= max_fraction * float(n_left) * float(n_right)
+    neighbours by vector; a zero-overlap text is not a neighbour here)."""
+    q, s = _signed(_with_terms(queries, q_id, q_text), _with_terms(store, s_id, s_text))
+    return metric_join.ranked(metric_join.topk_join(q, s, k, positive_only=True, block_rows=block_rows), k)
 
 
 def threshold_pairs(
@@ -340,43 +95,16 @@ def threshold_pairs(
     left_text: str,
     right_id: str,
     right_text: str,
-    method: str = "auto",
-    max_fraction: float = 0.03,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """(a, b, similarity) for left text a and right text b with term cosine
-    >= threshold (R-S join; prefix filtering with one global term order, or
-    block products when the prefix join would touch most pairs)."""
-    ensure_checkpoint_dir(left.sparkSession)
-    tl = term_weights(_with_terms(left, left_id, left_text), "id", "text").checkpoint()
-    tr = term_weights(_with_terms(right, right_id, right_text), "id", "text").checkpoint()
-    if method == "blocked":
-        return blocked_pairs(tl, tr, threshold)
-    dfreq = tl.select("term").unionAll(tr.select("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df")
-    )
-    # each side's prefix is bounded by the other side's largest weights
-    pa = _prefix_rows(tl, dfreq, threshold, _max_weights(tr)).select(F.col("id").alias("a"), "term")
-    pb = _prefix_rows(tr, dfreq, threshold, _max_weights(tl)).select(F.col("id").alias("b"), "term")
-    if method == "auto":
-        sl, sr = _sample_docs(tl), _sample_docs(tr)
-        sa = _prefix_rows(sl, dfreq, threshold, _max_weights(tr)).select("term", F.lit(0).alias("side"))
-        sb = _prefix_rows(sr, dfreq, threshold, _max_weights(tl)).select("term", F.lit(1).alias("side"))
-        n_l = sl.select("id").distinct().count()
-        n_r = sr.select("id").distinct().count()
-        if not _prefix_is_selective(sa.unionAll(sb), n_l, n_r, max_fraction):
-            return blocked_pairs(tl, tr, threshold)
-    cands = pa.join(pb, "term").select("a", "b").distinct()
-    return _verify(cands, tl, tr, threshold)
+    >= threshold."""
+    a, b = _signed(_with_terms(left, left_id, left_text), _with_terms(right, right_id, right_text))
+    return metric_join.threshold_join(a, b, threshold, block_rows=block_rows)
 
 
 def self_pairs(
-    docs: DataFrame,
-    threshold: float,
-    *,
-    id_col: str,
-    text_col: str,
-    method: str = "auto",
-    max_fraction: float = 0.03,
+    docs: DataFrame, threshold: float, *, id_col: str, text_col: str, block_rows: int | None = None, report: list | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Within one set ordered by id: returns (edges, copies).
 
@@ -384,46 +112,22 @@ def self_pairs(
     earliest copy.  ``edges`` (a, b, similarity), a < b, among representatives
     only — copies never need pairing (a later copy always has similarity 1 to
     its representative)."""
-    base = _with_terms(docs, id_col, text_col)
-    keyed = base.withColumn("h", F.sha2(F.col("text"), 256))
-    reps = keyed.groupBy("h").agg(F.min("id").alias("rep"))
-    copies = keyed.join(reps, "h").filter(F.col("id") != F.col("rep")).select("id", "rep")
-    rep_docs = keyed.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
-    ensure_checkpoint_dir(docs.sparkSession)
-    tw = term_weights(rep_docs, "id", "text").checkpoint()
-    if method == "blocked":
-        return blocked_pairs(tw, None, threshold), copies
-    stats = tw.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("maxw"))
-    dfreq, maxw = stats.select("term", "df"), stats.select("term", "maxw")
-    prefix = _prefix_rows(tw, dfreq, threshold, maxw)
-    if method == "auto":
-        # the sample's prefixes feed two small actions: keep them in memory
-        sample = _prefix_rows(_sample_docs(tw), dfreq, threshold, maxw).cache()
-        sides = sample.select("term", F.lit(0).alias("side")).unionAll(sample.select("term", F.lit(1).alias("side")))
-        n = sample.select("id").distinct().count()
-        selective = _prefix_is_selective(sides, n, n, max_fraction)
-        sample.unpersist()
-        if not selective:
-            return blocked_pairs(tw, None, threshold), copies
-    a = prefix.select(F.col("id").alias("a"), "term")
-    b = prefix.select(F.col("id").alias("b"), "term")
-    cands = a.join(b, "term").filter(F.col("a") < F.col("b")).select("a", "b").distinct()
-    return _verify(cands, tw, tw, threshold), copies
+    keyed = _spread(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))).filter(F.size(terms("text")) > 0)
+    keyed = keyed.withColumn("h", F.sha2(F.col("text"), 256))
+    reps = materialize(keyed.groupBy("h", "text").agg(F.min("id").alias("rep")), "text-reps")
+    copies = keyed.select("id", "h").join(reps.select("h", "rep"), "h").filter(F.col("id") != F.col("rep")).select("id", "rep")
+    (signed,) = _signed(_with_terms(reps, "rep", "text"))
+    return metric_join.threshold_join(signed, None, threshold, block_rows=block_rows, report=report), copies
 
 
 def near_duplicates(
-    docs: DataFrame,
-    threshold: float = 0.95,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    method: str = "auto",
+    docs: DataFrame, threshold: float = 0.95, *, id_col: str = "doc_id", text_col: str = "text", block_rows: int | None = None
 ) -> DataFrame:
     """Texts whose best term cosine to an *earlier* text (smaller id) is
     >= threshold.  Returns (id_col, max_similarity); one row per duplicate.
     For a representative the best earlier text is another representative (an
     earlier copy's own representative is earlier still, with equal cosine)."""
-    edges, copies = self_pairs(docs, threshold, id_col=id_col, text_col=text_col, method=method)
+    edges, copies = self_pairs(docs, threshold, id_col=id_col, text_col=text_col, block_rows=block_rows)
     best = edges.groupBy(F.col("b").alias("id")).agg(F.max("similarity").alias("max_similarity"))
     dup_copies = copies.select("id", F.lit(1.0).alias("max_similarity"))
     return best.unionByName(dup_copies).select(F.col("id").alias(id_col), "max_similarity")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from askwell.operators import similarity as V
@@ -90,57 +91,140 @@ def _py_cos(a, b):
     return 0.0 if den == 0 else num / den
 
 
-def test_near_duplicates_prefix_filter_is_exact(spark):
-    rnd = random.Random(3)
-    vocab = [f"w{i}" for i in range(40)]
-    base = [" ".join(rnd.choice(vocab) for _ in range(30)) for _ in range(8)]
+def _texts(rnd, n, size=30, vocab=40):
+    words = [f"w{i}" for i in range(vocab)]
+    base = [" ".join(rnd.choice(words) for _ in range(size)) for _ in range(8)]
     docs = []
-    for i in range(60):
+    for i in range(n):
         t = base[rnd.randrange(8)].split()
         for _ in range(rnd.randrange(4)):
-            t[rnd.randrange(len(t))] = rnd.choice(vocab)
+            t[rnd.randrange(len(t))] = rnd.choice(words)
         docs.append((i, " ".join(t)))
+    return docs
+
+
+@pytest.mark.parametrize(("threshold", "head", "block_rows"), [(0.9, 255, 10), (0.95, 5, 7), (0.8, 1, 1000), (0.95, 0, 5)])
+def test_near_duplicates_are_exact(spark, monkeypatch, threshold, head, block_rows):
+    monkeypatch.setattr(TS, "HEAD_TERMS", head)
+    docs = _texts(random.Random(3), 60)
     docs.append((60, docs[5][1]))  # exact copy
-    docs.append((61, ""))  # no terms
+    docs += [(61, ""), (62, "?!"), (63, None)]  # no terms
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for t, method in ((0.9, "prefix"), (0.95, "prefix"), (0.9, "blocked"), (0.95, "auto")):
-        got = {r["doc_id"]: r["max_similarity"] for r in TS.near_duplicates(df, t, method=method).collect()}
-        want = {}
-        for j in range(len(docs)):
-            best = max((round(_py_cos(docs[i][1], docs[j][1]), 6) for i in range(j)), default=0.0)
-            if best >= t:
-                want[docs[j][0]] = best
-        assert got.keys() == want.keys()
-        for k in want:
-            assert abs(got[k] - want[k]) < 1e-6
-
-
-def test_threshold_pairs_methods_agree(spark):
+    got = {r["doc_id"]: r["max_similarity"] for r in TS.near_duplicates(df, threshold, block_rows=block_rows).collect()}
+    want = {}
+    for j in range(len(docs)):
+        best = max((round(_py_cos(docs[i][1] or "", docs[j][1] or ""), 6) for i in range(j)), default=0.0)
+        if best >= threshold:
+            want[docs[j][0]] = best
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+@pytest.mark.parametrize(("head", "block_rows"), [(255, 1000), (3, 6)])
+def test_threshold_pairs_brute_force(spark, monkeypatch, head, block_rows):
+    monkeypatch.setattr(TS, "HEAD_TERMS", head)
     rnd = random.Random(4)
     vocab = [f"v{i}" for i in range(25)]
-    left = spark.createDataFrame([(i, " ".join(rnd.choice(vocab) for _ in range(12))) for i in range(40)], "id long, t string")
-    right = spark.createDataFrame([(100 + i, " ".join(rnd.choice(vocab) for _ in range(12))) for i in range(30)], "id long, t string")
-    res = {}
-    for m in ("prefix", "blocked"):
-        res[m] = {(r["a"], r["b"]): r["similarity"] for r in TS.threshold_pairs(
-            left, right, 0.5, left_id="id", left_text="t", right_id="id", right_text="t", method=m).collect()}
-    assert res["prefix"] == res["blocked"] and len(res["prefix"]) > 0
-
-
-def test_text_topk_brute_force(spark):
-    qs = spark.createDataFrame([(1, "red apple pie"), (2, "blue sky")], "id long, text string")
-    st = spark.createDataFrame(
-        [(10, "apple pie recipe"), (11, "red red apple"), (12, "sky is blue"), (13, "nothing here")],
-        "id long, text string",
-    )
-    res = {}
-    for m in ("join", "blocked"):
-        got = TS.text_topk(qs, st, 2, q_id="id", q_text="text", s_id="id", s_text="text", method=m).collect()
-        have = {(r["q_id"], r["rank"]): (r["s_id"], r["similarity"]) for r in got}
-        assert have[(1, 1)][0] in (10, 11) and have[(2, 1)][0] == 12
-        assert (2, 2) not in have  # zero-overlap texts are not neighbours
-        res[m] = have
-    assert res["join"] == res["blocked"]
+    a = [(i, " ".join(rnd.choice(vocab) for _ in range(12))) for i in range(40)] + [(50, None)]
+    b = [(100 + i, " ".join(rnd.choice(vocab) for _ in range(12))) for i in range(30)] + [(5, a[7][1])]
+    left, right = spark.createDataFrame(a, "id long, t string"), spark.createDataFrame(b, "id long, t string")
+    got = TS.threshold_pairs(left, right, 0.5, left_id="id", left_text="t", right_id="id", right_text="t", block_rows=block_rows)
+    want = {(i, j): round(_py_cos(x or "", y), 6) for i, x in a for j, y in b if round(_py_cos(x or "", y), 6) >= 0.5}
+    assert {(r["a"], r["b"]): r["similarity"] for r in got.collect()} == pytest.approx(want, abs=1e-6) and want
+    none = TS.threshold_pairs(left.limit(0), right, 0.5, left_id="id", left_text="t", right_id="id", right_text="t")
+    assert none.count() == 0
+
+
+@pytest.mark.parametrize(("head", "block_rows"), [(255, None), (4, 9), (0, 5)])
+def test_text_topk_brute_force(spark, monkeypatch, head, block_rows):
+    monkeypatch.setattr(TS, "HEAD_TERMS", head)
+    rnd = random.Random(6)
+    store = _texts(rnd, 70) + [(70, "nothing alike"), (71, "")]
+    asked = _texts(rnd, 9, size=5) + [(9, "unheard words"), (10, None)]
+    qs, st = spark.createDataFrame(asked, "id long, text string"), spark.createDataFrame(store, "id long, text string")
+    got = TS.text_topk(qs, st, 4, q_id="id", q_text="text", s_id="id", s_text="text", block_rows=block_rows).collect()
+    want = {}
+    for q, x in asked:
+        near = sorted((-round(_py_cos(x or "", y), 6), s) for s, y in store if _py_cos(x or "", y) > 0)
+        want.update({(q, k): (s, -v) for k, (v, s) in enumerate(near[:4], 1)})
+    have = {(r["q_id"], r["rank"]): (r["s_id"], r["similarity"]) for r in got}
+    assert have.keys() == want.keys()
+    assert all(abs(have[k][1] - want[k][1]) < 1e-6 for k in want)
+    assert sum(have[k][0] != want[k][0] for k in want) == 0
+
+
+def test_terms_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    """With hashes of two values, the dictionary asks for another salt until none clash."""
+    salts, real = [], F.xxhash64
+
+    def coarse(*cols):
+        if isinstance(cols[0], str) or len(salts) >= 2:
+            salts.append(cols)
+            return real(*cols)
+        if cols[-1] == "word":
+            return real(*cols)
+        salts.append(cols)
+        return real(*cols) % 2
+
+    monkeypatch.setattr(TS.F, "xxhash64", coarse)
+    monkeypatch.setattr(TS, "HEAD_TERMS", 0)
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "f g h i j")], "doc_id long, text string")
+    (signed,) = TS._signed(TS._with_terms(df, "doc_id", "text"))
+    assert len(salts) > 2 and all(len(r["tail"]) == 40 for r in signed.collect())
+
+
+# --- block joins of vectors ------------------------------------------------------------
+
+
+def _clusters(seed, n, dim=8):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, dim))
+    m = centres[rng.integers(0, 6, n)] + rng.normal(scale=0.15, size=(n, dim))
+    m[3] = 0.0  # a zero vector
+    m[n // 2 : n // 2 + n // 4] = m[5]  # one vector in a quarter of all rows
+    return m
+
+
+@pytest.mark.parametrize(("k", "only_earlier", "block_rows"), [(1, True, 12), (3, False, 12), (5, False, 1000), (7, True, 5)])
+def test_blocked_topk_equals_brute_force(spark, k, only_earlier, block_rows):
+    m = _clusters(1, 160)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(999, None)], "id long, embedding array<double>")
+    got = V.topk_neighbors(df, df, k, exclude_self=True, only_earlier=only_earlier, block_rows=block_rows).collect()
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    unit = np.where(norm > 0, m / np.where(norm > 0, norm, 1), 0)
+    sims = np.round(unit @ unit.T, 6) + 0.0
+    want = {}
+    for q in range(len(m)):
+        near = sorted((-sims[q, s], s) for s in range(len(m)) if s != q and (s < q or not only_earlier))
+        want.update({(q, r): s for r, (_, s) in enumerate(near[:k], 1)})
+    assert {(r["q_id"], r["rank"]): r["s_id"] for r in got} == want
+
+
+@pytest.mark.parametrize(("threshold", "block_rows"), [(0.9, 12), (0.3, 12), (0.99, 1000), (0.97, 4)])
+def test_edges_equal_brute_force_and_blocks_are_spared(spark, threshold, block_rows):
+    from askwell.operators import metric_join
+
+    m = _clusters(2, 200)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, embedding array<double>").repartition(3)
+    report = []
+    signed = V._signed(df, "id", "embedding")
+    got = metric_join.threshold_join(signed, None, threshold, block_rows=block_rows, report=report).collect()
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    unit = np.where(norm > 0, m / np.where(norm > 0, norm, 1), 0)
+    sims = np.round(unit @ unit.T, 6)
+    want = {(i, j) for i in range(200) for j in range(i + 1, 200) if sims[i, j] >= threshold}
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+    assert report[0].formed <= report[0].possible
+    if block_rows < 100 and threshold > 0.8:
+        assert report[0].formed < 0.7 * report[0].possible
+
+
+def test_joins_of_empty_tables(spark):
+    none = spark.createDataFrame([], "id long, embedding array<double>")
+    some = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<double>")
+    assert V.similarity_edges(none, 0.5).count() == 0
+    assert V.topk_neighbors(none, some, 2).count() == 0 and V.topk_neighbors(some, none, 2).count() == 0
+    assert {r["max_similarity"] for r in V.max_similarity(some, none).collect()} == {0.0}
 
 
 def test_lsh_pairs_subset_of_exact(spark):
