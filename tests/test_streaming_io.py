@@ -78,6 +78,111 @@ def test_stream_replay_equals_batch(spark):
     assert tuple(stats) == (5, 1)
 
 
+def _streams(spark, root, trace_parts, score_parts):
+    """File streams of one file a micro-batch."""
+    for name, parts, schema in (("traces", trace_parts, TRACE_SCHEMA), ("scores", score_parts, SCORE_SCHEMA)):
+        for n, rows in enumerate(parts):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{root}/{name}/part{n}")
+    return [
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{root}/{name}")
+        for name, schema in (("traces", TRACE_SCHEMA), ("scores", SCORE_SCHEMA))
+    ]
+
+
+def test_keyed_state_equals_the_batch_join(spark):
+    """Late, repeated and out-of-order scores: settled records are those of J6."""
+    base = dt.datetime(2024, 1, 1)
+
+    def score(k, minutes, value=1.0, comment="", name="quality"):
+        return (f"t{k}", base + dt.timedelta(minutes=minutes), name, value, comment)
+
+    traces = [(f"t{k}", base + dt.timedelta(minutes=k), [], "in", (f"q{k}", f"SELECT {k}")) for k in range(6)]
+    parts = [
+        [score(0, 50, comment="second"), score(1, 20), score(1, 20), score(2, 30, 0.0)],
+        [score(0, 40, comment="first"), score(0, 40, comment="later comment"), score(1, 10, comment="earlier"), score(3, 60, 2.0)],
+        [score(3, 60, 1.5), score(2, 90), score(5, 20, name="other"), score(0, 45)],
+        # watermarks move on: all that is held settles
+        [("far", base + dt.timedelta(days=40), "quality", 1.0, "")],
+        [("far", base + dt.timedelta(days=41), "quality", 1.0, "")],
+    ]
+    far = [("far", base + dt.timedelta(days=39 + k), [], "", ("", "")) for k in range(2)]
+    seen = ("t4", base, "quality", 1.0, "")
+    parts[1].append(("t4", base + dt.timedelta(minutes=30), "quality", 1.0, "known to the store"))
+    assert seen
+    root = tempfile.mkdtemp(prefix="askwell-state-", dir="/tmp")
+    t, s = _streams(spark, root, [traces, [], [], far[:1], far[1:]], parts)
+    store = spark.createDataFrame([("t4", dt.datetime(2024, 1, 1)), (None, None)], "trace_id string, created_at timestamp")
+    got = {}
+
+    def keep(batch, _):
+        for r in batch.collect():
+            assert r["trace_id"] not in got  # handed on once
+            got[r["trace_id"]] = (r["ts"], r["question"], r["generated_sql"], r["score_value"], r["score_comment"])
+
+    first = ST.first_positive_stream(ST.positive_stream(t, s), store, settle=True)
+    q = first.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    batch = FB.first_positive(spark.createDataFrame(traces, TRACE_SCHEMA), spark.createDataFrame([x for p in parts for x in p], SCORE_SCHEMA))
+    want = {
+        r["trace_id"]: (r["ts"], r["question"], r["generated_sql"], r["score_value"], r["score_comment"])
+        for r in batch.collect() if r["trace_id"] != "t4"
+    }
+    got.pop("far", None)
+    assert got == want and set(want) == {"t0", "t1", "t2", "t3"}
+    assert want["t0"][4] == "first" and want["t1"][4] == "earlier"
+
+
+def test_supervised_loop_goes_on_after_an_error(spark):
+    """The second micro-batch fails once: noted, repeated from the checkpoint, then done."""
+    tr, sc = _batches()
+    tr.append(("t10", tr[-1][1], [], "", ("unknown table", "SELECT x FROM no_such_table")))
+    sc.append(("t10", sc[-1][1], "quality", 1.0, ""))
+    root = tempfile.mkdtemp(prefix="askwell-loop-", dir="/tmp")
+    store = f"{root}/store"
+    IO.append_examples(spark.createDataFrame([("seed", "revenue by product category")], "example_id string, question string"), store, -1)
+    t, s = _streams(spark, root, [tr[:4], tr[4:]], [sc[:5], sc[5:]])
+    body = ST.make_batch_handler(spark, store, f"{root}/stats", threshold=0.7, analyse=True)
+    calls = []
+
+    def flaky(batch, batch_id):
+        calls.append(batch_id)
+        if batch_id == 1 and calls.count(1) == 1:
+            raise RuntimeError("the store was away")
+        body(batch, batch_id)
+
+    def start():
+        return ST.start_feedback_stream(
+            spark, t, s, store, stats_path=f"{root}/stats", checkpoint=f"{root}/ckpt", available_now=True, handler=flaky
+        )
+
+    report = ST.supervise(spark, start, pause_seconds=0.1)
+    assert report.restarts == 1 and len(report.errors) == 1 and calls.count(1) == 2
+    got = {r["trace_id"] for r in IO.read_store(spark, store).filter(F.col("trace_id").isNotNull()).collect()}
+    assert got == {"t0", "t3", "t5", "t7", "t9"}
+    stats = spark.read.parquet(f"{root}/stats").agg(F.sum("approved"), F.sum("rejected_validation")).first()
+    assert tuple(stats) == (5, 2)  # the write and the unknown table
+
+
+def test_supervised_loop_is_bounded(spark):
+    rate = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    root = tempfile.mkdtemp(prefix="askwell-bound-", dir="/tmp")
+
+    def start():
+        return rate.writeStream.foreachBatch(lambda b, i: None).option("checkpointLocation", f"{root}/ckpt").start()
+
+    report = ST.supervise(spark, start, max_batches=3)
+    assert report.batches >= 3 and report.errors == []
+
+    def failing():
+        def fail(b, i):
+            raise ValueError("never works")
+
+        return rate.writeStream.foreachBatch(fail).option("checkpointLocation", f"{root}/ckpt2").start()
+
+    with pytest.raises(Exception, match="never works"):
+        ST.supervise(spark, failing, max_restarts=1, pause_seconds=0.1)
+
+
 def test_load_questions_fallbacks(spark):
     d = tempfile.mkdtemp(prefix="askwell-json-", dir="/tmp")
     items = [
