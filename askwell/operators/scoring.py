@@ -11,6 +11,8 @@ no result set is ever gathered in one place.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, FloatType, IntegralType
@@ -225,6 +227,81 @@ def answers_within_1pct(gold: DataFrame, pred: DataFrame, keys: list[str], value
     ).withColumn("match", F.col("n_bad") == 0)
 
 
+def named_rows(df: DataFrame, question: str, side: Column | str, digits: int = 2) -> DataFrame:
+    """Result rows of many questions as maps from column name to canonical cell:
+    (question_id, side, cells).  ``question`` names the question's column; all
+    others are the result's."""
+    names = [c for c in df.columns if c != question]
+    cells = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), canonical_cells(df, digits, names))
+    return df.select(F.col(question).cast("bigint").alias("question_id"), (F.lit(side) if isinstance(side, str) else side).alias("side"), cells.alias("cells"))
+
+
+def lenient_match(named: DataFrame, pairs: DataFrame) -> DataFrame:
+    """E3 for all questions at once: is the multiset of predicted rows, cut to the
+    gold result's columns, that of the gold rows?  A prediction that lacks a gold
+    column never matches.  ``named``: output of ``named_rows`` for all sides;
+    ``pairs``: (question_id, strategy).  Returns (question_id, strategy,
+    lenient_match)."""
+    columns = named.filter(F.col("side") == GOLD).groupBy("question_id").agg(
+        F.first(F.array_sort(F.map_keys("cells"))).alias("columns")  # the same in all rows of a result
+    )
+    joined = named.join(columns, "question_id", "left")
+    lacks = F.exists("columns", lambda c: ~F.map_contains_key("cells", c))
+    cut = joined.select(
+        "question_id",
+        "side",
+        F.coalesce(F.transform("columns", lambda c: F.col("cells")[c]), F.array().cast("array<string>")).alias("row"),
+        F.coalesce(lacks, F.lit(False)).alias("lacks"),
+    )
+    short = cut.filter("lacks").select("question_id", F.col("side").alias("strategy")).distinct().withColumn("short", F.lit(True))
+    same = results_match(cut.select("question_id", "side", "row"), pairs)
+    return same.join(short, ["question_id", "strategy"], "left").select(
+        "question_id", "strategy", (F.col("execution_match") & F.col("short").isNull()).alias("lenient_match")
+    )
+
+
+def within_1pct(gold: DataFrame, predicted: DataFrame, pairs: DataFrame, share: float = 0.01) -> DataFrame:
+    """E4 for all questions at once: every gold value has a predicted one within
+    1 % of it, and every predicted value has such a gold one.
+
+    ``gold``: (question_id, value); ``predicted``: (question_id, strategy, value);
+    ``pairs``: (question_id, strategy).  Values meet in buckets as wide as the
+    tolerance on a logarithmic scale, gold values in their own and both next ones,
+    so a question with very many values forms no pairs beyond near ones.  NULL
+    values are left out; zero matches zero alone.  Returns (question_id,
+    strategy, n_gold, n_gold_bad, n_pred_bad, within)."""
+    width = -math.log(1 - share) * 1.0001
+    v = F.col("value")
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        df = df.withColumn("value", v.cast("double")).filter(v.isNotNull()).distinct()
+        return df.withColumn("sign", F.signum("value")).withColumn(
+            "bucket", F.when(v == 0, F.lit(0)).otherwise(F.floor(F.log(F.abs(v)) / F.lit(width))).cast("long")
+        )
+
+    g, p = bucketed(gold.select("question_id", "value")), bucketed(predicted.select("question_id", "strategy", "value"))
+    around = g.select("question_id", F.col("value").alias("gold"), "sign", F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])).alias("bucket"))
+    near = p.join(around, ["question_id", "sign", "bucket"]).filter(
+        F.abs(v - F.col("gold")) <= F.lit(share) * F.abs("gold")
+    ).select("question_id", "strategy", "gold", "value")
+    n_gold = g.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_gold"))
+    n_pred = p.groupBy("question_id", "strategy").agg(F.count(F.lit(1)).alias("n_pred"))
+    met = near.groupBy("question_id", "strategy").agg(
+        F.countDistinct("gold").alias("gold_met"), F.countDistinct("value").alias("pred_met")
+    )
+    zero = F.lit(0).cast("long")
+    out = (
+        pairs.select("question_id", "strategy").join(n_gold, "question_id", "left")
+        .join(n_pred, ["question_id", "strategy"], "left").join(met, ["question_id", "strategy"], "left")
+        .select(
+            "question_id", "strategy", F.coalesce("n_gold", zero).alias("n_gold"),
+            (F.coalesce("n_gold", zero) - F.coalesce("gold_met", zero)).alias("n_gold_bad"),
+            (F.coalesce("n_pred", zero) - F.coalesce("pred_met", zero)).alias("n_pred_bad"),
+        )
+    )
+    return out.withColumn("within", (F.col("n_gold_bad") == 0) & (F.col("n_pred_bad") == 0))
+
+
 # --- phases: E6 / E7 / E8 / A13 ----------------------------------------------------------------
 
 

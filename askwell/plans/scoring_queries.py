@@ -225,3 +225,81 @@ SELECT difficulty, nb AS count, {sql_round_ratio('cb', 'nb', 4)} AS baseline_acc
   {_points('cl * nb - cb * nl', 'nb * nl')} AS delta_pp
 FROM c WHERE difficulty IN ('simple', 'moderate', 'challenging')""",
 )
+
+
+# --- E3 / E4 over the same orders: other shapes and roundings of the monthly totals ---
+
+MORE, RENAMED, ROUGH = "more_columns", "renamed", "thousands"
+
+
+def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's months: orders that are not pending, and their total."""
+    o = Tables(spark, sf_dir).orders
+    return o.filter(F.col("o_orderstatus") != "P").groupBy(
+        F.col("o_custkey").alias("question_id"), F.date_format("o_orderdate", "yyyy-MM").alias("month")
+    ).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"), F.count(F.lit(1)).alias("n_orders"))
+
+
+def lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prediction with an extra column and other decimals (for every sixth
+    customer beyond two places), one whose total has another name for every
+    fourth customer, and one in whole thousands."""
+    by, q = _monthly(spark, sf_dir), F.col("question_id")
+    pairs = Tables(spark, sf_dir).customer.select(
+        F.col("c_custkey").alias("question_id"), F.explode(F.array(F.lit(MORE), F.lit(RENAMED), F.lit(ROUGH))).alias("strategy")
+    )
+    more = F.col("total").cast("decimal(24,4)") + F.when(q % 6 == 0, F.lit(0.01)).otherwise(F.lit(0.004)).cast("decimal(5,4)")
+    shapes = [
+        S.named_rows(by.select("question_id", "month", "total"), "question_id", S.GOLD),
+        S.named_rows(by.select("question_id", "n_orders", more.alias("total"), "month"), "question_id", MORE),
+        S.named_rows(by.filter(q % 4 == 0).select("question_id", "month", F.col("total").alias("amount")), "question_id", RENAMED),
+        S.named_rows(by.filter(q % 4 != 0).select("question_id", "month", "total"), "question_id", RENAMED),
+        S.named_rows(by.select("question_id", "month", F.round("total", -3).alias("total")), "question_id", ROUGH),
+    ]
+    named = shapes[0]
+    for more_rows in shapes[1:]:
+        named = named.unionByName(more_rows)
+    return S.lenient_match(named, pairs)
+
+
+def near_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The months' totals against totals in whole thousands, and against
+    totals of all orders, pending ones too."""
+    by = _monthly(spark, sf_dir)
+    every = Tables(spark, sf_dir).orders.groupBy(
+        F.col("o_custkey").alias("question_id"), F.date_format("o_orderdate", "yyyy-MM").alias("month")
+    ).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
+    pairs = Tables(spark, sf_dir).customer.select(
+        F.col("c_custkey").alias("question_id"), F.explode(F.array(F.lit(ROUGH), F.lit(ZERO))).alias("strategy")
+    )
+    predicted = by.select("question_id", F.lit(ROUGH).alias("strategy"), F.round("total", -3).alias("value")).unionByName(
+        every.select("question_id", F.lit(ZERO).alias("strategy"), F.col("total").alias("value")), allowMissingColumns=False
+    )
+    return S.within_1pct(by.select("question_id", F.col("total").alias("value")), predicted, pairs)
+
+
+_MONTHLY = """m AS (
+  SELECT o_custkey AS q, strftime(o_orderdate, '%Y-%m') AS m, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS t
+  FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL)"""
+register("s_lenient_match", lenient, f"""WITH {_MONTHLY},
+same AS (SELECT q, bool_and(round(t, -3) = t) AS whole FROM m GROUP BY q)
+SELECT c_custkey AS question_id, s.strategy, CASE s.strategy
+    WHEN '{MORE}' THEN c_custkey % 6 <> 0 OR same.q IS NULL
+    WHEN '{RENAMED}' THEN c_custkey % 4 <> 0 OR same.q IS NULL
+    ELSE coalesce(whole, true) END AS lenient_match
+FROM customer CROSS JOIN (SELECT unnest(['{MORE}', '{RENAMED}', '{ROUGH}']) AS strategy) s LEFT JOIN same ON same.q = c_custkey""")
+register("s_within_1pct", near_answers, f"""WITH {_MONTHLY},
+g AS (SELECT DISTINCT q, CAST(t AS DOUBLE) AS v FROM m),
+p AS (SELECT DISTINCT * FROM (
+  SELECT q, '{ROUGH}' AS s, CAST(round(t, -3) AS DOUBLE) AS v FROM m UNION ALL
+  SELECT o_custkey, '{ZERO}', CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) FROM orders
+  GROUP BY o_custkey, strftime(o_orderdate, '%Y-%m')) x),
+pairs AS (SELECT c_custkey AS q, unnest(['{ROUGH}', '{ZERO}']) AS s FROM customer),
+gold AS (SELECT pairs.q, pairs.s, COUNT(*) AS n, COUNT(*) FILTER (WHERE NOT EXISTS (
+    SELECT 1 FROM p WHERE p.q = g.q AND p.s = pairs.s AND abs(p.v - g.v) <= 0.01::DOUBLE * abs(g.v))) AS bad
+  FROM pairs JOIN g ON g.q = pairs.q GROUP BY ALL),
+pred AS (SELECT q, s, COUNT(*) FILTER (WHERE NOT EXISTS (
+    SELECT 1 FROM g WHERE g.q = p.q AND abs(p.v - g.v) <= 0.01::DOUBLE * abs(g.v))) AS bad FROM p GROUP BY ALL)
+SELECT pairs.q AS question_id, pairs.s AS strategy, coalesce(gold.n, 0) AS n_gold, coalesce(gold.bad, 0) AS n_gold_bad,
+  coalesce(pred.bad, 0) AS n_pred_bad, coalesce(gold.bad, 0) = 0 AND coalesce(pred.bad, 0) = 0 AS within
+FROM pairs LEFT JOIN gold USING (q, s) LEFT JOIN pred USING (q, s)""")

@@ -176,3 +176,39 @@ def test_ddl_states_constraints_of_the_schema():
         StructField("a", LongType(), False), StructField("b", StringType(), True, {"CURRENT_DEFAULT": "'x'"}),
     ])
     assert ddl_text("t", schema_fields(schema)) == "CREATE TABLE t (\n  a BIGINT NOT NULL,\n  b STRING DEFAULT 'x'\n);"
+
+
+def test_lenient_match_cuts_to_the_gold_columns(spark):
+    gold = S.named_rows(_rows(spark, [(1, "a", 1.001), (1, "a", 1.001), (2, "b", None), (3, "c", 3.0)], "q long, k string, v double"), "q", S.GOLD)
+    wide = S.named_rows(
+        _rows(spark, [(1, 1.0, "a", 7), (1, 1.0, "a", 8), (2, None, "b", 9), (3, 3.02, "c", 1), (5, 1.0, "x", 1)], "q long, v double, k string, extra int"), "q", "wide")
+    short = S.named_rows(_rows(spark, [(1, "a"), (1, "a"), (2, "b")], "q long, k string"), "q", "short")
+    pairs = _rows(spark, [(q, s) for q in (1, 2, 3, 4, 5) for s in ("wide", "short")], "question_id long, strategy string")
+    got = {(r[0], r[1]): r[2] for r in S.lenient_match(gold.unionByName(wide).unionByName(short), pairs).collect()}
+    assert got == {(1, "wide"): True, (2, "wide"): True, (3, "wide"): False, (4, "wide"): True, (5, "wide"): False,
+                   (1, "short"): False, (2, "short"): False, (3, "short"): False, (4, "short"): True, (5, "short"): True}
+
+
+def test_within_1pct_equals_brute_force(spark):
+    import random
+
+    rnd = random.Random(5)
+    gold, pred = [], []
+    for q in range(60):
+        for _ in range(rnd.randrange(4)):
+            v = rnd.choice([0.0, 100.0, -5.0, 1e-9, rnd.uniform(-1e6, 1e6)])
+            gold.append((q, v))
+            pred.append((q, "a", v * rnd.choice([1.0, 1.01, 0.99, 0.9899, 1.0101, 1.005, -1.0])))
+            if rnd.random() < 0.2:
+                pred.append((q, "b", v + 1.0))
+    gold.append((3, None))
+    pairs = [(q, s) for q in range(60) for s in "ab"]
+    got = S.within_1pct(
+        _rows(spark, gold, "question_id long, value double"), _rows(spark, pred, "question_id long, strategy string, value double"),
+        _rows(spark, pairs, "question_id long, strategy string"))
+    for r in got.collect():
+        g = {v for q, v in gold if q == r["question_id"] and v is not None}
+        p = {v for q, s, v in pred if (q, s) == (r["question_id"], r["strategy"])}
+        bad = sum(not any(abs(y - x) <= 0.01 * abs(x) for y in p) for x in g)
+        extra = sum(not any(abs(y - x) <= 0.01 * abs(x) for x in g) for y in p)
+        assert (r["n_gold"], r["n_gold_bad"], r["n_pred_bad"], r["within"]) == (len(g), bad, extra, bad + extra == 0)
