@@ -8,15 +8,20 @@ serve as queries against the sample, and the budget widens until their mean
 recall reaches ``target``.  Leaves that a query visits are joined with it, and
 only distances on the original vectors in double precision decide.
 
-Within a partition, copies of one vector beyond the ``k`` + 1 with the smallest
-ids can't be among anybody's k nearest, so only those are indexed (as ties go to
-the smaller id, this is exact).  A leaf with more rows than ``leaf_rows`` is cut
-into chunks, each its own piece of work.
+Within a batch, at most ``k`` rows of one id and vector and ``2 k`` rows of one
+vector, smallest ids first, are indexed: a query leaves out the rows of one id, its
+own, so no other copy can be among its k nearest (as ties go to the smaller id, this
+is exact).  A leaf with more rows than ``leaf_rows`` is cut into chunks, each its
+own piece of work.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components
 take no part, nor do those with a null id or of another length than the first
-id's vector; repeated rows each count; a query with fewer candidates gets all; an
-empty table gives an empty result; other columns are not read.
+id's vector; a query with fewer candidates gets all; an empty table gives an empty
+result; other columns are not read.  Rows are candidates one by one, so a candidate
+id that stands in several rows may take several ranks.  A query is an id: its rows
+of one vector ask once, and where they hold different vectors, each candidate row
+counts once, by its distance to the nearest of them.  Rows of the query's id are
+never its neighbours.
 """
 
 from __future__ import annotations
@@ -145,6 +150,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def _place(same: np.ndarray) -> np.ndarray:
+    """Place of each row in its run, where ``same`` says that it goes on the run of
+    the row before."""
+    at = np.arange(len(same))
+    return at - np.maximum.accumulate(np.where(same, 0, at))
+
+
 def nearest(
     vectors: DataFrame,
     every: int = 100,
@@ -176,20 +188,26 @@ def nearest(
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not len(batch):
+                continue
             ids, rows = batch.column(0).to_numpy(), _matrix(batch.column(1))
             leaves = held.value.route(rows)
-            # of equal vectors the k + 1 smallest ids (one may be the query itself)
-            by = np.lexsort((ids, *rows.T[:8], leaves))
-            same = (rows[by[1:]] == rows[by[:-1]]).all(1)
-            run = np.arange(len(by))
-            run = run - np.maximum.accumulate(np.where(np.append(False, same), 0, run))
-            keep = np.sort(by[(run <= k) | (ids[by] % every == 0)])
+            by = np.lexsort((ids, *rows.T[::-1]))
+            same = np.append(False, (rows[by[1:]] == rows[by[:-1]]).all(1))
+            of_id = _place(same & np.append(False, ids[by[1:]] == ids[by[:-1]]))
+            few = of_id < k  # holds for the first row of every run
+            by, same, of_id = by[few], same[few], of_id[few]
+            # the first row of each query and vector stays, wherever it stands
+            keep = np.sort(by[(_place(same) < 2 * k) | ((ids[by] % every == 0) & (of_id == 0))])
+            at = pa.array(keep)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(leaves[keep]), pa.array(ids[keep]), batch.column(1).take(pa.array(keep))],
-                ["leaf", "vec_id", "vector"],
+                [pa.array(leaves[keep]), batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at)],
+                ["leaf", "vec_id", "vector", "row"],
             )
 
-    indexed = materialize(clean.mapInArrow(index, "leaf long, vec_id long, vector array<double>"), "ann-index")
+    # the row's key is written with it, so it stays the same for all that follows
+    keyed = clean.withColumn("row", F.monotonically_increasing_id())
+    indexed = materialize(keyed.mapInArrow(index, "leaf long, vec_id long, vector array<double>, row long"), "ann-index")
     sizes = np.zeros(tree.leaves, np.int64)
     for r in indexed.groupBy("leaf").count().collect():  # one row per leaf of the bounded tree
         sizes[r["leaf"]] = r["count"]
@@ -209,42 +227,43 @@ def nearest(
             pairs = np.array(leaves, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.zeros(len(rows), np.int8)),
-                 batch.column(0).take(at), batch.column(1).take(at)],
-                ["leaf", "chunk", "kind", "id", "vector"],
+                 batch.column(0).take(at), batch.column(1).take(at), pa.array(np.zeros(len(rows), np.int64))],
+                ["leaf", "chunk", "kind", "id", "vector", "row"],
             )
 
-    queries = indexed.filter(F.col("vec_id") % every == 0).select("vec_id", "vector")
-    work = "leaf long, chunk long, kind byte, id long, vector array<double>"
+    queries = indexed.filter(F.col("vec_id") % every == 0).select("vec_id", "vector").distinct()
+    work = "leaf long, chunk long, kind byte, id long, vector array<double>, row long"
     asked = queries.mapInArrow(visit, work)
     chunks = spark.createDataFrame(
         [(x, -(-int(n) // leaf_rows)) for x, n in enumerate(sizes.tolist()) if n > leaf_rows], "_leaf long, _chunks long"
     )
     stored = indexed.join(F.broadcast(chunks), F.col("leaf") == F.col("_leaf"), "left").select(
-        "leaf", F.coalesce(F.pmod(F.xxhash64("vec_id"), F.col("_chunks")), F.lit(0)).alias("chunk"),
-        F.lit(1).cast("byte").alias("kind"), F.col("vec_id").alias("id"), "vector",
+        "leaf", F.coalesce(F.pmod(F.xxhash64("row"), F.col("_chunks")), F.lit(0)).alias("chunk"),
+        F.lit(1).cast("byte").alias("kind"), F.col("vec_id").alias("id"), "vector", "row",
     )
     n = shuffle_partitions(spark)
     dealt = asked.unionByName(stored).repartition(n, "leaf", "chunk").sortWithinPartitions("leaf", "chunk", "kind", "id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query's k nearest among all leaves that this task holds."""
-        best_of: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        best_of: list[tuple[np.ndarray, ...]] = []
         held_rows = 0
 
         def compact() -> None:
-            """Keep k rows a query, ties to the smaller id."""
-            who, own_id, d = (np.concatenate(c) for c in zip(*best_of, strict=True))
-            by = np.lexsort((own_id, d, who))
-            who, own_id, d = who[by], own_id[by], d[by]
-            start = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
-            place = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who))))
-            best_of[:] = [(who[place < k], own_id[place < k], d[place < k])]
+            """Keep k rows a query, each row once, ties to the smaller id."""
+            who, own_id, d, row = (np.concatenate(c) for c in zip(*best_of, strict=True))
+            by = np.lexsort((d, row, who))
+            again = (who[by[1:]] == who[by[:-1]]) & (row[by[1:]] == row[by[:-1]])
+            by = by[np.append(True, ~again)] if len(by) else by
+            by = by[np.lexsort((own_id[by], d[by], who[by]))]
+            by = by[_place(np.append(False, who[by[1:]] == who[by[:-1]])) < k] if len(by) else by
+            best_of[:] = [(who[by], own_id[by], d[by], row[by])]
 
         here: tuple[int, int] | None = None
         ids, rows = np.zeros(0, np.int64), None
         for batch in batches:
             leaf_, chunk, kind, own = (batch.column(c).to_numpy() for c in range(4))
-            vec = _matrix(batch.column(4))
+            vec, row = _matrix(batch.column(4)), batch.column(5).to_numpy()
             change = (np.diff(leaf_) != 0) | (np.diff(chunk) != 0) | (np.diff(kind) != 0)
             cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(leaf_)]
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -268,17 +287,17 @@ def nearest(
                     score = np.take_along_axis(d, best, 1).ravel()
                     who = np.repeat(ids[q : q + step], take)
                     fine = np.isfinite(score)
-                    best_of.append((who[fine], own[a:b][best.ravel()][fine], score[fine]))
+                    best_of.append((who[fine], own[a:b][best.ravel()][fine], score[fine], row[a:b][best.ravel()][fine]))
                     held_rows += int(fine.sum())
                     if held_rows > 500_000:
                         compact()
                         held_rows = 0
         if best_of:
             compact()
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best_of[0]], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best_of[0][:3]], ["query_id", "vec_id", "score"])
 
     found = dealt.mapInArrow(measure, "query_id long, vec_id long, score double")
-    # a query's rows: k for each task that holds some of its leaves
+    # a query's rows: k for each task that holds some of its leaves; a stored row is in one task
     from pyspark.sql import Window
 
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -219,6 +220,21 @@ def test_neighbours_recall_and_ties(spark):
     assert {r.query_id for r in rows} == {0, 100, 300} and neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_neighbours_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in rng.integers(0, 3, 2) + 1]) for i in rng.integers(0, 60, 90)]
+    rows += [(100, [1.0, 1.0])] * 30 + [(100, [9.0, 9.0])] * 2 + [(200, [1.0, 1.0])] * 40 + [(9, [9.0, 8.0])] * 15
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got: dict[int, list] = {}
+    for r in neighbours.nearest(df, leaf_rows=7).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    for q in {i for i, _ in rows if i % 100 == 0}:
+        own = [v for i, v in rows if i == q]
+        want = sorted((min(math.dist(v, x) for x in own), i) for i, v in rows if i != q)[:10]
+        assert got.pop(q) == [(pytest.approx(d), i) for d, i in want]
+    assert not got
+
+
 # -- repeated passages ---------------------------------------------------
 
 
