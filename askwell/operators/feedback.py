@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askwell.session import ensure_checkpoint_dir, materialize, scratch_path
+from askwell.functions.sql_scan import validate_texts
 from askwell.functions.text import (
     REASON_EMPTY,
     REASON_WRITE,
@@ -28,12 +29,16 @@ from askwell.functions.text import (
 # Fixed values (defaults of the reference):
 #   score name "quality", positive threshold 1.0, 
 #   look-back 7 days, poll interval 60 s
+#   messages of a manual addition: ADDED, DUPLICATE, and FAILED before the reason
 # ---------------------------------------------------------------------------
 SCORE_NAME = "quality"
 POSITIVE_THRESHOLD = 1.0
 TRACE_TAG = "question-answering"  # a neutral default; callers name their own
 LOOKBACK = dt.timedelta(days=7)
 POLL_SECONDS = 60
+ADDED = "Example added to behavioral memory."
+DUPLICATE = "Example too similar to existing entry (duplicate)."
+FAILED = "Validation failed: "
 
 APPROVED, REJ_VALID, REJ_DUP, SKIPPED = "approved", "rejected_validation", "rejected_duplicate", "skipped"
 
@@ -182,10 +187,17 @@ def gate_candidates(
     positives: DataFrame,
     *,
     analysable: DataFrame | None = None,
+    catalogue: DataFrame | None = None,
 ) -> DataFrame:
     """F4 + E9 on the positive traces: adds ``status`` (skipped /
-    rejected_validation / NULL = still a candidate) and ``reason``."""
+    rejected_validation / NULL = still a candidate) and ``reason``.  With
+    ``catalogue`` (table_name) the texts are scanned by Spark; ``analysable`` holds
+    the driver's own analysis of a bounded set of texts."""
     df = positives
+    scanned = None
+    if catalogue is not None:
+        df = validate_texts(df, "generated_sql", catalogue).withColumnRenamed("reason", "_scan")
+        scanned = F.col("_scan")
     if analysable is not None:
         df = df.join(analysable, "generated_sql", "left")
         an = F.coalesce(F.col("analysable"), F.lit(False))
@@ -193,10 +205,12 @@ def gate_candidates(
         an = None
     incomplete = (F.coalesce(F.col("question"), F.lit("")) == "") | (F.coalesce(F.col("generated_sql"), F.lit("")) == "")
     reason = validation_reason(F.col("generated_sql"), an)
+    if scanned is not None:
+        reason = F.coalesce(scanned, reason)
     return df.withColumn(
         "status",
         F.when(incomplete, F.lit(SKIPPED)).when(reason.isNotNull(), F.lit(REJ_VALID)),
-    ).withColumn("reason", F.when(incomplete, F.lit("missing question or SQL")).otherwise(reason))
+    ).withColumn("reason", F.when(incomplete, F.lit("missing question or SQL")).otherwise(reason)).drop("_scan")
 
 
 def gate_stats(gated: DataFrame) -> DataFrame:
@@ -253,6 +267,7 @@ def process_feedback(
     *,
     threshold: float = 0.95,
     analysable: DataFrame | None = None,
+    catalogue: DataFrame | None = None,
     name: str = SCORE_NAME,
     positive: float = POSITIVE_THRESHOLD,
 ) -> DataFrame:
@@ -260,7 +275,7 @@ def process_feedback(
     (trace_id, seq, question, generated_sql, score_value, score_comment,
     status, reason).  ``store``: (question) of the examples already kept."""
     pos = first_positive(traces, scores, name=name, threshold=positive)
-    return process_positives(pos, store, threshold=threshold, analysable=analysable)
+    return process_positives(pos, store, threshold=threshold, analysable=analysable, catalogue=catalogue)
 
 
 def process_positives(
@@ -269,6 +284,7 @@ def process_positives(
     *,
     threshold: float = 0.95,
     analysable: DataFrame | None = None,
+    catalogue: DataFrame | None = None,
 ) -> DataFrame:
     """Gates for positive records (trace_id, ts, question, generated_sql,
     score_value, score_comment).
@@ -282,7 +298,7 @@ def process_positives(
 
     pos = global_rank(pos, [F.col("ts").asc(), F.col("trace_id").asc()], "seq")
     ensure_checkpoint_dir(pos.sparkSession)
-    gated = gate_candidates(pos, analysable=analysable).checkpoint()
+    gated = gate_candidates(pos, analysable=analysable, catalogue=catalogue).checkpoint()
     cand = gated.filter(F.col("status").isNull()).select("seq", "question")
     store_q = store.select(F.monotonically_increasing_id().alias("sid"), "question")
     vs_store = threshold_pairs(
@@ -305,22 +321,33 @@ def process_positives(
 def manual_add(
     spark: SparkSession,
     candidates: DataFrame,
-    store: DataFrame,
+    store: DataFrame | str,
     *,
     validate: bool = True,
     threshold: float = 0.95,
+    catalogue: DataFrame | None = None,
 ) -> DataFrame:
     """Add hand-written examples (question, sql_query[, explanation,
-    tables_used]) — optional validation (empty / write keyword / Spark
-    analysis), then the dedup gate against the store and among the batch in
-    row order.  Returns each candidate with ``added`` and the reference's
-    message."""
+    tables_used]) — optional validation (empty / write keyword, then the scan
+    against ``catalogue`` or, without one, Spark's analysis of each text on the
+    driver, meant for one person's additions), then the dedup gate against the
+    store and among the batch in row order.
+
+    ``store`` is the folder of an example store, to which what passes is appended
+    as its next batch, or a frame (question) to check against only.  Returns each
+    candidate with ``seq``, ``added`` and a message."""
+    from askwell.sources import io as IO
     from askwell.operators.ranking import global_rank
     from askwell.operators.text_similarity import self_pairs, threshold_pairs
 
+    path = store if isinstance(store, str) else None
+    if path is not None:
+        store = IO.read_store(spark, path)
     c = candidates.withColumn("_order", F.monotonically_increasing_id())
     c = global_rank(c, [F.col("_order").asc()], "seq").drop("_order")
-    if validate:
+    if validate and catalogue is not None:
+        c = validate_texts(c, "sql_query", catalogue)
+    elif validate:
         an = analysable_texts(spark, c.select(F.col("sql_query").alias("generated_sql")))
         c = c.join(an.withColumnRenamed("generated_sql", "sql_query"), "sql_query", "left")
         reason = validation_reason(F.col("sql_query"), F.coalesce(F.col("analysable"), F.lit(False)))
@@ -338,8 +365,15 @@ def manual_add(
     out = apply_dedup(gated, vs_store.unionByName(copies.select(F.col("id").alias("seq"))),
                       edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), id_col="seq")
     msg = (
-        F.when(F.col("status") == APPROVED, F.lit("Example added to behavioral memory."))
-        .when(F.col("status") == REJ_DUP, F.lit("Example too similar to existing entry (duplicate)."))
-        .otherwise(F.concat(F.lit("Validation failed: "), F.col("reason")))
+        F.when(F.col("status") == APPROVED, F.lit(ADDED))
+        .when(F.col("status") == REJ_DUP, F.lit(DUPLICATE))
+        .otherwise(F.concat(F.lit(FAILED), F.col("reason")))
     )
-    return out.withColumn("added", F.col("status") == APPROVED).withColumn("message", msg).drop("status", "reason")
+    out = out.withColumn("added", F.col("status") == APPROVED).withColumn("message", msg).drop("status", "reason")
+    if path is not None:
+        # decided once: the same rows are appended and returned
+        out = out.checkpoint()
+        batch = IO.next_batch(spark, path)
+        fresh = out.filter("added").withColumn("example_id", F.concat_ws("-", F.lit("manual"), F.lit(batch), F.col("seq")))
+        IO.append_examples(fresh.withColumn("created_at", F.current_timestamp()), path, batch)
+    return out

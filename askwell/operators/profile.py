@@ -11,9 +11,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    ArrayType,
+    DecimalType,
+    DoubleType,
+    FloatType,
+    IntegralType,
+    StructField,
+    StructType,
+)
 
 # Fixed value: sample rows per table in a profile (reference default 3)
 SAMPLE_ROWS = 3
@@ -45,6 +53,31 @@ def schema_fields(schema: StructType) -> list[tuple[str, ...]]:
     ]
 
 
+def _sample(df: DataFrame, n: int) -> DataFrame:
+    """``n`` rows as JSON texts, numbers with four digits after the point: those with
+    the smallest digest of their whole numbers (of all columns where there are none),
+    then the smallest text.  The same rows come out however the table is split; each
+    task keeps ``n`` rows.  The first pass reads the whole numbers only; rows beyond
+    its ``n`` smallest digests are never written as text."""
+
+    def shown(f: StructField) -> Column:
+        c, real = F.col(f.name), (DoubleType, FloatType, DecimalType)
+        if isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, real):
+            cells = F.transform(c, lambda v: F.coalesce(F.round(v, 4).try_cast("decimal(38,4)").cast("string"), v.cast("string")))
+            return F.concat(F.lit("["), F.array_join(cells, ", ", "null"), F.lit("]"))
+        if isinstance(f.dataType, real):
+            return F.coalesce(F.round(c, 4).try_cast("decimal(38,4)").cast("string"), c.cast("string"))
+        return c.cast("string")
+
+    fields = df.schema.fields
+    whole = [f for f in fields if isinstance(f.dataType, IntegralType)] or fields
+    key = F.concat_ws("|", *[F.coalesce(shown(f), F.lit("")) for f in whole])
+    row = F.to_json(F.struct(*[shown(f).alias(f.name) for f in fields]), {"ignoreNullFields": "false"})
+    h = F.md5(key)
+    last = df.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).scalar()
+    return df.filter(h <= last).select(h.alias("h"), row.alias("r")).orderBy("h", "r").limit(n)
+
+
 def table_profiles(
     spark: SparkSession,
     tables: dict[str, DataFrame],
@@ -54,27 +87,26 @@ def table_profiles(
     foreign_keys: dict[str, list[tuple[str, str, str]]] | None = None,
 ) -> DataFrame:
     """One row per table (table_name, ddl, columns, column_descriptions,
-    sample_rows json, row_count).  The loop over table names only builds the
-    plan; counts and samples are computed by Spark as one union."""
+    sample_rows as JSON texts, row_count).  Comments are those of the columns'
+    metadata.  The loop over table names only builds the plan; counts and samples
+    are computed by Spark.  An empty table has no sample rows and a count of 0."""
     parts = []
     for name, df in tables.items():
         ddl = ddl_text(name, schema_fields(df.schema), (keys or {}).get(name), (foreign_keys or {}).get(name))
+        comment = {f.name: str(f.metadata.get("comment", "")) for f in df.schema.fields}
         cols = F.array(*[
             F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"),
-                     F.lit(f.nullable).alias("nullable"), F.lit("").alias("comment"))
+                     F.lit(f.nullable).alias("nullable"), F.lit(comment[f.name]).alias("comment"))
             for f in df.schema.fields
         ])
-        descr = F.create_map(*[x for f in df.schema.fields for x in (F.lit(f.name), F.lit(""))])
-        counted = df.agg(F.count(F.lit(1)).alias("row_count"))
-        sample = df.limit(sample_rows).agg(
-            F.collect_list(F.to_json(F.struct(*[F.col(c) for c in df.columns]))).alias("sample_rows")
-        )
-        parts.append(
-            counted.join(sample, how="inner").select(
-                F.lit(name).alias("table_name"), F.lit(ddl).alias("ddl"), cols.alias("columns"),
-                descr.alias("column_descriptions"), "sample_rows", "row_count",
-            )
+        descr = F.create_map(*[F.lit(x) for pair in comment.items() for x in pair])
+        sample = _sample(df, sample_rows).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("h", "r"))), lambda x: x["r"]).alias("sample_rows")
         )
+        parts.append(df.agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(name).alias("table_name"), F.lit(ddl).alias("ddl"), cols.alias("columns"),
+            descr.alias("column_descriptions"), sample.scalar().alias("sample_rows"), "row_count",
+        ))
     return reduce(DataFrame.unionByName, parts)
 
 

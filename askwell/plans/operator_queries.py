@@ -464,6 +464,62 @@ decided AS (SELECT trace_id, seq, coalesce(gate, CASE WHEN list_contains(ids, se
 register("fb_feedback_documents", fb_feedback_documents, _FEEDBACK_SQL + "SELECT trace_id, seq, status FROM decided")
 
 
+def fb_validation_gate(spark, sf_dir) -> DataFrame:
+    """E9 over whole texts: as they stand, as a comment inside a query over the
+    document's source, as a literal inside a query that joins the word after the
+    text's first space, and as the rows of a named query."""
+    from askwell.functions.sql_scan import validate_texts
+
+    t = _t(spark, sf_dir)
+    rows = t.documents.select(F.lit("document").alias("origin"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("turn"),
+                              "text", F.col("source").alias("name")).unionByName(
+        t.conversations.select(F.lit("conversation").alias("origin"), F.col("conv_id").alias("id"), "turn", "text",
+                               F.col("role").alias("name")))
+    text = F.coalesce("text", F.lit(""))
+    name = F.coalesce("name", F.lit("nobody"))
+    word = F.regexp_extract(text, _SECOND_WORD, 1)
+    forms = F.array(*[
+        F.struct(F.lit(form).alias("form"), sql.alias("sql")) for form, sql in (
+            ("as_is", F.col("text")),
+            ("comment", F.concat(F.lit("SELECT doc_id /* "), text, F.lit(" */ FROM documents d, "), name, F.lit(" s;"))),
+            ("literal", F.concat(F.lit("SELECT '"), F.replace(text, F.lit("'"), F.lit("''")),
+                                 F.lit("' FROM Orders o JOIN \"conversations\" ON o.o_comment IS DISTINCT FROM '' JOIN x"), word)),
+            ("named", F.concat(F.lit("WITH "), name, F.lit(" AS (SELECT '"), F.replace(text, F.lit("'"), F.lit("''")),
+                               F.lit("' AS reply FROM main.labels) SELECT reply FROM "), name)),
+        )
+    ])
+    texts = rows.select("origin", "id", "turn", F.inline(forms))
+    return validate_texts(texts, "sql", _known_tables(spark)).select("origin", "id", "turn", "form", "reason")
+
+
+_SECOND_WORD = r"^[^ ]* ([\p{L}]*)"
+
+
+def _gate_sql() -> str:
+    from askwell.functions.sql_scan import REASON_TABLE, validation_sql
+    from askwell.sources.tables import TABLES
+
+    known = "[" + ", ".join(f"'{n}'" for n in [*TABLES, "customers", "products", "order_items", "reviews"]) + "]"
+    e = validation_sql("sql", known)
+    quoted = "chr(39) || replace(text, chr(39), chr(39) || chr(39)) || chr(39)"
+    return f"""WITH rows AS (
+  SELECT 'document' AS origin, doc_id AS id, CAST(0 AS BIGINT) AS turn, text AS raw, coalesce(text, '') AS text,
+    coalesce(source, 'nobody') AS name FROM documents
+  UNION ALL SELECT 'conversation', conv_id, turn, text, coalesce(text, ''), coalesce(role, 'nobody') FROM conversations),
+forms AS (
+  SELECT origin, id, turn, 'as_is' AS form, raw AS sql FROM rows
+  UNION ALL SELECT origin, id, turn, 'comment', 'SELECT doc_id /* ' || text || ' */ FROM documents d, ' || name || ' s;' FROM rows
+  UNION ALL SELECT origin, id, turn, 'literal', 'SELECT ' || {quoted} || ' FROM Orders o JOIN "conversations" ON o.o_comment IS DISTINCT FROM '
+    || chr(39) || chr(39) || ' JOIN x' || regexp_extract(text, {_sql_str(_SECOND_WORD)}, 1) FROM rows
+  UNION ALL SELECT origin, id, turn, 'named', 'WITH ' || name || ' AS (SELECT ' || {quoted} || ' AS reply FROM main.labels) SELECT reply FROM ' || name FROM rows),
+b AS (SELECT *, {e['blank']} AS blank FROM forms),
+c AS (SELECT *, {e['cheap']} AS cheap FROM b)
+SELECT origin, id, turn, form, coalesce(cheap, {_sql_str(REASON_TABLE)} || {e['unknown']}) AS reason FROM c"""
+
+
+register("fb_validation_gate", fb_validation_gate, _gate_sql())
+
+
 def fb_gate_stats(spark, sf_dir) -> DataFrame:
     from askwell.operators.feedback import gate_stats, process_feedback
 
@@ -619,10 +675,63 @@ FROM {ch} x WHERE x.{c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {pa} y WHERE y
 def p_table_profiles(spark, sf_dir) -> DataFrame:
     from askwell.operators.profile import table_profiles
 
-    return table_profiles(spark, _all_tables(spark, sf_dir)).select("table_name", "ddl", "row_count")
+    p = table_profiles(spark, _all_tables(spark, sf_dir))
+
+    def each(field: str):
+        return F.transform("columns", lambda c: c[field].cast("string"))
+
+    return p.select("table_name", "ddl", each("name").alias("names"), each("type").alias("types"),
+                    each("nullable").alias("nullable"), each("comment").alias("comments"),
+                    F.map_values("column_descriptions").alias("descriptions"), "sample_rows", "row_count")
+
+
+# the driver tables as Parquet states them: name and Spark type of each column
+_COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+    "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
+def _profile_sql(name: str) -> str:
+    from askwell.operators.profile import SAMPLE_ROWS, ddl_text
+
+    fields = [tuple(c.split(" ")) for c in _COLUMNS[name].split(", ")]
+    decimal = "CAST(CAST(ROUND({0}, 4) AS DECIMAL(38,4)) AS VARCHAR)"
+    shown = {
+        "double": decimal,
+        "array<float>": f"'[' || array_to_string(list_transform({{0}}, lambda v: {decimal.format('v')}), ', ') || ']'",
+        "string": "{0}",
+    }
+    cells = ", ".join(f"'{c}', " + shown.get(t, "CAST({0} AS VARCHAR)").format(c) for c, t in fields)
+    keys = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c, t in fields if t in ("int", "bigint"))
+
+    def texts(values) -> str:
+        return "[" + ", ".join(_sql_str(v) for v in values) + "]"
+
+    blank = texts("" for _ in fields)
+    return f"""SELECT '{name}' AS table_name, {_sql_str(ddl_text(name, fields))} AS ddl,
+  {texts(c for c, _ in fields)} AS names, {texts(t for _, t in fields)} AS types, {texts('true' for _ in fields)} AS nullable,
+  {blank} AS comments, {blank} AS descriptions,
+  (SELECT list(r ORDER BY h, r) FROM (SELECT md5({keys}) AS h, CAST(json_object({cells}) AS VARCHAR) AS r
+    FROM {name} ORDER BY h, r LIMIT {SAMPLE_ROWS}) x) AS sample_rows,
+  (SELECT COUNT(*) FROM {name}) AS row_count"""
 
 
-register("p_table_profiles", p_table_profiles)  # sample rows are arbitrary: rows-only
+register("p_table_profiles", p_table_profiles, "\nUNION ALL\n".join(_profile_sql(n) for n in _COLUMNS))
 
 
 # --- memory chain: benchmark questions x documents as the example store --------------

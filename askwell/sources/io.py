@@ -3,6 +3,8 @@ reports (S12) and bulk table ingestion (S13)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,41 +76,64 @@ def first_questions(questions: DataFrame, n: int) -> DataFrame:
     return questions.orderBy("question_id").limit(n)
 
 
+# The example store: ``batches/`` holds one folder of Parquet files for every write
+# that was ever begun, ``log/`` one line per batch that was finished.  Readers take the
+# folders that the log names, so a write that broke off is never seen.
+_LOG = "folder string, n_rows long, batch_id long"
+
+
+def _log(spark: SparkSession, path: str) -> DataFrame:
+    """The finished batches (folder, n_rows, batch_id)."""
+    try:
+        return spark.read.schema(_LOG).parquet(f"{path}/log")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _LOG)
+
+
+def _commit(spark: SparkSession, path: str, batch_id: int, folder: str, n_rows: int) -> None:
+    line = spark.createDataFrame([(folder, n_rows)], "folder string, n_rows long")
+    line.coalesce(1).write.mode("overwrite").parquet(f"{path}/log/batch_id={batch_id}")
+
+
 def append_examples(examples: DataFrame, path: str, batch_id: int) -> int:
-    """Write one batch of examples as partition ``batch_id``.  Dynamic
-    partition overwrite makes a replayed batch replace itself instead of
-    appending twice.  Returns the number of rows written."""
+    """Write one batch of examples, then its line in the log.  A batch that is
+    written again (a replay) replaces its line and so itself; one that breaks off
+    before the line leaves the store as it was.  Returns the number of rows."""
+    spark = examples.sparkSession
     out = examples.withColumn("batch_id", F.lit(batch_id).cast("long"))
     cols = [c.split(" ", 1) for c in EXAMPLE_SCHEMA.split(", ")]
     out = out.select(*[(F.col(c) if c in out.columns else F.lit(None)).cast(t).alias(c) for c, t in cols])
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
-    return spark_count(out.sparkSession, path, batch_id)
-
-
-def spark_count(spark: SparkSession, path: str, batch_id: int) -> int:
-    """Rows of one written batch: the plan that made them isn't run again."""
-    return read_store(spark, path).filter(F.col("batch_id") == batch_id).count()
+    folder = f"batches/{batch_id}-{uuid.uuid4().hex}"
+    out.write.parquet(f"{path}/{folder}")
+    # the count reads Parquet footers; the plan that made the rows isn't run again
+    n_rows = spark.read.schema(EXAMPLE_SCHEMA).parquet(f"{path}/{folder}").count()
+    _commit(spark, path, batch_id, folder, n_rows)
+    return n_rows
 
 
 def read_store(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame:
-    """The example store; ``before_batch`` reads only earlier batches (a
-    replayed micro-batch must not see its own output).  Partition pruning
-    keeps that a metadata-only filter."""
-    try:
-        df = spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        # no batch written yet
-        return spark.createDataFrame([], EXAMPLE_SCHEMA)
+    """The example store as the log names it now: what is written later doesn't
+    change this result.  ``before_batch`` reads only earlier batches (a replayed
+    micro-batch must not see its own output).  The driver holds one folder name a batch."""
+    log = _log(spark, path)
     if before_batch is not None:
-        df = df.filter(F.col("batch_id") < before_batch)
-    return df
+        log = log.filter(F.col("batch_id") < before_batch)
+    folders = [f"{path}/{r['folder']}" for r in log.select("folder").collect()]
+    if not folders:
+        return spark.createDataFrame([], EXAMPLE_SCHEMA)
+    return spark.read.schema(EXAMPLE_SCHEMA).parquet(*folders)
 
 
 def store_count(spark: SparkSession, path: str) -> int:
-    """Exact number of stored examples."""
-    return read_store(spark, path).count()
+    """Exact number of stored examples, from the log alone."""
+    return _log(spark, path).agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+
+
+def next_batch(spark: SparkSession, path: str) -> int:
+    """The batch number after the last finished one; 0 for an empty store."""
+    return _log(spark, path).agg(F.coalesce(F.max("batch_id") + 1, F.lit(0))).first()[0]
 
 
 def write_report(path: str, scored: DataFrame, summary: DataFrame, by_difficulty: DataFrame) -> None:
