@@ -36,7 +36,7 @@ LAST_PART = rf"({_NAME})$"
 NAMED_QUERY = rf"(?i)({_NAME})(?:\s*\([^()]*\)\s*|\s+)as\s*(?:(?:not\s+)?materialized\s*)?\("
 ONE_QUERY = r"(?i)^[\s(]*(?:select|with)(?:[^\p{L}\p{N}_]|$)"
 LEFT_OPEN = "['\"`;]|/\\*"
-AT_END = r"[\s;]+$"
+AT_END = " \t\n\f\r;"  # cut off by characters: a pattern would go over every run of spaces again
 
 REASON_SHAPE = "EXPLAIN failed: not one complete query"
 REASON_TABLE = "EXPLAIN failed: unknown table "
@@ -50,7 +50,7 @@ def blanked(sql: Column | str) -> Column:
 
 def one_query(blank: Column) -> Column:
     """Whether a blanked text can be one complete query."""
-    body = F.regexp_replace(blank, AT_END, "")
+    body = F.rtrim(blank, F.lit(AT_END))
     opened = F.length(F.regexp_replace(body, r"[^(]", ""))
     closed = F.length(F.regexp_replace(body, r"[^)]", ""))
     return body.rlike(ONE_QUERY) & ~body.rlike(LEFT_OPEN) & (opened == closed)
@@ -103,7 +103,7 @@ def validation_sql(sql: str, known: str, blank: str = "blank") -> dict[str, str]
     def text(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
-    body = f"regexp_replace({blank}, {text(AT_END)}, '')"
+    body = f"rtrim({blank}, {text(AT_END)})"
     marked = (
         f"regexp_replace(regexp_replace({blank}, {text(OTHER_FROM)}, '\\1 ', 'g'), {text(READS)}, '\\1{_MARK}', 'g')"
     )
@@ -118,7 +118,7 @@ def validation_sql(sql: str, known: str, blank: str = "blank") -> dict[str, str]
 
     return {
         "blank": f"regexp_replace(coalesce({sql}, ''), {text(BLANKED)}, '\\1\\2 ', 'g')",
-        "cheap": f"""CASE WHEN length(regexp_replace(coalesce({sql}, ''), '^\\s+|\\s+$', '', 'g')) = 0 THEN {text(REASON_EMPTY)}
+        "cheap": f"""CASE WHEN NOT regexp_matches(coalesce({sql}, ''), '\\S') THEN {text(REASON_EMPTY)}
   WHEN regexp_matches({sql}, {text(WRITE_PATTERN)}) THEN {text(REASON_WRITE)}
   WHEN NOT (regexp_matches({body}, {text(ONE_QUERY)}) AND NOT regexp_matches({body}, {text(LEFT_OPEN)})
     AND length({body}) - length(replace({body}, '(', '')) = length({body}) - length(replace({body}, ')', '')))

@@ -89,7 +89,7 @@ def has_write_keyword(sql: Column | str) -> Column:
 
 def is_blank(sql: Column | str) -> Column:
     """NULL, empty or whitespace-only."""
-    return F.length(strip_ws(F.coalesce(_c(sql), F.lit("")))) == 0
+    return ~F.coalesce(_c(sql), F.lit("")).rlike(r"\S")
 
 
 def terms(text: Column | str) -> Column:
