@@ -12,13 +12,16 @@ no result set is ever gathered in one place.
 from __future__ import annotations
 
 import math
+import re
+import threading
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, FloatType, IntegralType
 
 from askwell.functions.numeric import round_ratio
-from askwell.functions.text import is_blank, normalize_sql
+from askwell.functions.text import REASON_WRITE, WRITE_PATTERN, is_blank, normalize_sql
 
 GOLD = "gold"
 # Evaluation outcomes and messages of the reference
@@ -41,7 +44,7 @@ def canonical_cells(df: DataFrame, digits: int = 4, columns: list[str] | None =
     cols = columns or df.columns
     cells = []
     for name in cols:
-        c = F.col(name)
+        c = F.col("`" + name.replace("`", "``") + "`")
         text = c.cast("string")
         if isinstance(df.schema[name].dataType, (DecimalType, DoubleType, FloatType, IntegralType)):
             exact = F.round(c, digits).try_cast(f"decimal(38,{digits})").cast("string")
@@ -51,7 +54,9 @@ def canonical_cells(df: DataFrame, digits: int = 4, columns: list[str] | None =
 
 
 def result_rows(df: DataFrame, question_id: int, side: str, digits: int = 4, columns: list[str] | None = None) -> DataFrame:
-    """Long form of one query result."""
+    """Long form of one query result; its columns may have any names, equal ones too."""
+    if columns is None:
+        df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return df.select(
         F.lit(question_id).cast("bigint").alias("question_id"),
         F.lit(side).alias("side"),
@@ -391,67 +396,97 @@ def run_queries(
     *,
     digits: int = 4,
     timeout_s: float | None = None,
+    at_once: int = 8,
     materialize_to: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Run read-only SQL texts; returns (result_rows, executions).
 
-    ``texts``: (question_id, side, sql).  Each text passes the write guard
-    first (commands would execute eagerly in ``spark.sql``), then is analysed;
-    failures become ``success = false`` with the error text.  Every query
-    runs as its own job group, cancelled after ``timeout_s`` seconds, and its
-    rows are written to ``materialize_to`` (default: a new folder under the
-    shared checkpoint location), so a run-time failure or a timeout is one
-    recorded outcome and a lost executor only reruns that query."""
+    ``texts``: (question_id, side, sql), each pair of id and side once.  A text
+    passes the write guard first (commands would execute eagerly in
+    ``spark.sql``), then is analysed and run; what fails is one line of
+    ``executions`` with ``success = false`` and the error's first line.
+
+    ``at_once`` texts run at a time, each from a thread of its own with a job tag
+    and a fair-scheduler pool of its own, so that a long text doesn't hold the
+    others up (pools share the executors where ``spark.scheduler.mode`` is FAIR).
+    After ``timeout_s`` seconds a text's jobs are cancelled by its tag.  Rows are
+    written to ``materialize_to`` (default: a new folder under the shared
+    checkpoint location), one folder a text, and read back as one table: a lost
+    executor reruns tasks of one text, and the plan doesn't grow with the texts.
+    ``n_rows`` of a text that ran is counted from what it wrote."""
     import logging
-    import re
-    import threading
     import uuid
+    from concurrent.futures import ThreadPoolExecutor
 
-    # analysis failures are expected outcomes here, not errors to log
-    logging.getLogger("SQLQueryContextLogger").setLevel(logging.CRITICAL)
-
-    from askwell.functions.text import WRITE_PATTERN
     from askwell.session import scratch_path
 
-    guard = re.compile(WRITE_PATTERN.replace("(?i)", ""), re.I)
+    # analysis failures are expected outcomes here, not errors to log
+    logging.getLogger("SQLQueryContextLogger").setLevel(logging.CRITICAL)
+    if len({(q, side) for q, side, _ in texts}) < len(texts):
+        raise ValueError("run_queries: a question and side stands in texts twice")
+    run_id = uuid.uuid4().hex
+    folder = (materialize_to or scratch_path(spark, f"queries-{run_id}")).rstrip("/")
+
+    def run(i: int) -> tuple[bool, str | None]:
+        return _run_text(spark, texts[i], f"{folder}/text={i}", f"askwell-{run_id}-{i}", digits, timeout_s)
+
+    with ThreadPoolExecutor(max_workers=max(1, at_once)) as pool:
+        # wrapped one by one: each text gets its own copy of the caller's local properties
+        outcomes = [f.result() for f in [pool.submit(inheritable_thread_target(spark)(run), i) for i in range(len(texts))]]
+    ran = [f"{folder}/text={i}" for i, (ok, _) in enumerate(outcomes) if ok]
+    schema = "question_id long, side string, row array<string>"
+    rows = spark.read.schema(schema).parquet(*ran) if ran else spark.createDataFrame([], schema)
+    status = spark.createDataFrame(
+        [(q, side, ok, error) for (q, side, _), (ok, error) in zip(texts, outcomes, strict=True)],
+        "question_id long, side string, success boolean, error string",
+    )
+    counts = rows.groupBy("question_id", "side").agg(F.count(F.lit(1)).alias("n"))
+    executions = status.join(counts, ["question_id", "side"], "left").select(
+        "question_id", "side", "success", "error",
+        F.when(F.col("success"), F.coalesce("n", F.lit(0))).cast("long").alias("n_rows"),
+    )
+    return rows, executions
+
+
+def _run_text(spark, text: tuple[int, str, str], path: str, tag: str, digits: int, timeout_s: float | None) -> tuple[bool, str | None]:
+    """Run one text into ``path``: whether it ran, and why not."""
+    qid, side, sql = text
+    if not sql or not sql.strip():
+        return False, "empty"
+    if re.search(WRITE_PATTERN.replace("(?i)", ""), sql.strip().rstrip(";"), re.IGNORECASE):
+        return False, REASON_WRITE
+    try:
+        df = spark.sql(sql.strip().rstrip(";"))
+    except Exception as exc:  # unknown table or column, syntax
+        return False, _first_line(exc)
     sc = spark.sparkContext
-    folder = (materialize_to or scratch_path(spark, f"queries-{uuid.uuid4().hex}")).rstrip("/")
-    parts, status = [], []
-    for qid, side, sql in texts:
-        if not sql or not sql.strip():
-            status.append((qid, side, False, "empty"))
-            continue
-        if guard.search(sql.strip().rstrip(";")):
-            status.append((qid, side, False, "Write operations are not allowed in read-only mode."))
-            continue
-        try:
-            df = spark.sql(sql)
-        except Exception as exc:  # analysis error: unknown table / column, syntax
-            status.append((qid, side, False, str(exc).splitlines()[0][:500]))
-            continue
-        rows = result_rows(df, qid, side, digits)
-        group = f"askwell-q{qid}-{side}"
-        sc.setJobGroup(group, f"query {qid} {side}", interruptOnCancel=True)
-        timer = None
-        if timeout_s:
-            timer = threading.Timer(timeout_s, lambda g=group: sc.cancelJobGroup(g))
+    late = threading.Event()
+
+    def cancel() -> None:
+        late.set()
+        # a job that starts later carries the tag too, so go on until the thread is done
+        while not done.wait(0.2):
+            sc.cancelJobsWithTag(tag)
+
+    done = threading.Event()
+    timer = threading.Timer(timeout_s, cancel) if timeout_s else None
+    sc.addJobTag(tag)
+    sc.setLocalProperty("spark.scheduler.pool", tag)
+    try:
+        if timer:
+            timer.daemon = True
             timer.start()
-        path = f"{folder}/q={qid}/side={side}"
-        try:
-            rows.write.mode("overwrite").parquet(path)
-            rows = spark.read.schema(rows.schema).parquet(path)
-        except Exception as exc:  # failed or cancelled while running
-            status.append((qid, side, False, f"execution failed: {str(exc).splitlines()[0][:300]}"))
-            continue
-        finally:
-            if timer:
-                timer.cancel()
-            sc.setLocalProperty("spark.jobGroup.id", None)
-        parts.append(rows)
-        status.append((qid, side, True, None))
-    schema = "question_id long, side string, row array<string>"
-    all_rows = spark.createDataFrame([], schema)
-    for p in parts:
-        all_rows = all_rows.unionByName(p)
-    executions = spark.createDataFrame(status, "question_id long, side string, success boolean, error string")
-    return all_rows, executions
+        result_rows(df, qid, side, digits).write.mode("overwrite").parquet(path)
+        return True, None
+    except Exception as exc:  # failed or cancelled while running
+        return False, f"timed out after {timeout_s} s" if late.is_set() else f"execution failed: {_first_line(exc)}"
+    finally:
+        done.set()
+        if timer:
+            timer.cancel()
+        sc.removeJobTag(tag)
+        sc.setLocalProperty("spark.scheduler.pool", None)
+
+
+def _first_line(exc: Exception) -> str:
+    return (str(exc).splitlines() or [type(exc).__name__])[0][:500]

@@ -303,3 +303,64 @@ pred AS (SELECT q, s, COUNT(*) FILTER (WHERE NOT EXISTS (
 SELECT pairs.q AS question_id, pairs.s AS strategy, coalesce(gold.n, 0) AS n_gold, coalesce(gold.bad, 0) AS n_gold_bad,
   coalesce(pred.bad, 0) AS n_pred_bad, coalesce(gold.bad, 0) = 0 AND coalesce(pred.bad, 0) = 0 AS within
 FROM pairs LEFT JOIN gold USING (q, s) LEFT JOIN pred USING (q, s)""")
+
+
+# --- E11: texts that are run, four for each nation ---------------------------------
+
+_STATUSES = (
+    "SELECT o_orderstatus, COUNT(*) AS n, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS total "
+    "FROM run_orders JOIN run_customer ON o_custkey = c_custkey WHERE c_nationkey = {n}{more} GROUP BY o_orderstatus"
+)
+
+
+def nation_texts(nations: list[int]) -> list[tuple[int, str, str]]:
+    """What the orders of a nation's customers come to by status: the gold text
+    (every twelfth names a column that isn't there); a semi-join (every fifth
+    leaves out pending orders); one with a mean (every fourth divides by zero);
+    and one that is blank, a write, names no table, or is a single total."""
+    texts = []
+    for n in nations:
+        gold = _STATUSES.format(n=n, more="")
+        texts.append((n, S.GOLD, gold.replace("o_totalprice", "o_price") if n % 12 == 5 else gold))
+        left_out = " AND o_orderstatus <> 'P'" if n % 5 == 1 else ""
+        texts.append((n, DYNAMIC, (
+            "SELECT o_orderstatus, COUNT(o_orderkey), SUM(CAST(o_totalprice AS DECIMAL(18,2))) + 0.00001 FROM run_orders "
+            f"WHERE o_custkey IN (SELECT c_custkey FROM run_customer WHERE c_nationkey = {n}){left_out} GROUP BY o_orderstatus;"
+        )))
+        by = "(COUNT(*) - COUNT(o_orderkey))" if n % 4 == 2 else "COUNT(*)"
+        texts.append((n, ZERO, gold.replace("AS n,", f"AS n, SUM(o_orderkey) DIV {by} AS mean,")))
+        other = {0: "  ", 1: "DROP VIEW run_orders", 2: "SELECT COUNT(*) FROM run_nowhere"}
+        texts.append((n, STATIC, other.get(n % 6, f"SELECT COUNT(*) FROM run_customer WHERE c_nationkey = {n}")))
+    return texts
+
+
+def s_run_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts over ``orders`` and ``customer``, run several at a time: whether each
+    ran, how many rows it gave, why it failed, and whether it matches the gold text."""
+    t = Tables(spark, sf_dir)
+    t.orders.createOrReplaceTempView("run_orders")
+    t.customer.createOrReplaceTempView("run_customer")
+    nations = [r[0] for r in t.nation.select("n_nationkey").distinct().orderBy("n_nationkey").collect()]  # one text each, a caller's list
+    got, execs = S.run_queries(spark, nation_texts(nations))
+    ok = execs.filter("success").select("question_id", F.col("side").alias("strategy"))
+    gold = ok.filter(F.col("strategy") == S.GOLD).select("question_id")
+    pairs = ok.filter(F.col("strategy") != S.GOLD).join(gold, "question_id")
+    matches = S.results_match(got, pairs).withColumnRenamed("strategy", "side")
+    condition = F.regexp_extract("error", r"\[([A-Z_.]+)\]", 1)
+    why = F.when(condition != "", condition).otherwise(F.col("error"))
+    return execs.join(matches, ["question_id", "side"], "left").select(
+        "question_id", "side", "success", "n_rows", why.alias("error"), "execution_match"
+    )
+
+
+register("s_run_texts", s_run_texts, f"""WITH k AS (
+  SELECT n_nationkey AS q, COUNT(DISTINCT o_orderstatus) AS st, COUNT(DISTINCT o_orderstatus) FILTER (WHERE o_orderstatus <> 'P') AS st_closed
+  FROM (SELECT DISTINCT n_nationkey FROM nation) LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1),
+e AS (
+  SELECT q, 'gold' AS side, st AS n, CASE WHEN q % 12 = 5 THEN 'UNRESOLVED_COLUMN.WITH_SUGGESTION' END AS error, NULL AS same FROM k
+  UNION ALL SELECT q, '{DYNAMIC}', CASE WHEN q % 5 = 1 THEN st_closed ELSE st END, NULL, q % 5 <> 1 OR st = st_closed FROM k
+  UNION ALL SELECT q, '{ZERO}', st, CASE WHEN q % 4 = 2 AND st > 0 THEN 'DIVIDE_BY_ZERO' END, st = 0 FROM k
+  UNION ALL SELECT q, '{STATIC}', 1, CASE q % 6 WHEN 0 THEN 'empty' WHEN 1 THEN '{S.REASON_WRITE}' WHEN 2 THEN 'TABLE_OR_VIEW_NOT_FOUND' END, false FROM k)
+SELECT q AS question_id, side, error IS NULL AS success, CASE WHEN error IS NULL THEN n END AS n_rows, error,
+  CASE WHEN error IS NULL AND q % 12 <> 5 THEN same END AS execution_match
+FROM e""")

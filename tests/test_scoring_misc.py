@@ -212,3 +212,30 @@ def test_within_1pct_equals_brute_force(spark):
         bad = sum(not any(abs(y - x) <= 0.01 * abs(x) for y in p) for x in g)
         extra = sum(not any(abs(y - x) <= 0.01 * abs(x) for x in g) for y in p)
         assert (r["n_gold"], r["n_gold_bad"], r["n_pred_bad"], r["within"]) == (len(g), bad, extra, bad + extra == 0)
+
+
+def test_texts_run_at_once_and_late_ones_are_cancelled(spark):
+    import time
+
+    slow = "SELECT COUNT(*) AS n FROM range(0, 1000000000000, 1, 2) WHERE hash(id, id * 3) = 1"
+    texts = [(q, S.GOLD, f"SELECT id FROM range({q})") for q in range(6)]
+    texts += [(10, "a", slow), (11, "a", "  "), (12, "a", "DELETE FROM t"), (13, "a", "SELECT 1 DIV (id - id) AS x FROM range(2)")]
+    start = time.time()
+    rows, execs = S.run_queries(spark, texts, timeout_s=15, at_once=4)
+    assert time.time() - start < 90
+    got = {r["question_id"]: r for r in execs.collect()}
+    assert {q: (got[q]["success"], got[q]["n_rows"]) for q in range(6)} == {q: (True, q) for q in range(6)}
+    assert got[10]["error"] == "timed out after 15 s" and got[11]["error"] == "empty"
+    assert got[12]["error"] == S.REASON_WRITE and "DIVIDE_BY_ZERO" in got[13]["error"]
+    assert got[13]["n_rows"] is None and rows.count() == sum(range(6))
+    # the caller's thread keeps no tag or pool of the texts
+    assert not spark.sparkContext.getJobTags() and spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+
+
+def test_a_text_may_stand_once(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        S.run_queries(spark, [(1, "a", "SELECT 1"), (1, "a", "SELECT 2")])
+    rows, execs = S.run_queries(spark, [])
+    assert rows.count() == 0 and execs.count() == 0
