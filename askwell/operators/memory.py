@@ -265,6 +265,10 @@ def candidate_costs(neighbors: DataFrame, store: DataFrame, s_id: str = "example
     return neighbors.join(costs, "s_id")
 
 
+#: more than any seed has entries: their positions lie this far before the first question
+SEED_BEFORE = 1 << 40
+
+
 def select_dynamic_feedback(
     questions: DataFrame,
     seed: DataFrame,
@@ -276,18 +280,18 @@ def select_dynamic_feedback(
 
     ``questions``: (q_id, seq, question, gold_sql, correct, embedding) —
     ``seq`` is the answering order and ``correct`` the outcome of the
-    dynamic strategy; ``seed``: (example_id, question, sql_query, embedding).
+    dynamic strategy; ``seed``: (example_id, question, sql_query, embedding), ids
+    unique.  Ties in similarity go to the seed by id, then to the earlier answer.
     A correctly answered question joins the store (greedy dedup in answering
     order against the seed and the earlier additions); question j sees the
     seed plus additions with seq < j.  Returns (q_id, examples)."""
     from askwell.operators.dedup import greedy_dedup
+    from askwell.operators.ranking import global_rank
     from askwell.operators.similarity import dedup_gate, similarity_edges, topk_neighbors
 
-    # seed entries get negative positions: always earlier than any question
-    # (the seed pool is small and fixed, so one ordered window ranks it)
-    seed_pos = seed.select(
-        (F.lit(-1) - F.dense_rank().over(Window.orderBy("example_id"))).cast("long").alias("pos"),
-        "question", "sql_query", "embedding",
+    # seed entries get negative positions in the order of their ids: earlier than any question
+    seed_pos = global_rank(seed, [F.col("example_id")], "pos").select(
+        (F.col("pos") - F.lit(SEED_BEFORE)).alias("pos"), "question", "sql_query", "embedding"
     )
     correct = questions.filter(F.col("correct")).select("seq", "question", F.col("gold_sql").alias("sql_query"), "embedding")
     dup_seed = dedup_gate(correct, seed_pos, threshold, q_id="seq", s_id="pos", block_rows=block_rows) \

@@ -596,6 +596,55 @@ SELECT q_id, rank, question, sql_query FROM drawn JOIN pool ON place = p + 1""",
 )
 
 
+# Vectors of one class are the seed, the others are asked in the order of their ids;
+# those whose document is labelled good were answered right.
+SEED_CLASS = 0
+
+
+def sel_dynamic_feedback(spark, sf_dir) -> DataFrame:
+    """The examples that each question sees in a store that grows as answers come."""
+    from askwell.operators.memory import select_dynamic_feedback
+
+    t = _t(spark, sf_dir)
+    text = F.col("vec_id").cast("string")
+    good = t.labels.filter(F.col("quality") == 1).select(F.col("doc_id").alias("vec_id")).distinct().withColumn("good", F.lit(True))
+    is_seed = F.coalesce(F.col("label") == SEED_CLASS, F.lit(False))
+    seed = t.embeddings.filter(is_seed).select(
+        F.col("vec_id").alias("example_id"), text.alias("question"), F.lit("seed").alias("sql_query"), "embedding"
+    )
+    asked = t.embeddings.filter(~is_seed).join(good, "vec_id", "left").select(
+        F.col("vec_id").alias("q_id"), F.col("vec_id").alias("seq"), text.alias("question"),
+        F.lit("learned").alias("gold_sql"), F.coalesce("good", F.lit(False)).alias("correct"), "embedding",
+    )
+    return _listed(select_dynamic_feedback(asked, seed, FEW_SHOT_K, DEDUP_T_EMB))
+
+
+# right answers one at a time in their order: each is learned unless near the seed or a learned one
+register(
+    "sel_dynamic_feedback",
+    sel_dynamic_feedback,
+    f"""WITH RECURSIVE near AS MATERIALIZED (SELECT * FROM {_EMB_PAIRS} p),
+v AS MATERIALIZED (SELECT vec_id AS id, coalesce(label = {SEED_CLASS}, false) AS is_seed FROM embeddings),
+fresh AS MATERIALIZED (
+  SELECT v.id, row_number() OVER (ORDER BY v.id) AS i,
+    coalesce((SELECT list(s_id) FROM near WHERE q_id = v.id AND s_id < v.id AND similarity >= {DEDUP_T_EMB}), []) AS earlier
+  FROM v WHERE NOT is_seed AND id IN (SELECT doc_id FROM labels WHERE quality = 1)
+    AND NOT EXISTS (SELECT 1 FROM near JOIN v s ON s.id = s_id AND s.is_seed WHERE q_id = v.id AND similarity >= {DEDUP_T_EMB})),
+walk(i, ids) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT f.i, CASE WHEN list_has_any(w.ids, f.earlier) THEN w.ids ELSE list_append(w.ids, f.id) END
+  FROM walk w JOIN fresh f ON f.i = w.i + 1),
+learned AS (SELECT unnest(ids) AS id FROM (SELECT ids FROM walk ORDER BY i DESC LIMIT 1)),
+store AS (SELECT id, true AS is_seed FROM v WHERE is_seed UNION ALL SELECT id, false FROM learned)
+SELECT q_id, rank, CAST(s_id AS VARCHAR) AS question, CASE WHEN is_seed THEN 'seed' ELSE 'learned' END AS sql_query FROM (
+  SELECT q_id, s_id, store.is_seed,
+    CAST(row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, store.is_seed DESC, s_id) AS BIGINT) AS rank
+  FROM near JOIN v q ON q.id = q_id AND NOT q.is_seed JOIN store ON store.id = s_id
+  WHERE store.is_seed OR s_id < q_id) r WHERE rank <= {FEW_SHOT_K}""",
+)
+
+
 # --- profiles (P1, P3, A14) on the driver tables -------------------------------------
 
 _KEY_CANDIDATES = {
