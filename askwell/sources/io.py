@@ -6,22 +6,85 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from askwell.session import materialize
 from askwell.sources.fixtures import EXAMPLE_SCHEMA, QUESTION_SCHEMA
 
 # items are parsed as string maps: keys stay case-sensitive ("SQL" vs "sql"),
 # which struct fields in a case-insensitive session would not
-_ITEM = "array<map<string,string>>"
+_ITEM = "map<string,string>"
 
 
 def _json_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, item) for every element of the top-level JSON array in each
-    file.  A JSON array is not splittable, so each file is one task either
-    way; the position inside the file is kept."""
-    raw = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return raw.select("file", F.posexplode(F.from_json("value", _ITEM)).alias("pos", "item"))
+    """(file, pos, item) for every object of the top-level JSON array in each file.
+
+    A large file is read by many tasks.  Spark cuts it at closing braces, so an
+    object is a run of whole pieces; it ends with the piece after which no brace
+    is open.  Whether a piece starts inside a string, and how many braces are open
+    there, follows from quotes and braces before it: these are summed inside each
+    split and then over the splits of a file (one row a split).  Only the objects
+    that are put together are shuffled, each by its own number.
+
+    Elements have to be objects and texts UTF-8; what isn't valid JSON raises an
+    error when the rows are read.  An empty array gives no rows."""
+    raw = spark.read.option("lineSep", "}").text(path)
+    text = F.regexp_replace("value", r"\\.", "")  # escaped signs open and close nothing
+    parts = F.split(text, '"')
+
+    def net(parity: int) -> Column:
+        """Braces opened less those closed in a piece that starts outside (0) or
+        inside (1) of a string; the piece's own closing brace counts where it ends outside."""
+        out = F.array_join(F.filter(parts, lambda _, i: i % 2 == parity), "")
+        opened = F.length(out) - F.length(F.translate(out, "{", ""))
+        ends_outside = (F.size(parts) - 1 + parity) % 2 == 0
+        return opened - F.when(ends_outside, 1).otherwise(0)
+
+    pieces = materialize(
+        raw.select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("at"), "value",
+            (F.size(parts) - 1).alias("quotes"), net(0).alias("net_out"), net(1).alias("net_in"),
+        ),
+        "json-pieces",
+    )
+    inside = Window.partitionBy("file", "split").orderBy("at")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    run = pieces.select(
+        "*", (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2).alias("odd")
+    ).select(
+        "*",
+        # net braces of the piece if the split starts outside (0) or inside (1) of a string
+        F.when(F.col("odd") == 0, F.col("net_out")).otherwise(F.col("net_in")).alias("net0"),
+        F.when(F.col("odd") == 0, F.col("net_in")).otherwise(F.col("net_out")).alias("net1"),
+    )
+    splits = run.groupBy("file", "split").agg(
+        F.sum("quotes").alias("quotes"), F.sum("net0").alias("net0"), F.sum("net1").alias("net1")
+    )
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("*", (F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2).alias("starts_in")).select(
+        "file", "split", "starts_in",
+        F.coalesce(F.sum(F.when(F.col("starts_in") == 0, F.col("net0")).otherwise(F.col("net1"))).over(earlier), F.lit(0)).alias("open_before"),
+    )
+    net_here = F.when(F.col("starts_in") == 0, F.col("net0")).otherwise(F.col("net1"))
+    known = run.join(starts, ["file", "split"]).select("file", "split", "at", "value", "open_before", net_here.alias("net"), ((F.col("odd") + F.col("starts_in")) % 2).alias("in_string"))
+    known = known.withColumn("open", F.col("open_before") + F.sum("net").over(inside))
+    # between objects there is no brace open and none is opened: the end of the file
+    tail = (F.col("open") - F.col("net") == 0) & (F.col("in_string") == 0) & ~F.col("value").contains("{")
+    known = known.filter(~tail).withColumn("ends", (F.col("open") == 0).cast("long"))
+    known = known.withColumn("nth", F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    ended = known.groupBy("file", "split").agg(F.sum("ends").alias("n"))
+    first = ended.select("file", "split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    whole = known.join(first, ["file", "split"]).groupBy("file", (F.col("first") + F.col("nth")).alias("pos")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "at", "value"))), lambda p: p["value"]), "}").alias("text"),
+        F.sum("net").alias("left_open"),
+    )
+    body = F.regexp_replace("text", r"^[\s\x{FEFF}]*[\[,]?\s*", "")
+    item = F.from_json(
+        F.when(F.col("left_open") == 0, F.concat(body, F.lit("}"))).otherwise(body), _ITEM, {"mode": "FAILFAST"}
+    )
+    return whole.select("file", "pos", item.alias("item"))
 
 
 def load_questions(spark: SparkSession, path: str, dataset: str = "BIRD-Mini-Dev") -> DataFrame:

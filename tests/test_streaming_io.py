@@ -207,6 +207,37 @@ def test_load_questions_fallbacks(spark):
         IO.load_custom_questions(spark, f"{d}/bad.json")
 
 
+def test_question_file_is_read_by_many_tasks(spark):
+    import random
+
+    rnd = random.Random(3)
+    bits = ["}", "{", '"', "\\", "]", "[", ",", "a b", "é", "\n", "{}", '\\"}']
+    items = [
+        {"question": "".join(rnd.choices(bits, k=rnd.randrange(12))), "SQL": "SELECT '}' || \"x\"", "db_id": f"d{i % 3}",
+         "more": {"a": [{"b": "}{"}, {}]}, "evidence": "x" * rnd.randrange(40)}
+        for i in range(400)
+    ]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for indent in (None, 2):
+        d = tempfile.mkdtemp(prefix="askwell-json-", dir="/tmp")
+        with open(f"{d}/set.json", "w") as f:
+            json.dump(items, f, indent=indent, ensure_ascii=False)
+        with open(f"{d}/empty.json", "w") as f:
+            f.write(" [ ]\n")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500b")
+        try:
+            assert spark.read.option("lineSep", "}").text(d).select("_metadata.file_block_start").distinct().count() > 10
+            got = {r["question_id"]: r for r in IO.load_questions(spark, d).collect()}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert [got[i]["question"] for i in range(len(items))] == [x["question"] for x in items]
+        assert [got[i]["evidence"] for i in range(len(items))] == [x["evidence"] for x in items] and len(got) == len(items)
+    with open(f"{d}/cut.json", "w") as f:
+        f.write('[{"question": "x", "sql": "SELECT 1"}, {"question": "y", "sq')
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        IO.load_questions(spark, f"{d}/cut.json").collect()
+
+
 def test_store_append_is_idempotent(spark):
     d = tempfile.mkdtemp(prefix="askwell-store-", dir="/tmp")
     ex = spark.createDataFrame([("e1", "q", "SELECT 1")], "example_id string, question string, sql_query string")
