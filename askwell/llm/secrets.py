@@ -4,34 +4,44 @@ Base patterns find assignments of passwords and keys, access key ids and long
 hex strings; their spans always stay.  The field then tags tokens (runs without
 white space) as begin, inside or outside of a secret from their shape, their
 neighbouring words and features of the whole text, and Viterbi decodes the best
-tags.  Only stretches round tokens that could be part of a secret are decoded;
-all other tokens are outside by the features alone.  Tagged stretches that no
-base span touches are added under the kind ``field``.
-
-Weights are trained on the base spans of a bounded sample of documents with an
-averaged perceptron.  Whole texts are searched; offsets are code points, end
+tags.  Every token is scored, each different word of a batch once.  Tokens that no
+run of tags can hold with a gain over outside (a bound by the scores of the tokens
+round it and the greatest gain of a move) are outside in the best sequence and
+needn't be decoded.  Tagged stretches that no base span touches are added under
+the kind ``field``.
+
+Weights are trained with an averaged perceptron on the tokens round base spans and
+round other places of a bounded sample, each stretch once with all features and once
+without those that restate the base patterns, so that shape and entropy have to tell
+a secret by themselves.  Whole texts are searched; offsets are code points, end
 exclusive.  Defined cases: null text counts as empty; null ids and repeated rows
 get a row each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
+import sys
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askwell.llm.common import bounded_sample, ship_package
+from askwell.llm.common import ship_package
 
 #: The kinds in the order in which they are listed.
 KINDS = ("assign", "access", "hex")
-TRAIN_DOCS = 10_000  # documents that the field is trained on, at most
-CONTEXT = 3  # tokens on either side that are decoded with a candidate
+TRAIN_DOCS = 10_000  # rows that the field is trained on, at most
+TRAIN_TOKENS = 200  # tokens of a row that it is trained on, at most
+MISSED = 8.0  # margin, in weight, by which a secret's token has to beat outside in training
+CONTEXT = 3  # tokens on either side that are trained on with a base span
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -62,8 +72,6 @@ def written(spans: list[Span]) -> str:
 # -- the field ----------------------------------------------------------
 
 _TOKEN = re.compile(r"\S+")
-#: runs that could be part of a secret: eight or more key characters with a digit among them
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{8,}")
 _CUES = frozenset("password passwd pwd secret token key apikey api_key auth bearer credential private".split())
 OUT, BEGIN, INSIDE = range(3)
 _STRIP = "\"'.,;:!?()[]{}<>="
@@ -77,11 +85,11 @@ def entropy(s: str) -> float:
 def shape(s: str) -> str:
     """Classes of characters, runs shortened: "Ab12-x" gives "Aa9-a"."""
     out = []
-    for c in s[:64]:
+    for c in s:
         k = "9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c if c in "=:\"'+/_-." else "?"
         if not out or out[-1] != k:
             out.append(k)
-    return "".join(out[:10])
+    return "".join(out)
 
 
 def file_features(text: str) -> list[str]:
@@ -94,24 +102,47 @@ def file_features(text: str) -> list[str]:
     return out
 
 
-def token_features(words: list[str], k: int, file: list[str]) -> list[str]:
-    w = words[k]
+#: features that restate the base patterns: hidden in every second example
+_TOLD = ("own", "cue", "before", "hex", "file:keys", "sign")
+_CUE_AT = (-2, -1, 1)
+
+
+def is_mixed(bare: str) -> bool:
+    return any(c.isdigit() for c in bare) and any(c.isalpha() for c in bare)
+
+
+def is_cue(w: str) -> bool:
+    return w.strip(_STRIP).lower() in _CUES
+
+
+def own_features(w: str) -> list[str]:
+    """Of the word alone."""
     bare = w.strip(_STRIP)
-    digits = sum(c.isdigit() for c in bare)
-    upper = sum(c.isupper() for c in bare)
-    alpha = sum(c.isalpha() for c in bare)
-    mixed = digits > 0 and alpha > 0
+    if bare.isalpha() and bare.islower():  # most words
+        mixed, form, n_digits, upper = False, "a", 0, 0
+    else:
+        mixed, form = is_mixed(bare), shape(bare)
+        n_digits, upper = sum(c.isdigit() for c in bare), sum(c.isupper() for c in bare)
     out = [
-        "one", f"len:{min(len(bare) // 4, 8)}", f"mixed:{mixed}", f"bits:{int(entropy(bare[:64]) * 2)}:{mixed}",
-        f"upper:{upper > 1 and upper == alpha}", f"hex:{len(bare) >= 16 and all(c in '0123456789abcdef' for c in bare)}",
-        f"digits:{digits == len(bare)}", f"shape:{shape(w) if mixed else '-'}",
+        "one", f"mixed:{mixed}", f"len:{min(len(bare) // 4, 8)}:{mixed}", f"bits:{int(entropy(bare) * 2)}:{mixed}",
+        f"runs:{min(len(form), 12)}", f"classes:{''.join(sorted(set(form)))}", f"digits:{n_digits == len(bare)}",
+        f"upper:{upper > 1 and upper == sum(c.isalpha() for c in bare)}",
     ]
-    for d in (-2, -1, 1):
-        other = words[k + d].strip(_STRIP).lower() if 0 <= k + d < len(words) else "<none>"
-        out.append(f"cue{d}:{other in _CUES}")
-    out.append(f"own:{bare.lower() in _CUES or w.lower().startswith(_NAMES)}")
-    out.append(f"sign:{'=' in w or ':' in w}")
-    out.append(f"before:{words[k - 1] in ('=', ':') if k else False}")
+    if len(bare) >= 16 and all(c in "0123456789abcdef" for c in bare):
+        out.append("hex")
+    if bare.lower() in _CUES or w.lower().startswith(_NAMES):
+        out.append("own")
+    if "=" in w or ":" in w:
+        out.append("sign")
+    return out
+
+
+def token_features(words: list[str], k: int, file: list[str]) -> list[str]:
+    out = own_features(words[k])
+    out += [f"cue{d}" for d in _CUE_AT if 0 <= k + d < len(words) and is_cue(words[k + d])]
+    if k and words[k - 1] in ("=", ":"):
+        out.append("before")
+    mixed = is_mixed(words[k].strip(_STRIP))
     return out + [f"{f}:{mixed}" for f in file]
 
 
@@ -119,24 +150,32 @@ class Field:
     def __init__(self, weights: dict[str, list[float]], moves: list[list[float]]):
         self.weights, self.moves = weights, moves
 
-    def decode(self, feats: list[list[str]]) -> list[int]:
-        """Viterbi: the best tags; inside can't follow outside or the start."""
-        none = [0.0, 0.0, 0.0]
-        best, back = [0.0, 0.0, -math.inf], []
+    def decode(self, feats: list[list[str]], gold: list[int] | None = None) -> list[int]:
+        """The best tags; with ``gold`` those that are best when wrong tags have a
+        bonus, ``MISSED`` where a secret's token is called outside."""
+        none, scores = (0.0, 0.0, 0.0), []
         for k, fs in enumerate(feats):
-            score = [0.0, 0.0, 0.0]
-            for f in fs:
-                w = self.weights.get(f, none)
-                score[0] += w[0]
-                score[1] += w[1]
-                score[2] += w[2]
+            ws = [self.weights.get(f, none) for f in fs]
+            scores.append([sum(w[t] for w in ws) for t in range(3)])
+            for t in range(3) if gold else ():
+                if t != gold[k]:
+                    scores[k][t] += MISSED if t == OUT else 1.0
+        return self.best(scores, False, False)
+
+    def best(self, scores: list[list[float]], out_before: bool, out_after: bool) -> list[int]:
+        """Viterbi: the best tags; inside can't follow outside or the start.  The
+        tokens before and after are outside, or there are none."""
+        moves = self.moves
+        best, back = [0.0, 0.0, -math.inf], []
+        for k, score in enumerate(scores):
             if not k:
-                best = [score[0], score[1], -math.inf]
+                enter = moves[OUT] if out_before else (0.0, 0.0, 0.0)
+                best = [score[0] + enter[0], score[1] + enter[1], -math.inf]
                 back.append([0, 0, 0])
                 continue
             new, came = [], []
             for t in range(3):
-                opts = [best[p] + self.moves[p][t] for p in range(3)]
+                opts = [best[p] + moves[p][t] for p in range(3)]
                 if t == INSIDE:
                     opts[OUT] = -math.inf
                 p = max(range(3), key=opts.__getitem__)
@@ -144,7 +183,9 @@ class Field:
                 came.append(p)
             best = new
             back.append(came)
-        t = max(range(3), key=best.__getitem__) if feats else 0
+        if out_after:
+            best = [b + moves[t][OUT] for t, b in enumerate(best)]
+        t = max(range(3), key=best.__getitem__) if scores else 0
         tags = []
         for came in reversed(back):
             tags.append(t)
@@ -152,26 +193,91 @@ class Field:
         return tags[::-1]
 
 
-def stretches(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Tokens round each candidate; stretches that overlap are joined."""
-    if _CANDIDATE.search(text) is None:
-        return
-    tokens = [m.span() for m in _TOKEN.finditer(text)]
-    starts = [a for a, _ in tokens]
-    import bisect
-
-    low = high = -1
-    for m in _CANDIDATE.finditer(text):
-        k = bisect.bisect_right(starts, m.start()) - 1
-        a, b = max(0, k - CONTEXT), min(len(tokens), k + CONTEXT + 1)
-        if a <= high:
-            high = max(high, b)
+class _Ids(dict):
+    """Numbers of words in the order in which they are first asked for."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = n = len(self)
+        return n
+
+
+class Words:
+    """Scores of each different word of a batch of texts, made once."""
+
+    def __init__(self, field: Field):
+        self.field, self.ids, self.known = field, _Ids(), 0
+        self.own, self.flags = np.zeros((0, 3)), np.zeros((0, 3), bool)
+        # the most that a move into, inside or out of a run gains over staying outside
+        m = field.moves
+        self.gain = max(0.0, *(m[p][q] - m[OUT][OUT] for p in range(3) for q in range(3) if (p, q) != (OUT, OUT)))
+
+    def _weight(self, features: list[str]) -> list[float]:
+        ws = [w for w in map(self.field.weights.get, features) if w is not None]
+        return [sum(w[t] for w in ws) for t in range(3)]
+
+    def scores(self, text: str, words: list[str]) -> np.ndarray:
+        """(tokens, 3): the same sums as those of ``token_features``."""
+        ids = self.ids
+        at = np.array([ids[w] for w in words], np.int64)
+        if len(ids) > self.known:
+            new, ids.fresh = ids.fresh, []
+            a, b = self.known, len(ids)
+            if b > len(self.own):  # room for twice as many
+                self.own = np.concatenate([self.own[:a], np.zeros((2 * b - a, 3))])
+                self.flags = np.concatenate([self.flags[:a], np.zeros((2 * b - a, 3), bool)])
+            self.own[a:b] = [self._weight(own_features(w)) for w in new]
+            self.flags[a:b] = [(is_cue(w), w in ("=", ":"), is_mixed(w.strip(_STRIP))) for w in new]
+            self.known = b
+        out = self.own[at]
+        cue, sign, mixed = self.flags[at].T
+        for d in _CUE_AT:
+            has = np.zeros(len(at), bool)
+            if d < 0:
+                has[-d:] = cue[:d]
+            else:
+                has[:-d] = cue[d:]
+            out[has] += self._weight([f"cue{d}"])
+        after = np.zeros(len(at), bool)
+        after[1:] = sign[:-1]
+        out[after] += self._weight(["before"])
+        file = file_features(text)
+        for flag in (False, True):
+            out[mixed == flag] += self._weight([f"{f}:{flag}" for f in file])
+        return out
+
+    def tags(self, text: str, words: list[str]) -> list[tuple[int, list[int]]]:
+        """(first token, its tags) of each stretch that can hold anything but outside."""
+        score = self.scores(text, words)
+        c = score[:, 1:].max(1) - score[:, OUT] + self.gain
+        if not len(c) or (c < -self.gain).all():
+            return []
+        # the best sum of c over runs that hold the token, from both sides
+        best = _reach(c) + _reach(c[::-1])[::-1] - c
+        held = np.flatnonzero(best + self.gain >= -1e-6)
+        out = []
+        for run in np.split(held, np.flatnonzero(np.diff(held) > 1) + 1):
+            if len(run):
+                a, b = int(run[0]), int(run[-1]) + 1
+                out.append((a, self.field.best(score[a:b].tolist(), a > 0, b < len(words))))
+        return out
+
+
+def _reach(c: np.ndarray) -> np.ndarray:
+    """For each place the greatest sum of a run that ends there."""
+    out, done = c.copy(), -1
+    for p in np.flatnonzero(c > 0).tolist():
+        if p <= done:
             continue
-        if high > 0:
-            yield tokens[low:high]
-        low, high = a, b
-    if high > 0:
-        yield tokens[low:high]
+        carry, k = out[p], p + 1
+        while carry > 0 and k < len(c):
+            carry = out[k] = c[k] + carry
+            k += 1
+        done = k - 1
+    return out
 
 
 def gold_tags(tokens: list[tuple[int, int]], spans: list[Span]) -> list[int]:
@@ -183,26 +289,58 @@ def gold_tags(tokens: list[tuple[int, int]], spans: list[Span]) -> list[int]:
     return out
 
 
+def stretches(text: str, spans: list[Span]) -> Iterator[list[tuple[int, int]]]:
+    """Tokens to train on: those round base spans, and as many plain ones from a
+    place that the text's digest gives; ``TRAIN_TOKENS`` in all at most."""
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    starts = [a for a, _ in tokens]
+    low, high, left = 0, 0, TRAIN_TOKENS
+    for a, b, _ in spans:
+        first, last = bisect.bisect_right(starts, a) - 1 - CONTEXT, bisect.bisect_left(starts, b) + CONTEXT
+        if first > high or last - low > left:
+            if high:
+                yield tokens[low:high]
+                left -= high - low
+            low = max(first, high, 0)
+        high = min(max(last, high), low + left)
+        if left <= 0:
+            return
+    if high > low:
+        yield tokens[low:high]
+        left -= high - low
+    if tokens and left > 0:
+        at = zlib.crc32(text.encode("utf-8", "replace")) % len(tokens)
+        plain = tokens[at : at + min(left, 4 * CONTEXT)]
+        if gold_tags(plain, spans).count(OUT) == len(plain):
+            yield plain
+
+
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         feats, tags = [], []
         for text in batch.column(0).to_pylist():
             spans, file = base_spans(text), file_features(text)
-            for tokens in stretches(text):
+            for tokens in stretches(text, spans):
                 words = [text[a:b] for a, b in tokens]
-                feats.append([token_features(words, k, file) for k in range(len(words))])
-                tags.append(gold_tags(tokens, spans))
+                every = [token_features(words, k, file) for k in range(len(words))]
+                gold = gold_tags(tokens, spans)
+                feats.append(every)
+                tags.append(gold)
+                if any(gold):
+                    feats.append([[f for f in fs if not f.startswith(_TOLD)] for fs in every])
+                    tags.append(gold)
         yield pa.RecordBatch.from_arrays(
             [pa.array(feats, pa.list_(pa.list_(pa.string()))), pa.array(tags, pa.list_(pa.int32()))], ["feats", "tags"]
         )
 
 
 def train(docs: DataFrame, rounds: int = 5) -> Field:
-    # ids first: texts of the drawn documents stay where they are
-    ids = bounded_sample(docs.select("doc_id").distinct(), "doc_id", TRAIN_DOCS, 13)
-    drawn = docs.join(F.broadcast(ids), "doc_id", "left_semi").filter(F.col("text").rlike("[0-9]"))
+    # a bound on hashes of id and text, then on rows: copies of one row share a hash
+    keyed = docs.select("text", F.xxhash64("doc_id", "text", F.lit(13)).alias("h"))
+    last = keyed.select("h").distinct().orderBy("h").limit(TRAIN_DOCS).agg(F.max("h"))
+    drawn = keyed.filter(F.col("h") <= last.scalar()).dropDuplicates(["h"])
     rows = drawn.select("text").mapInArrow(_examples, "feats array<array<string>>, tags array<int>")
-    data = [(r["feats"], list(r["tags"])) for r in rows.collect()]  # stretches of a bounded sample
+    data = [([[sys.intern(f) for f in fs] for fs in r["feats"]], list(r["tags"])) for r in rows.collect()]  # stretches of a bounded sample
     data.sort(key=lambda d: (d[1], d[0]))
     weights: dict[str, list[float]] = defaultdict(lambda: [0.0] * 3)
     total: dict[str, list[float]] = defaultdict(lambda: [0.0] * 3)
@@ -211,7 +349,7 @@ def train(docs: DataFrame, rounds: int = 5) -> Field:
     for r in range(rounds):
         for d in range(len(data)):
             feats, gold = data[(d * 7919 + r) % len(data)]
-            got = Field(weights, moves).decode(feats)
+            got = Field(weights, moves).decode(feats, gold)
             if got != gold:
                 for k, (g, h) in enumerate(zip(gold, got, strict=True)):
                     if g != h:
@@ -229,33 +367,36 @@ def train(docs: DataFrame, rounds: int = 5) -> Field:
     return Field(mean, [[moves[p][q] - total_moves[p][q] / step for q in range(3)] for p in range(3)])
 
 
-def find(text: str, field: Field) -> tuple[list[Span], list[Span]]:
+def find(text: str, words_of: Words) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans, of one text."""
     base = base_spans(text)
     more: list[Span] = []
-    file = None
-    for tokens in stretches(text):
-        file = file or file_features(text)
-        words = [text[a:b] for a, b in tokens]
-        tags = field.decode([token_features(words, k, file) for k in range(len(words))])
-        run: list[tuple[int, int]] = []
-        for tok, tag in [*zip(tokens, tags, strict=True), ((0, 0), OUT)]:
-            if tag != INSIDE and run:
-                a, b = run[0][0], run[-1][1]
-                if not any(s[0] < b and a < s[1] for s in base):
-                    while a < b and text[a] in _STRIP:
-                        a += 1
-                    while b > a and text[b - 1] in _STRIP:
-                        b -= 1
-                    if a < b:
-                        more.append((a, b, "field"))
-                run = []
-            if tag != OUT:
-                run.append(tok)
+    found = words_of.tags(text, text.split())
+    if any(any(tags) for _, tags in found):
+        tokens = [m.span() for m in _TOKEN.finditer(text)]
+        for first, tags in found:
+            run: list[tuple[int, int]] = []
+            for tok, tag in [*zip(tokens[first:], tags), ((0, 0), OUT)]:
+                if tag != INSIDE and run:
+                    a, b = run[0][0], run[-1][1]
+                    if not _touches(base, a, b):
+                        while a < b and text[a] in _STRIP:
+                            a += 1
+                        while b > a and text[b - 1] in _STRIP:
+                            b -= 1
+                        if a < b:
+                            more.append((a, b, "field"))
+                    run = []
+                if tag != OUT:
+                    run.append(tok)
     order = [*KINDS, "field"]
     return base, sorted(base + more, key=lambda s: (s[0], order.index(s[2])))
 
 
+def _touches(spans: list[Span], a: int, b: int) -> bool:
+    return any(s[0] < b and a < s[1] for s in spans)
+
+
 def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` for every row."""
     ship_package(docs.sparkSession)
@@ -264,7 +405,8 @@ def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [find(t, field) for t in batch.column(1).to_pylist()]
+            words_of = Words(field)
+            got = [find(t, words_of) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), *(pa.array([sum(s[2] == k for s in b) for b, _ in got], pa.int64()) for k in KINDS),
