@@ -6,7 +6,10 @@ Results of executed queries are kept in long form, one line per result row:
 'gold' or a strategy name, and ``executions(question_id, side, success)``
 records whether each query ran.  Multiset comparison of all question /
 strategy pairs is a single aggregation keyed by (question, strategy, row):
-no result set is ever gathered in one place.
+no result set is ever gathered in one place.  One row per question or pair is
+still as many rows as there are questions, however small Spark takes it to be
+(estimates miss that a column is exploded, sizes of shuffles are compressed): such
+joins carry a merge hint, so the driver never builds a broadcast of them.
 """
 
 from __future__ import annotations
@@ -74,7 +77,7 @@ def results_match(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     execution_match)."""
     counts = rows.groupBy("question_id", "side", "row").agg(F.count(F.lit(1)).alias("n"))
     gold = counts.filter(F.col("side") == GOLD).select("question_id", "row", F.col("n").alias("n_gold"))
-    gold = gold.join(pairs.select("question_id", "strategy"), "question_id")
+    gold = gold.join(pairs.select("question_id", "strategy").hint("merge"), "question_id")
     pred = counts.filter(F.col("side") != GOLD).select(
         "question_id", F.col("side").alias("strategy"), "row", F.col("n").alias("n_pred")
     )
@@ -82,7 +85,7 @@ def results_match(rows: DataFrame, pairs: DataFrame) -> DataFrame:
         F.coalesce("n_gold", F.lit(0)) != F.coalesce("n_pred", F.lit(0))
     )
     bad = diff.select("question_id", "strategy").distinct().withColumn("bad", F.lit(True))
-    return pairs.select("question_id", "strategy").join(bad, ["question_id", "strategy"], "left").select(
+    return pairs.select("question_id", "strategy").join(bad.hint("merge"), ["question_id", "strategy"], "left").select(
         "question_id", "strategy", F.col("bad").isNull().alias("execution_match")
     )
 
@@ -108,10 +111,10 @@ def score_examples(
         "question_id", F.col("side").alias("strategy"), F.col("success").alias("pred_ok")
     )
     j = (
-        predictions.join(questions.select("question_id", "difficulty", "gold_sql"), "question_id")
-        .join(gold_ok, "question_id", "left")
-        .join(pred_ok, ["question_id", "strategy"], "left")
-        .join(matches, ["question_id", "strategy"], "left")
+        predictions.join(questions.select("question_id", "difficulty", "gold_sql").hint("merge"), "question_id")
+        .join(gold_ok.hint("merge"), "question_id", "left")
+        .join(pred_ok.hint("merge"), ["question_id", "strategy"], "left")
+        .join(matches.hint("merge"), ["question_id", "strategy"], "left")
     )
     empty = is_blank(F.col("generated_sql"))
     gold_fail = ~F.coalesce(F.col("gold_ok"), F.lit(False))
@@ -353,7 +356,7 @@ def flips(phase_results: DataFrame, baseline: str = "baseline", learned: str = "
     """Questions fixed (incorrect -> correct) or regressed by learning."""
     b = phase_results.filter(F.col("phase") == baseline).select("question_id", F.col("verdict").alias("b"))
     l_ = phase_results.filter(F.col("phase") == learned).select("question_id", "difficulty", F.col("verdict").alias("l"))
-    j = b.join(l_, "question_id")
+    j = b.join(l_.hint("merge"), "question_id")
     kind = F.when((F.col("b") == INCORRECT) & (F.col("l") == CORRECT), F.lit("fixed")).when(
         (F.col("b") == CORRECT) & (F.col("l") == INCORRECT), F.lit("regressed")
     )
