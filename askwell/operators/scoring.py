@@ -75,15 +75,13 @@ def results_match(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     multiset of predicted rows equal to the gold rows?  Both empty -> true;
     rows of different width never match.  Returns (question_id, strategy,
     execution_match)."""
+    sides = pairs.groupBy("question_id").agg(F.collect_set("strategy").alias("strategies"))
     counts = rows.groupBy("question_id", "side", "row").agg(F.count(F.lit(1)).alias("n"))
-    gold = counts.filter(F.col("side") == GOLD).select("question_id", "row", F.col("n").alias("n_gold"))
-    gold = gold.join(pairs.select("question_id", "strategy").hint("merge"), "question_id")
-    pred = counts.filter(F.col("side") != GOLD).select(
-        "question_id", F.col("side").alias("strategy"), "row", F.col("n").alias("n_pred")
-    )
-    diff = gold.join(pred, ["question_id", "strategy", "row"], "full_outer").filter(
-        F.coalesce("n_gold", F.lit(0)) != F.coalesce("n_pred", F.lit(0))
-    )
+    gold = counts.filter(F.col("side") == GOLD).select("question_id", "row", "n").join(sides.hint("merge"), "question_id")
+    pred = counts.filter(F.col("side") != GOLD).select("question_id", F.col("side").alias("strategy"), "row", (-F.col("n")).alias("n"))
+    # gold rows count up, predicted ones down; a row that is NULL equals none
+    diff = gold.select("question_id", F.explode("strategies").alias("strategy"), "row", "n").unionByName(pred)
+    diff = diff.groupBy("question_id", "strategy", "row").agg(F.sum("n").alias("n")).filter((F.col("n") != 0) | F.col("row").isNull())
     bad = diff.select("question_id", "strategy").distinct().withColumn("bad", F.lit(True))
     return pairs.select("question_id", "strategy").join(bad.hint("merge"), ["question_id", "strategy"], "left").select(
         "question_id", "strategy", F.col("bad").isNull().alias("execution_match")
@@ -250,10 +248,10 @@ def lenient_match(named: DataFrame, pairs: DataFrame) -> DataFrame:
     column never matches.  ``named``: output of ``named_rows`` for all sides;
     ``pairs``: (question_id, strategy).  Returns (question_id, strategy,
     lenient_match)."""
-    columns = named.filter(F.col("side") == GOLD).groupBy("question_id").agg(
-        F.first(F.array_sort(F.map_keys("cells"))).alias("columns")  # the same in all rows of a result
-    )
-    joined = named.join(columns, "question_id", "left")
+    # the same in all rows of a result: told apart by hash first, so that few reach the sort of ``first``
+    columns = named.filter(F.col("side") == GOLD).select("question_id", F.array_sort(F.map_keys("cells")).alias("columns"))
+    columns = columns.distinct().groupBy("question_id").agg(F.first("columns").alias("columns"))
+    joined = named.join(columns.hint("merge"), "question_id", "left")
     lacks = F.exists("columns", lambda c: ~F.map_contains_key("cells", c))
     cut = joined.select(
         "question_id",
@@ -263,7 +261,7 @@ def lenient_match(named: DataFrame, pairs: DataFrame) -> DataFrame:
     )
     short = cut.filter("lacks").select("question_id", F.col("side").alias("strategy")).distinct().withColumn("short", F.lit(True))
     same = results_match(cut.select("question_id", "side", "row"), pairs)
-    return same.join(short, ["question_id", "strategy"], "left").select(
+    return same.join(short.hint("merge"), ["question_id", "strategy"], "left").select(
         "question_id", "strategy", (F.col("execution_match") & F.col("short").isNull()).alias("lenient_match")
     )
 
