@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,6 +94,19 @@ def bounded_sample(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
     return df.orderBy(*order).limit(most)
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run inside go when its query ends, not when the
+    driver happens to collect its garbage.  For queries that run once."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Like ``materialize``; also the folder, for ``remove``."""
     path = scratch_path(df.sparkSession, name)

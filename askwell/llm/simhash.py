@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askwell.llm.common import bounded_sample, materialize, ship_package, shuffle_partitions
@@ -66,11 +66,11 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 4, text_col: str = "text", tie: bool = False) -> DataFrame:
     """``doc_id, fp``: the fingerprint as a signed long, one row per row.  With
-    ``row_col``, a long, also ``row`` and ``tie``, a hash of the text."""
+    ``tie`` also that column, a hash of the text."""
     ship_package(docs.sparkSession)
-    more = [] if row_col is None else ["row", "tie"]
+    more = ["tie"] if tie else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,8 +84,8 @@ def fingerprints(docs: DataFrame, shingle: int = 4, text_col: str = "text", row_
 
     text = docs[text_col].cast("string")
     slim = [docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")]
-    if row_col is not None:
-        slim += [docs[row_col].alias("row"), F.xxhash64(text).alias("tie")]
+    if tie:
+        slim.append(F.xxhash64(text).alias("tie"))
     return docs.select(*slim).mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "fp", *more]))
 
 
@@ -334,16 +334,21 @@ def keep_first(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFram
     null id only where no row of the component has another.  Of rows that share
     that id the one whose text has the smallest hash stays, of equal texts the
     first as stored."""
-    names, row = docs.columns, "_row"
-    while row in names:
-        row = "_" + row
-    # stored with a key of its own for each row: ids may be null or repeated
-    stored = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
-    fps = fingerprints(stored, shingle, row_col=row)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "row")).alias("low")
+    fps = fingerprints(docs, shingle, tie=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("low")
     by_fp = materialize(fps.groupBy("fp").agg(first), "simhash-nodes")
-    keep = _rooted(by_fp, max_bits).groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias("_keep"))
-    return stored.join(keep, stored[row] == keep["_keep"], "left_semi").drop(row)
+    low = _rooted(by_fp, max_bits).groupBy("root").agg(F.min("low").alias("low"))
+    # a key of (no id, id, hash of the text) that equals itself where the id is null
+    key = ["none", "id", "tie"]
+    keep = low.select("low.none", F.coalesce("low.doc_id", F.lit(0)).alias("id"), "low.tie")
+    # the whole row travels as one field, so no name of its columns can clash
+    doc_id = docs["doc_id"].cast("long")
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"),
+        F.xxhash64(docs["text"].cast("string")).alias("tie"), F.monotonically_increasing_id().alias("at"),
+    )
+    firsts = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("at"))).filter("nth = 1")
+    return firsts.join(keep, key, "left_semi").select("row.*")
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:

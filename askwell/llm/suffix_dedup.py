@@ -39,7 +39,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askwell.llm.common import bounded_sample, materialize, order_id, ship_package, shuffle_partitions, text_or_empty
+from askwell.llm.common import (
+    bounded_sample,
+    order_id,
+    remove,
+    ship_package,
+    shuffle_partitions,
+    shuffles_released,
+    stored,
+    text_or_empty,
+)
 
 SLICE = 1 << 18  # bytes hashed at once
 MOST_RUNS = 2_000  # different runs of one anchor that are compared in one task
@@ -274,8 +283,8 @@ def _window_rows(runs: DataFrame, length: int, split) -> DataFrame:
     return runs.mapInArrow(run, ROW)
 
 
-def _compare(rows: DataFrame, contest: bool) -> DataFrame:
-    """Sort each bucket and compare neighbours.
+def _compare(rows: DataFrame, contest: bool) -> tuple[DataFrame, str]:
+    """Sort each bucket and compare neighbours; the result and its folder.
 
     ``kind`` 0: a row that equals an earlier one (same g and h, larger (doc,
     start)).  1 (if ``contest``): the first of its class where its anchor has
@@ -336,7 +345,7 @@ def _compare(rows: DataFrame, contest: bool) -> DataFrame:
 
     n = shuffle_partitions(rows.sparkSession)
     dealt = rows.repartition(n, "bucket").sortWithinPartitions(*_ROW_NAMES)
-    return materialize(dealt.mapInArrow(run, ROW + ", kind byte, edge byte"), "suffix-compared")
+    return stored(dealt.mapInArrow(run, ROW + ", kind byte, edge byte"), "suffix-compared")
 
 
 def _borders(compared: DataFrame) -> DataFrame:
@@ -392,16 +401,27 @@ def _splitters(rows: DataFrame, buckets: int) -> Splitters:
 def repeated_windows(docs: DataFrame, length: int = 100) -> DataFrame:
     """``doc, at, h``: windows ``at >> 7`` to ``(at >> 7) + (at & 127) - 1`` of each
     document that also start earlier somewhere, and the hash of the bytes they
-    cover.  ``docs``: ``doc`` (not null), ``text``."""
+    cover.  ``docs``: ``doc`` (not null), ``text``.
+
+    Each step is stored, and its shuffle files go with its end; of what is stored
+    only the result stays.
+    """
     if not 96 <= length <= 127:
         raise ValueError("length must be 96 to 127 bytes")
     spark = docs.sparkSession
-    sc = spark.sparkContext
     ship_package(spark)
+    with shuffles_released(spark):
+        return _repeated_windows(docs, length)
+
+
+def _repeated_windows(docs: DataFrame, length: int) -> DataFrame:
+    spark = docs.sparkSession
+    sc = spark.sparkContext
     buckets = 4 * shuffle_partitions(spark)
-    sample = materialize(_sampled(docs), "suffix-sample")
+    sample, sample_path = stored(_sampled(docs), "suffix-sample")
     split = sc.broadcast(_splitters(_run_rows(sample, length, None), buckets))
-    settled = _settled(_compare(_run_rows(docs, length, split), True))
+    compared, compared_path = _compare(_run_rows(docs, length, split), True)
+    settled = _settled(compared)
     whole = _repeats(settled, "h")
     def flag(bit: int):
         return F.col("edge").bitwiseAND(F.lit(bit).cast("byte")) != 0
@@ -411,12 +431,17 @@ def repeated_windows(docs: DataFrame, length: int = 100) -> DataFrame:
         "doc", F.struct("at", F.col("g").alias("anchor"), (beyond | flag(4)).alias("wide")).alias("run")
     )
     by_doc = contested.groupBy("doc").agg(F.collect_set("run").alias("runs"))
-    contested = materialize(docs.join(by_doc, "doc").select("doc", "text", "runs").mapInArrow(_run_bytes(length), RUN_BYTES), "suffix-runs")
+    listed = docs.join(by_doc, "doc").select("doc", "text", "runs")
+    contested, contested_path = stored(listed.mapInArrow(_run_bytes(length), RUN_BYTES), "suffix-runs")
     narrow = _met(contested.filter("not wide").select("g", "doc", "at", "raw"), length)
     wide = contested.filter("wide").select("g", "doc", "at", "raw")
     fine = sc.broadcast(_splitters(_window_rows(wide.join(sample.select("doc"), "doc", "left_semi"), length, None), buckets))
-    single = _repeats(_settled(_compare(_window_rows(wide, length, fine), False)), "g")
-    return whole.unionByName(narrow).unionByName(single)
+    windows, windows_path = _compare(_window_rows(wide, length, fine), False)
+    single = _repeats(_settled(windows), "g")
+    marks, _ = stored(whole.unionByName(narrow).unionByName(single), "suffix-marks")
+    for path in (sample_path, compared_path, contested_path, windows_path):
+        remove(spark, path)
+    return marks
 
 
 def _spans(at: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -447,10 +472,10 @@ def _held(raw: bytes, at: np.ndarray, h: np.ndarray, length: int) -> np.ndarray:
     return at[ok]
 
 
-def _marked(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` (doc, text and others) with the array ``marks`` (null: none) of
+def _marked(docs: DataFrame, length: int, text_col: str = "text") -> DataFrame:
+    """``docs`` (doc, a text and others) with the array ``marks`` (null: none) of
     (at, h) of all rows of the id."""
-    marks = repeated_windows(docs.select("doc", "text"), length)
+    marks = repeated_windows(docs.select("doc", text_or_empty(text_col).alias("text")), length)
     by_doc = marks.groupBy("doc").agg(F.collect_set(F.struct("at", "h")).alias("marks"))
     return docs.join(by_doc, "doc", "left")
 
@@ -494,8 +519,8 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     A character of which only some bytes are removed goes as a whole.  ``n_chars``
     is counted anew where it is there.  A null text stays null.
     """
-    # the whole row travels as one field, so no name of its columns can clash
-    slim = docs.select(order_id().alias("doc"), text_or_empty().alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    # the whole row travels as one field, so no name of its columns can clash; the text is only there
+    slim = docs.select(order_id().alias("doc"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
     @F.pandas_udf("string")
     def cut(texts, places, hashes):
@@ -515,7 +540,9 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
     row = F.col("row")
     changed = F.col("marks").isNotNull() & row["text"].isNotNull()
-    got = _marked(slim, length).select("row", changed.alias("changed"), F.when(changed, cut("text", "marks.at", "marks.h")).alias("cut"))
+    got = _marked(slim, length, "row.text").select(
+        "row", changed.alias("changed"), F.when(changed, cut(text_or_empty("row.text"), "marks.at", "marks.h")).alias("cut")
+    )
     new = {"text": F.col("cut")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("cut").cast(docs.schema["n_chars"].dataType)

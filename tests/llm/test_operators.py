@@ -5,10 +5,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from askwell.llm import neighbours, packing, pii, quality, secrets, simhash, suffix_dedup, toxicity, warc
 from askwell.llm.bpe import WordBPE, encode_documents
-from askwell.llm.common import scratch_path
+from askwell.llm.common import scratch_path, shared_folder
 
 SF = "/root/testdata/sf0.001"
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -305,6 +308,24 @@ def test_suffix_dedup_edges(edge, empty):
     assert suffix_dedup.without_repeats(empty).count() == 0
 
 
+def shuffle_files(spark):
+    return {p for p in Path(spark.sparkContext._temp_dir).parents[1].glob("blockmgr-*/*/shuffle_*.data") if p.stat().st_size}
+
+
+def test_suffix_dedup_leaves_only_its_marks(spark, edge):
+    """What the steps store and shuffle goes before the result is written."""
+    before, shuffled = set(os.listdir(shared_folder(spark))), shuffle_files(spark)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(setting, "false")
+    kept = suffix_dedup.without_repeats(edge)
+    assert [x.rsplit("-", 1)[0] for x in set(os.listdir(shared_folder(spark))) - before] == ["suffix-marks"]
+    until = time.time() + 10  # Spark removes them in the background
+    while (left := shuffle_files(spark) - shuffled) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(setting) == held
+    assert kept.count() == len(EDGE)
+
+
 # -- quality -------------------------------------------------------------
 
 
@@ -511,6 +532,24 @@ def test_keep_first_keeps_one_row_a_component(spark):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
 
 
+def test_keep_first_stores_no_texts(spark):
+    """Of equal rows the first as stored stays, without a second copy of the table."""
+    before = set(os.listdir(shared_folder(spark)))
+    rows = [(k // 4, f"text number {k // 8} " * 9, k) for k in range(64)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place int").coalesce(1)
+    kept = simhash.keep_first(df)
+    assert {(r.doc_id, r.place) for r in kept.collect()} == {(d, 4 * d) for d in {min(r.doc_id for r in g) for g in components_of(df)}}
+    for x in set(os.listdir(shared_folder(spark))) - before:
+        assert "string" not in {t for _, t in spark.read.parquet(f"{shared_folder(spark)}/{x}").dtypes}
+
+
+def components_of(df):
+    groups = defaultdict(list)
+    for r in simhash.near_duplicates(df).collect():
+        groups[r.component_id].append(r)
+    return groups.values()
+
+
 # -- pipeline ------------------------------------------------------------
 
 
