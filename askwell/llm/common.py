@@ -97,7 +97,8 @@ def bounded_sample(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
 @contextmanager
 def shuffles_released(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of what is run inside go when its query ends, not when the
-    driver happens to collect its garbage.  For queries that run once."""
+    driver happens to collect its garbage.  For queries that run once.  A stage that
+    Spark drops while it runs (its join turned out empty) may leave files to the latter."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from askwell.llm import neighbours, packing, pii, quality, secrets, simhash, suffix_dedup, toxicity, warc
 from askwell.llm.bpe import WordBPE, encode_documents
-from askwell.llm.common import scratch_path, shared_folder
+from askwell.llm.common import remove, scratch_path, shared_folder, shuffles_released, stored
 
 SF = "/root/testdata/sf0.001"
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -308,22 +308,41 @@ def test_suffix_dedup_edges(edge, empty):
     assert suffix_dedup.without_repeats(empty).count() == 0
 
 
-def shuffle_files(spark):
-    return {p for p in Path(spark.sparkContext._temp_dir).parents[1].glob("blockmgr-*/*/shuffle_*.data") if p.stat().st_size}
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def test_suffix_dedup_leaves_only_its_marks(spark, edge):
-    """What the steps store and shuffle goes before the result is written."""
-    before, shuffled = set(os.listdir(shared_folder(spark))), shuffle_files(spark)
-    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    held = spark.conf.get(setting, "false")
+def test_suffix_dedup_leaves_only_its_marks(spark, edge, monkeypatch):
+    """What the steps store goes before the result is written, their shuffle files with each step."""
+    before, held, on = set(os.listdir(shared_folder(spark))), spark.conf.get(RELEASE, "false"), []
+
+    def seen(df, name):
+        on.append(spark.conf.get(RELEASE))
+        return stored(df, name)
+
+    monkeypatch.setattr(suffix_dedup, "stored", seen)
     kept = suffix_dedup.without_repeats(edge)
     assert [x.rsplit("-", 1)[0] for x in set(os.listdir(shared_folder(spark))) - before] == ["suffix-marks"]
+    assert len(on) == 5 and set(on) == {"true"} and spark.conf.get(RELEASE) == held
+    assert kept.count() == len(EDGE)
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    def large():
+        files = Path(spark.sparkContext._temp_dir).parents[1].glob("blockmgr-*/*/shuffle_*.data")
+        return {p for p in files if p.exists() and p.stat().st_size > 500_000}
+
+    df = spark.range(200_000).select("id", F.expr("uuid()").alias("u")).repartition(4, "id")
+    before = large()
+    with shuffles_released(spark):
+        got, path = stored(df, "released")
     until = time.time() + 10  # Spark removes them in the background
-    while (left := shuffle_files(spark) - shuffled) and time.time() < until:
+    while (left := large() - before) and time.time() < until:
         time.sleep(0.2)
-    assert not left and spark.conf.get(setting) == held
-    assert kept.count() == len(EDGE)
+    assert not left and got.count() == 200_000
+    remove(spark, path)
+    _, path = stored(df, "unreleased")
+    assert large() - before
+    remove(spark, path)
 
 
 # -- quality -------------------------------------------------------------
