@@ -79,3 +79,55 @@ def test_best_partners_are_one_row_for_each_task(spark, unit_rows):
     have = {r["b"]: r["similarity"] for r in right.groupBy("b").agg(F.max("similarity").alias("similarity")).collect()}
     want = {b: max(cos[a, b] for a in ids if a < 30) for b in ids if b >= 30}
     assert have == pytest.approx({b: v for b, v in want.items() if v >= 0.95}, abs=1e-6)
+
+
+def test_best_partners_are_dealt_out_in_rounds(spark, monkeypatch):
+    """However many units there are, no shuffle holds more than a few copies of the rows."""
+    docs = _near_texts(random.Random(11), 100, 0)
+    texts = {i: t for i, t in docs if t}
+    monkeypatch.setattr(text_join, "LEAST_DEALT", 1, raising=False)
+    dealt, frame = [], type(spark.range(0))
+    plain = frame.repartitionById
+
+    def counted(self, *args):
+        dealt.append(self.count())
+        return plain(self, *args)
+
+    monkeypatch.setattr(frame, "repartitionById", counted)
+    release = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(release, "false")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["max_similarity"] for r in TS.near_duplicates(df, 0.95, block_rows=7).collect()}
+    want = {b: max([round(_py_cos(texts[a], texts[b]), 6) for a in texts if a < b], default=0.0) for b in texts}
+    assert got == pytest.approx({b: v for b, v in want.items() if v >= 0.95}, abs=1e-6)
+    # 15 units; all at once would be 15 copies
+    assert len(dealt) > 3 and max(dealt) <= (text_join.COPIES + 1) * len(docs)
+    assert spark.conf.get(release, "false") == held
+
+
+def test_units_are_even_and_equal_places_are_spread():
+    place = np.random.default_rng(1).normal(size=(4_000, 5)).astype(np.float32)
+    place[:1_500] = place[0]
+    spread = np.arange(4_000) * 7_919
+    tree, many = text_join._tree(place, np.ones(4_000), 250)
+    counts = np.bincount(text_join._unit_of(tree, place, spread), minlength=many)
+    assert len(counts) == many < 24 and counts.min() > 0 and counts.max() <= 1.25 * 250
+    same = np.ones((50, 3), np.float32)
+    assert text_join._tree(same, np.ones(50), 12.5) == ((0, 4), 4)
+    assert set(text_join._unit_of((0, 4), same, spread[:50]).tolist()) == {0, 1, 2, 3}
+    none = np.zeros((0, 3), np.float32)
+    assert text_join._tree(none, np.zeros(0), 1.0) == ((0, 1), 1) and not len(text_join._unit_of((0, 1), none, spread[:0]))
+
+
+def test_a_product_of_places_is_never_below_the_cosine():
+    rnd = np.random.default_rng(2)
+    codes = [text_join.pack(rnd.integers(0, 30 + 20 * k, 60), np.arange(25), np.arange(25, dtype=np.int32)) for k in range(40)]
+    rows = text_join._Rows(np.arange(40), list(codes))
+    place = rows.places(text_join._axes(rows.drawn(25))).astype(np.float64)
+    assert np.linalg.norm(place, axis=1) == pytest.approx(np.ones(40), abs=1e-4)
+    hashed = [np.zeros(1_000) for _ in codes]
+    for dense, c in zip(hashed, codes, strict=True):
+        ranks, others, counts = text_join.unpack(c)
+        dense[np.concatenate([ranks, others])] = counts
+    dense = np.array([d / np.linalg.norm(d) for d in hashed])
+    assert (place @ place.T >= dense @ dense.T - text_join.SLACK).all()
